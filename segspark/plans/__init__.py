@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_metrics"]
+MODULES = ["q_metrics", "q_labels", "q_sources", "q_convert"]
 
 
 def _load() -> None:
