@@ -72,3 +72,9 @@ def lookup(value: Column, mapping: dict[int, int], default: Column | None = None
     pairs = [F.lit(i) for kv in mapping.items() for i in kv]
     found = F.try_element_at(F.create_map(*pairs), value)
     return F.coalesce(found, value if default is None else default)
+
+
+def zfill(text: Column, width: int) -> Column:
+    """Pad with zeros on the left; longer text stays whole."""
+    text = text.cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))

@@ -101,8 +101,8 @@ def decode_relative_rle(records: DataFrame) -> DataFrame:
 
 def slice_volume(vox: DataFrame, prefix: str = "case", id_width: int = 4, slice_width: int = 3) -> DataFrame:
     """Voxels to 2-D pixels; the slice number becomes part of the name."""
-    name = F.concat(F.lit(prefix), F.lpad(F.col("sample_id").cast("string"), id_width, "0"),
-                    F.lit("_slice"), F.lpad(F.col("z").cast("string"), slice_width, "0"))
+    name = F.concat(F.lit(prefix), C.zfill(F.col("sample_id"), id_width),
+                    F.lit("_slice"), C.zfill(F.col("z"), slice_width))
     return vox.select(name.alias("name"), "y", "x", *[c for c in vox.columns if c not in ("sample_id", "z", "y", "x", "c")])
 
 
@@ -125,4 +125,4 @@ def min_max_to_uint8(px: DataFrame, lo: float = 0.0, hi: float = 255.0) -> DataF
 def stack_to_rows(stacks: DataFrame, width: int = 8) -> DataFrame:
     """stacks(container, images array<array<…>>) to one row per image with an index-padded name."""
     return (stacks.select("container", F.posexplode("images").alias("i", "data"))
-            .select(F.concat("container", F.lit("_"), F.lpad(F.col("i").cast("string"), width, "0")).alias("name"), "data"))
+            .select(F.concat("container", F.lit("_"), C.zfill(F.col("i"), width)).alias("name"), "data"))

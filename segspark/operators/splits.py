@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segspark.functions import columns as C
 from segspark.functions.prefix import row_numbers, top_k_per_group
 from segspark.runtime import broadcast_if_small
 
@@ -59,7 +60,7 @@ def concat_folds(folds: list[DataFrame], width: int = 4) -> DataFrame:
     """Rows (i, …) of several folds under names fold<k>_<i padded>."""
     out = None
     for k, df in enumerate(folds, 1):
-        named = df.withColumn("name", F.concat(F.lit(f"fold{k}_"), F.lpad(F.col("i").cast("string"), width, "0")))
+        named = df.withColumn("name", F.concat(F.lit(f"fold{k}_"), C.zfill(F.col("i"), width)))
         out = named if out is None else out.unionByName(named)
     return out
 

@@ -108,8 +108,9 @@ def cut_tiles(px: DataFrame, grid: DataFrame, clip: int) -> DataFrame:
     Both sides meet on `clip`-sized cells: a box touches at most four of them
     and a pixel lies in one, so the join key is exact and the fan-out bounded.
     """
+    extra = [c for c in grid.columns if c not in px.columns and c not in ("x1", "y1", "x2", "y2")]
     axis = lambda c: F.explode(F.array_distinct(F.array(F.floor(F.col(c) / clip), F.floor((F.col(c) + clip - 1) / clip))))
-    spots = grid.select("sample_id", "x1", "y1").withColumn("cx", axis("x1")).withColumn("cy", axis("y1"))
+    spots = grid.select("sample_id", "x1", "y1", *extra).withColumn("cx", axis("x1")).withColumn("cy", axis("y1"))
     cells = px.withColumn("cx", F.floor(F.col("x") / clip)).withColumn("cy", F.floor(F.col("y") / clip))
     inside = F.col("x").between(F.col("x1"), F.col("x1") + clip - 1) & F.col("y").between(F.col("y1"), F.col("y1") + clip - 1)
     return (cells.join(spots.hint("merge"), ["sample_id", "cx", "cy"]).filter(inside).drop("cx", "cy")
@@ -127,10 +128,17 @@ def write_back(blocks: DataFrame) -> DataFrame:
     return placed.groupBy("sample_id", "y", "x").agg(F.max_by("pred", "grid_seq").alias("pred"))
 
 
-def stitch(window_logits: DataFrame, value: str = "v", by: list[str] | None = None) -> DataFrame:
-    """Mean over the covering windows of (sample_id, y, x[, c]) values."""
-    keys = ["sample_id", "y", "x", *(by or [])]
-    return window_logits.groupBy(*keys).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("cover"))
+def stitch(windows: DataFrame, values: list[str]) -> DataFrame:
+    """Mean of each value over the windows that cover a pixel, and the cover count."""
+    return windows.groupBy("sample_id", "y", "x").agg(
+        *[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("cover"))
+
+
+def stitch_logits(windows: DataFrame, classes: int) -> DataFrame:
+    """(sample_id, y, x, logits, cover) from windowed (…, logits); one row per pixel and window is shuffled."""
+    names = [f"l{i}" for i in range(classes)]
+    flat = windows.select("sample_id", "y", "x", *[F.get("logits", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return stitch(flat, names).select("sample_id", "y", "x", F.array(*names).alias("logits"), "cover")
 
 
 def uncovered(meta: DataFrame, stitched: DataFrame) -> DataFrame:
@@ -153,7 +161,7 @@ def stitch_with_flip(plain: DataFrame, flipped: DataFrame, crop: int) -> DataFra
 def crop_layers(meta: DataFrame, layers: int, overlap_ratio: float) -> DataFrame:
     """(sample_id, layer, x1, y1, x2, y2): layer i has (2^i)^2 overlapping boxes, layer 0 the whole image."""
     base = (meta.select("sample_id", "h", "w", F.explode(F.sequence(F.lit(0), F.lit(layers))).alias("layer"))
-            .withColumn("n", F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), F.col("layer")).cast("int")))
+            .withColumn("n", F.pow(F.lit(2), F.col("layer")).cast("int")))
     overlap = F.floor(F.lit(overlap_ratio) * F.least("h", "w") * (F.lit(2.0) / F.col("n")))
     base = base.withColumn("o", F.when(F.col("layer") == 0, F.lit(0).cast("bigint")).otherwise(overlap))
     length = lambda side: F.ceil((F.col("o") * (F.col("n") - 1) + F.col(side)) / F.col("n").cast("double"))

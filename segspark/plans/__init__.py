@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_metrics", "q_labels", "q_sources", "q_convert"]
+MODULES = ["q_metrics", "q_labels", "q_sources", "q_convert", "q_tiles"]
 
 
 def _load() -> None:

@@ -87,7 +87,7 @@ def packed(spark, d):
     return V.packed_index(_colours(spark, d, K.ISPRS_PALETTE), _palette(spark, d, K.ISPRS_PALETTE))
 
 
-@query("c06_binarise", f"WITH {X.IMAGE} SELECT sample_id, c, (v // 128)::INT AS bit, count(*) AS n FROM im GROUP BY 1, 2, 3")
+@query("c06_binarise", f"WITH {X.IMAGE} SELECT sample_id, c, floor(v / 128)::INT AS bit, count(*) AS n FROM im GROUP BY 1, 2, 3")
 def binarise(spark, d):
     return _count(X.image(spark, d).select("sample_id", "c", V.binarise(F.col("v")).alias("bit")), "sample_id", "c", "bit")
 
@@ -148,10 +148,9 @@ def rle_decode(spark, d):
     return V.decode_relative_rle(spread(recs, "sample_id"))
 
 
-@query("c13_slices", f"""WITH {X.VOLUME} SELECT 'case' || lpad(sample_id::VARCHAR, 4, '0') || '_slice' || lpad(z::VARCHAR, 3, '0') AS name,
+@query("c13_slices", f"""WITH {X.VOLUME} SELECT 'case' || format('{{:04d}}', sample_id) || '_slice' || format('{{:03d}}', z) AS name,
   sum(v * (y*8 + x + 1)) AS checksum, sum(gt)::BIGINT AS marked FROM vx GROUP BY 1""")
 def slices(spark, d):
-    # Names of more than four digits keep all of them at larger scales.
     px = V.slice_volume(X.volume(spark, d), id_width=4)
     return px.groupBy("name").agg(F.sum(F.col("v") * (F.col("y") * 8 + F.col("x") + 1)).alias("checksum"), F.sum("gt").alias("marked"))
 
@@ -241,8 +240,8 @@ def random_split(spark, d):
     return P.random_split(_names(table(spark, d, "documents")))
 
 
-@query("c23_folds", """SELECT 'fold1_' || lpad(doc_id::VARCHAR, 6, '0') AS name FROM documents UNION ALL
-SELECT 'fold2_' || lpad(page_id::VARCHAR, 6, '0') FROM pages UNION ALL SELECT 'fold3_' || lpad(vec_id::VARCHAR, 6, '0') FROM embeddings""")
+@query("c23_folds", """SELECT 'fold1_' || format('{:06d}', doc_id) AS name FROM documents UNION ALL
+SELECT 'fold2_' || format('{:06d}', page_id) FROM pages UNION ALL SELECT 'fold3_' || format('{:06d}', vec_id) FROM embeddings""")
 def folds(spark, d):
     part = lambda t, c: table(spark, d, t).select(F.col(c).alias("i"))
     return P.concat_folds([part("documents", "doc_id"), part("pages", "page_id"), part("embeddings", "vec_id")], 6).select("name")
@@ -301,7 +300,7 @@ def regroup(spark, d):
     return P.regroup_members(members)
 
 
-@query("c30_stack_rows", """SELECT vec_id || '_' || lpad(i::VARCHAR, 8, '0') AS name, round(list_sum([z::DOUBLE for z in embedding[i*16+1:i*16+16]]), 6) AS total
+@query("c30_stack_rows", """SELECT vec_id || '_' || format('{:08d}', i) AS name, round(list_sum([z::DOUBLE for z in embedding[i*16+1:i*16+16]]), 6) AS total
 FROM embeddings, range(4) t(i)""")
 def stack_rows(spark, d):
     e = F.col("embedding").cast("array<double>")
