@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["q_metrics", "q_labels", "q_sources", "q_convert", "q_tiles"]
+MODULES = ["q_metrics", "q_labels", "q_sources", "q_convert", "q_tiles", "q_geometry"]
 
 
 def _load() -> None:
