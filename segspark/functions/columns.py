@@ -24,8 +24,12 @@ def log_sum_exp(logits: Column, n: int | None = None) -> Column:
 
 
 def softmax(logits: Column, n: int | None = None) -> Column:
-    lse = log_sum_exp(logits, n)
-    return F.transform(logits, lambda v: F.exp(v - lse))
+    if n is not None and n <= UNROLL_LIMIT:
+        lse = log_sum_exp(logits, n)
+        return F.array(*[F.exp(F.get(logits, F.lit(i)) - lse) for i in range(n)])
+    # The inner struct binds the sum once per row instead of once per element.
+    bound = F.transform(F.array(logits), lambda l: F.struct(l.alias("l"), log_sum_exp(l).alias("s")))
+    return F.get(F.transform(bound, lambda b: F.transform(b["l"], lambda v: F.exp(v - b["s"]))), F.lit(0))
 
 
 def softmax_at(logits: Column, index: Column, n: int | None = None) -> Column:
@@ -78,3 +82,9 @@ def zfill(text: Column, width: int) -> Column:
     """Pad with zeros on the left; longer text stays whole."""
     text = text.cast("string")
     return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
+def snap(x: Column, digits: int) -> Column:
+    """Half-up rounding in plain arithmetic (cheap in generated code)."""
+    unit = float(10**digits)
+    return F.floor(x * unit + 0.5) / unit

@@ -8,12 +8,16 @@ needs; only one row per (group, partition) is ever brought together.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.runtime import materialize
 
 PART = "__part"
+# A set of rows checked to be at most this many may be ranked by one task.
+ONE_TASK_ROWS = 1_000_000
 
 
 def _ranged(df: DataFrame, group: list[str], order: list[Column], partitions: int | None) -> DataFrame:
@@ -71,31 +75,47 @@ def carry_forward(df: DataFrame, order: list[str], column: str, group: list[str]
             .select(*[F.coalesce("__seen", "__carry").alias(c) if c == column else F.col(c) for c in df.columns]))
 
 
-def kth_value(df: DataFrame, value: str, k: int, buckets: int = 4096) -> float | None:
-    """The value at 0-based position min(k, n-1); None for empty input.
+class OrderStatistic(NamedTuple):
+    value: float
+    below: int
+
+
+def kth_smallest(df: DataFrame, value: str, k: int, stored: bool = False, buckets: int = 4096) -> OrderStatistic | None:
+    """The value at 0-based position min(k, n-1) and how many values are smaller; None for no values.
 
-    Pass one finds the range, pass two a histogram with map-side counts, and
-    only the bucket that holds the k-th value is ranked. The driver sees one
-    row of each pass.
+    The value column alone is written once, so a costly score is computed in
+    one scan (`stored` says that `df` already is such a table). Then come the
+    range, a histogram with map-side counts, and a ranking of the one bucket
+    that holds the k-th value. The driver sees one row of each pass.
     """
-    col = F.col(value)
-    rows = df.filter(col.isNotNull()).select(col.alias("v"))
+    slim = df.select(F.col(value).alias("v"))
+    rows = (slim if stored else materialize(slim)).filter("v is not null")
     lo, hi, n = rows.agg(F.min("v"), F.max("v"), F.count(F.lit(1))).first()
     if not n:
         return None
     goal = min(k, n - 1)
     if lo == hi:
-        return lo
+        return OrderStatistic(lo, 0)
     cut = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
     numbered = rows.withColumn("b", cut)
     counts = numbered.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
     # A window over at most `buckets` rows.
     ladder = counts.withColumn("upto", F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("b")))
-    bucket, before = (ladder.filter(F.col("upto") > goal)
-                      .agg(F.min("b"), F.min(F.col("upto") - F.col("m"))).first())
+    bucket, before, in_bucket = (ladder.filter(F.col("upto") > goal)
+                                 .agg(F.min("b"), F.min(F.col("upto") - F.col("m")), F.min_by("m", "b")).first())
     near = numbered.filter(F.col("b") == bucket).groupBy("v").agg(F.count(F.lit(1)).alias("m"))
-    ranked = running_totals(near, [F.col("v")], {"upto": F.col("m")})
-    return ranked.filter(F.col("upto") + before > goal).agg(F.min("v")).first()[0]
+    if in_bucket <= ONE_TASK_ROWS:
+        ranked = near.withColumn("upto", F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("v")))
+    else:
+        ranked = running_totals(near, [F.col("v")], {"upto": F.col("m")}).join(near, "v")
+    top, smaller = (ranked.filter(F.col("upto") + before > goal)
+                    .agg(F.min("v"), F.min(F.col("upto") - F.col("m"))).first())
+    return OrderStatistic(top, before + smaller)
+
+
+def kth_value(df: DataFrame, value: str, k: int) -> float | None:
+    found = kth_smallest(df, value, k)
+    return None if found is None else found.value
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, salts: int = 32,

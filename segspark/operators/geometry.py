@@ -283,7 +283,7 @@ def _scatter_into(px: DataFrame, placed: DataFrame, fill: dict) -> DataFrame:
     uses = placed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = px.select("sample_id", "y", "x", *fill).withColumn(
         "__salt", F.pmod(F.xxhash64("y", "x"), F.lit(salts)).cast("int"))
-    moved = spread.join(uses, ["sample_id", "__salt"])
+    moved = spread.join(uses.hint("merge"), ["sample_id", "__salt"])
     out = resize_nearest(moved, F.col("h"), F.col("w"), F.col("nh"), F.col("nw"))
     out = out.withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})
     inside = (F.col("x") >= F.col("px1")) & (F.col("x") < F.col("px2")) & (F.col("y") >= F.col("py1")) & (F.col("y") < F.col("py2"))

@@ -2,7 +2,8 @@
 
 import importlib
 
-MODULES = ["q_metrics", "q_labels", "q_sources", "q_convert", "q_tiles", "q_geometry"]
+MODULES = ["q_metrics", "q_labels", "q_sources", "q_convert", "q_tiles", "q_geometry", "q_photo", "q_volume",
+           "q_predict", "q_losses", "q_sampling"]
 
 
 def _load() -> None:

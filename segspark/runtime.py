@@ -51,11 +51,6 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan without row generators."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def broadcast_limit(spark: SparkSession) -> int:
     text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).lower()
     units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
@@ -65,9 +60,15 @@ def broadcast_limit(spark: SparkSession) -> int:
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Broadcast a dimension only when its planned size is under the session limit."""
-    if 0 <= planned_bytes(df) <= broadcast_limit(df.sparkSession):
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if _fits_broadcast(df) else df
+
+
+def _fits_broadcast(df: DataFrame) -> bool:
+    """Planned size under the limit; a plan with a row generator has no usable estimate."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if "Generate " in plan.toString() or "EvalPython" in plan.toString():
+        return False
+    return 0 <= int(str(plan.stats().sizeInBytes())) <= broadcast_limit(df.sparkSession)
 
 
 def join_side(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
@@ -79,16 +80,13 @@ def join_side(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner"
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
-    if _has_no_generator(side) and 0 <= planned_bytes(side) <= broadcast_limit(big.sparkSession):
+    if _fits_broadcast(side):
         return big.join(F.broadcast(side), on, how)
     rest = [c for c in big.columns if c not in on] or list(on)
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
     copies = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "__salt"], how).drop("__salt")
-
-
-def _has_no_generator(df: DataFrame) -> bool:
-    return "Generate " not in df._jdf.queryExecution().optimizedPlan().toString()
+    # The salt copies are a row generator, so Spark's own size guess would be too low for a broadcast.
+    return salted.join(copies.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def join_pixels(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
