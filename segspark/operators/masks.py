@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,44 +131,80 @@ def assemble_records(rles: DataFrame, boxes: DataFrame, scores: DataFrame, keys:
 
 # --- suppression ------------------------------------------------------------
 
-def box_nms(boxes: DataFrame, iou_threshold: float, cell: float = 64.0, rank: list[Column] | None = None) -> DataFrame:
+def box_nms(boxes: DataFrame, iou_threshold: float, cell: float = 64.0, rank: list[Column] | None = None,
+            small_image: int = 4096) -> DataFrame:
     """Greedy suppression per image_id; returns the kept rows.
 
-    Rank is score descending, then box_id (`rank` columns override it, best
-    first, as an ascending struct). Each round keeps the boxes that lead every
-    grid cell they touch, then drops what they overlap: a cell has one leader,
-    so a round makes linear work and no pairs within a cell. Boxes with equal
-    corners are collapsed first. Rounds repeat until no box is undecided.
+    Rank is score descending, then box_id (`rank` overrides it: numeric
+    columns, smallest first, a total order). Images counted to hold at most
+    `small_image` boxes are done image by image; larger ones in rounds over a
+    grid, with the same result.
     """
     order = rank or [-F.col("score"), F.col("box_id")]
-    ranked = boxes.withColumn("__rank", F.struct(*[c.alias(f"r{i}") for i, c in enumerate(order)]))
-    slim = (ranked.groupBy("image_id", "x1", "y1", "x2", "y2")
-            .agg(F.min("__rank").alias("__rank"), F.min_by("box_id", "__rank").alias("box_id")))
-    open_ = materialize(slim)
-    kept: list[DataFrame] = []
+    names = [f"r{i}" for i in range(len(order))]
+    slim = boxes.select("image_id", "box_id", "x1", "y1", "x2", "y2", *[c.alias(n) for c, n in zip(order, names)])
+    counts = boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    large = counts.filter(F.col("n") > small_image).select("image_id")
+    some_large = not large.isEmpty()
+    small = join_side(slim, counts.filter(F.col("n") <= small_image).select("image_id"), ["image_id"], "left_semi") if some_large else slim
+    id_type = lambda c: boxes.schema[c].dataType.simpleString()
+    # An explicit partition count keeps the Python work spread out.
+    n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = small.repartition(n, "image_id").groupBy("image_id").applyInPandas(
+        _suppressor(iou_threshold, names), f"image_id {id_type('image_id')}, box_id {id_type('box_id')}")
+    if some_large:
+        rest = join_side(slim, large, ["image_id"], "left_semi")
+        kept = kept.unionByName(_nms_rounds(rest.withColumn("__rank", F.struct(*names)).drop(*names), iou_threshold, cell))
+    return boxes.join(kept, ["image_id", "box_id"], "left_semi")
+
+
+def _suppressor(threshold: float, names: list[str]):
+    """Greedy suppression of one image's boxes, best rank first."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(names, kind="stable")
+        x1, y1, x2, y2 = (pdf[c].to_numpy(dtype=float) for c in ("x1", "y1", "x2", "y2"))
+        area = (x2 - x1) * (y2 - y1)
+        alive = np.ones(len(pdf), dtype=bool)
+        for i in range(len(pdf)):
+            if alive[i]:
+                w = np.minimum(x2[i], x2[i + 1:]) - np.maximum(x1[i], x1[i + 1:])
+                h = np.minimum(y2[i], y2[i + 1:]) - np.maximum(y1[i], y1[i + 1:])
+                inter = np.clip(w, 0, None) * np.clip(h, 0, None)
+                union = area[i] + area[i + 1:] - inter
+                alive[i + 1:] &= ~(inter > threshold * union) | (union <= 0)
+        return pdf.loc[alive, ["image_id", "box_id"]]
+    return run
+
+
+def _nms_rounds(ranked: DataFrame, iou_threshold: float, cell: float) -> DataFrame:
+    """(image_id, box_id) kept, in rounds over a grid.
+
+    Each round keeps the boxes that lead every grid cell they touch, then
+    drops what they overlap: a cell has one leader, so a round makes linear
+    work and no pairs within a cell. Boxes with equal corners are collapsed
+    first. Rounds repeat until no box is undecided.
+    """
+    open_ = materialize(ranked.groupBy("image_id", "x1", "y1", "x2", "y2")
+                        .agg(F.min("__rank").alias("__rank"), F.min_by("box_id", "__rank").alias("box_id")))
+    kept = None
+    box = ["image_id", "box_id"]
+    spot = ["image_id", "cx", "cy"]
     axis = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+    on_grid = lambda df: df.withColumn("cx", F.explode(axis("x1", "x2"))).withColumn("cy", F.explode(axis("y1", "y2")))
     while not open_.isEmpty():
-        cells = open_.withColumn("cx", F.explode(axis("x1", "x2"))).withColumn("cy", F.explode(axis("y1", "y2")))
-        lead = cells.groupBy("image_id", "cx", "cy").agg(
-            F.min("__rank").alias("lead_rank"), F.min_by(F.struct("box_id", "x1", "y1", "x2", "y2"), "__rank").alias("lead"))
+        cells = on_grid(open_)
+        lead = cells.groupBy(*spot).agg(F.min("__rank").alias("lead_rank"))
         # Leader of every touched cell: no better open box can overlap it.
-        seats = join_side(cells, lead.select("image_id", "cx", "cy", "lead_rank"), ["image_id", "cx", "cy"])
-        state = seats.groupBy("image_id", "box_id").agg(F.min(F.col("lead_rank") == F.col("__rank")).alias("won"))
-        winners = materialize(open_.join(state.filter("won"), ["image_id", "box_id"], "left_semi"))
-        kept.append(winners.select("image_id", "box_id"))
-        spot = winners.withColumn("cx", F.explode(axis("x1", "x2"))).withColumn("cy", F.explode(axis("y1", "y2")))
-        spot = spot.select("image_id", "cx", "cy", F.struct("box_id", "x1", "y1", "x2", "y2").alias("lead"))
-        rest = open_.join(winners.select("image_id", "box_id"), ["image_id", "box_id"], "left_anti")
-        rest_cells = rest.withColumn("cx", F.explode(axis("x1", "x2"))).withColumn("cy", F.explode(axis("y1", "y2")))
-        hit = (join_side(rest_cells, spot, ["image_id", "cx", "cy"])
-               .filter(_iou(F.col("lead")) > iou_threshold).select("image_id", "box_id").distinct())
-        open_ = materialize(rest.join(hit, ["image_id", "box_id"], "left_anti"))
-    if not kept:
-        return boxes
-    ids = kept[0]
-    for k in kept[1:]:
-        ids = ids.unionByName(k)
-    return boxes.join(ids, ["image_id", "box_id"], "left_semi")
+        seats = join_side(cells, lead, spot)
+        state = seats.groupBy(*box).agg(F.min(F.col("lead_rank") == F.col("__rank")).alias("won"))
+        winners = materialize(open_.join(state.filter("won").hint("merge"), box, "left_semi"))
+        ids = winners.select(*box)
+        kept = ids if kept is None else kept.unionByName(ids)
+        claims = on_grid(winners).select(*spot, F.struct("x1", "y1", "x2", "y2").alias("lead"))
+        rest = open_.join(ids.hint("merge"), box, "left_anti")
+        hit = join_side(on_grid(rest), claims, spot).filter(_iou(F.col("lead")) > iou_threshold).select(*box).distinct()
+        open_ = materialize(rest.join(hit.hint("merge"), box, "left_anti"))
+    return ranked.select(*box).limit(0) if kept is None else kept
 
 
 def _iou(other: Column) -> Column:
@@ -210,22 +248,26 @@ def connected_regions(foreground: DataFrame, keys: list[str], strip: int = 1024)
 
 
 def _star_contract(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges (u > v) become stars (u, root) by large-star / small-star rounds."""
+    """Edges (u > v) become stars (u, root) by large-star / small-star rounds.
+
+    The joins pair an edge table with one row per node; a hot root is split by
+    the adaptive skew join of the sort-merge strategy.
+    """
+    pair = lambda a, b: [*keys, F.col(a).alias("u"), F.col(b).alias("v")]
     while True:
-        both = edges.select(*keys, "u", "v").unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.select(*pair("u", "v")).unionByName(edges.select(*pair("v", "u")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (join_side(both.filter("v > u"), low, [*keys, "u"])
-                 .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.filter("v > u").join(low.hint("merge"), [*keys, "u"]).select(*pair("v", "m")).distinct()
         # Small star: point each node and its smaller neighbours to the smallest of them.
         least = large.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        rest = join_side(large, least, [*keys, "u"]).filter("v > m").select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
-        small = least.select(*keys, "u", F.col("m").alias("v")).unionByName(rest).distinct()
-        new = materialize(small)
-        moved = new.exceptAll(edges.select(*new.columns)).limit(1).count() + \
-            edges.select(*new.columns).exceptAll(new).limit(1).count()
-        if moved == 0:
-            return new
-        edges = new
+        rest = large.join(least.hint("merge"), [*keys, "u"]).filter("v > m").select(*pair("v", "m"))
+        edges = materialize(least.select(*pair("u", "m")).unionByName(rest).distinct())
+        # Done when every node points to one root and no root points on.
+        roles = (edges.select(*keys, F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("inn"))
+                 .unionByName(edges.select(*keys, F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("inn")))
+                 .groupBy(*keys, "node").agg(F.sum("out").alias("out"), F.max("inn").alias("inn")))
+        if roles.filter("out > 1 or (out = 1 and inn = 1)").isEmpty():
+            return edges
 
 
 def remove_small_regions(mask: DataFrame, keys: list[str], min_area: int, mode: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import importlib
 
 MODULES = ["q_metrics", "q_labels", "q_sources", "q_convert", "q_tiles", "q_geometry", "q_photo", "q_volume",
-           "q_predict", "q_losses", "q_sampling"]
+           "q_predict", "q_losses", "q_sampling", "q_masks", "q_text", "q_logs", "q_streaming",
+           "q_udfs"]
 
 
 def _load() -> None:
