@@ -71,6 +71,11 @@ def unit_draw(seed: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
 
 
+def hashed(seed: int):
+    """Draw function (salt, *keys) -> [0, 1) that random operators use unless the caller brings one."""
+    return lambda salt, *keys: unit_draw(seed, F.lit(salt), *keys)
+
+
 def lookup(value: Column, mapping: dict[int, int], default: Column | None = None) -> Column:
     """Literal map lookup; ids not listed pass through, or take `default`."""
     pairs = [F.lit(i) for kv in mapping.items() for i in kv]

@@ -185,9 +185,9 @@ def scale_points(df: DataFrame, columns_x: list[str], columns_y: list[str], h: C
     return df.withColumns(out)
 
 
-def random_ratio(seed: int, lo: float = 0.5, hi: float = 2.0) -> Column:
+def random_ratio(seed: int, lo: float = 0.5, hi: float = 2.0, draw=None) -> Column:
     """Reproducible resize ratio per sample."""
-    return F.lit(lo) + C.unit_draw(seed, F.col("sample_id")) * (hi - lo)
+    return F.lit(lo) + (draw or C.hashed(seed))(0, F.col("sample_id")) * (hi - lo)
 
 
 # --- pad and un-pad ---------------------------------------------------------
@@ -290,12 +290,12 @@ def _scatter_into(px: DataFrame, placed: DataFrame, fill: dict) -> DataFrame:
     return out.filter(inside).select("mosaic_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *fill)
 
 
-def mix_partners(samples: DataFrame, partners: int = 3, seed: int = 0) -> DataFrame:
+def mix_partners(samples: DataFrame, partners: int = 3, seed: int = 0, draw=None) -> DataFrame:
     """(sample_id, k, partner_id): reproducible partners drawn by index over the whole set."""
     indexed = row_numbers(samples.select("sample_id"), [F.col("sample_id")], name="idx")
     n = samples.count()
     draws = indexed.select("sample_id", F.explode(F.sequence(F.lit(1), F.lit(partners))).alias("k")).withColumn(
-        "idx", (F.floor(C.unit_draw(seed, F.col("sample_id"), F.col("k")) * n) + 1).cast("bigint"))
+        "idx", (F.floor((draw or C.hashed(seed))(0, F.col("sample_id"), F.col("k")) * n) + 1).cast("bigint"))
     return draws.join(indexed.select("idx", F.col("sample_id").alias("partner_id")), "idx").select("sample_id", "k", "partner_id")
 
 

@@ -58,10 +58,10 @@ def resolve_palette(palette: DataFrame, label_map: DataFrame | None = None) -> D
             .select(F.col("new_id").alias("class_id"), "r", "g", "b"))
 
 
-def generated_palette(classes: DataFrame, seed: int = 42) -> DataFrame:
+def generated_palette(classes: DataFrame, seed: int = 42, draw=None) -> DataFrame:
     """Reproducible random colours for classes that come without a palette."""
-    byte = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("class_id")), F.lit(256)).cast("int")
-    return classes.select("class_id", byte("r").alias("r"), byte("g").alias("g"), byte("b").alias("b"))
+    byte = lambda salt: F.floor((draw or C.hashed(seed))(salt, F.col("class_id")) * 256).cast("int")
+    return classes.select("class_id", byte(1).alias("r"), byte(2).alias("g"), byte(3).alias("b"))
 
 
 def classes_of(aliases: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:

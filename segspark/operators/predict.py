@@ -89,19 +89,22 @@ def sample_points(points: DataFrame, df: DataFrame, height: int, width: int, cla
 
 
 def importance_points(df: DataFrame, height: int, width: int, classes: int, num: int, oversample: float = 3.0,
-                      importance: float = 0.75, seed: int = 0) -> DataFrame:
+                      importance: float = 0.75, seed: int = 0, draw=None) -> DataFrame:
     """(sample_id, px, py, kind): the most uncertain of `num * oversample` drawn points, filled up with random ones."""
     n = int(num * oversample)
     keep = int(importance * num)
-    draw = lambda axis, kind: C.unit_draw(seed, F.lit(kind), F.lit(axis), F.col("sample_id"), F.col("pt"))
+    draw = draw or C.hashed(seed)
+    at = lambda salt: draw(salt, F.col("sample_id"), F.col("pt"))
     ids = df.select("sample_id").distinct()
-    points = lambda count, kind: ids.withColumn("pt", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumns(
-        {"px": draw("x", kind), "py": draw("y", kind)})
-    scored = sample_points(points(n, "pool"), df, height, width, classes).withColumn("u", uncertainty(F.col("logits")))
+    points = lambda count, salt: ids.withColumn("pt", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumns(
+        {"px": at(salt), "py": at(salt + 1)})
+    scored = sample_points(points(n, 1), df, height, width, classes)
+    # Sums of four shares depend on their order in the last bits; snapping keeps the choice reproducible.
+    scored = scored.withColumn("u", C.snap(uncertainty(F.col("logits")), 9))
     best = top_k_per_group(scored.select("sample_id", "pt", "px", "py", "u"), ["sample_id"], [F.col("u").desc(), F.col("pt")], keep)
     out = best.select("sample_id", "px", "py", F.lit("uncertain").alias("kind"))
     if num > keep:
-        out = out.unionByName(points(num - keep, "rest").select("sample_id", "px", "py", F.lit("random").alias("kind")))
+        out = out.unionByName(points(num - keep, 3).select("sample_id", "px", "py", F.lit("random").alias("kind")))
     return out
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segspark.functions import columns as C
 from segspark.functions.prefix import kth_smallest, kth_value, row_numbers
 from segspark.runtime import materialize
 
@@ -41,9 +42,9 @@ def hard_pixels_by_loss(scored: DataFrame, order: list[str], min_kept: int, batc
     return scored.withColumn("weight", F.when(kept, 1.0).otherwise(0.0))
 
 
-def fraction_subset(samples: DataFrame, fraction: float, seed: int = 0, key: str = "name") -> DataFrame:
+def fraction_subset(samples: DataFrame, fraction: float, seed: int = 0, key: str = "name", draw=None) -> DataFrame:
     """floor(n * fraction) reproducible rows, indexed again from 0 in key order."""
-    drawn = samples.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key)))
+    drawn = samples.withColumn("__h", (draw or C.hashed(seed))(0, F.col(key)))
     keep = int(samples.count() * fraction)
     ranked = row_numbers(drawn, [F.col("__h"), F.col(key)], name="__rank").filter(F.col("__rank") <= keep).drop("__rank", "__h")
     return with_index(ranked, [F.col(key)])

@@ -46,9 +46,9 @@ def every_third_to_val(tiles: DataFrame, seq: str = "seq") -> DataFrame:
     return tiles.withColumn("split", F.when(F.pmod(F.col(seq), F.lit(3)) == 0, "val").otherwise("train"))
 
 
-def random_split(samples: DataFrame, test_share: float = 0.2, seed: int = 0, key: str = "name") -> DataFrame:
-    """Exact-size random split: ceil(n * share) rows with the smallest hash go to val."""
-    drawn = samples.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key)))
+def random_split(samples: DataFrame, test_share: float = 0.2, seed: int = 0, key: str = "name", draw=None) -> DataFrame:
+    """Exact-size random split: ceil(n * share) rows with the smallest draw go to val."""
+    drawn = samples.withColumn("__h", (draw or C.hashed(seed))(0, F.col(key)))
     ranked = row_numbers(drawn, [F.col("__h"), F.col(key)], name="__rank")
     n = samples.count()
     cut = -int(-n * test_share // 1)

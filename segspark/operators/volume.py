@@ -44,12 +44,14 @@ def crop(vox: DataFrame, boxes: DataFrame) -> DataFrame:
     return out.select(*cols)
 
 
-def gaussian_noise(vox: DataFrame, mean: float = 0.0, std: float = 0.1, prob: float = 0.1, seed: int = 0) -> DataFrame:
+def gaussian_noise(vox: DataFrame, mean: float = 0.0, std: float = 0.1, prob: float = 0.1, seed: int = 0,
+                   draw=None) -> DataFrame:
     """Reproducible noise (two hashed uniforms per voxel) for a hashed share of the samples."""
     keys = [F.col(c) for c in ("sample_id", "c", "z", "y", "x")]
-    u = F.greatest(C.unit_draw(seed, F.lit("u"), *keys), F.lit(1e-12))
-    noise = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * C.unit_draw(seed, F.lit("v"), *keys)) * std + mean
-    chosen = C.unit_draw(seed, F.lit("s"), F.col("sample_id")) < prob
+    draw = draw or C.hashed(seed)
+    u = F.greatest(draw(1, *keys), F.lit(1e-12))
+    noise = F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * draw(2, *keys)) * std + mean
+    chosen = draw(3, F.col("sample_id")) < prob
     return vox.withColumn("v", F.when(chosen, F.col("v") + noise).otherwise(F.col("v")))
 
 

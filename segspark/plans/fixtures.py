@@ -162,3 +162,19 @@ LOG_LINES = """lg AS (
     CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 0 ELSE event_id // 5 END AS step,
     event_type AS mode, value, json_extract_string(props, '$.k')::DOUBLE AS k
   FROM events)"""
+
+
+# Reproducible draws that both engines can compute.
+_STEPS = (31, 1009, 65537, 257, 131)
+
+
+def draw(salt, *keys):
+    total = F.lit(salt * 7919 + 17).cast("bigint")
+    for k, m in zip(keys, _STEPS):
+        total = total + k.cast("bigint") * m
+    return (F.pmod(F.pmod(total, F.lit(2147483647)) * 48271, F.lit(2147483647))).cast("double") / 2147483647.0
+
+
+def draw_sql(salt, *keys):
+    total = " + ".join([str(salt * 7919 + 17), *[f"({k})::BIGINT*{m}" for k, m in zip(keys, _STEPS)]])
+    return f"((({total}) % 2147483647)*48271 % 2147483647)::DOUBLE/2147483647.0::DOUBLE"

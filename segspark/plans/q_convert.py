@@ -235,9 +235,10 @@ def every_third(spark, d):
     return _count(P.every_third_to_val(tiles.tile_grid(_meta(spark, d), 128, 64, unique=False)), "split")
 
 
-@query("c22_random_split")
+@query("c22_random_split", f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {X.draw_sql(0, 'doc_id')}, doc_id) AS k, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN k <= ceil(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM r""")
 def random_split(spark, d):
-    return P.random_split(_names(table(spark, d, "documents")))
+    return P.random_split(table(spark, d, "documents").select("doc_id"), key="doc_id", draw=X.draw)
 
 
 @query("c23_folds", """SELECT 'fold1_' || format('{:06d}', doc_id) AS name FROM documents UNION ALL

@@ -147,9 +147,12 @@ def rescale(spark, d):
     return digest(G.resize_nearest(X.pixels(spark, d).drop("pred"), F.lit(S), F.lit(S), nh, nw))
 
 
-@query("e11_random_resize")
+_SIDE = f"floor(16*(0.5 + {X.draw_sql(0, 'p_partkey')}*1.5) + 0.5)::INT"
+
+
+@query("e11_random_resize", _resize_sql(_SIDE, _SIDE))
 def random_resize(spark, d):
-    nh, nw = G.factor_shape(F.lit(S), F.lit(S), G.random_ratio(7))
+    nh, nw = G.factor_shape(F.lit(S), F.lit(S), G.random_ratio(7, draw=X.draw))
     return digest(G.resize_nearest(X.pixels(spark, d).drop("pred"), F.lit(S), F.lit(S), nh, nw))
 
 
@@ -188,9 +191,11 @@ def mosaic(spark, d):
     return digest(G.mosaic(X.pixels(spark, d), _part(spark, d), params, (16, 16), {"gt": 255}), key="mosaic_id")
 
 
-@query("e14_mix_partners")
+@query("e14_mix_partners", f"""WITH n AS (SELECT p_partkey AS sample_id, row_number() OVER (ORDER BY p_partkey) AS idx, count(*) OVER () AS n FROM part),
+q AS (SELECT sample_id, k::INT AS k, (floor({X.draw_sql(0, 'sample_id', 'k')}*n) + 1)::BIGINT AS idx FROM n, range(1, 4) t(k))
+SELECT q.sample_id, k, n.sample_id AS partner_id FROM q JOIN n USING (idx)""")
 def mix_partners(spark, d):
-    return G.mix_partners(_part(spark, d).select("sample_id"), 3, seed=5)
+    return G.mix_partners(_part(spark, d).select("sample_id"), 3, draw=X.draw)
 
 
 @query("e15_cut_out", f"""WITH {X.PIXELS}, hl AS (SELECT p_partkey AS sample_id, (p_size + k*5) % 16 AS x1, (p_size*3 + k*7) % 16 AS y1 FROM part, range(2) t(k)),

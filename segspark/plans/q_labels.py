@@ -52,9 +52,10 @@ def palette(spark, d):
     return L.resolve_palette(colours, label_map(spark, d))
 
 
-@query("b04_generated_palette")
+@query("b04_generated_palette", f"WITH {BRANDS} SELECT class_id, " + ", ".join(
+    f"floor({X.draw_sql(i, 'class_id')}*256)::INT AS {c}" for i, c in ((1, "r"), (2, "g"), (3, "b"))) + " FROM old")
 def generated(spark, d):
-    return L.generated_palette(_brands(spark, d))
+    return L.generated_palette(_brands(spark, d), draw=X.draw)
 
 
 @query("b05_classes_of", """WITH c AS (SELECT DISTINCT p_brand AS dataset, p_type AS class_name FROM part),

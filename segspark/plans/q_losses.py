@@ -181,7 +181,12 @@ def hausdorff(spark, d):
     return one(J.hausdorff(X.pixel_logits(spark, d), X.CLASSES), 4)
 
 
-@query("j15_hausdorff_per_class")
+@query("j15_hausdorff_per_class", f"""WITH {PROB}, am AS (SELECT {PX}, any_value(gt) AS gt, min(c) FILTER (WHERE v = mx) AS a, list(p ORDER BY c) AS ps FROM sm GROUP BY {PX}),
+hg AS (SELECT a.sample_id, a.y, a.x, min((a.y-b.y)*(a.y-b.y) + (a.x-b.x)*(a.x-b.x)) AS d FROM am a JOIN am b ON a.sample_id = b.sample_id AND b.gt <> a.gt AND a.gt BETWEEN 1 AND 5 GROUP BY 1, 2, 3),
+hs AS (SELECT a.sample_id, a.y, a.x, min((a.y-b.y)*(a.y-b.y) + (a.x-b.x)*(a.x-b.x)) AS d FROM am a JOIN am b ON a.sample_id = b.sample_id AND b.a <> a.a AND a.a BETWEEN 1 AND 5 GROUP BY 1, 2, 3),
+al AS (SELECT am.*, k::INT AS k, CASE WHEN gt = k THEN coalesce(hg.d, 0) ELSE 0 END + CASE WHEN a = k THEN coalesce(hs.d, 0) ELSE 0 END AS dtm
+  FROM am LEFT JOIN hg USING (sample_id, y, x) LEFT JOIN hs USING (sample_id, y, x), range(1, 6) t(k))
+SELECT round(sum(l)/6, 4) AS loss FROM (SELECT avg((ps[k+1] - (gt = k)::INT)*(ps[k+1] - (gt = k)::INT)*dtm) AS l FROM al GROUP BY k) z""")
 def hausdorff_per_class(spark, d):
     return one(J.hausdorff(X.pixel_logits(spark, d), X.CLASSES, mode="class"), 4)
 

@@ -91,29 +91,54 @@ def quality(spark, d):
     return M.quality_filter(recs, 0.35, 0.925).select("box_id", F.round("pred_iou", 6).alias("pred_iou"), F.round("stability", 6).alias("stability"))
 
 
-@query("l10_nms")
+def _nms_sql(order, thr):
+    """Greedy suppression as a recursion over ranks, carrying the kept boxes of an image."""
+    inter = ("greatest(least(k.x2, b.x2) - greatest(k.x1, b.x1), 0) * greatest(least(k.y2, b.y2) - greatest(k.y1, b.y1), 0)")
+    union = f"((k.x2 - k.x1)*(k.y2 - k.y1) + (b.x2 - b.x1)*(b.y2 - b.y1) - {inter})"
+    return f"""WITH RECURSIVE {X.BOXES}, rk AS (SELECT image_id, {{'id': box_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b,
+  row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS i FROM bx),
+r AS (SELECT image_id, i, [b] AS kept FROM rk WHERE i = 1 UNION ALL
+  SELECT rk.image_id, rk.i, CASE WHEN len(list_filter(kept, lambda k: {inter} / {union} > {thr})) > 0 THEN kept ELSE list_append(kept, b) END
+  FROM r JOIN rk ON rk.image_id = r.image_id AND rk.i = r.i + 1),
+f AS (SELECT image_id, unnest(arg_max(kept, i)).id AS box_id FROM r GROUP BY image_id) SELECT box_id FROM f"""
+
+
+@query("l10_nms", _nms_sql("score DESC, box_id", 0.5))
 def nms(spark, d):
-    return M.box_nms(X.boxes(spark, d), 0.5)
+    return M.box_nms(X.boxes(spark, d), 0.5).select("box_id")
 
 
-@query("l10_nms_rounds")
+@query("l10_nms_rounds", _nms_sql("score DESC, box_id", 0.5))
 def nms_rounds(spark, d):
-    return M.box_nms(X.boxes(spark, d), 0.5, cell=32.0, small_image=48)
+    return M.box_nms(X.boxes(spark, d), 0.5, cell=32.0, small_image=48).select("box_id")
 
 
-@query("l10_nms_small_crops_first")
+@query("l10_nms_small_crops_first", _nms_sql("box_id % 3, box_id", 0.3))
 def nms_crops(spark, d):
-    bx = X.boxes(spark, d)
-    crop = F.col("box_id") % 3
-    return M.box_nms(bx.withColumn("crop_area", crop), 0.3, rank=[crop, F.col("box_id")])
+    return M.box_nms(X.boxes(spark, d), 0.3, rank=[F.col("box_id") % 3, F.col("box_id")]).select("box_id")
 
 
-@query("l11_remove_islands")
+def _regions_sql(value, keep):
+    """Closure over horizontal runs that touch (8 neighbours), then sizes."""
+    return f"""WITH RECURSIVE {MASK}, st AS (SELECT *, (lag(x) OVER w IS DISTINCT FROM x - 1)::INT AS s FROM mk WHERE v = {value} WINDOW w AS (PARTITION BY sample_id, y ORDER BY x)),
+ru AS (SELECT sample_id, y, g, min(x) AS a, max(x) AS b, count(*) AS n, row_number() OVER (PARTITION BY sample_id ORDER BY y, g) AS id FROM
+  (SELECT *, sum(s) OVER (PARTITION BY sample_id, y ORDER BY x) AS g FROM st) z GROUP BY sample_id, y, g),
+ed AS (SELECT p.sample_id, p.id AS u, q.id AS v FROM ru p JOIN ru q ON p.sample_id = q.sample_id AND abs(p.y - q.y) = 1 AND p.a <= q.b + 1 AND q.a <= p.b + 1),
+cl AS (SELECT sample_id, id AS u, id AS v FROM ru UNION SELECT cl.sample_id, cl.u, ed.v FROM cl JOIN ed ON ed.sample_id = cl.sample_id AND ed.u = cl.v),
+rt AS (SELECT sample_id, u AS id, min(v) AS root FROM cl GROUP BY 1, 2),
+sz AS (SELECT sample_id, root, sum(n) AS n FROM ru JOIN rt USING (sample_id, id) GROUP BY 1, 2)
+{keep}"""
+
+
+@query("l11_remove_islands", _regions_sql(1, """, kp AS (SELECT sample_id, sum(CASE WHEN n >= 12 THEN n END) AS big, max(n) AS most FROM sz GROUP BY 1)
+SELECT p_partkey AS sample_id, coalesce(big, most, 0)::BIGINT AS area FROM part LEFT JOIN kp ON kp.sample_id = p_partkey"""))
 def islands(spark, d):
     return M.remove_small_regions(_mask(spark, d), ["sample_id"], 12, "islands").groupBy("sample_id").agg(F.sum("v").alias("area"))
 
 
-@query("l11_fill_holes")
+@query("l11_fill_holes", _regions_sql(0, """, fl AS (SELECT sample_id, sum(n) AS filled FROM sz WHERE n < 12 GROUP BY 1),
+ar AS (SELECT sample_id, sum(v) AS area FROM mk GROUP BY 1)
+SELECT sample_id, (area + coalesce(filled, 0))::BIGINT AS area FROM ar LEFT JOIN fl USING (sample_id)"""))
 def holes(spark, d):
     return M.remove_small_regions(_mask(spark, d), ["sample_id"], 12, "holes").groupBy("sample_id").agg(F.sum("v").alias("area"))
 

@@ -107,9 +107,22 @@ def uncertain_topk(spark, d):
     return out.select("sample_id", "rank", "pos", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"))
 
 
-@query("h08_importance_points")
+def _points(n, salt):
+    return f"SELECT p_partkey AS sample_id, pt, {X.draw_sql(salt, 'p_partkey', 'pt')} AS px, {X.draw_sql(salt + 1, 'p_partkey', 'pt')} AS py FROM part, range(1, {n + 1}) t(pt)"
+
+
+# 48 points are drawn, the 12 most uncertain stay, and 4 more come at random.
+@query("h08_importance_points", f"""WITH {X.PIXEL_LOGITS}, pt AS ({_points(48, 1)}),
+nb AS (SELECT sample_id, pt, (floor(py*16 - 0.5) + a.o)::INT AS y, (floor(px*16 - 0.5) + b.o)::INT AS x,
+  (1 - abs(py*16 - 0.5 - floor(py*16 - 0.5) - a.o)) * (1 - abs(px*16 - 0.5 - floor(px*16 - 0.5) - b.o)) AS w FROM pt, range(2) a(o), range(2) b(o)),
+lv AS (SELECT nb.sample_id, nb.pt, lg.c, sum(w*v) AS v FROM nb JOIN lg USING (sample_id, y, x) GROUP BY 1, 2, 3),
+u AS (SELECT sample_id, pt, floor((s[2] - s[1])*1e9 + 0.5)/1e9 AS u FROM (SELECT sample_id, pt, list_sort(list(v), 'DESC') AS s FROM lv GROUP BY 1, 2) z),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY u DESC, pt) AS k FROM u)
+SELECT sample_id, round(px, 6) AS px, round(py, 6) AS py, 'uncertain' AS kind FROM r JOIN pt USING (sample_id, pt) WHERE k <= 12
+UNION ALL SELECT sample_id, round(px, 6), round(py, 6), 'random' FROM ({_points(4, 3)}) z""")
 def importance(spark, d):
-    return H.importance_points(X.pixel_logits(spark, d), X.SIDE, X.SIDE, X.CLASSES, 16, seed=11)
+    out = H.importance_points(X.pixel_logits(spark, d), X.SIDE, X.SIDE, X.CLASSES, 16, draw=X.draw)
+    return out.select("sample_id", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"), "kind")
 
 
 @query("h09_repair_depth", f"""WITH {X.DEPTHS}, b AS (SELECT *, CASE WHEN y % 11 = 0 THEN 'NaN'::DOUBLE WHEN y % 13 = 0 THEN 'Infinity'::DOUBLE WHEN y % 17 = 0 THEN '-Infinity'::DOUBLE ELSE pred_depth END AS v FROM dp)

@@ -27,9 +27,10 @@ def _docs(spark, d):
     return table(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), "source")
 
 
-@query("k03_fraction_subset")
+@query("k03_fraction_subset", f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {X.draw_sql(0, 'doc_id')}, doc_id) AS k, count(*) OVER () AS n FROM documents)
+SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM r WHERE k <= floor(n * 0.3)""")
 def fraction(spark, d):
-    return K.fraction_subset(_docs(spark, d), 0.3, seed=9)
+    return K.fraction_subset(table(spark, d, "documents").select("doc_id"), 0.3, key="doc_id", draw=X.draw)
 
 
 @query("k04_first_n", """SELECT lpad(doc_id::VARCHAR, 12, '0') AS name, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents ORDER BY doc_id LIMIT 250""")

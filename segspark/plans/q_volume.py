@@ -6,12 +6,11 @@ from segspark.operators import volume as G
 from segspark.plans import fixtures as X
 from segspark.plans.registry import query, table
 
-AT = F.col("z") * 400 + F.col("y") * 20 + F.col("x") + 1
-
 
 def vdigest(df, digits=3):
-    return df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("v") * AT), digits).alias("checksum"),
-                                       F.sum(F.col("gt") * AT).alias("labels"))
+    at = F.col("z") * 400 + F.col("y") * 20 + F.col("x") + 1
+    return df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("v") * at), digits).alias("checksum"),
+                                       F.sum(F.col("gt") * at).alias("labels"))
 
 
 def vdigest_sql(src, digits=3):
@@ -39,9 +38,13 @@ def crop_foreground(spark, d):
     return vdigest(G.crop(vox, G.foreground_boxes(_shapes(spark, d), picked, (4, 4, 4), draws)))
 
 
-@query("g02_noise")
+_KEYS = ("sample_id", "c", "z", "y", "x")
+
+
+@query("g02_noise", f"""WITH {X.VOLUME}, o AS (SELECT sample_id, z, y, x, gt, CASE WHEN {X.draw_sql(3, 'sample_id')} < 0.5 THEN
+  v + sqrt(-2*ln(greatest({X.draw_sql(1, *_KEYS)}, 1e-12)))*cos(2*pi()*{X.draw_sql(2, *_KEYS)})*0.5 ELSE v END AS v FROM vx) {vdigest_sql('o')}""")
 def noise(spark, d):
-    return vdigest(G.gaussian_noise(X.volume(spark, d), 0.0, 0.5, 0.5, seed=3))
+    return vdigest(G.gaussian_noise(X.volume(spark, d), 0.0, 0.5, 0.5, draw=X.draw))
 
 
 def _blur_axis(src, out, axis):
