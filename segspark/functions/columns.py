@@ -57,7 +57,9 @@ def ln(x: Column) -> Column:
             .when(x.isNotNull(), F.lit(float("nan"))))
 
 
-def dot(a: Column, b: Column) -> Column:
+def dot(a: Column, b: Column, n: int | None = None) -> Column:
+    if n is not None and n <= UNROLL_LIMIT:
+        return reduce(lambda p, q: p + q, [F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double") for i in range(n)])
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")),
                        F.lit(0.0), lambda acc, v: acc + v)
 

@@ -269,10 +269,14 @@ def mosaic(px: DataFrame, shapes: DataFrame, params: DataFrame, size: tuple[int,
     placed = placed.withColumns({
         "dx": F.when(left, F.col("px2") - nw).otherwise(F.col("px1")), "dy": F.when(top, F.col("py2") - nh).otherwise(F.col("py1"))})
     joined = _scatter_into(px, placed, fill)
-    boxes = placed.groupBy("mosaic_id").agg(F.collect_list(F.struct("px1", "py1", "px2", "py2")).alias("boxes"))
-    covered = lambda b: ((F.col("x") >= b["px1"]) & (F.col("x") < b["px2"]) & (F.col("y") >= b["py1"]) & (F.col("y") < b["py2"]))
+    corners = ("px1", "py1", "px2", "py2")
+    boxes = placed.groupBy("mosaic_id").agg(*[F.max(F.when(F.col("quadrant") == q, F.col(c))).alias(f"{q}_{c}")
+                                              for q in QUADRANTS for c in corners])
+    inside = lambda q: ((F.col("x") >= F.col(f"{q}_px1")) & (F.col("x") < F.col(f"{q}_px2"))
+                        & (F.col("y") >= F.col(f"{q}_py1")) & (F.col("y") < F.col(f"{q}_py2")))
+    covered = inside(QUADRANTS[0]) | inside(QUADRANTS[1]) | inside(QUADRANTS[2]) | inside(QUADRANTS[3])
     bare = (boxes.withColumn("y", _axis(F.lit(big_h))).withColumn("x", _axis(F.lit(big_w)))
-            .filter(~F.exists("boxes", covered)).select("mosaic_id", "y", "x", *[F.lit(v).alias(c) for c, v in fill.items()]))
+            .filter(~covered).select("mosaic_id", "y", "x", *[F.lit(v).alias(c) for c, v in fill.items()]))
     return joined.unionByName(bare)
 
 

@@ -19,8 +19,10 @@ PIXEL = ["sample_id", "y", "x"]
 
 def class_probabilities(df: DataFrame, classes: int | None = None) -> DataFrame:
     """Add probs: softmax over several logits, sigmoid of a single one."""
-    p = C.softmax(F.col("logits"), classes)
-    return df.withColumn("probs", F.when(F.size("logits") == 1, F.transform("logits", C.sigmoid)).otherwise(p))
+    single = F.transform("logits", C.sigmoid)
+    if classes is not None:
+        return df.withColumn("probs", single if classes == 1 else C.softmax(F.col("logits"), classes))
+    return df.withColumn("probs", F.when(F.size("logits") == 1, single).otherwise(C.softmax(F.col("logits"))))
 
 
 def predict_labels(df: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -125,9 +127,9 @@ def bin_centres(widths: DataFrame, lo: float, hi: float) -> DataFrame:
     return cells.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("bin", "centre")))["centre"].alias("centres"))
 
 
-def expected_depth(df: DataFrame, centres: DataFrame) -> DataFrame:
+def expected_depth(df: DataFrame, centres: DataFrame, bins: int | None = None) -> DataFrame:
     """Sum of probability times bin centre per pixel; df has probs."""
-    return join_side(df, centres, ["sample_id"]).withColumn("depth", C.dot(F.col("probs"), F.col("centres"))).drop("centres")
+    return join_side(df, centres, ["sample_id"]).withColumn("depth", C.dot(F.col("probs"), F.col("centres"), bins)).drop("centres")
 
 
 def parent_scores(probs: Column, ranges: list[tuple[int, int]], fine: int) -> list[Column]:

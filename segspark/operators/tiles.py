@@ -83,17 +83,16 @@ def cover_slide(px: DataFrame, height: Column, width: Column, crop: int, stride:
     ends at the border.
     """
     def starts(pos: str, size: Column) -> Column:
+        p = F.col(pos)
         last = F.greatest(size - crop, F.lit(0))
-        n = F.floor(F.greatest(size - crop + stride - 1, F.lit(0)) / stride)
-        lo = F.greatest(F.ceil((F.col(pos) - crop + 1) / F.lit(float(stride))), F.lit(0))
-        hi = F.least(F.floor(F.col(pos) / F.lit(float(stride))), n)
-        regular = F.when(lo <= hi, F.transform(F.sequence(lo, hi), lambda i: F.least(i * stride, last).cast("int"))).otherwise(
-            F.array().cast("array<int>"))
-        tail = F.when(F.col(pos) >= last, F.array(last.cast("int"))).otherwise(F.array().cast("array<int>"))
-        keep = F.filter(F.array_distinct(F.concat(regular, tail)), lambda s: (s <= F.col(pos)) & (F.col(pos) < s + crop))
-        return F.explode(keep)
-
-    return px.withColumn("wy", starts("y", height)).withColumn("wx", starts("x", width))
+        n = F.floor((last + stride - 1) / stride)
+        lo = F.when(p < crop, 0).otherwise(F.floor((p - crop + stride) / stride))
+        hi = F.least(F.floor(p / stride), n - 1)
+        regular = [F.when(lo + i <= hi, (lo + i) * stride) for i in range(-(-crop // stride))]
+        return F.explode(F.array(*regular, F.when(p >= last, last)).cast("array<int>"))
+
+    return (px.withColumn("wy", starts("y", height)).filter("wy is not null")
+            .withColumn("wx", starts("x", width)).filter("wx is not null"))
 
 
 def cut_regular(px: DataFrame, size: int) -> DataFrame:

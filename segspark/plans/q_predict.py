@@ -34,7 +34,7 @@ def binary(spark, d):
 def _views(spark, d):
     """The plain view and a mirrored one whose logits lean to the next class."""
     lg = X.pixel_logits(spark, d).select("sample_id", "y", "x", "logits")
-    lean = F.transform("logits", lambda v, i: v + (i * 7 + F.col("x") * 3 + F.col("sample_id")) % 5 * 0.37)
+    lean = F.array(*[F.get("logits", F.lit(i)) + (F.col("x") * 3 + F.col("sample_id") + i * 7) % 5 * 0.37 for i in range(X.CLASSES)])
     mirrored = G.flip(lg.withColumn("logits", lean), X.SIDE, X.SIDE, "horizontal")
     return lg.unionByName(G.flip(mirrored, X.SIDE, X.SIDE, "horizontal"))
 
@@ -143,7 +143,7 @@ def expected_depth(spark, d):
     widths = table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), "p_size", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("bin"))
     widths = widths.select("sample_id", "bin", (1 + (F.col("p_size") + F.col("bin") * 3) % 7).cast("double").alias("width"))
     rows = H.class_probabilities(X.pixel_logits(spark, d), X.CLASSES).select("sample_id", "y", "x", "probs")
-    out = H.expected_depth(rows, H.bin_centres(widths, 0.5, 10.0))
+    out = H.expected_depth(rows, H.bin_centres(widths, 0.5, 10.0), X.CLASSES)
     return out.groupBy("sample_id").agg(F.round(F.sum("depth"), 4).alias("total"),
                                         F.round(F.sum(F.col("depth") * (F.col("y") * 16 + F.col("x") + 1)), 3).alias("checksum"))
 

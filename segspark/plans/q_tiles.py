@@ -88,7 +88,8 @@ def stitch(spark, d):
     lg = X.pixel_logits(spark, d).select("sample_id", "y", "x", "logits")
     win = T.cover_slide(lg, side, side, 8, 5)
     shift = (F.col("wy") * 3 + F.col("wx")) % 7 * 0.25
-    st = T.stitch_logits(win.withColumn("logits", F.transform("logits", lambda v: v + shift)), X.CLASSES)
+    shifted = F.array(*[F.get("logits", F.lit(i)) + shift for i in range(X.CLASSES)])
+    st = T.stitch_logits(win.withColumn("logits", shifted), X.CLASSES)
     at = F.col("y") * 16 + F.col("x") + 1
     total = sum((F.get("logits", F.lit(i)) for i in range(1, X.CLASSES)), F.get("logits", F.lit(0)))
     weighted = sum((F.get("logits", F.lit(i)) * (i + 1) for i in range(1, X.CLASSES)), F.get("logits", F.lit(0)))

@@ -36,7 +36,10 @@ def test_entry_runs(spark):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = QUERIES[name](spark, D).toArrow()
+    df = QUERIES[name](spark, D)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    got = df.toArrow()
     if name not in SQL:
         assert got.num_rows > 0
         return
