@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segspark.runtime import materialize
+from segspark.runtime import materialize, salt
 
 PART = "__part"
 # A set of rows checked to be at most this many may be ranked by one task.
@@ -122,8 +122,7 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
                     name: str = "rank") -> DataFrame:
     """Best k rows of each group, cut per salt first so that a hot group is
     never sorted by one task. `order` must be a total order."""
-    rest = [c for c in df.columns if c not in group] or group
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.lit(salts)))
+    salted = df.withColumn("__salt", salt(df, group, salts))
     first = Window.partitionBy(*group, "__salt").orderBy(*order)
     cut = salted.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= k).drop("__r", "__salt")
     last = Window.partitionBy(*group).orderBy(*order)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from segspark.functions import columns as C
 from segspark.functions.prefix import row_numbers
-from segspark.runtime import join_pixels, join_side
+from segspark.runtime import join_pixels, join_side, salt
 
 
 def _axis(size: Column) -> Column:
@@ -286,7 +286,7 @@ def _scatter_into(px: DataFrame, placed: DataFrame, fill: dict) -> DataFrame:
     salts = 16
     uses = placed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = px.select("sample_id", "y", "x", *fill).withColumn(
-        "__salt", F.pmod(F.xxhash64("y", "x"), F.lit(salts)).cast("int"))
+        "__salt", salt(px, ["sample_id"], salts))
     moved = spread.join(uses.hint("merge"), ["sample_id", "__salt"])
     out = resize_nearest(moved, F.col("h"), F.col("w"), F.col("nh"), F.col("nw"))
     out = out.withColumns({"x": F.col("x") + F.col("dx"), "y": F.col("y") + F.col("dy")})

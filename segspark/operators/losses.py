@@ -151,7 +151,7 @@ def _lovasz_sum(errors: DataFrame, totals: DataFrame, keys: list[str]) -> DataFr
     gts = F.col("gts")
     jaccard = lambda n, f: F.when(n == 0, 0.0).otherwise(1 - (gts - f) / (gts + n - f))
     step = jaccard(F.col("cn"), F.col("cf")) - jaccard(F.col("cn") - F.col("n"), F.col("cf") - F.col("f"))
-    joined = ranked.join(totals, keys)
+    joined = ranked.join(totals, keys) if keys else ranked.withColumn("gts", totals.select("gts").scalar())
     return joined.groupBy(*keys).agg(F.sum(F.col("err") * step).alias("loss"))
 
 
@@ -179,11 +179,13 @@ def lovasz_softmax(df: DataFrame, classes: int, chosen: str | list[int] = "prese
 
 def lovasz_hinge(df: DataFrame, per_image: bool = False, ignore: int | None = 255) -> DataFrame:
     """Binary hinge variant over rows (logit, gt 0/1)."""
-    key = ["sample_id"] if per_image else ["one"]
-    rows = (df if ignore is None else df.filter(F.col("gt") != ignore)).withColumn("one", F.lit(1))
+    key = ["sample_id"] if per_image else []
+    rows = df if ignore is None else df.filter(F.col("gt") != ignore)
     errors = rows.select(*key, (1 - F.col("logit") * (2.0 * F.col("gt") - 1)).alias("err"), F.col("gt").alias("fg"))
     totals = errors.groupBy(*key).agg(F.sum("fg").alias("gts"))
-    scored = totals.join(_lovasz_sum(errors, totals, key), key, "left")
+    scored = _lovasz_sum(errors, totals, key)
+    if per_image:
+        scored = totals.join(scored, key, "left")
     return scored.agg(F.avg(F.coalesce("loss", F.lit(0.0))).alias("loss"))
 
 

@@ -157,15 +157,15 @@ def boundary_bce(spark, d):
 OHEM = f"""sc AS (SELECT {PX}, gt, floor(exp(own - lse)*1e9 + 0.5)/1e9 AS prob, floor((lse - own)*1e9 + 0.5)/1e9 AS loss FROM rw WHERE gt <> 255)"""
 
 
-@query("j13_ohem", f"""WITH {X.PIXEL_LOGITS}, {ROWS}, {OHEM}, k AS (SELECT greatest(0.05, (SELECT prob FROM sc ORDER BY prob LIMIT 1 OFFSET 100000)) AS t)
+@query("j13_ohem", f"""WITH {X.PIXEL_LOGITS}, {ROWS}, {OHEM}, k AS (SELECT greatest(0.05, (SELECT prob FROM (SELECT prob, row_number() OVER (ORDER BY prob) - 1 AS i, count(*) OVER () AS n FROM sc) z WHERE i = least(100000, n - 1))) AS t)
 SELECT round(avg(loss), 6) AS loss FROM sc, k WHERE prob < t""")
 def ohem(spark, d):
     rows = J.target_scores(X.pixel_logits(spark, d), X.CLASSES, digits=9)
     return one(J.ohem_cross_entropy(rows, 0.05, 100000))
 
 
-@query("j14_kth_value", f"""WITH {X.PIXEL_LOGITS}, {ROWS}, {OHEM}, o AS (SELECT prob, row_number() OVER (ORDER BY prob) - 1 AS i FROM sc)
-SELECT i::BIGINT AS k, prob AS value FROM o WHERE i IN (0, 1000, 250000)""")
+@query("j14_kth_value", f"""WITH {X.PIXEL_LOGITS}, {ROWS}, {OHEM}, o AS (SELECT prob, row_number() OVER (ORDER BY prob) - 1 AS i, count(*) OVER () AS n FROM sc)
+SELECT k::BIGINT AS k, prob AS value FROM o, (SELECT unnest([0, 1000, 250000]) AS k) t WHERE i = least(k, n - 1)""")
 def kth(spark, d):
     rows = J.target_scores(X.pixel_logits(spark, d), X.CLASSES, digits=9)
     found = [(k, J.kth_value(rows, "prob", k)) for k in (0, 1000, 250000)]

@@ -9,7 +9,7 @@ from segspark.plans.q_losses import OHEM, ROWS
 from segspark.plans.registry import query, table
 
 
-@query("k01_ohem_threshold", f"""WITH {X.PIXEL_LOGITS}, {ROWS}, {OHEM}, k AS (SELECT greatest(0.05, (SELECT prob FROM sc ORDER BY prob LIMIT 1 OFFSET 100000)) AS t)
+@query("k01_ohem_threshold", f"""WITH {X.PIXEL_LOGITS}, {ROWS}, {OHEM}, k AS (SELECT greatest(0.05, (SELECT prob FROM (SELECT prob, row_number() OVER (ORDER BY prob) - 1 AS i, count(*) OVER () AS n FROM sc) z WHERE i = least(100000, n - 1))) AS t)
 SELECT sample_id, y, x, (prob < t)::INT::DOUBLE AS weight FROM sc, k""")
 def by_confidence(spark, d):
     rows = J.target_scores(X.pixel_logits(spark, d), X.CLASSES, digits=9)

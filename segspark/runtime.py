@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_scratch: dict[str, str] = {}
@@ -80,15 +80,26 @@ def join_side(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner"
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
+    if salts & (salts - 1):
+        raise ValueError("salts must be a power of two")
     if _fits_broadcast(side):
         return big.join(F.broadcast(side), on, how)
-    rest = [c for c in big.columns if c not in on] or list(on)
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    salted = big.withColumn("__salt", salt(big, on, salts))
     copies = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     # The salt copies are a row generator, so Spark's own size guess would be too low for a broadcast.
     return salted.join(copies.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
+def salt(df: DataFrame, on: list[str], salts: int) -> Column:
+    """Hash of whole-number columns outside the key, as 0..salts-1 (a power of two).
+
+    Cheap columns only: the expression may be planned more than once.
+    """
+    whole = [c for c, t in df.dtypes if c not in on and t in ("int", "bigint", "smallint", "tinyint")]
+    rest = whole[:3] or [c for c in df.columns if c not in on][:3] or list(on)
+    return F.xxhash64(*rest).bitwiseAND(F.lit(salts - 1).cast("bigint")).cast("int")
+
+
 def join_pixels(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join two pixel-sized tables on a pixel key.
 
