@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.functions import columns as C
-from segspark.runtime import broadcast_if_small, join_side
+from segspark.runtime import join_side
 
 
 def remap_ids(px: DataFrame, mapping: dict[int, int], column: str = "gt", default: int | None = None) -> DataFrame:
@@ -30,9 +30,8 @@ def widen_channels(image: DataFrame, channels: int = 3) -> DataFrame:
 
 def colours_to_labels(px: DataFrame, palette: DataFrame, default: int = 0) -> DataFrame:
     """Exact match of (c0, c1, c2) with palette(class_id, r, g, b)."""
-    side = broadcast_if_small(palette.select(F.col("r").alias("c0"), F.col("g").alias("c1"), F.col("b").alias("c2"),
-                                             F.col("class_id").alias("gt")))
-    return (px.join(side, ["c0", "c1", "c2"], "left")
+    side = palette.select(F.col("r").alias("c0"), F.col("g").alias("c1"), F.col("b").alias("c2"), F.col("class_id").alias("gt"))
+    return (join_side(px, side, ["c0", "c1", "c2"], "left")
             .select("sample_id", "y", "x", F.coalesce("gt", F.lit(default)).alias("gt")))
 
 
@@ -47,8 +46,8 @@ def weighted_code(px: DataFrame, colours: tuple, weights: tuple[int, int, int] =
 def packed_index(px: DataFrame, colours: DataFrame) -> DataFrame:
     """Class by 24-bit colour; colours(class_id, r, g, b), unknown colours are 0."""
     pack = lambda r, g, b: ((F.col(r).cast("int") * 256 + F.col(g).cast("int")) * 256 + F.col(b).cast("int")).alias("code")
-    side = broadcast_if_small(colours.select(pack("r", "g", "b"), F.col("class_id").alias("gt")))
-    return (px.select("sample_id", "y", "x", pack("c0", "c1", "c2")).join(side, "code", "left")
+    side = colours.select(pack("r", "g", "b"), F.col("class_id").alias("gt"))
+    return (join_side(px.select("sample_id", "y", "x", pack("c0", "c1", "c2")), side, ["code"], "left")
             .select("sample_id", "y", "x", F.coalesce("gt", F.lit(0)).alias("gt")))
 
 

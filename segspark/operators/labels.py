@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segspark.functions import columns as C
-from segspark.runtime import broadcast_if_small, join_side, require_columns
+from segspark.runtime import join_side, require_columns
 
 IGNORE = 255
 
@@ -36,9 +36,9 @@ def reduce_zero_label(label: Column) -> Column:
 def apply_label_map(px: DataFrame, label_map: DataFrame, column: str = "gt", default: int | None = None) -> DataFrame:
     """Map all ids at once through (old_id, new_id); ids not listed pass through or take `default`."""
     require_columns(label_map, "old_id", "new_id")
-    side = broadcast_if_small(label_map.select(F.col("old_id").alias(column), F.col("new_id").alias("__new")))
+    side = label_map.select(F.col("old_id").alias(column), F.col("new_id").alias("__new"))
     other = F.col(column) if default is None else F.lit(default)
-    joined = px.join(side, column, "left")
+    joined = join_side(px, side, [column], "left")
     return joined.select(*[F.coalesce("__new", other).alias(c) if c == column else c for c in px.columns])
 
 
@@ -116,8 +116,8 @@ def unique_labels(px: DataFrame) -> DataFrame:
 
 def with_class_weight(px: DataFrame, weights: DataFrame, default: float = 1.0) -> DataFrame:
     """weights: (class_id, weight)."""
-    side = broadcast_if_small(weights.select(F.col("class_id").alias("gt"), F.col("weight").alias("__w")))
-    return (px.join(side, "gt", "left").withColumn("weight", F.coalesce("__w", F.lit(default)))
+    side = weights.select(F.col("class_id").alias("gt"), F.col("weight").alias("__w"))
+    return (join_side(px, side, ["gt"], "left").withColumn("weight", F.coalesce("__w", F.lit(default)))
             .select(*px.columns, "weight"))
 
 
@@ -128,9 +128,8 @@ def confident_boundary(px: DataFrame, threshold: float = 0.8, ignore: int = IGNO
 
 def label_violations(px: DataFrame, domain: DataFrame) -> DataFrame:
     """(gt, pixels, samples) of labels outside domain(class_id)."""
-    allowed = broadcast_if_small(domain.select(F.col("class_id").alias("gt")))
-    per_sample = (px.groupBy("gt", "sample_id").agg(F.count(F.lit(1)).alias("n"))
-                  .join(allowed, "gt", "left_anti"))
+    allowed = domain.select(F.col("class_id").alias("gt"))
+    per_sample = join_side(px.groupBy("gt", "sample_id").agg(F.count(F.lit(1)).alias("n")), allowed, ["gt"], "left_anti")
     return per_sample.groupBy("gt").agg(F.sum("n").alias("pixels"), F.count(F.lit(1)).alias("samples"))
 
 

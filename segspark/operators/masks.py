@@ -225,25 +225,25 @@ def connected_regions(foreground: DataFrame, keys: list[str], strip: int = 1024)
     that follow it, which yields the run graph with a constant number of rows
     per pixel; components come from alternating star contractions, whose
     rounds grow with the logarithm of the component size. `region` is the
-    smallest run of the component.
+    number of the component's first run (y * 2^32 + x of its first pixel).
     """
     w = Window.partitionBy(*keys, "y", "sx").orderBy("x")
     px = foreground.select(*keys, "y", "x", F.floor(F.col("x") / strip).alias("sx"))
     first = F.when(F.coalesce(F.lag("x").over(w) == F.col("x") - 1, F.lit(False)), None).otherwise(F.col("x"))
     runs = px.withColumn("s", first).withColumn("s", F.max("s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    node = F.struct("y", F.col("s").alias("x")).alias("node")
+    node = (F.shiftleft(F.col("y").cast("bigint"), 32) + F.col("s")).alias("node")
     cells = materialize(runs.select(*keys, "y", "x", node))
 
     steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
-    shout = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"),
-                                         F.lit(1 if (dy, dx) == (0, 0) else 0).alias("own")) for dy, dx in steps]))
+    shout = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))
+                                for k, (dy, dx) in enumerate(steps)]))
     heard = (cells.select(*keys, "node", shout.alias("t")).groupBy(*keys, "t.y", "t.x")
-             .agg(F.max(F.when(F.col("t.own") == 1, F.col("node"))).alias("own"), F.collect_set("node").alias("all")))
-    pairs = (heard.filter("own is not null and size(all) > 1").select(*keys, F.explode("all").alias("a"), F.col("own").alias("b"))
-             .filter("a != b").select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+             .agg(*[F.max(F.when(F.col("t.k") == k, F.col("node"))).alias(f"n{k}") for k in range(5)]).filter("n0 is not null"))
+    pairs = (heard.select(*keys, F.col("n0").alias("b"), F.explode(F.array("n1", "n2", "n3", "n4")).alias("a"))
+             .filter("a is not null and a != b").select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     roots = _star_contract(materialize(pairs), keys)
-    named = join_side(cells, roots.select(*keys, F.col("u").alias("node"), F.col("v").alias("root")), [*keys, "node"], "left") \
-        if not roots.isEmpty() else cells.withColumn("root", F.lit(None).cast(cells.schema["node"].dataType))
+    # A run has at most `strip` pixels, so no key is hot here.
+    named = cells.join(roots.select(*keys, F.col("u").alias("node"), F.col("v").alias("root")).hint("merge"), [*keys, "node"], "left")
     return named.select(*keys, "y", "x", F.coalesce("root", "node").alias("region"))
 
 
@@ -283,7 +283,7 @@ def remove_small_regions(mask: DataFrame, keys: list[str], min_area: int, mode:
     sizes = regions.groupBy(*keys, "region").agg(F.count(F.lit(1)).alias("n"))
     small = sizes.filter(F.col("n") < min_area)
     if mode == "islands":
-        best = sizes.groupBy(*keys).agg(F.max_by("region", F.struct("n", -F.col("region.y"), -F.col("region.x"))).alias("top"),
+        best = sizes.groupBy(*keys).agg(F.max_by("region", F.struct("n", -F.col("region"))).alias("top"),
                                         F.max("n").alias("most"))
         small = small.join(best, keys).filter((F.col("most") >= min_area) | (F.col("region") != F.col("top"))).select(*keys, "region")
     gone = join_side(regions, small.select(*keys, "region"), [*keys, "region"], "left_semi")

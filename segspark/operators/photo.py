@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segspark.runtime import broadcast_if_small, join_side
+from segspark.runtime import join_side
 
 
 def normalise(image: DataFrame, mean: list[float], std: list[float]) -> DataFrame:
@@ -167,8 +167,8 @@ def image_stats(image: DataFrame) -> DataFrame:
 
 def blend(image: DataFrame, labels: DataFrame, palette: DataFrame, alpha: float = 0.8) -> DataFrame:
     """Mix palette(class_id, r, g, b) over RGB channels by label, truncated; labels outside the palette show black."""
-    side = broadcast_if_small(palette.select(F.col("class_id").alias("gt"), F.array("r", "g", "b").alias("rgb")))
-    coloured = labels.select("sample_id", "y", "x", "gt").join(side, "gt", "left").select("sample_id", "y", "x", "rgb")
+    side = palette.select(F.col("class_id").alias("gt"), F.array("r", "g", "b").alias("rgb"))
+    coloured = join_side(labels.select("sample_id", "y", "x", "gt"), side, ["gt"], "left").select("sample_id", "y", "x", "rgb")
     joined = image.join(coloured.hint("merge"), ["sample_id", "y", "x"])
     paint = F.coalesce(F.get("rgb", F.col("c")), F.lit(0))
     return joined.select("sample_id", "y", "x", "c", F.floor(F.col("v") * (1 - alpha) + paint * alpha).cast("int").alias("v"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from segspark.functions import columns as C
 from segspark.functions.prefix import row_numbers, top_k_per_group
-from segspark.runtime import broadcast_if_small
+from segspark.runtime import join_side
 
 
 def merged_list(train: DataFrame, extra: DataFrame, val: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def expect_count(df: DataFrame, expected: int, strict: bool = False) -> DataFram
 
 def split_by_list(samples: DataFrame, listed: DataFrame, default: str = "val") -> DataFrame:
     """listed(key, split) decides; other keys take `default`."""
-    return (samples.join(broadcast_if_small(listed), "key", "left")
+    return (join_side(samples, listed, ["key"], "left")
             .withColumn("split", F.coalesce("split", F.lit(default))))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segspark.runtime import broadcast_if_small
+from segspark.runtime import join_side
 
 
 def stem(path: Column) -> Column:
@@ -113,8 +113,8 @@ def depth_samples(listing: DataFrame, classes: DataFrame, img_suffix: str = ".jp
     before its first digit; unknown names give -1. classes(class_id, class_name) is a dimension."""
     base = F.element_at(F.split("img_path", "/"), -1)
     named = listing.withColumn("class_name", F.regexp_extract(base, r"^(\D*)\D\d", 1))
-    ids = broadcast_if_small(classes.select("class_name", F.col("class_id").alias("category_id")))
-    return (named.join(ids, "class_name", "left")
+    ids = classes.select("class_name", F.col("class_id").alias("category_id"))
+    return (join_side(named, ids, ["class_name"], "left")
             .select("img_path", swap_suffix(F.col("img_path"), img_suffix, depth_suffix).alias("depth_map_path"),
                     F.coalesce("category_id", F.lit(-1)).alias("category_id")))
 

@@ -78,7 +78,7 @@ def test_connected_regions(shapes, strip):
     got = M.connected_regions(df.filter("v = 1"), ["sample_id"], strip).collect()
     for s, m in a.items():
         label, n = regions(m)
-        pairs = {(tuple(r["region"]), int(label[r["y"], r["x"]])) for r in got if r["sample_id"] == s}
+        pairs = {(r["region"], int(label[r["y"], r["x"]])) for r in got if r["sample_id"] == s}
         assert len(pairs) == n == len({p[0] for p in pairs}) and sum(r["sample_id"] == s for r in got) == m.sum()
 
 
