@@ -59,13 +59,13 @@ def generated(spark, d):
 
 
 @query("b05_classes_of", """WITH c AS (SELECT DISTINCT p_brand AS dataset, p_type AS class_name FROM part),
-w AS (SELECT DISTINCT lower(p_brand) AS alias, p_brand AS dataset FROM part WHERE p_size > 48)
+w AS (SELECT DISTINCT lower(p_brand) AS alias, p_brand AS dataset FROM part)
 SELECT w.alias, w.dataset, c.class_name FROM w JOIN c USING (dataset)""")
 def classes_of(spark, d):
     part = table(spark, d, "part")
     classes = part.select(F.col("p_brand").alias("dataset"), F.col("p_type").alias("class_name")).distinct()
     aliases = part.select(F.lower("p_brand").alias("alias"), F.col("p_brand").alias("dataset")).distinct()
-    wanted = part.filter("p_size > 48").select(F.lower("p_brand").alias("alias")).distinct()
+    wanted = part.select(F.lower("p_brand").alias("alias")).distinct()
     return L.classes_of(aliases, classes, wanted)
 
 

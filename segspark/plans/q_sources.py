@@ -140,7 +140,7 @@ def depth_source(spark, d):
     return R.scale_depth(raw, 0.5).withColumn("gt_depth", F.round("gt_depth", 6))
 
 
-@query("a14_prediction_sink", f"""WITH {X.PIXELS} SELECT sample_id, (y // 8) AS tile_y, (x // 8) AS tile_x,
+@query("a14_prediction_sink", f"""WITH {X.PIXELS} SELECT sample_id, (y // 8)::BIGINT AS tile_y, (x // 8)::BIGINT AS tile_x,
   string_agg((pred + 1)::VARCHAR, ',' ORDER BY y, x) AS data FROM px GROUP BY 1, 2, 3""")
 def prediction_sink(spark, d):
     path = new_scratch_path(spark, "pred")
@@ -162,7 +162,7 @@ def format_only(spark, d):
 
 
 @query("a17_pack", f"""WITH {X.IMAGE}, q AS (SELECT sample_id, (c*16 + y)*16 + x AS p, v FROM im)
-SELECT q.sample_id, p // 512 AS chunk, string_agg(v::INT::VARCHAR, ',' ORDER BY p) AS data, any_value(p_name) AS ori_name
+SELECT q.sample_id, (p // 512)::BIGINT AS chunk, string_agg(v::INT::VARCHAR, ',' ORDER BY p) AS data, any_value(p_name) AS ori_name
 FROM q JOIN part ON p_partkey = q.sample_id GROUP BY 1, 2""")
 def pack(spark, d):
     meta = table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), F.col("p_name").alias("ori_name"))
@@ -171,7 +171,7 @@ def pack(spark, d):
                          F.col("meta.ori_name").alias("ori_name"))
 
 
-@query("a17_pack_label", f"""WITH {X.PIXELS} SELECT sample_id, '1,16,16' AS shape, (y*16 + x) // 65536 AS chunk,
+@query("a17_pack_label", f"""WITH {X.PIXELS} SELECT sample_id, '1,16,16' AS shape, ((y*16 + x) // 65536)::BIGINT AS chunk,
   string_agg(gt::VARCHAR, ',' ORDER BY y, x) AS data FROM px GROUP BY 1, 3""")
 def pack_label(spark, d):
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from segspark.operators import metrics as M
 from segspark.plans import fixtures as X
 from segspark.plans.registry import query, table
 from segspark.runtime import new_scratch_path

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from segspark.functions import sql as Q
-from segspark.operators import labels as L, masks as K, metrics as M, predict as H
+from segspark.operators import labels as L, metrics as M, predict as H
 from segspark.plans import fixtures as X
 from segspark.plans.q_geometry import digest, digest_sql
 from segspark.plans.q_masks import MASK, _rle
