@@ -196,3 +196,50 @@ def test_blur_against_padding(spark, n, sigma):
         want = np.apply_along_axis(lambda v: np.convolve(v, w, "valid"), ax, np.pad(want, pad, mode="symmetric"))
     for row in V.gaussian_blur(df, (n, n, n), (sigma,) * 3).collect():
         assert row["v"] == pytest.approx(want[row["z"], row["y"], row["x"]]) and row["gt"] == 1
+
+
+def half_even(v):
+    return int(np.rint(v))
+
+
+def plain_hsv(r, g, b):
+    top, low = max(r, g, b), min(r, g, b)
+    span = top - low
+    s = half_even(span * 255.0 / top) if top else 0
+    if span == 0:
+        deg = 0.0
+    elif top == r:
+        deg = 60.0 * (g - b) / span
+    elif top == g:
+        deg = 120.0 + 60.0 * (b - r) / span
+    else:
+        deg = 240.0 + 60.0 * (r - g) / span
+    return half_even((deg + 360 if deg < 0 else deg) / 2) % 180, s, top
+
+
+def plain_rgb(h, s, v):
+    k, f, s = int(h / 30.0), h / 30.0 - int(h / 30.0), s / 255.0
+    p, q, t = v * (1 - s), v * (1 - s * f), v * (1 - s * (1 - f))
+    return tuple(half_even(c) for c in ((v, t, p), (q, v, p), (p, v, t), (p, q, v), (t, p, v), (v, p, q))[k])
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_distort_against_plain_loops(spark, last):
+    rng = np.random.default_rng(12)
+    px = [(0, 0, i, *map(int, rng.integers(0, 256, 3))) for i in range(300)]
+    df = spark.createDataFrame(px, "sample_id int, y int, x int, r int, g int, b int")
+    params = spark.createDataFrame([(0, -9.0, 1.25, 0.75, 14, last)],
+                                   "sample_id int, brightness double, contrast double, saturation double, hue int, contrast_last boolean")
+    cut = lambda v: int(min(max(v, 0), 255))
+    got = {r["x"]: (r["r"], r["g"], r["b"]) for r in P.distort(df, params).collect()}
+    for _, _, i, *rgb in px:
+        rgb = [cut(c - 9.0) for c in rgb]
+        if not last:
+            rgb = [cut(c * 1.25) for c in rgb]
+        h, s, v = plain_hsv(*rgb)
+        rgb = plain_rgb(h, cut(s * 0.75), v)
+        h, s, v = plain_hsv(*rgb)
+        rgb = plain_rgb((h + 14) % 180, s, v)
+        if last:
+            rgb = tuple(cut(c * 1.25) for c in rgb)
+        assert got[i] == tuple(rgb)
