@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from segspark.llm import bpe
+from segspark.llm import bpe, language, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +25,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(modulus: int, remainder: int) -> Column:
+    """Whether crc32 of the id as text has this remainder; a NULL id has none."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
+
+
+@query("op5_language_spans")
+def op5_language_spans(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(3, 1)
+    model = language.train(docs, where=~held_out & F.col("doc_id").isNotNull())
+    labelled = language.label_documents(docs, model, ["doc_id"], spans=False)
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_quality_ratio")
+def op6_quality_ratio(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return quality.judge_documents(docs, quality.fit_ratio(docs, trusted))
+
+
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark, sf_dir):
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
