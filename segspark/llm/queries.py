@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import bpe, language, quality
+from segspark.llm import bpe, decontaminate, language, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,36 @@ def fold(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+# Words of a text, lower-cased in ASCII only.
+_WORDS = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT item_id, coalesce({_WORDS}, []) AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS gram
+  FROM b, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS u(s) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM item_windows),
+doc_windows AS (
+  SELECT r, s, size, array_to_string(w[s:s + size - 1], ' ') AS gram
+  FROM d, sizes, unnest(range(1, greatest(1, len(w) - size + 2))) AS u(s)),
+hits AS (SELECT r, s, size, item_id FROM doc_windows JOIN item_windows USING (size, gram)),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM hits, unnest(range(s, s + size)) AS u(p) GROUP BY r),
+items AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM hits WHERE item_id IS NOT NULL GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+
+@query("op2_winnowing", CONTAMINATION_SQL)
+def op2_winnowing(spark, sf_dir):
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 @query("op5_language_spans")
 def op5_language_spans(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
