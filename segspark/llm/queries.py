@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import bpe, decontaminate, language, quality
+from segspark.llm import bpe, decontaminate, language, quality, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,6 +60,23 @@ def op2_winnowing(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+# The SQL states what the archives must give back; sizes and digests there are those of the bytes read.
+ARCHIVE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest,
+             octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (digest)"""
+
+
+@query("op4_warc_index", ARCHIVE_SQL)
+def op4_warc_index(spark, sf_dir):
+    records = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_language_spans")
 def op5_language_spans(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
