@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import bpe, decontaminate, language, quality, warc
+from segspark.llm import bpe, decontaminate, language, quality, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,14 @@ def fold(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+@query("op1_zstd_toxicity")
+def op1_zstd_toxicity(spark, sf_dir):
+    docs, held_out = table(spark, sf_dir, "documents"), fold(5, 0)
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_windows", "top_gain")
+
+
 # Words of a text, lower-cased in ASCII only.
 _WORDS = ("regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
