@@ -31,7 +31,7 @@ from segspark.llm.textarrays import U64, Texts, sliced, texts_of, words_of
 SAMPLE_ROWS = 3000
 WINDOW = 3
 RUN = 5
-ORDINARY_BYTES, TOXIC_BYTES = 1 << 14, 1 << 14
+ORDINARY_BYTES, TOXIC_BYTES = 1 << 15, 1 << 14
 #: A toxic segment stands in at least so many distinct contexts, and its share among the contexts of
 #: toxic text exceeds that of ordinary text by so many standard errors.
 CONTEXTS, STANDARD_ERRORS = 4, 4.5
@@ -93,7 +93,7 @@ class Classifier(NamedTuple):
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
     held = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     how = zstd.ZstdCompressionParameters(
-        strategy=zstd.STRATEGY_BTULTRA2, min_match=4, window_log=17, hash_log=13, chain_log=14, search_log=4, target_length=32,
+        strategy=zstd.STRATEGY_BTULTRA2, min_match=4, window_log=17, hash_log=15, chain_log=16, search_log=4, target_length=32,
         write_content_size=0, write_checksum=0, write_dict_id=0, format=zstd.FORMAT_ZSTD1_MAGICLESS)
     held.precompute_compress(compression_params=how)
     return zstd.ZstdCompressor(dict_data=held, compression_params=how)
@@ -217,7 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         ordinary, toxic = ([words[i] for i in of if y[i] == label] for label in (0, 1))
         plain = {b" " + b" ".join(w[i:i + WINDOW]) + b" " for w in ordinary for i in range(0, len(w), WINDOW)}
         marked = (b" " + b"  ".join(_segments(toxic, ordinary)) + b" ")[-TOXIC_BYTES:]
-        return _dictionary(sorted(plain), ORDINARY_BYTES), marked
+        # Ordinary words that share runs with toxic segments cost the same under both dictionaries, if both hold them.
+        runs = {marked[i:i + RUN] for i in range(len(marked) - RUN + 1)}
+        common = Counter(v for w in ordinary for v in w)
+        near = [w for w in common if any(w[i:i + RUN] in runs for i in range(len(w) - RUN + 1))]
+        near = b" " + b"  ".join(sorted(near, key=lambda w: (common[w], w))) + b" "
+        return _dictionary(sorted(plain), ORDINARY_BYTES) + near[-ORDINARY_BYTES:], marked
 
     x = np.zeros((len(y), len(GAINS) + 1))
     for mine, other in (halves, halves[::-1]):
