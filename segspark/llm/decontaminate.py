@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segspark.llm.bitmaps import bit_map, in_map
 from segspark.llm.textarrays import (PUNCTUATION, U64, Texts, gram_hashes, mix, sliced, sliding_min, texts_of, word_hashes,
                                      words_of)
 from segspark.runtime import materialize
 
 WINDOW = 13
-#: Bits of the map of benchmark fingerprints that documents are sifted by: 1 MB, however large the benchmark is.
-MAP_BITS = 23
-_CHUNK_BITS = 16
 
 
 class Scheme(NamedTuple):
@@ -126,35 +124,13 @@ def item_prints(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     return items.select(id_col, text_col).mapInArrow(prints, schema).drop("at").distinct()
 
 
-def print_map(prints: DataFrame) -> np.ndarray:
-    """Bit map of the leading `MAP_BITS` bits of all fingerprints: 2 ** (MAP_BITS - 3) bytes at most reach the driver."""
-    place = F.shiftrightunsigned("value", 64 - MAP_BITS)
-    places = prints.select(place.alias("place")).distinct()
-
-    def pack(group: pa.Table) -> pa.Table:
-        bits = np.zeros(1 << _CHUNK_BITS, np.uint8)
-        bits[group.column("place").to_numpy() & ((1 << _CHUNK_BITS) - 1)] = 1
-        chunk = group.column("chunk")[0].as_py()
-        return pa.table({"chunk": pa.array([chunk], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-    # A group holds at most 65,536 distinct places.
-    packed = (places.withColumn("chunk", F.shiftright("place", _CHUNK_BITS)).groupBy("chunk")
-              .applyInArrow(pack, "chunk long, bits binary").collect())
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    width = 1 << (_CHUNK_BITS - 3)
-    for r in packed:
-        out[r["chunk"] * width:(r["chunk"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def document_prints(docs: DataFrame, sizes: list[int], bits: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """(id, n_words, prints) of each row; of its fingerprints those whose bit is set."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def prints(batches):
         def wanted(values):
-            place = (values >> U64(64 - MAP_BITS)).astype(np.int64)
-            return (shared.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+            return in_map(shared.value, values)
 
         for batch in sliced(batches, text_col):
             texts = texts_of(batch.column(1))
@@ -210,7 +186,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     they are joined by value, where Spark splits a frequent one.
     """
     wanted = materialize(item_prints(items, item_col, item_text_col))
-    bits = print_map(wanted)
+    bits = bit_map(wanted, "value")
     found = materialize(document_prints(docs, item_sizes(items, item_text_col), bits, id_col, text_col)
                         .withColumn("row", F.monotonically_increasing_id()))
     mine = found.select("row", F.explode("prints").alias("p")).select("row", "p.*")

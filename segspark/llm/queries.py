@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import bpe, decontaminate, language, quality, toxicity, warc
+from segspark.llm import bpe, decontaminate, language, neardup, quality, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +68,11 @@ def op2_winnowing(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+@query("op3_minhash_join")
+def op3_minhash_join(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 # The SQL states what the archives must give back; sizes and digests there are those of the bytes read.
 ARCHIVE_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest,
