@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from segspark.llm.bitmaps import bit_map, in_map
 from segspark.llm.components import connected
-from segspark.llm.textarrays import U64, mix, shingle_sets, sliced, texts_of
+from segspark.llm.textarrays import U64, mix, runs_of, shingle_sets, sliced, texts_of
 from segspark.runtime import materialize
 
 SHINGLE = 4
@@ -121,26 +121,6 @@ def _star_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("leader", "cid", "n", "signature", "m", "other").mapInArrow(count, "a long, b long")
 
 
-def _runs(batches, keys: list[str]):
-    """Tables of the rows of one key each, from batches sorted by the keys; a key's rows are bounded by the caller."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        table = table.combine_chunks()
-        if not table.num_rows:
-            continue
-        new = np.zeros(table.num_rows, bool)
-        for key in keys:
-            c = table.column(key).to_numpy()
-            new[1:] |= c[1:] != c[:-1]
-        cuts = np.concatenate([[0], np.flatnonzero(new)])
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            yield table.slice(lo, hi - lo)
-        held = table.slice(cuts[-1])
-    if held is not None and held.num_rows:
-        yield held
-
-
 def _cross_pairs(postings: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
     """(a, b) of lists with several components, across components, as far as enough coordinates agree."""
     component = F.coalesce("component", F.col("cid"))
@@ -163,7 +143,7 @@ def _cross_pairs(postings: DataFrame, classes: DataFrame, joined: DataFrame) ->
     rows = (dealt.select(*keys, "block", "cid", "component", "n", "signature").repartition(*keys).sortWithinPartitions(*keys, "cid"))
 
     def compare(batches):
-        for run in _runs(batches, keys):
+        for run in runs_of(batches, keys):
             i, j = run.column("i")[0].as_py(), run.column("j")[0].as_py()
             x, y = run.column("x")[0].as_py(), run.column("y")[0].as_py()
             cid, comp, n, block = (run.column(c).to_numpy() for c in ("cid", "component", "n", "block"))

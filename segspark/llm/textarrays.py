@@ -208,3 +208,23 @@ def shingle_sets(texts: Texts, n: int, separator: np.ndarray = SPACE, table: np.
         new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
         value, owner = value[new], owner[new]
     return value, np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int64)
+
+
+def runs_of(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of the rows of one key each, from batches sorted by the keys; a key's rows are bounded by the caller."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        table = table.combine_chunks()
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows, bool)
+        for key in keys:
+            c = table.column(key).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        cuts = np.concatenate([[0], np.flatnonzero(new)])
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield table.slice(lo, hi - lo)
+        held = table.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held
