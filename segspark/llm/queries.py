@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import bpe, decontaminate, language, lm, neardup, quality, toxicity, warc
+from segspark.llm import bpe, decontaminate, language, lm, neardup, passages, quality, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,8 @@ def op9_backoff_automaton(spark, sf_dir):
     docs, held_out = table(spark, sf_dir, "documents"), fold(7, 2)
     scored = lm.score_documents(docs, ~held_out & F.col("doc_id").isNotNull(), stored=True)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op10_compact_windows")
+def op10_compact_windows(spark, sf_dir):
+    return passages.passage_report(table(spark, sf_dir, "documents"))
