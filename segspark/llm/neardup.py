@@ -3,16 +3,19 @@
 A document's set is that of its distinct 4-word shingles. Documents with equal
 sets are one class. A class has `COORDINATES` minima and is posted under each of
 the first `PREFIX` coordinate-value pairs. Classes that share a posting count
-how many coordinates agree; pairs from `MATCHES` on, seen at the first
-coordinate they share, are checked on their full sets.
+how many coordinates agree; pairs from `MATCHES` on are checked on their full
+sets.
 
 Links are taken in two rounds. First every class is held against the first
-class of each of its lists, which joins most of a large group at once. Then
-lists that still hold several components are compared inside, in blocks of
-bounded size, and only pairs across components are checked. So no group emits
-all its pairs, and no link between components is left out but by the chance
-that MinHash has: a pair at the similarity bound shares none of 16 minima with
-probability 0.2 ** 16, fewer than 80 of 128 with probability 1e-6.
+class of each of its lists, which joins most of a large group at once. Classes
+of lists that still hold several components are posted again under triples of
+coordinates, three of each group of four: a pair that agrees on fewer is
+skipped unseen. Those lists are compared inside, in blocks of bounded size, and
+only pairs across components go on, each at the first triple it shares. So no
+group emits all its pairs, and no link between components is left out but by
+the chance that MinHash has: a pair at the similarity bound has no list in
+common in the first round with probability 0.2 ** 16, none in the second with
+0.18 ** 8 = 1e-6, and fewer than 36 of 64 matches with 1e-6.
 """
 
 from __future__ import annotations
@@ -31,17 +34,22 @@ from segspark.llm.textarrays import U64, mix, runs_of, shingle_sets, sliced, tex
 from segspark.runtime import materialize
 
 SHINGLE = 4
-COORDINATES, PREFIX, MATCHES = 128, 16, 80
+COORDINATES, PREFIX, MATCHES = 64, 16, 36
 #: Similarity bound as a fraction: 100 * intersection >= 80 * union.
 PERCENT = 80
-#: Longer lists are cut by a second coordinate (one of the next `SECOND`), then into blocks of this many.
-BLOCK, SECOND = 512, 8
+#: Triples of coordinates: three of each of the first eight groups of four.
+TRIPLES = np.array([[4 * g + c for c in range(4) if c != out] for g in range(8) for out in range(4)])
+#: Longer lists are compared in blocks of about this many.
+BLOCK = 512
 
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U64(0xA24BAED4963EE407)) | U64(1)
 
 
 def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(texts, COORDINATES) minima of each text's shingles; texts must not be empty."""
+    """(texts, COORDINATES) minima of each text's shingles; texts must not be empty.
+
+    Postings take all 32 bits of a minimum, comparisons its low 16.
+    """
     out = np.empty((len(starts), COORDINATES), np.uint32)
     for k, factor in enumerate(_FACTORS):
         low = ((values * factor) >> U64(32)).astype(np.uint32)
@@ -50,7 +58,7 @@ def signatures(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, rk, n_shingles, k1, k2, signature) of each row: rk identifies id and text, k1 and k2 the set."""
+    """(id, rk, n_shingles, k1, k2, minima, signature) of each row: rk identifies id and text, k1 and k2 the set."""
     rows = docs.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("rk"))
 
     def features(batches):
@@ -59,18 +67,19 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             n = np.diff(first)
             some = np.flatnonzero(n)
             keys = np.zeros((len(n), 2), np.int64)
-            minima: list[bytes | None] = [None] * len(n)
+            minima, short = [None] * len(n), [None] * len(n)
             if len(some):
                 for i in some:
                     keys[i] = np.frombuffer(hashlib.blake2b(value[first[i]:first[i + 1]].tobytes(), digest_size=16).digest(), np.int64)
                 for i, row in zip(some, signatures(value, first[:-1][some])):
-                    minima[i] = row.tobytes()
+                    minima[i], short[i] = row[:PREFIX].tobytes(), row.astype(np.uint16).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-                 pa.array(minima, pa.binary())], names=schema.names)
+                 pa.array(minima, pa.binary()), pa.array(short, pa.binary())], names=schema.names)
 
     schema = T.StructType([docs.schema[id_col], T.StructField("rk", T.LongType()), T.StructField("n_shingles", T.LongType()),
-                           T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("signature", T.BinaryType())])
+                           T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("minima", T.BinaryType()),
+                           T.StructField("signature", T.BinaryType())])
     return rows.mapInArrow(features, schema)
 
 
@@ -81,12 +90,12 @@ def _postings(classes: DataFrame) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             if n:
-                minima = np.stack([np.frombuffer(s, np.uint32, PREFIX) for s in batch.column(1).to_pylist()])
+                minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, PREFIX)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.tile(np.arange(PREFIX, dtype=np.int32), n)), pa.array(minima.reshape(-1).astype(np.int64)),
                      pa.array(np.repeat(batch.column(0).to_numpy(), PREFIX))], names=["i", "v", "cid"])
 
-    posted = classes.select("cid", "signature").mapInArrow(post, "i int, v long, cid long")
+    posted = classes.select("cid", "minima").mapInArrow(post, "i int, v long, cid long")
     lists = posted.groupBy("i", "v").agg(F.count(F.lit(1)).alias("size"), F.min("cid").alias("leader"))
     return posted.join(lists.filter("size > 1"), ["i", "v"])
 
@@ -99,8 +108,8 @@ def _similar_size(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
 
 
-def _minima(column: pa.Array, coordinates: int = COORDINATES) -> np.ndarray:
-    return np.stack([np.frombuffer(s, np.uint32, coordinates) for s in column.to_pylist()])
+def _minima(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
 
 
 def _star_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
@@ -122,30 +131,39 @@ def _star_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(postings: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-    """(a, b) of lists with several components, across components, as far as enough coordinates agree."""
+    """(a, b) of classes of different components whose lists held several, as far as enough coordinates agree."""
     component = F.coalesce("component", F.col("cid"))
-    members = (postings.drop("leader").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", component))
+    members = (postings.select("i", "v", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
+               .withColumn("component", component))
     mixed = members.groupBy("i", "v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    members = materialize(members.join(mixed.select("i", "v"), ["i", "v"]))
-    full = members.join(classes.select("cid", "n", "signature"), "cid")
-    # Long lists: a pair goes on in the lists of the second coordinate that it shares.
-    seconds = F.expr(f"explode(sequence(1, {SECOND}))")
-    minimum = F.expr(f"hex(substring(signature, 4 * mod(i + j, {COORDINATES}) + 1, 4))")
-    short = full.filter(F.col("size") <= BLOCK).withColumns({"j": F.lit(0), "w": F.lit("0"), "blocks": F.lit(1)})
-    long = full.filter(F.col("size") > BLOCK).withColumn("j", seconds).withColumn("w", minimum)
-    sizes = long.groupBy("i", "v", "j", "w").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    long = (long.join(sizes, ["i", "v", "j", "w"]).withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).drop("many"))
+    open_ = materialize(members.join(mixed.select("i", "v"), ["i", "v"]).select("cid", "component").distinct()
+                        .join(classes.select("cid", "n", "signature"), "cid"))
+
+    def post(batches):
+        for batch in batches:
+            if batch.num_rows:
+                values = _minima(batch.column(2))[:, TRIPLES].astype(np.uint64)  # (classes, triples, 3)
+                packed = values[..., 0] << U64(32) | values[..., 1] << U64(16) | values[..., 2]
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(np.arange(len(TRIPLES), dtype=np.int32), n)), pa.array(packed.reshape(-1).view(np.int64)),
+                     pa.array(np.repeat(batch.column(0).to_numpy(), len(TRIPLES))),
+                     pa.array(np.repeat(batch.column(1).to_numpy(), len(TRIPLES)))], names=["i", "v", "cid", "component"])
+
+    posted = open_.select("cid", "component", "signature").mapInArrow(post, "i int, v long, cid long, component long")
+    lists = (posted.groupBy("i", "v").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .filter("lo < hi").select("i", "v", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     # Members are dealt to blocks by hash; each pair of blocks meets once.
-    dealt = short.unionByName(long).withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
+    dealt = posted.join(lists, ["i", "v"]).withColumn("block", F.expr("cast(pmod(xxhash64(cid), blocks) as int)"))
     dealt = dealt.withColumn("other", F.expr("explode(sequence(0, blocks - 1))")).withColumns(
         {"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    keys = ["i", "v", "j", "w", "x", "y"]
-    rows = (dealt.select(*keys, "block", "cid", "component", "n", "signature").repartition(*keys).sortWithinPartitions(*keys, "cid"))
+    keys = ["i", "v", "x", "y"]
+    rows = (dealt.select(*keys, "block", "cid", "component").join(open_.select("cid", "n", "signature"), "cid")
+            .repartition(*keys).sortWithinPartitions(*keys, "cid"))
 
     def compare(batches):
         for run in runs_of(batches, keys):
-            i, j = run.column("i")[0].as_py(), run.column("j")[0].as_py()
-            x, y = run.column("x")[0].as_py(), run.column("y")[0].as_py()
+            i, x, y = (run.column(c)[0].as_py() for c in ("i", "x", "y"))
             cid, comp, n, block = (run.column(c).to_numpy() for c in ("cid", "component", "n", "block"))
             minima = _minima(run.column("signature"))
             # Rows of block x against those of block y, some at a time.
@@ -153,18 +171,17 @@ def _cross_pairs(postings: DataFrame, classes: DataFrame, joined: DataFrame) ->
             for lo in range(0, len(left), 64):
                 a = left[lo:lo + 64]
                 ok = (comp[a][:, None] != comp[right]) & _similar_size(n[a][:, None], n[right])
-                ok &= cid[a][:, None] < cid[right] if x == y else True
+                if x == y:
+                    ok &= cid[a][:, None] < cid[right]
                 p, q = np.nonzero(ok)
                 p, q = a[p], right[q]
                 for at in range(0, len(p), 1 << 14):
                     s, t = p[at:at + (1 << 14)], q[at:at + (1 << 14)]
                     same = minima[s] == minima[t]
-                    good = same.sum(1) >= MATCHES
-                    # Seen at the first coordinate that the pair shares, and there at the first second one.
-                    good &= same[:, :PREFIX].argmax(1) == i
-                    if j:
-                        good &= same[:, [(i + k) % COORDINATES for k in range(1, SECOND + 1)]].argmax(1) == j - 1
-                    s, t = cid[s[good]], cid[t[good]]
+                    enough = same.sum(1) >= MATCHES
+                    s, t, same = s[enough], t[enough], same[enough]
+                    first = same[:, TRIPLES].all(2).argmax(1) == i
+                    s, t = cid[s[first]], cid[t[first]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t))], names=["a", "b"])
 
     return rows.mapInArrow(compare, "a long, b long")
@@ -220,8 +237,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal sets are one class, represented by its smallest id; NULL ids come last.
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "rk"))
     classes = materialize(rows.filter("n_shingles > 0").groupBy("k1", "k2")
-                          .agg(first.alias("first"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature"))
-                          .select("k1", "k2", "n", "signature", F.col("first.id").alias("id"), F.col("first.rk").alias("rk"))
+                          .agg(first.alias("first"), F.min("n_shingles").alias("n"), F.min("minima").alias("minima"),
+                               F.min("signature").alias("signature"))
+                          .select("k1", "k2", "n", "minima", "signature", F.col("first.id").alias("id"), F.col("first.rk").alias("rk"))
                           .withColumn("cid", F.monotonically_increasing_id()))
     postings = materialize(_postings(classes))
     edges = _confirmed(_star_pairs(postings, classes), classes, docs, id_col, text_col)
