@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import bpe, decontaminate, language, lm, neardup, passages, quality, toxicity, warc
+from segspark.llm import bpe, decontaminate, language, lm, neardup, passages, pii, quality, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -106,6 +106,16 @@ def op6_quality_ratio(spark, sf_dir):
     return quality.judge_documents(docs, quality.fit_ratio(docs, trusted))
 
 
+#: Key of the surrogates in the registered queries; a real run takes its own from a secret store.
+SURROGATE_KEY = "registered-queries"
+
+
+@query("op7_surrogates")
+def op7_surrogates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, SURROGATE_KEY, entities_col="n_entities")
+
+
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark, sf_dir):
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
