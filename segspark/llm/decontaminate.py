@@ -125,7 +125,7 @@ def item_prints(items: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 
 def document_prints(docs: DataFrame, sizes: list[int], bits: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_words, prints) of each row; of its fingerprints those whose bit is set."""
+    """(id, row_key, n_words, prints) of each row; of its fingerprints those whose bit is set."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def prints(batches):
@@ -143,12 +143,12 @@ def document_prints(docs: DataFrame, sizes: list[int], bits: np.ndarray, id_col:
             columns = [pa.concat_arrays([p[1][k] for p in parts]).take(pa.array(order)) for k in range(4)]
             offsets = np.searchsorted(owner[order], np.arange(len(texts) + 1)).astype(np.int32)
             rows = pa.StructArray.from_arrays(columns, names=["size", "at", "value", "around"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts.astype(np.int64)),
-                                              pa.ListArray.from_arrays(offsets, rows)], names=[id_col, "n_words", "prints"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts.astype(np.int64)),
+                                              pa.ListArray.from_arrays(offsets, rows)], names=[id_col, "row_key", "n_words", "prints"])
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("n_words", T.LongType()),
+    schema = T.StructType([docs.schema[id_col], T.StructField("row_key", T.LongType()), T.StructField("n_words", T.LongType()),
                            T.StructField("prints", T.ArrayType(T.StructType(PRINT)))])
-    return docs.select(id_col, text_col).mapInArrow(prints, schema)
+    return docs.select(id_col, text_col, F.xxhash64(id_col, text_col).alias("row_key")).mapInArrow(prints, schema)
 
 
 def _extend(batches):
@@ -172,7 +172,7 @@ def _extend(batches):
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_hit, n_items, items, contaminated) of each row of `docs`.
+    """(id, n_words, n_hit, n_items, items, contaminated, row_key) of each row of `docs`; row_key is xxhash64 of id and text.
 
     A word is hit if it lies in an occurrence of a window of an item; a
     document is contaminated if at least one in 20 of its words is hit. `items`
@@ -203,4 +203,4 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     out = found.drop("prints").join(n_hit, "row", "left").join(listed, "row", "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(F.col(id_col), "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"),
-                      names.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+                      names.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "row_key")

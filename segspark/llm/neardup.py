@@ -225,7 +225,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of each row of `docs`.
+    """(id, n_shingles, component_id, kept, row_key) of each row of `docs`; row_key is xxhash64 of id and text.
 
     component_id is the smallest id that links reach; a document is kept if it
     is its own. A text of fewer than four words is one shingle; NULL and empty
@@ -252,4 +252,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = member.join(least, "component").select("k1", "k2", "component_id")
     out = rows.join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col))
-    return out.select(F.col(id_col), "n_shingles", component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
+    return out.select(F.col(id_col), "n_shingles", component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"),
+                      F.col("rk").alias("row_key"))
