@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,80 +132,58 @@ def assemble_records(rles: DataFrame, boxes: DataFrame, scores: DataFrame, keys:
 
 # --- suppression ------------------------------------------------------------
 
-def box_nms(boxes: DataFrame, iou_threshold: float, cell: float = 64.0, rank: list[Column] | None = None,
-            small_image: int = 4096) -> DataFrame:
+def box_nms(boxes: DataFrame, iou_threshold: float, rank: list[Column] | None = None) -> DataFrame:
     """Greedy suppression per image_id; returns the kept rows.
 
     Rank is score descending, then box_id (`rank` overrides it: numeric
-    columns, smallest first, a total order). Images counted to hold at most
-    `small_image` boxes are done image by image; larger ones in rounds over a
-    grid, with the same result.
+    columns, smallest first, a total order). A box goes if its IoU with a kept
+    better one exceeds the threshold; an IoU over an empty union is no number
+    and suppresses nothing. Runs jobs while it is built: rounds over grids whose
+    cells have the size of the boxes, so their number follows from how many kept
+    boxes crowd about one place, not from the image or the number of boxes.
     """
     order = rank or [-F.col("score"), F.col("box_id")]
-    names = [f"r{i}" for i in range(len(order))]
-    slim = boxes.select("image_id", "box_id", "x1", "y1", "x2", "y2", *[c.alias(n) for c, n in zip(order, names)])
-    counts = boxes.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
-    large = counts.filter(F.col("n") > small_image).select("image_id")
-    some_large = not large.isEmpty()
-    small = join_side(slim, counts.filter(F.col("n") <= small_image).select("image_id"), ["image_id"], "left_semi") if some_large else slim
-    id_type = lambda c: boxes.schema[c].dataType.simpleString()
-    # An explicit partition count keeps the Python work spread out.
-    n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = small.repartition(n, "image_id").groupBy("image_id").applyInPandas(
-        _suppressor(iou_threshold, names), f"image_id {id_type('image_id')}, box_id {id_type('box_id')}")
-    if some_large:
-        rest = join_side(slim, large, ["image_id"], "left_semi")
-        kept = kept.unionByName(_nms_rounds(rest.withColumn("__rank", F.struct(*names)).drop(*names), iou_threshold, cell))
-    return boxes.join(kept, ["image_id", "box_id"], "left_semi")
-
-
-def _suppressor(threshold: float, names: list[str]):
-    """Greedy suppression of one image's boxes, best rank first."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(names, kind="stable")
-        x1, y1, x2, y2 = (pdf[c].to_numpy(dtype=float) for c in ("x1", "y1", "x2", "y2"))
-        area = (x2 - x1) * (y2 - y1)
-        alive = np.ones(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            if alive[i]:
-                w = np.minimum(x2[i], x2[i + 1:]) - np.maximum(x1[i], x1[i + 1:])
-                h = np.minimum(y2[i], y2[i + 1:]) - np.maximum(y1[i], y1[i + 1:])
-                inter = np.clip(w, 0, None) * np.clip(h, 0, None)
-                union = area[i] + area[i + 1:] - inter
-                alive[i + 1:] &= ~(inter > threshold * union) | (union <= 0)
-        return pdf.loc[alive, ["image_id", "box_id"]]
-    return run
-
-
-def _nms_rounds(ranked: DataFrame, iou_threshold: float, cell: float) -> DataFrame:
-    """(image_id, box_id) kept, in rounds over a grid.
-
-    Each round keeps the boxes that lead every grid cell they touch, then
-    drops what they overlap: a cell has one leader, so a round makes linear
-    work and no pairs within a cell. Boxes with equal corners are collapsed
-    first. Rounds repeat until no box is undecided.
+    rows = boxes.select("image_id", "box_id", "x1", "y1", "x2", "y2", F.struct(*[c.alias(f"r{i}") for i, c in enumerate(order)]).alias("__rank"))
+    kept = _nms_rounds(rows, iou_threshold)
+    return boxes.join(kept.hint("merge"), ["image_id", "box_id"], "left_semi")
+
+
+def _nms_rounds(ranked: DataFrame, threshold: float) -> DataFrame:
+    """(image_id, box_id) kept.
+
+    IoU is at most the ratio of the smaller width (or height) to the larger, so
+    only boxes of near sizes can meet: a box of level n (longest side up to
+    2^n) is entered on the grid of its level, and on coarser ones up to the
+    ratio that the threshold allows. Each round keeps the boxes that lead every
+    cell they are in and drops what they suppress; a cell has one leader, so no
+    pairs are listed. Boxes that cannot suppress or be suppressed are kept at
+    once.
     """
-    open_ = materialize(ranked.groupBy("image_id", "x1", "y1", "x2", "y2")
-                        .agg(F.min("__rank").alias("__rank"), F.min_by("box_id", "__rank").alias("box_id")))
-    kept = None
-    box = ["image_id", "box_id"]
-    spot = ["image_id", "cx", "cy"]
-    axis = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    on_grid = lambda df: df.withColumn("cx", F.explode(axis("x1", "x2"))).withColumn("cy", F.explode(axis("y1", "y2")))
-    while not open_.isEmpty():
-        cells = on_grid(open_)
-        lead = cells.groupBy(*spot).agg(F.min("__rank").alias("lead_rank"))
-        # Leader of every touched cell: no better open box can overlap it.
-        seats = join_side(cells, lead, spot)
-        state = seats.groupBy(*box).agg(F.min(F.col("lead_rank") == F.col("__rank")).alias("won"))
-        winners = materialize(open_.join(state.filter("won").hint("merge"), box, "left_semi"))
-        ids = winners.select(*box)
-        kept = ids if kept is None else kept.unionByName(ids)
-        claims = on_grid(winners).select(*spot, F.struct("x1", "y1", "x2", "y2").alias("lead"))
-        rest = open_.join(ids.hint("merge"), box, "left_anti")
-        hit = join_side(on_grid(rest), claims, spot).filter(_iou(F.col("lead")) > iou_threshold).select(*box).distinct()
-        open_ = materialize(rest.join(hit.hint("merge"), box, "left_anti"))
-    return ranked.select(*box).limit(0) if kept is None else kept
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & F.lit(threshold < 1)
+    all_ = materialize(ranked.withColumns({"solid": F.coalesce(solid, F.lit(False)),
+                                           "level": F.ceil(F.log2(F.when(side > 0, side))).cast("int")}))
+    box, spot = ["image_id", "box_id"], ["image_id", "grid", "cx", "cy"]
+    top = all_.filter("solid").agg(F.max("level")).first()[0]
+    kept = [all_.filter("not solid").select(*box)]
+    if top is not None:
+        above = F.lit(top) if threshold <= 0 else F.least(F.lit(top), F.col("level") + int(np.ceil(np.log2(1 / threshold))) + 1)
+        axis = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.pow(2.0, "grid")), F.floor(F.col(hi) / F.pow(2.0, "grid")))  # two cells at most
+        on_grid = lambda df: (df.withColumn("grid", F.explode(F.sequence(F.col("level"), above)))
+                              .withColumn("cx", F.explode(axis("x1", "x2"))).withColumn("cy", F.explode(axis("y1", "y2"))))
+        open_ = all_.filter("solid").drop("solid")
+        while not open_.isEmpty():
+            cells = materialize(on_grid(open_))
+            lead = cells.groupBy(*spot).agg(F.min("__rank").alias("lead_rank"))
+            # Leader of every cell it is in: no better open box can suppress it.
+            state = join_side(cells, lead, spot).groupBy(*box).agg(F.min(F.col("lead_rank") == F.col("__rank")).alias("won"))
+            won = materialize(open_.join(state.filter("won").hint("merge"), box, "left_semi"))
+            kept.append(won.select(*box))
+            claims = on_grid(won).select(*spot, F.struct("x1", "y1", "x2", "y2").alias("lead"))
+            hit = join_side(cells, claims, spot).filter(_iou(F.col("lead")) > threshold).select(*box)
+            # Winners suppress themselves: their IoU with themselves is 1.
+            open_ = materialize(open_.join(hit.distinct().hint("merge"), box, "left_anti"))
+    return reduce(DataFrame.unionByName, kept)
 
 
 def _iou(other: Column) -> Column:
@@ -295,23 +274,28 @@ def remove_small_regions(mask: DataFrame, keys: list[str], min_area: int, mode:
 # --- matching costs ---------------------------------------------------------
 
 def match_cost(class_logits: DataFrame, pred: DataFrame, gt: DataFrame, gt_labels: DataFrame,
-               weights: tuple[float, float, float] = (1.0, 1.0, 1.0), eps: float = 1e-3, pred_act: bool = True) -> DataFrame:
-    """(sample_id, q, g, cls_cost, dice_cost, ce_cost, cost) for every query and ground-truth mask.
+               weights: tuple[float, float, float] = (1.0, 1.0, 1.0), eps: float = 1e-3, pred_act: bool = True,
+               naive_dice: bool = True) -> DataFrame:
+    """(sample_id, q, g, cls_cost, dice_cost, ce_cost, cost) for every query and ground-truth mask of a sample.
 
     class_logits(sample_id, q, logits); pred(sample_id, q, y, x, v) is dense;
     gt(sample_id, g, y, x) lists foreground pixels; gt_labels(sample_id, g, label).
-    Sums over all pixels are taken per query, so only foreground pixels are joined.
+    Sums over all pixels are taken per query, so only foreground pixels are
+    joined; a mask without pixels has sums of zero. `naive_dice=False` divides
+    by the sums of squares.
     """
     act = C.sigmoid(F.col("v")) if pred_act else F.col("v")
     on, off = C.bce_logits(F.col("v"), F.lit(1.0)), C.bce_logits(F.col("v"), F.lit(0.0))
     scored = pred.select("sample_id", "q", "y", "x", act.alias("p"), (on - off).alias("gain"), off.alias("off"))
-    whole = scored.groupBy("sample_id", "q").agg(F.sum("p").alias("p_sum"), F.sum("off").alias("off_sum"),
+    own = F.col("p") if naive_dice else F.col("p") * F.col("p")
+    whole = scored.groupBy("sample_id", "q").agg(F.sum(own).alias("p_sum"), F.sum("off").alias("off_sum"),
                                                  F.count(F.lit(1)).alias("n"))
     inside = (scored.select("sample_id", "q", "y", "x", "p", "gain").join(gt.hint("merge"), ["sample_id", "y", "x"])
               .groupBy("sample_id", "q", "g").agg(F.sum("p").alias("hit"), F.sum("gain").alias("gain"),
                                                   F.count(F.lit(1)).alias("g_sum")))
     probs = class_logits.select("sample_id", "q", C.softmax(F.col("logits")).alias("probs"))
-    t = (inside.join(whole, ["sample_id", "q"]).join(probs, ["sample_id", "q"]).join(gt_labels, ["sample_id", "g"]))
+    t = (whole.join(gt_labels, "sample_id").join(inside, ["sample_id", "q", "g"], "left").na.fill(0, ["hit", "gain", "g_sum"])
+         .join(probs, ["sample_id", "q"]))
     cls = -F.get("probs", F.col("label")) * weights[0]
     dice = (1 - (2 * F.col("hit") + eps) / (F.col("p_sum") + F.col("g_sum") + eps)) * weights[1]
     ce = ((F.col("gain") + F.col("off_sum")) / F.col("n")) * weights[2]

@@ -91,14 +91,14 @@ def quality(spark, d):
     return M.quality_filter(recs, 0.35, 0.925).select("box_id", F.round("pred_iou", 6).alias("pred_iou"), F.round("stability", 6).alias("stability"))
 
 
-def _nms_sql(order, thr):
+def _nms_sql(order, thr, source="bx", more=""):
     """Greedy suppression as a recursion over ranks, carrying the kept boxes of an image."""
     inter = ("greatest(least(k.x2, b.x2) - greatest(k.x1, b.x1), 0) * greatest(least(k.y2, b.y2) - greatest(k.y1, b.y1), 0)")
     union = f"((k.x2 - k.x1)*(k.y2 - k.y1) + (b.x2 - b.x1)*(b.y2 - b.y1) - {inter})"
-    return f"""WITH RECURSIVE {X.BOXES}, rk AS (SELECT image_id, {{'id': box_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b,
-  row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS i FROM bx),
+    return f"""WITH RECURSIVE {X.BOXES}{more}, rk AS (SELECT image_id, {{'id': box_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} AS b,
+  row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS i FROM {source}),
 r AS (SELECT image_id, i, [b] AS kept FROM rk WHERE i = 1 UNION ALL
-  SELECT rk.image_id, rk.i, CASE WHEN len(list_filter(kept, lambda k: {inter} / {union} > {thr})) > 0 THEN kept ELSE list_append(kept, b) END
+  SELECT rk.image_id, rk.i, CASE WHEN len(list_filter(kept, lambda k: {union} > 0 AND {inter} / {union} > {thr})) > 0 THEN kept ELSE list_append(kept, b) END
   FROM r JOIN rk ON rk.image_id = r.image_id AND rk.i = r.i + 1),
 f AS (SELECT image_id, unnest(arg_max(kept, i)).id AS box_id FROM r GROUP BY image_id) SELECT box_id FROM f"""
 
@@ -110,7 +110,26 @@ def nms(spark, d):
 
 @query("l10_nms_rounds", _nms_sql("score DESC, box_id", 0.5))
 def nms_rounds(spark, d):
-    return M.box_nms(X.boxes(spark, d), 0.5, cell=32.0, small_image=48).select("box_id")
+    return M.box_nms(X.boxes(spark, d), 0.5).select("box_id")
+
+
+# Every fifth box has no area, every box occurs twice.
+_AWKWARD = """, aw AS (SELECT image_id, unnest([box_id, -box_id]) AS box_id, x1, y1, CASE WHEN box_id % 5 = 0 THEN x1 ELSE x2 END AS x2, y2, score FROM bx)"""
+
+
+def _awkward(boxes):
+    return (boxes.withColumn("x2", F.when(F.col("box_id") % 5 == 0, F.col("x1")).otherwise(F.col("x2")))
+            .withColumn("box_id", F.explode(F.array("box_id", -F.col("box_id")))))
+
+
+@query("l10_nms_awkward", _nms_sql("score DESC, box_id", 0.4, "aw", _AWKWARD))
+def nms_awkward(spark, d):
+    return M.box_nms(_awkward(X.boxes(spark, d)), 0.4).select("box_id")
+
+
+@query("l10_nms_whole", _nms_sql("score DESC, box_id", 1.0, "aw", _AWKWARD))
+def nms_whole(spark, d):
+    return M.box_nms(_awkward(X.boxes(spark, d)), 1.0).select("box_id")
 
 
 @query("l10_nms_small_crops_first", _nms_sql("box_id % 3, box_id", 0.3))
@@ -158,7 +177,7 @@ def records(spark, d):
 
 
 @query("l13_match_cost", f"""WITH {X.PIXELS}, {QUERIES}, {SOFT.format(k='sample_id, q', t='cl')},
-g AS (SELECT sample_id, gt AS g, y, x FROM px WHERE gt < 4), gs AS (SELECT sample_id, g, count(*) AS n FROM g GROUP BY 1, 2),
+g AS (SELECT sample_id, gt AS g, y, x FROM px WHERE gt < 4), gs AS (SELECT sample_id, g, sum(n)::BIGINT AS n FROM (SELECT sample_id, g, 1 AS n FROM g UNION ALL SELECT DISTINCT sample_id, 3, 0 FROM px) z GROUP BY 1, 2),
 q AS (SELECT *, 1/(1+exp(-v)) AS p, greatest(v, 0) - v + ln(1 + exp(-abs(v))) AS pos, greatest(v, 0) + ln(1 + exp(-abs(v))) AS neg FROM mk),
 qs AS (SELECT sample_id, q, sum(p) AS ps FROM q GROUP BY 1, 2),
 pr AS (SELECT q.sample_id, q.q, gs.g, any_value(gs.n) AS n, sum(CASE WHEN g.g IS NOT NULL THEN q.p ELSE 0 END) AS hit, avg(CASE WHEN g.g IS NOT NULL THEN pos ELSE neg END) AS ce
@@ -168,6 +187,8 @@ FROM pr JOIN qs ON qs.sample_id = pr.sample_id AND qs.q = pr.q JOIN sm ON sm.sam
 def match_cost(spark, d):
     cls, pred = _queries(spark, d)
     gt = X.pixels(spark, d).filter("gt < 4").select("sample_id", F.col("gt").alias("g"), "y", "x")
-    labels = gt.select("sample_id", "g").distinct().withColumn("label", F.col("g"))
+    # Each sample has mask 3, with or without pixels.
+    whole = X.pixels(spark, d).select("sample_id", F.lit(3).alias("g"))
+    labels = gt.select("sample_id", "g").unionByName(whole).distinct().withColumn("label", F.col("g"))
     out = M.match_cost(cls, pred, gt, labels, (2.0, 5.0, 5.0))
     return out.select("sample_id", "q", "g", *[F.round(c, 5).alias(c) for c in ("cls_cost", "dice_cost", "ce_cost")])

@@ -95,32 +95,48 @@ def test_remove_small_regions(spark, mode, limit):
         assert all(got[s, y, x] == want[y, x] for y, x in np.ndindex(m.shape))
 
 
+NMS_BOXES = "image_id int, box_id int, x1 double, y1 double, x2 double, y2 double, score double"
+
+
 def greedy(boxes, thr):
     kept = []
     for b in sorted(boxes, key=lambda b: (-b[6], b[1])):
         def iou(k):
             w, h = min(b[4], k[4]) - max(b[2], k[2]), min(b[5], k[5]) - max(b[3], k[3])
             inter = max(w, 0) * max(h, 0)
-            return inter / ((b[4] - b[2]) * (b[5] - b[3]) + (k[4] - k[2]) * (k[5] - k[3]) - inter)
+            union = (b[4] - b[2]) * (b[5] - b[3]) + (k[4] - k[2]) * (k[5] - k[3]) - inter
+            return inter / union if union else 0.0
         if all(iou(k) <= thr for k in kept):
             kept.append(b)
     return {b[1] for b in kept}
 
 
-@pytest.mark.parametrize("small_image", [0, 60, 4096])
-def test_nms_ways_agree_with_brute_force(spark, small_image):
+@pytest.mark.parametrize("threshold", [0.0, 0.05, 0.4, 0.9, 1.0])
+def test_nms_as_brute_force(spark, threshold):
     rng = np.random.default_rng(7)
     rows, bid = [], 0
-    for img, n in ((0, 120), (1, 30), (2, 1)):
+    for img, n in ((0, 60), (1, 20), (2, 1)):
         for _ in range(n):
             x, y = rng.integers(0, 60, 2)
-            w, h = rng.integers(5, 30, 2)
+            w, h = rng.integers(0, 30, 2)  # some without area
             rows.append((img, bid, float(x), float(y), float(x + w), float(y + h), float(rng.integers(0, 5)) / 5))
             bid += 1
     rows += [(0, bid + i, *rows[0][2:]) for i in range(5)]  # exact copies
-    df = spark.createDataFrame(rows, "image_id int, box_id int, x1 double, y1 double, x2 double, y2 double, score double")
-    got = {r["box_id"] for r in M.box_nms(df, 0.4, cell=16.0, small_image=small_image).collect()}
-    assert got == set().union(*(greedy([r for r in rows if r[0] == i], 0.4) for i in range(3)))
+    df = spark.createDataFrame(rows, NMS_BOXES)
+    got = {r["box_id"] for r in M.box_nms(df, threshold).collect()}
+    assert got == set().union(*(greedy([r for r in rows if r[0] == i], threshold) for i in range(3)))
+
+
+def test_nms_rounds_do_not_grow_with_the_image(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    side = 10_000
+    xy = rng.integers(0, side, (10_000, 2))
+    rows = [(0, i, float(x), float(y), float(x + 12), float(y + 9), float(i % 17)) for i, (x, y) in enumerate(xy.tolist())]
+    tables = []
+    real = M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df: tables.append(1) or real(df))
+    assert M.box_nms(spark.createDataFrame(rows, NMS_BOXES), 0.5).count() > 9000
+    assert len(tables) < 1 + 3 * 20
 
 
 def test_boxes_and_edges(spark, shapes):
