@@ -11,8 +11,9 @@ class of each of its lists, which joins most of a large group at once. Classes
 of lists that still hold several components are posted again under triples of
 coordinates, three of each group of four: a pair that agrees on fewer is
 skipped unseen. Those lists are compared inside, in blocks of bounded size, and
-only pairs across components go on, each at the first triple it shares. So no
-group emits all its pairs, and no link between components is left out but by
+only pairs across components go on, each at the first triple it shares; where
+they crowd, their sets are brought to the block and only links that join its
+components leave it. So no group emits all its pairs, and no link between components is left out but by
 the chance that MinHash has: a pair at the similarity bound has no list in
 common in the first round with probability 0.2 ** 16, none in the second with
 0.18 ** 8 = 1e-6, and fewer than 36 of 64 matches with 1e-6.
@@ -41,6 +42,8 @@ PERCENT = 80
 TRIPLES = np.array([[4 * g + c for c in range(4) if c != out] for g in range(8) for out in range(4)])
 #: Longer lists are compared in blocks of about this many.
 BLOCK = 512
+#: A block with more candidate pairs than this for each member checks them where they are.
+CROWD = 4
 
 _FACTORS = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * U64(0xA24BAED4963EE407)) | U64(1)
 
@@ -130,8 +133,9 @@ def _star_pairs(postings: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("leader", "cid", "n", "signature", "m", "other").mapInArrow(count, "a long, b long")
 
 
-def _cross_pairs(postings: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-    """(a, b) of classes of different components whose lists held several, as far as enough coordinates agree."""
+def _cross_pairs(postings: DataFrame, classes: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates across components: pairs (a, b); members (cid, i, v, x, y, block) of blocks with more than
+    `CROWD` pairs a member; and (cid, component, n, signature) of all members."""
     component = F.coalesce("component", F.col("cid"))
     members = (postings.select("i", "v", "cid").join(joined.withColumnRenamed("node", "cid"), "cid", "left")
                .withColumn("component", component))
@@ -163,35 +167,48 @@ def _cross_pairs(postings: DataFrame, classes: DataFrame, joined: DataFrame) ->
 
     def compare(batches):
         for run in runs_of(batches, keys):
-            i, x, y = (run.column(c)[0].as_py() for c in ("i", "x", "y"))
-            cid, comp, n, block = (run.column(c).to_numpy() for c in ("cid", "component", "n", "block"))
-            minima = _minima(run.column("signature"))
-            # Rows of block x against those of block y, some at a time.
-            left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-            for lo in range(0, len(left), 64):
-                a = left[lo:lo + 64]
-                ok = (comp[a][:, None] != comp[right]) & _similar_size(n[a][:, None], n[right])
-                if x == y:
-                    ok &= cid[a][:, None] < cid[right]
-                p, q = np.nonzero(ok)
-                p, q = a[p], right[q]
-                for at in range(0, len(p), 1 << 14):
-                    s, t = p[at:at + (1 << 14)], q[at:at + (1 << 14)]
-                    same = minima[s] == minima[t]
-                    enough = same.sum(1) >= MATCHES
-                    s, t, same = s[enough], t[enough], same[enough]
-                    first = same[:, TRIPLES].all(2).argmax(1) == i
-                    s, t = cid[s[first]], cid[t[first]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t))], names=["a", "b"])
-
-    return rows.mapInArrow(compare, "a long, b long")
-
-
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (as u, v) whose full sets reach the similarity bound."""
-    pairs = materialize(pairs)
-    needed = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-                         .join(classes.select("cid", "rk"), "cid"))
+            parts = [(p, q) for p, q, _ in _candidates(run)]
+            p, q = (np.concatenate([part[k] for part in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+            cid, n = run.column("cid").to_numpy(), run.num_rows
+            if len(p) <= CROWD * n:
+                lists = [np.minimum(cid[p], cid[q]), np.maximum(cid[p], cid[q])]
+                here = [np.zeros(len(p), np.int64)] * 5
+            else:  # the members themselves go on
+                lists = [cid, np.full(n, -1)]
+                here = [run.column(c).to_numpy() for c in (*keys, "block")]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (*lists, *here)], names=["a", "b", *keys, "block"])
+
+    found = materialize(rows.mapInArrow(compare, "a long, b long, i long, v long, x long, y long, block long"))
+    return found.filter("b >= 0").select("a", "b"), found.filter("b < 0").drop("b").withColumnRenamed("a", "cid"), open_
+
+
+def _candidates(run: pa.Table):
+    """(rows, rows, agreement) of a pair of blocks: pairs across components with enough agreement, each only in
+    the list of the first triple that it shares."""
+    i, x, y = (run.column(c)[0].as_py() for c in ("i", "x", "y"))
+    cid, comp, n, block = (run.column(c).to_numpy() for c in ("cid", "component", "n", "block"))
+    minima = _minima(run.column("signature"))
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    for lo in range(0, len(left), 64):
+        a = left[lo:lo + 64]
+        ok = (comp[a][:, None] != comp[right]) & _similar_size(n[a][:, None], n[right])
+        if x == y:
+            ok &= cid[a][:, None] < cid[right]
+        p, q = np.nonzero(ok)
+        p, q = a[p], right[q]
+        for at in range(0, len(p), 1 << 14):
+            s, t = p[at:at + (1 << 14)], q[at:at + (1 << 14)]
+            same = minima[s] == minima[t]
+            agree = same.sum(1)
+            enough = agree >= MATCHES
+            s, t, same, agree = s[enough], t[enough], same[enough], agree[enough]
+            first = same[:, TRIPLES].all(2).argmax(1) == i
+            yield s[first], t[first], agree[first]
+
+
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, items) for each cid of `wanted`: its sorted shingles, from one more scan that skips other texts."""
+    needed = materialize(wanted.select("cid").distinct().join(classes.select("cid", "rk"), "cid"))
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(needed, "rk"))
 
     def sets(batches):
@@ -207,21 +224,58 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
     rows = docs.select(F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col))
     # Repeated rows have equal rk and equal sets.
     held = needed.join(rows.mapInArrow(sets, "rk long, items binary"), "rk").select("cid", "items")
-    held = materialize(held.groupBy("cid").agg(F.first("items").alias("items")))
+    return materialize(held.groupBy("cid").agg(F.first("items").alias("items")))
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _confirmed(pairs: DataFrame, sets_of) -> DataFrame:
+    """The pairs (as u, v) whose full sets reach the similarity bound."""
+    held = sets_of(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")))
     both = (pairs.join(held.select(F.col("cid").alias("a"), "items"), "a")
             .join(held.select(F.col("cid").alias("b"), F.col("items").alias("others")), "b"))
 
     def verify(batches):
         for batch in batches:
-            good = []
-            for s, t in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(s) + len(t) - both))
-            keep = pa.array(good, pa.bool_())
+            keep = pa.array([_linked(np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64))
+                             for s, t in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
-    return materialize(both.select("a", "b", "items", "others").mapInArrow(verify, "u long, v long"))
+    return both.select("a", "b", "items", "others").mapInArrow(verify, "u long, v long")
+
+
+def _confirmed_in_place(crowded: DataFrame, open_: DataFrame, sets_of) -> DataFrame:
+    """Links (u, v) of crowded blocks: the sets go where the candidates meet, and a block sends on links that
+    join its components, no others."""
+    keys = ["i", "v", "x", "y"]
+    rows = (crowded.join(open_, "cid").join(sets_of(crowded), "cid").repartition(*keys).sortWithinPartitions(*keys, "cid"))
+
+    def verify(batches):
+        for run in runs_of(batches, keys):
+            cid, comp = (run.column(c).to_numpy() for c in ("cid", "component"))
+            items = run.column("items").to_pylist()
+            root = {c: c for c in comp.tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            found = []
+            for p, q, agree in _candidates(run):
+                for k in np.argsort(-agree, kind="stable").tolist():  # the likeliest first
+                    s, t = int(p[k]), int(q[k])
+                    a, b = find(int(comp[s])), find(int(comp[t]))
+                    if a != b and _linked(np.frombuffer(items[s], np.uint64), np.frombuffer(items[t], np.uint64)):
+                        root[max(a, b)] = min(a, b)
+                        found.append((int(cid[s]), int(cid[t])))
+            u, v = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return rows.mapInArrow(verify, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,9 +296,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                           .select("k1", "k2", "n", "minima", "signature", F.col("first.id").alias("id"), F.col("first.rk").alias("rk"))
                           .withColumn("cid", F.monotonically_increasing_id()))
     postings = materialize(_postings(classes))
-    edges = _confirmed(_star_pairs(postings, classes), classes, docs, id_col, text_col)
+
+    def sets_of(wanted):
+        return _sets(wanted, classes, docs, id_col, text_col)
+
+    edges = materialize(_confirmed(materialize(_star_pairs(postings, classes)), sets_of))
     joined = materialize(connected(edges))
-    more = _confirmed(_cross_pairs(postings, classes, joined), classes, docs, id_col, text_col)
+    pairs, crowded, open_ = _cross_pairs(postings, classes, joined)
+    more = materialize(_confirmed(pairs, sets_of).unionByName(_confirmed_in_place(crowded, open_, sets_of)))
     if not more.isEmpty():
         joined = connected(edges.unionByName(more))
     member = classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
