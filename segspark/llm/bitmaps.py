@@ -26,10 +26,10 @@ def bit_map(hashes: DataFrame, column: str) -> np.ndarray:
 
     # A group holds at most 65,536 distinct places.
     packed = (places.withColumn("chunk", F.shiftright("place", _CHUNK_BITS)).groupBy("chunk")
-              .applyInArrow(pack, "chunk long, bits binary").collect())
+              .applyInArrow(pack, "chunk long, bits binary").toArrow())
     out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     width = 1 << (_CHUNK_BITS - 3)
-    for r in packed:
+    for r in packed.to_pylist():
         out[r["chunk"] * width:(r["chunk"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
     return out
 

@@ -86,8 +86,8 @@ def item_sizes(items: DataFrame, text_col: str = "text") -> list[int]:
             found |= set(np.minimum(counts, WINDOW)[counts > 0].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], names=["size"])
 
-    rows = items.select(text_col).mapInArrow(sizes, "size int").distinct().collect()  # at most 13
-    return sorted({WINDOW, *(r["size"] for r in rows)})
+    rows = items.select(text_col).mapInArrow(sizes, "size int").distinct().toArrow()  # at most 13
+    return sorted({WINDOW, *rows.column("size").to_pylist()})
 
 
 PRINT = [T.StructField("size", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("value", T.LongType()),
