@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from segspark.runtime import materialize, salt
 
 PART = "__part"
-# A set of rows checked to be at most this many may be ranked by one task.
-ONE_TASK_ROWS = 1_000_000
 
 
 def _ranged(df: DataFrame, group: list[str], order: list[Column], partitions: int | None) -> DataFrame:
@@ -101,13 +99,9 @@ def kth_smallest(df: DataFrame, value: str, k: int, stored: bool = False, bucket
     counts = numbered.groupBy("b").agg(F.count(F.lit(1)).alias("m"))
     # A window over at most `buckets` rows.
     ladder = counts.withColumn("upto", F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("b")))
-    bucket, before, in_bucket = (ladder.filter(F.col("upto") > goal)
-                                 .agg(F.min("b"), F.min(F.col("upto") - F.col("m")), F.min_by("m", "b")).first())
+    bucket, before = ladder.filter(F.col("upto") > goal).agg(F.min("b"), F.min(F.col("upto") - F.col("m"))).first()
     near = numbered.filter(F.col("b") == bucket).groupBy("v").agg(F.count(F.lit(1)).alias("m"))
-    if in_bucket <= ONE_TASK_ROWS:
-        ranked = near.withColumn("upto", F.sum("m").over(Window.partitionBy(F.lit(0)).orderBy("v")))
-    else:
-        ranked = running_totals(near, [F.col("v")], {"upto": F.col("m")})
+    ranked = running_totals(near, [F.col("v")], {"upto": F.col("m")})
     top, smaller = (ranked.filter(F.col("upto") + before > goal)
                     .agg(F.min("v"), F.min(F.col("upto") - F.col("m"))).first())
     return OrderStatistic(top, before + smaller)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.functions import columns as C
-from segspark.functions.prefix import kth_value, running_totals, top_k_per_group
+from segspark.functions.prefix import kth_value, row_numbers, running_totals, top_k_per_group
 from segspark.operators.predict import child_scores, parent_scores
 
 EPS32 = 1.1920928955078125e-07
@@ -333,21 +333,21 @@ def hierarchical_bce(df: DataFrame, ranges: list[tuple[int, int]], fine: int, ga
     return s.agg((5 * (mean(low, "gt", fine) + mean(high, "top", coarse))).alias("loss"))
 
 
-def tree_triplet(df: DataFrame, ranges: list[tuple[int, int]], fine: int, order: list[Column], max_triplet: int = 200,
+def tree_triplet(df: DataFrame, ranges: list[tuple[int, int]], fine: int, order: list[Column], max_triplet: int | None = None,
                  margin: float = 0.6, ignore: int = 255) -> DataFrame:
     """(loss, class_count) over (feats, gt): the i-th anchor, positive (same group, other class) and negative
-    of every class, in row order, up to the smallest of the three lists and `max_triplet`.
-
-    The first `max_triplet` rows of each label hold all rows any list can use.
+    of every class, in row order, up to the smallest of the three lists, or `max_triplet` where it is given.
     """
-    few = top_k_per_group(df.select("gt", "feats", F.struct(*order).alias("o")), ["gt"], [F.col("o")], max_triplet).drop("rank")
+    rows = df.select("gt", "feats", F.struct(*order).alias("o"))
+    if max_triplet:  # the first rows of each label hold all that any list can use
+        rows = top_k_per_group(rows, ["gt"], [F.col("o")], max_triplet).drop("rank")
     group = {i: (lo, hi) for lo, hi in ranges for i in range(lo, hi)}
     role = lambda i: (F.when(F.col("gt") == i, "a").when((F.col("gt") >= group[i][0]) & (F.col("gt") < group[i][1]), "p").otherwise("n"))
-    uses = few.select("feats", "o", F.explode(F.array(*[F.struct(F.lit(i).alias("class_id"), role(i).alias("role"))
-                                                        for i in range(fine) if i != ignore])).alias("u"))
-    uses = uses.select("feats", "o", "u.*")
-    w = Window.partitionBy("class_id", "role").orderBy("o")
-    placed = uses.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= max_triplet)
+    uses = rows.select("feats", "o", F.explode(F.array(*[F.struct(F.lit(i).alias("class_id"), role(i).alias("role"))
+                                                         for i in range(fine) if i != ignore])).alias("u"))
+    placed = row_numbers(uses.select("feats", "o", "u.*"), [F.col("o")], ["class_id", "role"], "k")
+    if max_triplet:
+        placed = placed.filter(F.col("k") <= max_triplet)
     pick = lambda r: placed.filter(F.col("role") == r).select("class_id", "k", F.col("feats").alias(r))
     trio = pick("a").join(pick("p"), ["class_id", "k"]).join(pick("n"), ["class_id", "k"])
     gap = C.dot(F.col("a"), F.col("n")) - C.dot(F.col("a"), F.col("p")) + margin

@@ -213,16 +213,27 @@ def hierarchical_focal(spark, d):
     return one(J.hierarchical_bce(_hier(spark, d), [(0, 2), (2, 5), (5, 7)], 7, gamma=2.0))
 
 
-@query("j17_tree_triplet", """WITH e AS (SELECT vec_id AS id, label AS gt, embedding AS f, CASE WHEN label < 3 THEN 0 WHEN label < 7 THEN 1 ELSE 2 END AS grp FROM embeddings),
+_TRIPLET = """WITH e AS (SELECT vec_id AS id, label AS gt, embedding AS f, CASE WHEN label < 3 THEN 0 WHEN label < 7 THEN 1 ELSE 2 END AS grp FROM embeddings),
 u AS (SELECT k::INT AS class_id, CASE WHEN gt = k THEN 'a' WHEN grp = CASE WHEN k < 3 THEN 0 WHEN k < 7 THEN 1 ELSE 2 END THEN 'p' ELSE 'n' END AS role, id, f FROM e, range(10) t(k)),
 r AS (SELECT *, row_number() OVER (PARTITION BY class_id, role ORDER BY id) AS i FROM u),
 t AS (SELECT a.class_id, greatest(list_dot_product(a.f::DOUBLE[], n.f::DOUBLE[]) - list_dot_product(a.f::DOUBLE[], p.f::DOUBLE[]) + 0.6, 0) AS tl
   FROM r a JOIN r p ON p.class_id = a.class_id AND p.i = a.i AND p.role = 'p' JOIN r n ON n.class_id = a.class_id AND n.i = a.i AND n.role = 'n'
-  WHERE a.role = 'a' AND a.i <= 200)
-SELECT round(avg(l), 6) AS loss, count(*) AS class_count FROM (SELECT avg(tl) AS l FROM t GROUP BY class_id) z""")
+  WHERE a.role = 'a' AND a.i <= %d)
+SELECT round(avg(l), 6) AS loss, count(*) AS class_count FROM (SELECT avg(tl) AS l FROM t GROUP BY class_id) z"""
+
+
+def _triplet_rows(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("gt"), F.col("embedding").alias("feats"))
+
+
+@query("j17_tree_triplet", _TRIPLET % 200)
 def tree_triplet(spark, d):
-    feats = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("gt"), F.col("embedding").alias("feats"))
-    return one(J.tree_triplet(feats, [(0, 3), (3, 7), (7, 10)], 10, [F.col("id")]))
+    return one(J.tree_triplet(_triplet_rows(spark, d), [(0, 3), (3, 7), (7, 10)], 10, [F.col("id")], max_triplet=200))
+
+
+@query("j17_tree_triplet_all", _TRIPLET % 2**40)
+def tree_triplet_all(spark, d):
+    return one(J.tree_triplet(_triplet_rows(spark, d), [(0, 3), (3, 7), (7, 10)], 10, [F.col("id")]))
 
 
 @query("j18_sum_losses", f"""WITH {X.PIXEL_LOGITS}, {ROWS}, b AS (SELECT avg(CASE WHEN gt = 255 THEN 0 ELSE {BCE.format(x='v', t='(c = gt)::INT')} END) AS l FROM lg)

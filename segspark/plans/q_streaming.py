@@ -17,7 +17,7 @@ def _collected(spark, stream, mode="append"):
 def _latest(spark, stream, mode):
     """Result table of a complete- or update-mode query after its last micro-batch with rows."""
     target = new_scratch_path(spark, "out")
-    S.drain(stream, mode=mode, each=lambda df, i: df.write.mode("overwrite").parquet(f"{target}/batch={i}"))
+    S.drain(stream, mode=mode, each=lambda df, i: df.write.mode("overwrite").parquet(f"{target}/batch={i}"), checkpoint=f"{target}/_checkpoint")
     return S.latest_batch(spark, target)
 
 
@@ -64,6 +64,28 @@ def _events(spark, d):
     return S.read_table_stream(spark, d, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _in_batches(spark, d, repeats=False):
+    """Events in order of time as a stream of four files, one a trigger. With `repeats`, each file but the first
+    also brings again, a minute later, events of the file before it."""
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    cuts = events.select(F.percentile(F.unix_micros("ts"), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]))).first()[0]
+    quarter = sum((F.when(F.unix_micros("ts") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    folder = new_scratch_path(spark, "arrivals")
+    for k in range(4):
+        part = events.filter(quarter == k)
+        if repeats and k:
+            part = part.unionByName(events.filter(quarter == k - 1).withColumn("ts", F.col("ts") + F.expr("interval 1 minute")))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("p03_windows_append", """SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total, max(value) AS peak
+FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2""")
+def windows_append(spark, d):
+    out = _collected(spark, S.windowed_throughput(_in_batches(spark, d), "1 hour", keys=["event_type"]))
+    return out.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"), "peak")
+
+
 @query("p03_windows", """SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total, max(value) AS peak
 FROM events GROUP BY 1, 2""")
 def windows(spark, d):
@@ -91,10 +113,18 @@ def sessions(spark, d):
     return out.select("run", ntz("start"), ntz("stop"), "n")
 
 
+@query("p04_sessions_append", f"WITH {SESSIONS} SELECT run, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS stop, count(*) AS n FROM i GROUP BY run, s "
+       "HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def sessions_append(spark, d):
+    out = _collected(spark, S.run_sessions(_in_batches(spark, d).withColumnRenamed("user_id", "run"), "12 hours"))
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.select("run", ntz("start"), ntz("stop"), "n")
+
+
 @query("p05_step_carry", """SELECT user_id AS run, event_id AS line_no, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 0 ELSE event_id // 5 END AS raw_step,
   coalesce(last_value(CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE nullif(event_id // 5, 0) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0) AS step FROM events""")
 def step_carry(spark, d):
-    ev = _events(spark, d)
+    ev = _in_batches(spark, d)
     step = F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("bigint")).when(F.col("event_id") % 11 == 0, F.lit(0).cast("bigint")).otherwise(F.expr("event_id div 5"))
     lines = ev.select(F.col("user_id").alias("run"), F.col("event_id").alias("line_no"), F.to_json(F.struct(step.alias("step"), "value")).alias("line"))
     target = new_scratch_path(spark, "steps")
@@ -102,9 +132,11 @@ def step_carry(spark, d):
     return spark.read.parquet(f"{target}/rows").drop("batch")
 
 
-@query("p06_distinct_arrivals", "SELECT DISTINCT user_id, event_type FROM events")
+@query("p06_distinct_arrivals", "SELECT event_id, user_id, event_type FROM events")
 def arrivals(spark, d):
-    return _collected(spark, S.distinct_arrivals(_events(spark, d), ["user_id", "event_type"]).select("user_id", "event_type"))
+    """Each event once, though most arrive again in the next file."""
+    first = S.distinct_arrivals(_in_batches(spark, d, repeats=True), ["event_id"])
+    return _collected(spark, first.select("event_id", "user_id", "event_type"))
 
 
 @query("p07_class_join", f"""WITH {X.PIXELS}, c AS (SELECT DISTINCT p_size % 6 AS class_id, 'class_' || (p_size % 6) AS class_name FROM part)

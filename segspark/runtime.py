@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +38,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+_scopes: list[list[str]] = []
+
+
 def new_scratch_path(spark: SparkSession, kind: str) -> str:
-    return f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope():
+    """Removes, at its end, the tables that operators wrote inside.
+
+    Results that still read them must be written or counted before that.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            store, place = fs.FileSystem.from_uri(path)
+            if store.get_file_info(place).type == fs.FileType.Directory:
+                store.delete_dir(place)
 
 
 def materialize(df: DataFrame) -> DataFrame:

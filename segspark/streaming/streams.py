@@ -8,14 +8,15 @@ also how a scheduled incremental job runs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segspark.functions.prefix import carry_forward
 from segspark.operators import logs, metrics
 from segspark.operators.predict import apply_model
-from segspark.runtime import broadcast_if_small, materialize, new_scratch_path
+from segspark.runtime import broadcast_if_small, materialize
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -30,10 +31,15 @@ def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_tri
 def drain(stream: DataFrame, target: str | None = None, mode: str = "append", each: Callable | None = None,
           checkpoint: str | None = None):
     """Process what is available and stop; returns the finished query. Rows go to parquet under `target`,
-    or each micro-batch to `each(df, batch_id)`."""
-    spark = stream.sparkSession
+    or each micro-batch to `each(df, batch_id)`.
+
+    The checkpoint is `<target>/_checkpoint` or the folder given, so a second run with the same one goes on
+    where the first stopped. One of the two is required.
+    """
+    if not (target or checkpoint):
+        raise ValueError("a target or a checkpoint folder is required")
     writer = (stream.writeStream.outputMode(mode).trigger(availableNow=True)
-              .option("checkpointLocation", checkpoint or new_scratch_path(spark, "stream")))
+              .option("checkpointLocation", checkpoint or f"{target}/_checkpoint"))
     query = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", target).start()
     query.awaitTermination()
     return query
@@ -51,11 +57,11 @@ def running_pairs(pixels: DataFrame, ignore: int = 255) -> DataFrame:
 
 def running_class_metrics(pixels: DataFrame, num_classes: int, target: str, names: list[str] | str = "mIoU") -> None:
     """After each micro-batch the per-class metrics so far go to <target>/batch=<id>; a repeated batch
-    overwrites its own folder."""
+    overwrites its own folder, a later run goes on from <target>/_checkpoint."""
     def each(pairs: DataFrame, batch_id: int) -> None:
         area = metrics.areas(pairs, num_classes)
         metrics.class_metrics(area, names).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-    drain(running_pairs(pixels), mode="complete", each=each)
+    drain(running_pairs(pixels), mode="complete", each=each, checkpoint=f"{target}/_checkpoint")
 
 
 def latest_batch(spark: SparkSession, target: str) -> DataFrame:
@@ -85,13 +91,19 @@ def late_rows(query) -> int:
     return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
-def carry_steps(lines: DataFrame, target: str) -> None:
+#: Every so many batches the steps of all runs are written anew, so that reading the state stays bounded.
+COMPACT_EVERY = 16
+
+
+def carry_steps(lines: DataFrame, target: str, checkpoint: str | None = None) -> None:
     """Step filling over a stream of JSON log lines (run, line_no, line), lines of a run arriving in order.
 
     Each micro-batch fills its own gaps with the range-partitioned carry, so a
-    run that dominates the batch is still spread out; the last step per run of
-    all batches so far is kept under <target>/state and seeds the next batch.
-    Output goes to <target>/rows, one folder per batch.
+    run that dominates the batch is still spread out, beginning with the last
+    steps of its runs in earlier batches. A batch writes its rows to
+    <target>/rows/batch=<id> and the last steps of the runs it touched to
+    <target>/state/batch=<id>; a repeated batch overwrites its own folders. A
+    later run goes on from the checkpoint, by default <target>/_checkpoint.
     """
     spark = lines.sparkSession
 
@@ -99,23 +111,31 @@ def carry_steps(lines: DataFrame, target: str) -> None:
         parsed = logs.parse_lines(batch).select("run", "line_no", "raw_step")
         own = parsed.withColumn("step", F.when(F.col("raw_step") != 0, F.col("raw_step"))).withColumn("fresh", F.lit(1))
         before = _state(spark, target, batch_id)
-        seed = None if before is None else before.select("run", F.lit(-1).cast("bigint").alias("line_no"),
-                                                          F.lit(None).cast("bigint").alias("raw_step"), "step", F.lit(0).alias("fresh"))
-        whole = own if seed is None else own.unionByName(seed)
+        whole = own
+        if before is not None:
+            seed = before.join(own.select("run").distinct(), "run", "left_semi")
+            whole = own.unionByName(seed.select("run", F.lit(-1).cast("bigint").alias("line_no"), F.lit(None).cast("bigint").alias("raw_step"),
+                                                "step", F.lit(0).alias("fresh")))
         filled = materialize(carry_forward(whole, ["fresh", "line_no"], "step", ["run"]))
         rows = filled.filter("fresh = 1").select("run", "line_no", "raw_step", F.coalesce("step", F.lit(0).cast("bigint")).alias("step"))
         rows.write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
         last = filled.filter("step is not null").groupBy("run").agg(F.max_by("step", F.struct("fresh", "line_no")).alias("step"))
+        if before is not None and batch_id % COMPACT_EVERY == 0:
+            last = last.unionByName(before.join(last.select("run"), "run", "left_anti"))
         last.write.mode("overwrite").parquet(f"{target}/state/batch={batch_id}")
 
-    drain(lines, each=each)
+    drain(lines, each=each, checkpoint=checkpoint or f"{target}/_checkpoint")
 
 
 def _state(spark: SparkSession, target: str, batch_id: int) -> DataFrame | None:
-    """Last steps written by the batch before; None for the first."""
+    """(run, step): last steps of all runs before a batch; None for the first. The last compacted batch has
+    every run up to it, the batches since then those they touched."""
     if batch_id == 0:
         return None
-    return spark.read.schema("run bigint, step bigint").parquet(f"{target}/state/batch={batch_id - 1}")
+    since = (batch_id - 1) // COMPACT_EVERY * COMPACT_EVERY
+    parts = [spark.read.schema("run bigint, step bigint").parquet(f"{target}/state/batch={k}").withColumn("batch", F.lit(k))
+             for k in range(since, batch_id)]
+    return reduce(DataFrame.unionByName, parts).groupBy("run").agg(F.max_by("step", "batch").alias("step"))
 
 
 def distinct_arrivals(samples: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
@@ -127,9 +147,3 @@ def with_class_names(stream: DataFrame, classes: DataFrame, column: str = "gt")
     """Stream rows with the name of their class from a static table."""
     side = classes.select(F.col("class_id").alias(column), "class_name")
     return stream.join(broadcast_if_small(side), column, "left")
-
-
-def metric_curve(series: DataFrame, size: str, metric: Column) -> DataFrame:
-    """Mean metric per run and window, for live curves."""
-    return (series.withWatermark("ts", "10 minutes").groupBy("run", F.window("ts", size).alias("w"))
-            .agg(F.avg(metric).alias("mean")).select("run", F.col("w.start").alias("start"), "mean"))

@@ -45,9 +45,7 @@ def test_carry_forward(spark, partitions):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [0, P.ONE_TASK_ROWS])
-def test_kth_smallest(spark, monkeypatch, limit):
-    monkeypatch.setattr(P, "ONE_TASK_ROWS", limit)
+def test_kth_smallest(spark):
     rnd = random.Random(3)
     values = [rnd.choice([0.25, 0.5, rnd.random(), rnd.random() * 1e-6]) for _ in range(2000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")

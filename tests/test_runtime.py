@@ -50,3 +50,16 @@ def test_no_forbidden_calls_in_the_library():
         assert word not in text, word
     # Drivers only see counts, scalars and error samples.
     assert len(re.findall(r"\.collect\(\)", text)) <= 1
+
+
+def test_scope_removes_what_operators_wrote(spark, tmp_path):
+    from segspark.functions import prefix
+    folder = pathlib.Path(re.sub("^file:(//)?", "", R.scratch_dir(spark)))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    kept = R.materialize(spark.range(3))
+    with R.scratch_scope():
+        out = prefix.row_numbers(spark.range(50), [F.col("id")])
+        out.write.parquet(str(tmp_path / "out"))
+        assert len(set(folder.iterdir()) - before) > 1
+    assert len(set(folder.iterdir()) - before) == 1 and kept.count() == 3
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 50

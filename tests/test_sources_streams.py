@@ -110,6 +110,31 @@ def test_step_carry_over_batches(spark, tmp_path):
     assert got == want
 
 
+def test_step_carry_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "COMPACT_EVERY", 2)
+    src, schema, target = str(tmp_path / "log"), "run bigint, line_no bigint, line string", str(tmp_path / "out")
+    want = {}
+    for i in range(6):  # run 1 is touched by every batch, run 2 by the first and the last only
+        rows = [(1, i, json.dumps({"step": i + 1} if i % 2 == 0 else {}))]
+        want[1, i] = i + 1 if i % 2 == 0 else i
+        if i in (0, 5):
+            rows.append((2, i, json.dumps({"step": 7} if i == 0 else {})))
+            want[2, i] = 7
+        put(spark, tmp_path, "log", rows, schema)
+        T.carry_steps(spark.readStream.schema(schema).parquet(src), target)
+    out = spark.read.parquet(f"{target}/rows")
+    assert {(r["run"], r["line_no"]): r["step"] for r in out.collect()} == want
+    assert out.count() == len(want) and out.select("batch").distinct().count() == 6
+    state = spark.read.parquet(f"{target}/state").groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in state} == {0: 2, 1: 1, 2: 2, 3: 1, 4: 2, 5: 2}
+
+
+def test_drain_needs_a_place_for_its_checkpoint(spark, tmp_path):
+    put(spark, tmp_path, "x", [(1,)], "a int")
+    with pytest.raises(ValueError):
+        T.drain(spark.readStream.schema("a int").parquet(str(tmp_path / "x")), each=lambda df, i: None)
+
+
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     schema = "ts timestamp, value double"
     import datetime as dt
