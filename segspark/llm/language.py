@@ -48,12 +48,12 @@ _SCRIPT_OF = np.array([NAMES.index(name) for _, name in SCRIPTS])
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, and its lower case (itself unless that is one character)."""
-    chars = [chr(c) for c in range(0x110000)]
+    every = range(0x110000)
     low = np.arange(0x110000, dtype=np.uint32)
-    for c in np.flatnonzero(np.fromiter((x.isupper() or x.istitle() for x in chars), bool, 0x110000)):
-        if len(chars[c].lower()) == 1:
-            low[c] = ord(chars[c].lower())
-    return np.fromiter(map(str.isalpha, chars), bool, 0x110000), low
+    for c in np.flatnonzero(np.fromiter((x.isupper() or x.istitle() for x in map(chr, every)), bool, 0x110000)).tolist():
+        if len(chr(c).lower()) == 1:
+            low[c] = ord(chr(c).lower())
+    return np.fromiter(map(str.isalpha, map(chr, every)), bool, 0x110000), low
 
 
 class LetterWords(NamedTuple):

@@ -29,7 +29,7 @@ from segspark.llm.textarrays import SPACE, U64, sliced, texts_of, word_hashes, w
 from segspark.runtime import materialize
 
 #: Bytes of text in a block, but for a longer single text.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 12 << 20
 #: Share of training tokens from which a word is a state.
 FREQUENT = 1e-4
 DISCOUNT = 0.75

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segspark.llm.batches import small_batches
 from segspark.llm.bitmaps import bit_map, in_map
 from segspark.llm.components import connected
 from segspark.llm.textarrays import U64, mix, runs_of, shingle_sets, sliced, texts_of
@@ -287,25 +288,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay or go together. A row without an id takes part in links; it is kept
     only if its component has no id at all. Runs jobs while it is built.
     """
-    rows = materialize(_features(docs, id_col, text_col))
-    # Equal sets are one class, represented by its smallest id; NULL ids come last.
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "rk"))
-    classes = materialize(rows.filter("n_shingles > 0").groupBy("k1", "k2")
-                          .agg(first.alias("first"), F.min("n_shingles").alias("n"), F.min("minima").alias("minima"),
-                               F.min("signature").alias("signature"))
-                          .select("k1", "k2", "n", "minima", "signature", F.col("first.id").alias("id"), F.col("first.rk").alias("rk"))
-                          .withColumn("cid", F.monotonically_increasing_id()))
-    postings = materialize(_postings(classes))
-
-    def sets_of(wanted):
-        return _sets(wanted, classes, docs, id_col, text_col)
-
-    edges = materialize(_confirmed(materialize(_star_pairs(postings, classes)), sets_of))
-    joined = materialize(connected(edges))
-    pairs, crowded, open_ = _cross_pairs(postings, classes, joined)
-    more = materialize(_confirmed(pairs, sets_of).unionByName(_confirmed_in_place(crowded, open_, sets_of)))
-    if not more.isEmpty():
-        joined = connected(edges.unionByName(more))
+    with small_batches(docs.sparkSession):
+        rows = materialize(_features(docs, id_col, text_col))
+        # Equal sets are one class, represented by its smallest id; NULL ids come last.
+        first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "rk"))
+        classes = materialize(rows.filter("n_shingles > 0").groupBy("k1", "k2")
+                              .agg(first.alias("first"), F.min("n_shingles").alias("n"), F.min("minima").alias("minima"),
+                                   F.min("signature").alias("signature"))
+                              .select("k1", "k2", "n", "minima", "signature", F.col("first.id").alias("id"), F.col("first.rk").alias("rk"))
+                              .withColumn("cid", F.monotonically_increasing_id()))
+        postings = materialize(_postings(classes))
+
+        def sets_of(wanted):
+            return _sets(wanted, classes, docs, id_col, text_col)
+
+        edges = materialize(_confirmed(materialize(_star_pairs(postings, classes)), sets_of))
+        joined = materialize(connected(edges))
+        pairs, crowded, open_ = _cross_pairs(postings, classes, joined)
+        more = materialize(_confirmed(pairs, sets_of).unionByName(_confirmed_in_place(crowded, open_, sets_of)))
+        if not more.isEmpty():
+            joined = materialize(connected(edges.unionByName(more)))
     member = classes.join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = member.groupBy("component").agg(F.min("id").alias("component_id"))
     named = member.join(least, "component").select("k1", "k2", "component_id")
