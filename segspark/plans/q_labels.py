@@ -30,7 +30,7 @@ def reduce_zero(spark, d):
     return X.pixels(spark, d).select("sample_id", "y", "x", L.reduce_zero_label(F.col("gt")).alias("gt"))
 
 
-def _map_df(spark, d, limit=50):
+def _map_df(spark, d):
     """(old_id, new_id) for the label ids that occur as part sizes: swaps 1 and 2, drops 3."""
     ids = table(spark, d, "part").select((F.col("p_size") % 6).cast("int").alias("old_id")).distinct()
     return ids.filter("old_id in (1, 2, 3)").withColumn(
