@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 #: Byte b is the character of this code plus b: no character of the map is a space or a control.
 BYTE_ZERO = 0x100
 #: Different pre-tokens that a worker remembers with their ids before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Characters of texts that are encoded at a time; a longer text goes in parts of as many pre-tokens.
 AT_A_TIME = 500_000
 
@@ -256,6 +256,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: s
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(byte_sums, pa.string())],
                 names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forms.clear()  # the process goes on to other work
 
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
