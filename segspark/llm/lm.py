@@ -1,21 +1,22 @@
 """Language-model scores by a weighted backoff automaton over word bigrams.
 
-States are the root and one for each frequent word (at least `FREQUENT` of all
-training tokens, so at most 1 / FREQUENT of them). An arc from a state takes a
-frequent word that followed it in training, with an absolutely discounted
+States are the root and one for each word of the training rows. An arc from a
+state takes a word that followed it in training, with an absolutely discounted
 probability; the failure arc goes to the root with the backoff weight that makes
 the state's probabilities sum to one. The root's arcs are the add-one unigrams
 of every word. A text is read once, left to right: the state after a word is
-the word's own, or the root.
-
-The counts grow with the corpus and are never gathered in one place. Rows are
-scored in blocks of bounded size; each block asks for the counts of the words
-and bigrams that occur in it, and gets the part of the automaton that it needs.
+the word's own, or the root where training never saw it.
+
+The counts and failure weights grow with the corpus and are never gathered in
+one place. Rows are scored in blocks of bounded size; each block asks for the
+counts of the words and bigrams that occur in it, and for the failure weights of
+the states it leaves that way, and gets the part of the automaton that it needs.
+It counts its own training rows itself, so only counts that other blocks add to
+are sent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -25,16 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from segspark.llm.textarrays import SPACE, U64, sliced, texts_of, word_hashes, words_of
+from segspark.llm.textarrays import SPACE, U64, mix, sliced, texts_of, word_hashes, words_of
 from segspark.runtime import materialize
 
 #: Bytes of text in a block, but for a longer single text.
 BLOCK_BYTES = 12 << 20
-#: Share of training tokens from which a word is a state.
-FREQUENT = 1e-4
+#: Share of training tokens from which a word is a state: none is too rare.
+FREQUENT = 0.0
 DISCOUNT = 0.75
 #: Stands for the end of a text.
 END = U64(0x5DEECE66D1CE4E5B)
+_PAIR = U64(0xD1B54A32D192ED03)
 
 
 class Tokens(NamedTuple):
@@ -53,33 +55,13 @@ def tokens_of(column) -> Tokens:
     return Tokens(out, first)
 
 
-class States(NamedTuple):
-    """Frequent words by hash, in order, their training counts and the logarithms of their failure weights."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    failure: np.ndarray
-    tokens: int  # N
-    kinds: int  # V
-
-    def of(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of the state of each token, -1 for the root."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
-
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1.0) / (self.tokens + 1.0 * (self.kinds + 1)))
-
-
-def bigrams_of(tokens: Tokens, states: States) -> np.ndarray:
-    """For each token the number of (state before, frequent word), -1 where either is missing."""
-    here = states.of(tokens.hashes)
-    before = np.full(len(here), -1)
-    before[1:] = here[:-1]
-    before[tokens.first[:-1]] = -1
-    return np.where((before >= 0) & (here >= 0), before * len(states.hashes) + here, -1)
+def bigrams_of(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the hash of the one before and itself, and whether there is one before it in its text."""
+    out = np.zeros(len(tokens.hashes), np.uint64)
+    out[1:] = mix(tokens.hashes[:-1] * _PAIR + tokens.hashes[1:])
+    follows = np.ones(len(out), bool)
+    follows[tokens.first[:-1]] = False
+    return out, follows
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
@@ -94,22 +76,24 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataF
     return rows.select(F.xxhash64("split", F.pmod(F.xxhash64("id", "text"), F.lit(parts))).alias("block"), "id", "text", "train")
 
 
-def _asked(blocks: DataFrame, states: States | None) -> DataFrame:
-    """(block, h, n): what occurs in the rows of a block that a task sees, and how often in its training rows."""
-    shared = blocks.sparkSession.sparkContext.broadcast(states)  # at most 1 / FREQUENT words
+def _asked(blocks: DataFrame, pairs: bool) -> DataFrame:
+    """(block, h, n): the words or bigrams in the rows of a block, and how often each is in its training rows.
+
+    A block lies in one split, so it has one row for each of them.
+    """
 
     def count(batches):
         # The rows of a split come together, so a task keeps the distinct items of its few blocks.
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in sliced(batches, "text"):
             tokens = tokens_of(batch.column(1))
-            value = tokens.hashes.view(np.int64) if shared.value is None else bigrams_of(tokens, shared.value)
+            value, use = bigrams_of(tokens) if pairs else (tokens.hashes, np.ones(len(tokens.hashes), bool))
             lengths = np.diff(tokens.first)
             block = np.repeat(batch.column(0).to_numpy(), lengths)
             train = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
             for b in np.unique(batch.column(0).to_numpy()).tolist():
-                mine = (block == b) & ((value >= 0) if shared.value is not None else True)
-                items, where = np.unique(value[mine], return_inverse=True)
+                mine = (block == b) & use
+                items, where = np.unique(value[mine].view(np.int64), return_inverse=True)
                 held.setdefault(b, []).append((items, np.bincount(where, train[mine], len(items)).astype(np.int64)))
                 if len(held[b]) > 8:
                     held[b] = [_merged(held[b])]
@@ -129,69 +113,66 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _answered(asked: DataFrame) -> DataFrame:
-    """(block, h, c, one): the count over all blocks for each block that asked; `one` marks one row of each item.
+    """(block, h, n, c, one): the count over all blocks for each block that asked; `one` marks one row of each item.
 
-    An item has a row for each block it occurs in, however often that is.
+    An item has a row for each block it occurs in, however often that is. Where
+    one block counted all of them, its row is the marked one.
     """
     every = Window.partitionBy("h")
-    return materialize(asked.select("block", "h", F.sum("n").over(every).alias("c"),
-                                    (F.row_number().over(every.orderBy("block")) == 1).alias("one")))
-
-
-def _fitted(words: DataFrame, bigrams_asked, frequent: float) -> tuple[States, DataFrame]:
-    known = words.filter("one and c > 0")
-    tokens, kinds = known.agg(F.sum("c"), F.count(F.lit(1))).first()
-    tokens = tokens or 0
-    # At most 1 / frequent words reach the required share.
-    top = known.filter(F.col("c") >= max(frequent * tokens, 1)).select("h", "c").toArrow()
-    hashes, counts = top.column("h").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    order = np.argsort(hashes)
-    states = States(hashes[order], counts[order], np.zeros(len(order)), tokens, kinds)
-    bigrams = _answered(bigrams_asked(states))
-    if len(order):
-        shared = words.sparkSession.sparkContext.broadcast(10 ** states.unigram(states.counts))
-
-        def sums(batches):
-            for batch in batches:
-                h = batch.column(0).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h // len(shared.value)), pa.array(batch.column(1).to_numpy() - DISCOUNT),
-                     pa.array(shared.value[h % len(shared.value)])], names=["state", "kept", "below"])
-
-        # One row for each state reaches the driver.
-        part = (bigrams.filter("one and c > 0").select("h", "c").mapInArrow(sums, "state long, kept double, below double")
-                .groupBy("state").agg(F.sum("kept").alias("kept"), F.sum("below").alias("below")).toArrow())
-        kept, below = np.zeros(len(order)), np.zeros(len(order))
-        at = part.column("state").to_numpy()
-        kept[at], below[at] = part.column("kept").to_numpy(), part.column("below").to_numpy()
-        left = 1 - kept / np.maximum(states.counts, 1)
-        states = states._replace(failure=np.log10(np.maximum(left, 1e-12) / np.maximum(1 - below, 1e-12)))
-    return states, bigrams
-
-
-def walk(tokens: Tokens, states: States, words: tuple[np.ndarray, np.ndarray], arcs: tuple[np.ndarray, np.ndarray]):
-    """(known, unigram, weight) of each token: its training count is not 0; its add-one term; the weight of
-    the arc taken from the state before it, or of the failure arc and the root's arc.
-
-    `words` and `arcs` are (sorted numbers, training counts) that hold all of the texts' words and bigrams.
-    """
-    count = words[1][np.searchsorted(words[0], tokens.hashes.view(np.int64))]
-    unigram = states.unigram(count)
-    here = states.of(tokens.hashes)
-    state = np.full(len(here), -1)  # after the tokens so far
-    state[1:] = here[:-1]
-    state[tokens.first[:-1]] = -1
-    weight = unigram + np.where(state >= 0, states.failure[state] if len(states.failure) else 0.0, 0.0)
-    steps = np.flatnonzero((state >= 0) & (here >= 0))
-    if len(steps):
-        follows = arcs[1][np.searchsorted(arcs[0], state[steps] * len(states.hashes) + here[steps])]
-        taken, follows = steps[follows > 0], follows[follows > 0]
-        weight[taken] = np.log10((follows - DISCOUNT) / states.counts[state[taken]])
-    return count > 0, unigram, weight
-
-
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", stored: bool = False,
-                    frequent: float = FREQUENT) -> DataFrame:
+    return asked.select("block", "h", "n", F.sum("n").over(every).alias("c"),
+                        (F.row_number().over(every.orderBy(F.desc("n"), "block")) == 1).alias("one"))
+
+
+class Counted(NamedTuple):
+    """Distinct items of a block."""
+
+    count: np.ndarray  # in all training rows
+    one: np.ndarray  # whether this block is the one that tells of the item
+    at: np.ndarray  # a place where the item occurs
+    item: np.ndarray  # the item of each place
+
+
+def counted(items: np.ndarray, train: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Counted:
+    """`items` of a block, of which `train` are its training rows'; `known` are (item, count, one) that other blocks add to."""
+    value, at, item = np.unique(items, return_index=True, return_inverse=True)
+    count = np.bincount(item, train, len(value)).astype(np.int64)
+    one = count > 0
+    to = np.searchsorted(value, known[0])
+    count[to], one[to] = known[1], known[2]
+    return Counted(count, one, at, item)
+
+
+class Walk(NamedTuple):
+    known: np.ndarray  # for each token: whether training saw it
+    unigram: np.ndarray  # its add-one term
+    weight: np.ndarray  # that of the arc taken, or of the root's arc after a failure arc
+    failed: np.ndarray  # whether the failure arc of the state before is taken: its weight is to be added
+    state: np.ndarray  # states that this block tells of, by hash
+    count: np.ndarray  # their training counts
+    arcs: np.ndarray  # how many of their arcs it tells of
+    below: np.ndarray  # sum of the unigram probabilities of those
+
+
+def walk(tokens: Tokens, train: np.ndarray, words, pairs, total: int, kinds: int) -> Walk:
+    """The automaton over the texts of a block but for the failure weights, and what the block adds to these."""
+    word = counted(tokens.hashes.view(np.int64), train, words)
+    count = word.count[word.item]
+    unigram = np.log10((count + 1.0) / (total + 1.0 * (kinds + 1)))
+    value, follows = bigrams_of(tokens)
+    here = np.flatnonzero(follows)
+    pair = counted(value[here].view(np.int64), train[here], pairs)
+    times = pair.count[pair.item]
+    weight, failed = unigram.copy(), np.zeros(len(count), bool)
+    taken = times > 0
+    weight[here[taken]] = np.log10((times[taken] - DISCOUNT) / count[here[taken] - 1])
+    failed[here] = ~taken & (count[here - 1] > 0)
+    told = here[pair.at[pair.one & (pair.count > 0)]]
+    state, first, item = np.unique(tokens.hashes[told - 1].view(np.int64), return_index=True, return_inverse=True)
+    return Walk(count > 0, unigram, weight, failed, state, count[told - 1][first], np.bincount(item, minlength=len(state)),
+                np.bincount(item, 10 ** unigram[told], len(state)))
+
+
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each row; counts from the rows where `train` is true.
 
     base_score is the sum of add-one unigram log10 probabilities, score that of
@@ -206,33 +187,63 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     if not stored:
         docs, train = materialize(docs.select(id_col, text_col, train.alias("train"))), F.col("train")
     blocks = _blocks(docs, id_col, text_col, train)
-    words = _answered(_asked(blocks, None))
-    states, bigrams = _fitted(words, lambda s: _asked(blocks, s), frequent)
-    shared = docs.sparkSession.sparkContext.broadcast(states)
-    parts = words.select("block", F.lit(1).alias("order"), "h", "c").unionByName(
-        bigrams.select("block", F.lit(2).alias("order"), "h", "c"))
-
-    def score(key, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        held = []
-        for order in (1, 2):
-            mine = counts.filter(pa.compute.equal(counts.column("order"), order))
-            h, c = mine.column("h").to_numpy(), mine.column("c").to_numpy()
-            rank = np.argsort(h)
-            held.append((h[rank], c[rank]))
-        return pa.Table.from_batches(list(_scored(texts, shared.value, *held)), schema=out_schema)
-
-    def _scored(texts: pa.Table, states: States, words, arcs) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(texts.to_batches(), "text"):
-            tokens = tokens_of(batch.column(2))
-            known, unigram, weight = walk(tokens, states, words, arcs)
-            sums = [np.add.reduceat(x, tokens.first[:-1]) for x in (known.astype(np.int64), unigram, weight)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), pa.array(np.diff(tokens.first).astype(np.int64)), pa.array(sums[0]),
-                 pa.array(np.full(batch.num_rows, states.tokens, np.int64)), pa.array(sums[1]), pa.array(sums[2])], schema=out_schema)
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()),
-                           T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
-                           T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    out_schema = pa.schema([pa.field(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.float64()) for f in schema])
-    out_schema = out_schema.set(0, pa.field(id_col, to_arrow_type(schema[0].dataType)))
-    return (blocks.select("block", "id", "text").groupBy("block").cogroup(parts.groupBy("block")).applyInArrow(score, schema))
+    words = materialize(_answered(_asked(blocks, False)))
+    total, kinds = words.filter("one and c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
+    total = total or 0
+    # A block knows the counts that no other adds to. Count, mark and kind go as one number.
+    wanted, pairs = ((x.filter("c <> n").select("block", "h", (F.col("c") * 4 + F.col("one").cast("int") * 2 + kind).alias("told")))
+                     for kind, x in enumerate((words, _answered(_asked(blocks, True)))))
+    wanted = wanted.unionByName(pairs)
+    id_type = docs.schema[id_col].dataType
+    long, double = T.LongType(), T.DoubleType()
+    schema = T.StructType([T.StructField("block", long), T.StructField("id", id_type), T.StructField("n_tokens", long), T.StructField("n_known", long),
+                           T.StructField("base", double), T.StructField("score", double), T.StructField("failed", T.ArrayType(long)),
+                           T.StructField("h", long), T.StructField("n", long), T.StructField("arcs", long), T.StructField("below", double)])
+    walked_schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def read(key, texts: pa.Table, counts: pa.Table) -> pa.Table:
+        h, told = counts.column("h").to_numpy(), counts.column("told").to_numpy()
+        known = [(h[mine], told[mine] >> 2, told[mine] & 2 > 0) for mine in (told & 1 == 0, told & 1 == 1)]
+        parts = [tokens_of(batch.column(2)) for batch in sliced(texts.to_batches(), "text")]
+        if not parts:
+            return walked_schema.empty_table()
+        lengths = np.concatenate([np.diff(p.first) for p in parts])
+        tokens = Tokens(np.concatenate([p.hashes for p in parts]), np.concatenate([[0], np.cumsum(lengths)]))
+        train_ = np.repeat(texts.column("train").to_numpy().astype(np.int64), lengths)
+        got = walk(tokens, train_, *known, total, kinds)
+        sums = [np.add.reduceat(x, tokens.first[:-1]) for x in (got.known.astype(np.int64), got.unigram, got.weight)]
+        places = np.flatnonzero(got.failed)
+        failed = pa.ListArray.from_arrays(pa.array(np.searchsorted(places, tokens.first).astype(np.int32)),
+                                          pa.array(tokens.hashes[places - 1].view(np.int64)))
+        n, m = len(lengths), len(got.state)
+        b = key[0].as_py()
+        rows = [np.full(n, b), texts.column("id").combine_chunks(), lengths.astype(np.int64), *sums, failed, *[pa.nulls(n)] * 4]
+        told = [np.full(m, b), *[pa.nulls(m)] * 6, got.state, got.count, got.arcs.astype(np.int64), got.below]
+        return pa.concat_tables([pa.Table.from_arrays([(x if isinstance(x, pa.Array | pa.ChunkedArray) else pa.array(x)).cast(f.type)
+                                                       for x, f in zip(columns, walked_schema)], schema=walked_schema) for columns in (rows, told)])
+
+    walked = materialize(blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(read, schema))
+    rows, told = walked.filter("n_tokens IS NOT NULL").drop("h", "n", "arcs", "below"), walked.filter("h IS NOT NULL")
+    # A training token has one successor, so the discounted shares of a state sum to 1 - DISCOUNT * arcs / n.
+    left, rest = F.col("arcs") * DISCOUNT / F.col("n"), 1 - F.col("below")
+    failure = (told.groupBy("h").agg(F.max("n").alias("n"), F.sum("arcs").alias("arcs"), F.sum("below").alias("below"))
+               .select("h", F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(rest, F.lit(1e-12))).alias("failure")))
+    open_ = rows.filter(F.size("failed") > 0)
+    weights = materialize(open_.select("block", F.explode("failed").alias("h")).distinct().join(failure, "h").select("block", "h", "failure"))
+    scored_schema = pa.schema([f for f in walked_schema if f.name in ("id", "n_tokens", "n_known", "base", "score")])
+
+    def add(key, texts: pa.Table, weights: pa.Table) -> pa.Table:
+        h, weight = weights.column("h").to_numpy(), weights.column("failure").to_numpy()
+        order = np.argsort(h)
+        h, weight = h[order], weight[order]
+        lists = texts.column("failed").combine_chunks()
+        more = weight[np.searchsorted(h, lists.flatten().to_numpy())]
+        lengths = pa.compute.list_value_length(lists).to_numpy()
+        more = np.bincount(np.repeat(np.arange(len(lengths)), lengths), more, len(lengths))
+        score = pa.array(texts.column("score").to_numpy() + more)
+        return pa.Table.from_arrays([texts.column(c) if c != "score" else score for c in scored_schema.names], schema=scored_schema)
+
+    added = open_.groupBy("block").cogroup(weights.groupBy("block")).applyInArrow(add, T.StructType([schema[c] for c in scored_schema.names]))
+    every = rows.filter(F.size("failed") == 0).select(scored_schema.names).unionByName(added)
+    return every.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+                        F.col("base").alias("base_score"), "score")

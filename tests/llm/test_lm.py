@@ -66,3 +66,12 @@ def test_odd_rows_and_small_blocks(spark, monkeypatch):
     compare(lm.score_documents(docs, train), rows, plain(rows, [k not in (None, 41) for k, *_ in rows])[0])
     compare(lm.score_documents(docs, F.lit(False)), rows, plain(rows, [False] * len(rows))[0])
     assert lm.score_documents(docs.limit(0), train).count() == 0
+
+
+def test_bigrams_of_rare_words_are_arcs(spark):
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(1000))) for k in range(30)]
+    rows += [(50, "w3x7 w3x8 w4x9 new w5x1 w5x2"), (51, "w5x2 w5x1")]
+    train = [k < 50 for k, _ in rows]
+    want, (states, arcs, *_) = plain(rows, train, frequent=0)
+    assert len(states) == 30_001 and len(arcs) == 30_000
+    compare(lm.score_documents(documents(spark, rows), F.col("doc_id") < 50), rows, want)
