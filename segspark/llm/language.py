@@ -281,7 +281,10 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
 
     def sift(batches):
         for batch in sliced(batches, text_col):
-            known = [name != UNKNOWN for name in identify(texts_of(batch.column(place)), shared.value).language]
-            yield batch.filter(pa.array(known, pa.bool_()))
+            verdict = identify(texts_of(batch.column(place)), shared.value)
+            # Without any language to tell apart, a text with letters still has one.
+            known = [name != UNKNOWN or (not shared.value.languages and some) for name, some in
+                     zip(verdict.language, np.diff(verdict.words.first).tolist())]
+            yield batch.filter(pa.array([bool(x) for x in known], pa.bool_()))
 
     return docs.mapInArrow(sift, docs.schema)

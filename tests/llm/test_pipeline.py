@@ -102,3 +102,11 @@ def test_odd_rows_pass_every_stage(spark, rows):
             assert out.columns == docs.columns
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert len(rows_of(docs)) <= len(rows)
+
+
+def test_without_labels_the_language_stage_drops_texts_without_letters_only(spark):
+    rows = [(20, "plain words"), (21, "12 34"), (22, None), (23, "日本"), (24, "")]
+    docs = documents(spark, rows)  # lang is NULL throughout
+    assert sorted(r["doc_id"] for r in rows_of(pipeline.identify_language(spark, docs, D))) == [20, 23]
+    labelled = documents(spark, [*rows, (25, "99", "en")])  # the only labelled row has no letters
+    assert sorted(r["doc_id"] for r in rows_of(pipeline.identify_language(spark, labelled, D))) == [20, 23]
