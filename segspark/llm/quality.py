@@ -16,12 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segspark.llm.bitmaps import bit_map, in_map
 from segspark.llm.textarrays import (BYTES_AS_IS, PUNCTUATION, SPACE, U64, Texts, gram_hashes, grams_inside, mix, sliced,
                                      texts_of, word_hashes, words_of)
 
 BITS = 16
-#: Trusted rows that the target is fitted to at most, taken in the order of a hash of the id.
-TRUSTED_ROWS = 50_000
 #: Pseudo-count of each bucket.
 ALPHA = 1.0
 #: Score (nats per n-gram) from which a document passes.
@@ -116,32 +115,36 @@ class Ratio(NamedTuple):
 
 
 def fit_ratio(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              trusted_rows: int = TRUSTED_ROWS, bits: int = BITS) -> Ratio:
+              bits: int = BITS) -> Ratio:
     """Multinomials of all rows of `docs` and of those whose id is in `trusted` (one id column).
 
-    The target is a bounded sample: the `trusted_rows` ids that come first by
-    hash. Raw counts cover every row. The driver gets one row for each bucket.
-    Without trusted rows all weights are equal to those of raw text turned to
-    zero: every score is 0.
+    Both cover every row that is theirs. The driver gets one row for each
+    bucket. Without trusted rows all weights are equal to those of raw text
+    turned to zero: every score is 0.
     """
-    ids = (trusted.select(F.col(trusted.columns[0]).alias("__id")).filter("__id is not null").distinct()
-           .orderBy(F.xxhash64("__id"), "__id").limit(trusted_rows).withColumn("__trusted", F.lit(1)))
-    # At most `trusted_rows` ids: a bounded broadcast.
-    rows = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-            .join(F.broadcast(ids), "__id", "left").select("text", F.coalesce("__trusted", F.lit(0)).alias("trusted")))
+    ids = trusted.select(F.col(trusted.columns[0]).alias("__id")).filter("__id is not null").distinct()
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    named = rows.filter("__id is not null")
+    if ids.schema["__id"].dataType == rows.schema["__id"].dataType:  # equal ids have equal hashes: sift texts before the exact join
+        shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(F.xxhash64("__id").alias("h")), "h"))
+
+        def sift(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(in_map(shared.value, batch.column(2).to_numpy()))).select(["__id", "text"])
+
+        named = named.withColumn("h", F.xxhash64("__id")).mapInArrow(sift, named.schema)
 
     def count(batches):
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        n = np.zeros(1 << bits, np.int64)
         for batch in sliced(batches, "text"):
-            bucket, of = features(texts_of(batch.column(0)), bits)
-            raw += np.bincount(bucket, minlength=1 << bits)
-            chosen = batch.column(1).to_numpy(zero_copy_only=False)[of] == 1
-            target += np.bincount(bucket[chosen], minlength=1 << bits)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])],
-                                         names=["bucket", "raw", "target"])
-
-    table = (rows.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket")
+            n += np.bincount(features(texts_of(batch.column(0)), bits)[0], minlength=1 << bits)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], names=["bucket", "n"])
+
+    raw, target = (x.select("text").mapInArrow(count, "bucket int, n long") for x in (rows, named.join(ids.hint("merge"), "__id", "left_semi")))
+    nothing = F.lit(0).cast("long")
+    table = (raw.select("bucket", F.col("n").alias("raw"), nothing.alias("target"))
+             .unionByName(target.select("bucket", nothing.alias("raw"), F.col("n").alias("target"))).groupBy("bucket")
              .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow())
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
     raw[table.column("bucket").to_numpy()] = table.column("raw").to_numpy()

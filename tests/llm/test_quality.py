@@ -48,3 +48,11 @@ def test_labels_are_told_apart(spark):
     kept = {r["quality"]: r["k"] for r in got.join(queries.table(spark, d, "labels"), "doc_id").filter("not base_failed")
             .selectExpr("quality", "cast(kept as int) as k").groupBy("quality").agg({"k": "avg"}).withColumnRenamed("avg(k)", "k").collect()}
     assert labelled == 2 and kept[1] > 0.98 and kept[0] < 0.1
+
+
+def test_every_trusted_row_counts(spark):
+    docs = spark.range(50_400).selectExpr("id as doc_id", "concat('w', id % 997, ' of ', id) as text")
+    ratio = quality.fit_ratio(docs, docs.select("doc_id"))  # the target is the whole corpus
+    assert not ratio.weights.any()
+    other = quality.fit_ratio(docs, docs.selectExpr("cast(doc_id as int) as item"))  # ids of another type
+    assert not other.weights.any()
