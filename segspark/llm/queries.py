@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import bpe, decontaminate, language, lm, neardup, passages, pii, quality, toxicity, warc
+from segspark.llm import bpe, decontaminate, language, lm, neardup, passages, pii, quality, toxicity, urlfilter, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,31 @@ def op9_backoff_automaton(spark, sf_dir):
 @query("op10_compact_windows")
 def op10_compact_windows(spark, sf_dir):
     return passages.passage_report(table(spark, sf_dir, "documents"))
+
+
+#: Fixed values of the contract: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+             ("net", "/fr/", "block")]
+#: Hosts with one of these words as a part of their name are listed as blocked.
+BLOCKED_PARTS = "(^|[.-])(ads|adult|bets|casino|pills|spam)([.-]|$)"
+
+URL_SQL = f"""
+WITH u AS (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(rule_host, rule_path, said) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
+n AS (SELECT row_number() OVER () AS r, * FROM u),
+best AS (SELECT r, arg_max(rule_host || rule_path, (length(rule_host || rule_path), length(rule_host))) AS rule,
+    arg_max(said, (length(rule_host || rule_path), length(rule_host))) AS said
+  FROM n, rules WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IS NOT NULL THEN said WHEN regexp_matches(host, '{BLOCKED_PARTS}') THEN 'block' ELSE 'allow' END AS verdict
+FROM n LEFT JOIN best USING (r)"""
+
+
+@query("op13_bloom_cascade", URL_SQL)
+def op13_bloom_cascade(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    host = urlfilter.split_url(F.col("url"))[0]
+    blocked = pages.select(host.alias("host")).filter(F.col("host").rlike(BLOCKED_PARTS)).distinct()
+    return urlfilter.judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), blocked)
