@@ -1,11 +1,17 @@
-"""Size of the Arrow batches that Python steps get."""
+"""Size of the Arrow batches that Python steps get, and sums inside a task."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import SparkSession
 
+#: Rows of partial sums that a task holds at most, about.
+HELD_ROWS = 1 << 20
 _KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -18,3 +24,32 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         yield
     finally:
         spark.conf.set(_KEY, before)
+
+
+def summed_in_task(tables: Iterator[pa.Table], keys: list[str], sums: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of `tables` with equal keys added up, as far as `HELD_ROWS` of them are held together."""
+
+    def summed(held):
+        out = pa.concat_tables(held).group_by(keys).aggregate([(c, "sum") for c in sums])
+        return out.select([*keys, *[f"{c}_sum" for c in sums]]).rename_columns([*keys, *sums])
+
+    held, n, base = [], 0, 0
+    for table in tables:
+        held.append(table)
+        n += table.num_rows
+        if n >= 2 * base + HELD_ROWS // 8:
+            held = [summed(held)]
+            n = base = held[0].num_rows
+        if base >= HELD_ROWS:
+            yield from held[0].to_batches()
+            held, n, base = [], 0, 0
+    if held:
+        yield from summed(held).to_batches()
+
+
+def pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The stretches start..end of UTF-8 bytes as strings."""
+    lengths = end - start
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    take = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], lengths)
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[take])).cast(pa.string())

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import bpe, decontaminate, language, lm, neardup, passages, pii, quality, toxicity, urlfilter, warc
+from segspark.llm import bpe, decontaminate, divergence, language, lm, neardup, passages, pii, quality, spelling, toxicity, urlfilter, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,64 @@ def op13_bloom_cascade(spark, sf_dir):
     host = urlfilter.split_url(F.col("url"))[0]
     blocked = pages.select(host.alias("host")).filter(F.col("host").rlike(BLOCKED_PARTS)).distinct()
     return urlfilter.judge_urls(pages, spark.createDataFrame(URL_RULES, "host string, path string, verdict string"), blocked)
+
+
+DIVERGENCE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+tf AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS m FROM tf GROUP BY ALL HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS kinds, sum(m) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+cells AS (SELECT g.lang, g.source, kept.term, m, coalesce(n, 0) AS n
+  FROM g JOIN kept USING (lang) LEFT JOIN tf ON tf.lang = g.lang AND tf.source = g.source AND tf.term = kept.term),
+s AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+p AS (SELECT cells.*, 1 + (1000000000::HUGEINT * (n + 5)) // (s.total + 5 * kinds) AS p,
+    1 + (1000000000::HUGEINT * (m + 5)) // (v.total + 5 * kinds) AS q FROM cells JOIN s USING (lang, source) JOIN v USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b USING (lang, term) GROUP BY ALL),
+parts AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN sums ON sums.lang = x.lang AND sums.source = x.source AND sums.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+@query("op11_skyband_audit", DIVERGENCE_SQL)
+def op11_skyband_audit(spark, sf_dir):
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+# Near words: one is the other without a code point, or both are equal but for one at the same place.
+VARIANTS_SQL = """
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS c FROM range(256) AS u(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS steps FROM bits WHERE k = 8),
+d AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+runs AS (SELECT id, run, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(text, '[a-z\\x{C0}-\\x{FF}]+')) AS run FROM d)
+  WHERE length(run) >= 6 GROUP BY ALL),
+spelled AS (SELECT run, n, hex(encode(id || ':' || run)) AS x FROM runs),
+summed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(x) // 2),
+    lambda i: CAST((strpos('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2 * i + 2]) - 1 AS BIGINT))),
+    lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8))) AS h FROM spelled, crc),
+left_over AS (SELECT n, CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM summed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM left_over WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS (SELECT word, n, i, word[:i] || word[i + 2:] AS rest FROM words, unnest(range(length(word))) AS u(i)),
+pairs AS (SELECT a.word, b.word AS other, b.n AS other_n FROM cuts a JOIN cuts b USING (i, rest) WHERE a.word <> b.word UNION
+  SELECT cuts.word, words.word, words.n FROM cuts JOIN words ON words.word = rest UNION
+  SELECT words.word, cuts.word, cuts.n FROM cuts JOIN words ON words.word = rest),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word),
+named AS (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * words.n THEN other END AS form,
+    CASE WHEN other_n >= 5 * words.n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, form, 1 AS step FROM named WHERE form IS NOT NULL UNION ALL
+  SELECT chain.word, named.form, step + 1 FROM chain JOIN named ON named.word = chain.form WHERE named.form IS NOT NULL),
+ends AS (SELECT word, arg_max(form, step) AS root FROM chain GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM named LEFT JOIN ends USING (word)"""
+
+
+@query("op12_partenum_variants", VARIANTS_SQL)
+def op12_partenum_variants(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
