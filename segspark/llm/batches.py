@@ -7,7 +7,6 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-
 from pyspark.sql import SparkSession
 
 #: Rows of partial sums that a task holds at most, about.
@@ -26,6 +25,22 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(_KEY, before)
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession):
+    """Shuffle files of jobs run inside go when the job ends, as a written table has what they led to.
+
+    Within a job they stay, for tasks that are run again. A query that is run
+    twice shuffles twice.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def summed_in_task(tables: Iterator[pa.Table], keys: list[str], sums: list[str]) -> Iterator[pa.RecordBatch]:
     """Rows of `tables` with equal keys added up, as far as `HELD_ROWS` of them are held together."""
 

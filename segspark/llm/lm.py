@@ -12,7 +12,8 @@ one place. Rows are scored in blocks of bounded size; each block asks for the
 counts of the words and bigrams that occur in it, and for the failure weights of
 the states it leaves that way, and gets the part of the automaton that it needs.
 It counts its own training rows itself, so only counts that other blocks add to
-are sent.
+are sent. Questions and answers are packed: the items of a block that one task
+counts are one row, sorted, as steps and counts; its answer is in the same order.
 """
 
 from __future__ import annotations
@@ -21,18 +22,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from segspark.llm.batches import released_shuffles
 from segspark.llm.textarrays import SPACE, U64, mix, sliced, texts_of, word_hashes, words_of
 from segspark.runtime import materialize
 
 #: Bytes of text in a block, but for a longer single text.
 BLOCK_BYTES = 12 << 20
-#: Share of training tokens from which a word is a state: none is too rare.
-FREQUENT = 0.0
+#: Bytes of text whose items one task counts, about.
+PART_BYTES = 8 << 20
 DISCOUNT = 0.75
 #: Stands for the end of a text.
 END = U64(0x5DEECE66D1CE4E5B)
@@ -64,82 +66,156 @@ def bigrams_of(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return out, follows
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> DataFrame:
-    """(block, id, text, train): rows of one file split, dealt by hash to blocks of about `BLOCK_BYTES`.
+def _blocks(docs: DataFrame, id_col: str, text_col: str, train: Column) -> tuple[DataFrame, int]:
+    """(block, id, text, train): rows of one file split, dealt by hash to blocks of about `BLOCK_BYTES`; and the bytes of all texts.
 
     The split's name and start are the same in every scan of the same files.
     """
     rows = docs.select(F.struct(F.input_file_name(), F.input_file_block_start()).alias("split"), F.col(id_col).alias("id"),
                        F.col(text_col).alias("text"), train.alias("train"))
-    largest = rows.groupBy("split").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] or 0
-    parts = 1 + largest // BLOCK_BYTES
-    return rows.select(F.xxhash64("split", F.pmod(F.xxhash64("id", "text"), F.lit(parts))).alias("block"), "id", "text", "train")
+    largest, size = rows.groupBy("split").agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    parts = 1 + (largest or 0) // BLOCK_BYTES
+    return rows.select(F.xxhash64("split", F.pmod(F.xxhash64("id", "text"), F.lit(parts))).alias("block"), "id", "text", "train"), size or 0
 
 
-def _asked(blocks: DataFrame, pairs: bool) -> DataFrame:
-    """(block, h, n): the words or bigrams in the rows of a block, and how often each is in its training rows.
+class Counted(NamedTuple):
+    """Distinct items of a block, in order."""
+
+    value: np.ndarray
+    count: np.ndarray  # in the training rows: of the block, or of all blocks
+    one: np.ndarray  # whether this block is the one that tells of the item
+    at: np.ndarray  # a place where the item occurs
+    item: np.ndarray  # the item of each place
+
+
+def counted(items: np.ndarray, train: np.ndarray) -> Counted:
+    """The distinct `items` of a block and what its own training rows count."""
+    value, at, item = np.unique(items, return_index=True, return_inverse=True)
+    count = np.bincount(item, train, len(value)).astype(np.int64)
+    return Counted(value, count, count > 0, at, item)
+
+
+def pack_items(value: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as their steps, each as wide as the widest; the first byte is the width."""
+    steps = value.copy()
+    steps[1:] -= value[:-1]
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_items(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    wide = np.zeros((len(packed) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def pack_counts(count: np.ndarray) -> tuple[bytes, bytes]:
+    """A byte for each count, and 8 for each of those that need more."""
+    return np.minimum(count, 255).astype(np.uint8).tobytes(), count[count >= 255].astype("<i8").tobytes()
+
+
+def unpack_counts(small: bytes, large: bytes) -> np.ndarray:
+    count = np.frombuffer(small, np.uint8).astype(np.int64)
+    count[count == 255] = np.frombuffer(large, "<i8")
+    return count
+
+
+ASKED = "kind byte, part int, block long, items binary, small binary, large binary"
+ANSWERED = "kind byte, part int, block long, n int, shared binary, marks binary, small binary, large binary, total long, kinds long"
+WORDS, PAIRS = 0, 1
 
-    A block lies in one split, so it has one row for each of them.
+
+def _asked(blocks: DataFrame, bits: int) -> DataFrame:
+    """Rows `ASKED`: the distinct words and bigrams of each block, and how often each is in its training rows.
+
+    Items are dealt to 2 ** bits parts by their leading bits; a block has one
+    row for each part that it has items in. A block lies in one split.
     """
 
-    def count(batches):
+    def ask(batches):
         # The rows of a split come together, so a task keeps the distinct items of its few blocks.
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in sliced(batches, "text"):
             tokens = tokens_of(batch.column(1))
-            value, use = bigrams_of(tokens) if pairs else (tokens.hashes, np.ones(len(tokens.hashes), bool))
+            pair, follows = bigrams_of(tokens)
             lengths = np.diff(tokens.first)
             block = np.repeat(batch.column(0).to_numpy(), lengths)
             train = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), lengths)
             for b in np.unique(batch.column(0).to_numpy()).tolist():
-                mine = (block == b) & use
-                items, where = np.unique(value[mine].view(np.int64), return_inverse=True)
-                held.setdefault(b, []).append((items, np.bincount(where, train[mine], len(items)).astype(np.int64)))
-                if len(held[b]) > 8:
-                    held[b] = [_merged(held[b])]
-        for b, parts in held.items():
-            items, n = _merged(parts)
-            for lo in range(0, len(items), 1 << 17):
-                part = slice(lo, lo + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items[part]), b)), pa.array(items[part]), pa.array(n[part])],
-                                                 names=["block", "h", "n"])
-
-    return blocks.select("block", "text", "train").mapInArrow(count, "block long, h long, n long")
+                mine = block == b
+                for kind, value, use in ((WORDS, tokens.hashes, mine), (PAIRS, pair, mine & follows)):
+                    own = counted(value[use], train[use])
+                    parts = held.setdefault((b, kind), [])
+                    parts.append((own.value, own.count))
+                    if len(parts) > 4:
+                        parts[:] = [_merged(parts)]
+        for (b, kind), parts in held.items():
+            value, count = _merged(parts)
+            part = (value >> U64(64 - bits)).astype(np.int32) if bits else np.zeros(len(value), np.int32)
+            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+            rows = [(kind, int(part[lo]), b, pack_items(value[lo:hi]), *pack_counts(count[lo:hi]))
+                    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(part)])]
+            held[b, kind] = []
+            for lo in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo:lo + 256]), _arrow(ASKED))], schema=_arrow(ASKED))
+
+    return blocks.select("block", "text", "train").mapInArrow(ask, ASKED)
+
+
+def _arrow(schema: str) -> pa.Schema:
+    types = {"byte": pa.int8(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, types[kind]) for name, kind in (f.split() for f in schema.split(", "))])
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
     items, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return items, np.bincount(where, np.concatenate([p[1] for p in parts]), len(items)).astype(np.int64)
 
 
 def _answered(asked: DataFrame) -> DataFrame:
-    """(block, h, n, c, one): the count over all blocks for each block that asked; `one` marks one row of each item.
+    """Rows `ANSWERED`: for each row asked which of its items other blocks have too, and of those the count over all blocks.
 
-    An item has a row for each block it occurs in, however often that is. Where
-    one block counted all of them, its row is the marked one.
+    `marks` tells of which shared items this block is the one to tell. A row
+    without a block has the part's training occurrences and distinct items. An
+    item is here once for each block it is in, however often that is.
     """
-    every = Window.partitionBy("h")
-    return asked.select("block", "h", "n", F.sum("n").over(every).alias("c"),
-                        (F.row_number().over(every.orderBy(F.desc("n"), "block")) == 1).alias("one"))
-
-
-class Counted(NamedTuple):
-    """Distinct items of a block."""
-
-    count: np.ndarray  # in all training rows
-    one: np.ndarray  # whether this block is the one that tells of the item
-    at: np.ndarray  # a place where the item occurs
-    item: np.ndarray  # the item of each place
-
-
-def counted(items: np.ndarray, train: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Counted:
-    """`items` of a block, of which `train` are its training rows'; `known` are (item, count, one) that other blocks add to."""
-    value, at, item = np.unique(items, return_index=True, return_inverse=True)
-    count = np.bincount(item, train, len(value)).astype(np.int64)
-    one = count > 0
-    to = np.searchsorted(value, known[0])
-    count[to], one[to] = known[1], known[2]
-    return Counted(count, one, at, item)
+    schema = _arrow(ANSWERED)
+
+    def answer(key, table):
+        kind, part = key[0].as_py(), key[1].as_py()
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "items", "small", "large"))))
+        values = [unpack_items(r[1]) for r in rows]
+        ends = np.cumsum([len(v) for v in values])
+        _, first, item, times = np.unique(np.concatenate(values), return_index=True, return_inverse=True, return_counts=True)
+        count = np.bincount(item, np.concatenate([unpack_counts(*r[2:]) for r in rows]), len(first)).astype(np.int64)
+        one = np.zeros(len(item), bool)
+        one[first] = True
+        out = []
+        for r, lo, hi in zip(rows, [0, *ends[:-1].tolist()], ends.tolist()):
+            shared = times[item[lo:hi]] > 1
+            out.append((kind, part, r[0], hi - lo, np.packbits(shared).tobytes(), np.packbits(one[lo:hi][shared]).tobytes(),
+                        *pack_counts(count[item[lo:hi][shared]]), None, None))
+        out.append((kind, part, *[None] * 6, int(count.sum()), int((count > 0).sum())))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return asked.groupBy("kind", "part").applyInArrow(answer, ANSWERED)
+
+
+def informed(own: Counted, kind: int, answers: pa.Table) -> Counted:
+    """`own` with the counts over all blocks, from the block's rows of `ANSWERED`."""
+    count, one, at = own.count.copy(), own.one.copy(), 0
+    rows = [r for r in answers.to_pylist() if r["kind"] == kind]
+    for r in sorted(rows, key=lambda r: r["part"]):
+        shared = at + np.flatnonzero(np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=r["n"]))
+        count[shared] = unpack_counts(r["small"], r["large"])
+        one[shared] = np.unpackbits(np.frombuffer(r["marks"], np.uint8), count=len(shared))
+        at += r["n"]
+    if at != len(count):
+        raise ValueError(f"{at} items answered of {len(count)}")
+    return own._replace(count=count, one=one)
 
 
 class Walk(NamedTuple):
@@ -153,14 +229,13 @@ class Walk(NamedTuple):
     below: np.ndarray  # sum of the unigram probabilities of those
 
 
-def walk(tokens: Tokens, train: np.ndarray, words, pairs, total: int, kinds: int) -> Walk:
-    """The automaton over the texts of a block but for the failure weights, and what the block adds to these."""
-    word = counted(tokens.hashes.view(np.int64), train, words)
+def walk(tokens: Tokens, here: np.ndarray, word: Counted, pair: Counted, total: int, kinds: int) -> Walk:
+    """The automaton over the texts of a block but for the failure weights, and what the block adds to these.
+
+    `here` are the places that follow another of their text; `pair` has an item for each of them.
+    """
     count = word.count[word.item]
     unigram = np.log10((count + 1.0) / (total + 1.0 * (kinds + 1)))
-    value, follows = bigrams_of(tokens)
-    here = np.flatnonzero(follows)
-    pair = counted(value[here].view(np.int64), train[here], pairs)
     times = pair.count[pair.item]
     weight, failed = unigram.copy(), np.zeros(len(count), bool)
     taken = times > 0
@@ -186,14 +261,16 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     train = F.coalesce(train, F.lit(False))
     if not stored:
         docs, train = materialize(docs.select(id_col, text_col, train.alias("train"))), F.col("train")
-    blocks = _blocks(docs, id_col, text_col, train)
-    words = materialize(_answered(_asked(blocks, False)))
-    total, kinds = words.filter("one and c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
-    total = total or 0
-    # A block knows the counts that no other adds to. Count, mark and kind go as one number.
-    wanted, pairs = ((x.filter("c <> n").select("block", "h", (F.col("c") * 4 + F.col("one").cast("int") * 2 + kind).alias("told")))
-                     for kind, x in enumerate((words, _answered(_asked(blocks, True)))))
-    wanted = wanted.unionByName(pairs)
+    with released_shuffles(docs.sparkSession):
+        return _scored(docs, train, id_col, text_col)
+
+
+def _scored(docs: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
+    blocks, size = _blocks(docs, id_col, text_col, train)
+    answers = materialize(_answered(_asked(blocks, (size // PART_BYTES).bit_length())))
+    total, kinds = answers.filter(F.col("block").isNull() & (F.col("kind") == WORDS)).agg(F.sum("total"), F.sum("kinds")).first()
+    total, kinds = total or 0, kinds or 0
+    wanted = answers.filter("block is not null").drop("total", "kinds")
     id_type = docs.schema[id_col].dataType
     long, double = T.LongType(), T.DoubleType()
     schema = T.StructType([T.StructField("block", long), T.StructField("id", id_type), T.StructField("n_tokens", long), T.StructField("n_known", long),
@@ -201,16 +278,18 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
                            T.StructField("h", long), T.StructField("n", long), T.StructField("arcs", long), T.StructField("below", double)])
     walked_schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in schema])
 
-    def read(key, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        h, told = counts.column("h").to_numpy(), counts.column("told").to_numpy()
-        known = [(h[mine], told[mine] >> 2, told[mine] & 2 > 0) for mine in (told & 1 == 0, told & 1 == 1)]
+    def read(key, texts: pa.Table, answers: pa.Table) -> pa.Table:
         parts = [tokens_of(batch.column(2)) for batch in sliced(texts.to_batches(), "text")]
         if not parts:
             return walked_schema.empty_table()
         lengths = np.concatenate([np.diff(p.first) for p in parts])
         tokens = Tokens(np.concatenate([p.hashes for p in parts]), np.concatenate([[0], np.cumsum(lengths)]))
         train_ = np.repeat(texts.column("train").to_numpy().astype(np.int64), lengths)
-        got = walk(tokens, train_, *known, total, kinds)
+        value, follows = bigrams_of(tokens)
+        here = np.flatnonzero(follows)
+        word = informed(counted(tokens.hashes, train_), WORDS, answers)
+        pair = informed(counted(value[here], train_[here]), PAIRS, answers)
+        got = walk(tokens, here, word, pair, total, kinds)
         sums = [np.add.reduceat(x, tokens.first[:-1]) for x in (got.known.astype(np.int64), got.unigram, got.weight)]
         places = np.flatnonzero(got.failed)
         failed = pa.ListArray.from_arrays(pa.array(np.searchsorted(places, tokens.first).astype(np.int32)),

@@ -11,7 +11,7 @@ from tests.llm.helpers import ODD, documents, low_words, rows_of
 END = object()
 
 
-def plain(rows, train, frequent=lm.FREQUENT):
+def plain(rows, train, frequent=0.0):
     """(n_tokens, n_known, N, base, score) of each row, by walking the automaton word by word."""
     texts = [[*low_words(t), END] for _, t, *_ in rows]
     seen = [t for t, use in zip(texts, train) if use]
