@@ -28,7 +28,7 @@ from segspark.runtime import materialize, require_columns
 MIN_DOCS, TOP = 30, 50
 SCALE, EXTRA = 1_000_000_000, 5
 #: Rows that a task holds back before it reduces them to their skyband; cells of a language that are compared in one task.
-HELD_ROWS, CELLS = 1 << 17, 1 << 19
+HELD_ROWS, CELLS = 1 << 17, 1 << 15
 
 #: Everything but letters a-z, A-Z and non-ASCII characters.
 NO_LETTER = np.zeros(256, bool)
