@@ -210,6 +210,30 @@ def shingle_sets(texts: Texts, n: int, separator: np.ndarray = SPACE, table: np.
     return value, np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int64)
 
 
+def whole_runs(batches, keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal keys, many at a time, and where each run begins; batches are sorted by the keys."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        starts = run_starts(table, keys)
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts[:-1]
+        held = table.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held, np.zeros(1, np.int64)
+
+
+def run_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for key in keys:
+        c = table.column(key).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def runs_of(batches, keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the rows of one key each, from batches sorted by the keys; a key's rows are bounded by the caller."""
     held = None
