@@ -7,6 +7,9 @@ from segspark.plans.registry import query, table
 from segspark.runtime import new_scratch_path
 from segspark.streaming import streams as S
 
+#: Files that a quarter of the events arrives in.
+FILES = 8
+
 
 def _collected(spark, stream, mode="append"):
     target = new_scratch_path(spark, "out")
@@ -65,8 +68,8 @@ def _events(spark, d):
 
 
 def _in_batches(spark, d, repeats=False):
-    """Events in order of time as a stream of four files, one a trigger. With `repeats`, each file but the first
-    also brings again, a minute later, events of the file before it."""
+    """Events in order of time as a stream of four quarters, one a trigger, each of `FILES` files. With `repeats`, each
+    quarter but the first also brings again, a minute later, events of the one before it."""
     events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     cuts = events.select(F.percentile(F.unix_micros("ts"), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]))).first()[0]
     quarter = sum((F.when(F.unix_micros("ts") > c, 1).otherwise(0) for c in cuts), F.lit(0))
@@ -75,8 +78,9 @@ def _in_batches(spark, d, repeats=False):
         part = events.filter(quarter == k)
         if repeats and k:
             part = part.unionByName(events.filter(quarter == k - 1).withColumn("ts", F.col("ts") + F.expr("interval 1 minute")))
-        part.coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        # Dealt in turn, so that every file has rows and a trigger takes exactly those of a quarter.
+        part.repartition(FILES).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
 
 
 @query("p03_windows_append", """SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total, max(value) AS peak
