@@ -63,6 +63,18 @@ def cut_tiles(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum(F.col("gt") * (F.col("y") * 8 + F.col("x"))).alias("checksum"))
 
 
+@query("d02_pad_patch", f"""WITH {X.PIXELS}, o AS (SELECT column0 AS s FROM (VALUES (0), (4), (8)) v(column0)),
+c AS (SELECT p_partkey AS sample_id, a.s AS x1, b.s AS y1, y, x FROM part, o a, o b, range(8) t(y), range(8) u(x)),
+f AS (SELECT c.*, coalesce(gt, 255) AS gt FROM c LEFT JOIN px ON px.sample_id = c.sample_id AND px.x = c.x1 + c.x AND px.y = c.y1 + c.y AND px.x < 13 AND px.y < 11)
+SELECT sample_id, x1, y1, count(*) AS n, sum((gt = 255)::INT)::BIGINT AS filled, sum(gt*(y*8 + x))::BIGINT AS checksum FROM f GROUP BY 1, 2, 3""")
+def pad_patch(spark, d):
+    """Patches of images that end at row 11 and column 13, completed to full size."""
+    grid = T.overlap_grid(_small(spark, d), 8, 8, 4)
+    cut = T.cut_tiles(X.pixels(spark, d).filter("x < 13 and y < 11"), grid, 8).select("sample_id", "x1", "y1", "y", "x", "gt")
+    return T.pad_patch(cut, grid, 8, 8, 255).groupBy("sample_id", "x1", "y1").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("gt") == 255).alias("filled"), F.sum(F.col("gt") * (F.col("y") * 8 + F.col("x"))).alias("checksum"))
+
+
 @query("d05_last_writer", f"""WITH {X.PIXELS}, {SMALL}, {WINDOWS.format(c=8, s=6, h=1)},
 b AS (SELECT px.sample_id, px.y, px.x, grid_seq, ((gt + grid_seq) % 7)::BIGINT AS pred FROM px JOIN wg ON wg.sample_id = px.sample_id
   AND px.x - x_off BETWEEN x_crop_off AND x_crop_off + x_crop_size - 1 AND px.y - y_off BETWEEN y_crop_off AND y_crop_off + y_crop_size - 1
