@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,60 +133,205 @@ def assemble_records(rles: DataFrame, boxes: DataFrame, scores: DataFrame, keys:
 
 # --- suppression ------------------------------------------------------------
 
+TILE_ROWS = 20_000  # boxes that one tile may hold; crowded places are thinned by their leaders first
+
+
 def box_nms(boxes: DataFrame, iou_threshold: float, rank: list[Column] | None = None) -> DataFrame:
     """Greedy suppression per image_id; returns the kept rows.
 
     Rank is score descending, then box_id (`rank` overrides it: numeric
     columns, smallest first, a total order). A box goes if its IoU with a kept
     better one exceeds the threshold; an IoU over an empty union is no number
-    and suppresses nothing. Runs jobs while it is built: rounds over grids whose
-    cells have the size of the boxes, so their number follows from how many kept
-    boxes crowd about one place, not from the image or the number of boxes.
+    and suppresses nothing. Runs jobs while it is built. A box waits only for
+    better boxes that it conflicts with: tiles are decided in one pass each,
+    and only boxes that wait for one beyond their tile see another round, with
+    tiles of twice the side. Rounds grow with the logarithm of the longest
+    chain of boxes that wait for each other.
     """
+    if iou_threshold < 0:
+        raise ValueError("iou_threshold must not be negative")
     order = rank or [-F.col("score"), F.col("box_id")]
-    rows = boxes.select("image_id", "box_id", "x1", "y1", "x2", "y2", F.struct(*[c.alias(f"r{i}") for i, c in enumerate(order)]).alias("__rank"))
-    kept = _nms_rounds(rows, iou_threshold)
-    return boxes.join(kept.hint("merge"), ["image_id", "box_id"], "left_semi")
+    rows = boxes.select("image_id", "box_id", *[F.col(c).cast("double").alias(c) for c in BOX],
+                        F.struct(*[c.alias(f"r{i}") for i, c in enumerate(order)]).alias("__rank"))
+    return boxes.join(_undominated(rows, iou_threshold).hint("merge"), ["image_id", "box_id"], "left_semi")
+
 
+BOX = ["x1", "y1", "x2", "y2"]
+TILE = ["image_id", "grid", "tx", "ty"]
 
-def _nms_rounds(ranked: DataFrame, threshold: float) -> DataFrame:
+
+def _undominated(ranked: DataFrame, threshold: float) -> DataFrame:
     """(image_id, box_id) kept.
 
-    IoU is at most the ratio of the smaller width (or height) to the larger, so
-    only boxes of near sizes can meet: a box of level n (longest side up to
-    2^n) is entered on the grid of its level, and on coarser ones up to the
-    ratio that the threshold allows. Each round keeps the boxes that lead every
-    cell they are in and drops what they suppress; a cell has one leader, so no
-    pairs are listed. Boxes that cannot suppress or be suppressed are kept at
-    once.
+    IoU is at most the ratio of the smaller side to the larger, so boxes meet
+    only if their levels (longest side up to 2^level) differ by `reach` at
+    most. Boxes that cannot suppress or be suppressed are kept at once.
     """
     side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & F.lit(threshold < 1)
-    all_ = materialize(ranked.withColumns({"solid": F.coalesce(solid, F.lit(False)),
-                                           "level": F.ceil(F.log2(F.when(side > 0, side))).cast("int")}))
-    box, spot = ["image_id", "box_id"], ["image_id", "grid", "cx", "cy"]
-    top = all_.filter("solid").agg(F.max("level")).first()[0]
-    kept = [all_.filter("not solid").select(*box)]
-    if top is not None:
-        above = F.lit(top) if threshold <= 0 else F.least(F.lit(top), F.col("level") + int(np.ceil(np.log2(1 / threshold))) + 1)
-        axis = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.pow(2.0, "grid")), F.floor(F.col(hi) / F.pow(2.0, "grid")))  # two cells at most
-        on_grid = lambda df: (df.withColumn("grid", F.explode(F.sequence(F.col("level"), above)))
-                              .withColumn("cx", F.explode(axis("x1", "x2"))).withColumn("cy", F.explode(axis("y1", "y2"))))
-        open_ = all_.filter("solid").drop("solid")
-        while not open_.isEmpty():
-            cells = materialize(on_grid(open_))
-            lead = cells.groupBy(*spot).agg(F.min("__rank").alias("lead_rank"))
-            # Leader of every cell it is in: no better open box can suppress it.
-            state = join_side(cells, lead, spot).groupBy(*box).agg(F.min(F.col("lead_rank") == F.col("__rank")).alias("won"))
-            won = materialize(open_.join(state.filter("won").hint("merge"), box, "left_semi"))
-            kept.append(won.select(*box))
-            claims = on_grid(won).select(*spot, F.struct("x1", "y1", "x2", "y2").alias("lead"))
-            hit = join_side(cells, claims, spot).filter(_iou(F.col("lead")) > threshold).select(*box)
-            # Winners suppress themselves: their IoU with themselves is 1.
-            open_ = materialize(open_.join(hit.distinct().hint("merge"), box, "left_anti"))
+    level = F.ceil(F.log2(F.when(side > 0, side))).cast("int")
+    sized = ranked.withColumns({"solid": F.coalesce(solid, F.lit(False)), "level": level})
+    # The logarithm may be rounded down to a whole number.
+    all_ = materialize(sized.withColumns({"level": F.when(F.pow(F.lit(2.0), "level") < side, F.col("level") + 1).otherwise(F.col("level")),
+                                          "kept": F.lit(False)}))
+    low, top = all_.filter("solid").agg(F.min("level"), F.max("level")).first()
+    kept = [all_.filter("not solid").select("image_id", "box_id")]
+    if top is None:
+        return kept[0]
+    reach = 0
+    while reach < top - low and 2.0 ** -reach > threshold:
+        reach += 1
+    open_, span = all_.filter("solid").drop("solid"), 5
+    while not open_.filter("not kept").isEmpty():
+        placed = _tiles(open_, top, reach, span)
+        fullest = placed.groupBy(*TILE).count().agg(F.max("count")).first()[0]
+        if fullest > TILE_ROWS and span > 0:
+            span -= 1
+            continue
+        state = materialize(_leaders(open_, top, reach) if fullest > TILE_ROWS else _decide(placed, threshold))
+        kept.append(state.filter("kept").select("image_id", "box_id"))
+        if fullest > TILE_ROWS:
+            # Leaders are in: what they suppress goes before tiles are tried again.
+            open_ = materialize(_without_suppressed(open_.filter("not kept"), state, open_.filter("kept"), top, reach, threshold))
+            continue
+        # New ones stay for one more round, in which all that they suppress goes.
+        open_, span = state, span + 1
     return reduce(DataFrame.unionByName, kept)
 
 
+def _tiles(open_: DataFrame, top: int, reach: int, span: int) -> DataFrame:
+    """Boxes on each tile that needs them; `own` on the one tile where a box sees all that it may conflict with.
+
+    Grid g has tiles of side 2^(g + span). A box of level n is decided on grid
+    n + reach, in the tile of its first corner, and lent to grids up to
+    n + 2 * reach, there to every tile that holds the first corner of a box that
+    may overlap it: at most 2^g before its own.
+    """
+    side = F.pow(F.lit(2.0), F.col("grid") + span)
+    ahead = F.pow(F.lit(2.0), F.col("grid"))
+    at = lambda c: F.floor(F.col(c) / side)
+    axis = lambda lo, hi: F.sequence(F.floor((F.col(lo) - ahead) / side), at(hi))
+    return (open_.withColumn("grid", F.explode(F.sequence(F.col("level"), F.least(F.lit(top), F.col("level") + 2 * reach))))
+            .withColumn("tx", F.explode(axis("x1", "x2"))).withColumn("ty", F.explode(axis("y1", "y2")))
+            .withColumn("own", (F.col("grid") == F.least(F.lit(top), F.col("level") + reach))
+                        & (F.col("tx") == at("x1")) & (F.col("ty") == at("y1"))))
+
+
+def _decide(placed: DataFrame, threshold: float) -> DataFrame:
+    """Own boxes that are kept or still wait; those that a kept one suppresses are left out."""
+    out = [c for c in placed.columns if c not in ("grid", "tx", "ty", "own")]
+    schema = placed.select(*out).schema
+    rows = placed.repartition(*TILE).sortWithinPartitions(*TILE, "__rank")
+    # The rank has done its work in the sort: Python gets the place of the row's own data only.
+    slim = rows.select(*TILE, *BOX, "own", "kept", F.struct(*out).alias("row"))
+
+    def walk(batches):
+        last, tile = None, None
+        for batch in batches:
+            keys = [batch.column(k).to_pylist() for k in TILE]
+            xy = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in BOX])
+            own, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("own", "kept"))
+            stay, won = np.zeros(len(xy), bool), np.zeros(len(xy), bool)
+            names = list(zip(*keys))
+            starts = [i for i, n in enumerate(names) if i == 0 or n != names[i - 1]] + [len(names)]
+            for lo, hi in zip(starts, starts[1:]):
+                if names[lo] != last:
+                    last, tile = names[lo], _Tile(threshold)
+                stay[lo:hi], won[lo:hi] = tile.take(xy[lo:hi], own[lo:hi], known[lo:hi])
+            fields = pa.RecordBatch.from_struct_array(batch.column("row"))
+            at = fields.schema.get_field_index("kept")
+            yield fields.set_column(at, "kept", pa.array(won)).filter(pa.array(stay))
+
+    return slim.mapInArrow(walk, schema)
+
+
+class _Tile:
+    """Boxes of one tile, in order of rank: those kept, and those that wait for a box beyond the tile.
+
+    Only these are held; a crowd that its best boxes suppress passes by.
+    """
+
+    def __init__(self, threshold: float, block: int = 512):
+        self.threshold, self.block = threshold, block
+        self.kept, self.waiting = [], []
+
+    def take(self, xy: np.ndarray, own: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which own boxes stay (kept or open), and which of them are newly kept."""
+        stay, won = np.zeros(len(xy), bool), np.zeros(len(xy), bool)
+        for lo in range(0, len(xy), self.block):
+            part = slice(lo, lo + self.block)
+            stay[part], won[part] = self._take(xy[part], own[part], known[part])
+        return stay, won
+
+    def _take(self, xy, own, known):
+        n = len(xy)
+        gone, held = self._meets(xy, self.kept) & ~known, self._meets(xy, self.waiting)
+        stay, won = np.zeros(n, bool), np.zeros(n, bool)
+        kept, waiting = np.zeros(n, bool), np.zeros(n, bool)
+        meet = _overlaps(xy, xy, self.threshold) if n > 1 else np.zeros((1, 1), bool)
+        for i in range(n):
+            if known[i]:
+                kept[i] = True
+            elif gone[i] or (meet[i, :i] & kept[:i]).any():
+                continue
+            elif held[i] or not own[i] or (meet[i, :i] & waiting[:i]).any():
+                waiting[i] = True
+                stay[i] = own[i]
+            else:
+                kept[i] = stay[i] = won[i] = True
+        for rows, mark in ((self.kept, kept), (self.waiting, waiting)):
+            if mark.any():
+                rows.append(xy[mark])
+        return stay, won
+
+    def _meets(self, xy, blocks):
+        hit = np.zeros(len(xy), bool)
+        for other in blocks:
+            hit |= _overlaps(xy, other, self.threshold).any(axis=1)
+        return hit
+
+
+def _overlaps(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """IoU over the threshold, for boxes with an area."""
+    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+    inter = np.maximum(w, 0) * np.maximum(h, 0)
+    area = lambda r: (r[:, 2] - r[:, 0]) * (r[:, 3] - r[:, 1])
+    return inter / (area(a)[:, None] + area(b)[None, :] - inter) > threshold
+
+
+SPOT = ["image_id", "grid", "cx", "cy"]
+
+
+def _cells(df: DataFrame, top: int, reach: int) -> DataFrame:
+    """Boxes on cells of their own size and of the larger sizes that they may meet."""
+    axis = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.pow(F.lit(2.0), "grid")), F.floor(F.col(hi) / F.pow(F.lit(2.0), "grid")))
+    return (df.withColumn("grid", F.explode(F.sequence(F.col("level"), F.least(F.lit(top), F.col("level") + reach))))
+            .withColumn("cx", F.explode(axis("x1", "x2"))).withColumn("cy", F.explode(axis("y1", "y2"))))
+
+
+def _leaders(open_: DataFrame, top: int, reach: int) -> DataFrame:
+    """Open boxes that lead every cell they are in, as kept: no better open box can suppress them.
+
+    Boxes that one kept before still has to suppress may lead too, so those go first.
+    """
+    cells = _cells(open_.filter("not kept"), top, reach)
+    lead = cells.groupBy(*SPOT).agg(F.min("__rank").alias("lead_rank"))
+    box = ["image_id", "box_id"]
+    claims = _cells(open_.filter("kept"), top, reach).select(*SPOT).distinct().withColumn("held", F.lit(True))
+    seen = join_side(join_side(cells, lead, SPOT), claims, SPOT, "left")
+    won = seen.groupBy(*box).agg(F.min((F.col("lead_rank") == F.col("__rank")) & F.col("held").isNull()).alias("won"))
+    return open_.filter("not kept").join(won.filter("won").hint("merge"), box, "left_semi").withColumn("kept", F.lit(True))
+
+
+def _without_suppressed(open_: DataFrame, won: DataFrame, before: DataFrame, top: int, reach: int, threshold: float) -> DataFrame:
+    """Open boxes that no kept one suppresses, themselves left out."""
+    claims = _cells(won.unionByName(before), top, reach).select(*SPOT, F.struct(*BOX).alias("lead"))
+    hit = _cells(open_, top, reach).join(claims.hint("merge"), SPOT).filter(_iou(F.col("lead")) > threshold)
+    gone = hit.select("image_id", "box_id").unionByName(won.select("image_id", "box_id")).distinct()
+    return open_.join(gone.hint("merge"), ["image_id", "box_id"], "left_anti")
+
+
 def _iou(other: Column) -> Column:
     w = F.greatest(F.least("x2", other["x2"]) - F.greatest("x1", other["x1"]), F.lit(0.0))
     h = F.greatest(F.least("y2", other["y2"]) - F.greatest("y1", other["y1"]), F.lit(0.0))

@@ -113,6 +113,23 @@ def nms_rounds(spark, d):
     return M.box_nms(X.boxes(spark, d), 0.5).select("box_id")
 
 
+# One row of boxes per image, each over the threshold with the next and scored lower: every decision waits for the one before.
+_CHAIN = """, ch AS (SELECT p_partkey % 2 AS image_id, p_partkey AS box_id, (p_partkey // 2 * 20)::DOUBLE AS x1, 0.0::DOUBLE AS y1,
+  (p_partkey // 2 * 20 + 60)::DOUBLE AS x2, 40.0::DOUBLE AS y2, -p_partkey::DOUBLE AS score FROM part)"""
+
+
+def _chain(spark, d):
+    x = (F.expr("p_partkey div 2") * 20).cast("double")
+    return table(spark, d, "part").select((F.col("p_partkey") % 2).alias("image_id"), F.col("p_partkey").alias("box_id"), x.alias("x1"),
+                                          F.lit(0.0).alias("y1"), (x + 60).alias("x2"), F.lit(40.0).alias("y2"),
+                                          (-F.col("p_partkey")).cast("double").alias("score"))
+
+
+@query("l10_chain", _nms_sql("score DESC, box_id", 0.3, "ch", _CHAIN))
+def nms_chain(spark, d):
+    return M.box_nms(_chain(spark, d), 0.3).select("box_id")
+
+
 # Every fifth box has no area, every box occurs twice.
 _AWKWARD = """, aw AS (SELECT image_id, unnest([box_id, -box_id]) AS box_id, x1, y1, CASE WHEN box_id % 5 = 0 THEN x1 ELSE x2 END AS x2, y2, score FROM bx)"""
 

@@ -139,6 +139,46 @@ def test_nms_rounds_do_not_grow_with_the_image(spark, monkeypatch):
     assert len(tables) < 1 + 3 * 20
 
 
+def written_tables(monkeypatch):
+    tables, real = [], M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df: tables.append(1) or real(df))
+    return tables
+
+
+@pytest.mark.parametrize("step, threshold", [(20, 0.3), (64, 0.5)])
+def test_nms_chain_takes_few_rounds(spark, monkeypatch, step, threshold):
+    """Falling scores along a row: overlapping neighbours wait for each other, separate ones for nobody."""
+    rows = [(0, i, float(step * i), 0.0, step * i + 60.0, 40.0, -float(i)) for i in range(1000)]
+    tables = written_tables(monkeypatch)
+    got = {r["box_id"] for r in M.box_nms(spark.createDataFrame(rows, NMS_BOXES), threshold).collect()}
+    assert got == (set(range(0, 1000, 2)) if step == 20 else set(range(1000)))
+    assert len(tables) < 10
+
+
+@pytest.mark.parametrize("most", [8, 40])
+def test_nms_crowds(spark, monkeypatch, most):
+    """Tiles that hold more than they may are thinned by their leaders, with the same result."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(70):
+        side = float(rng.integers(3, 40))
+        x, y = rng.integers(0, 25 if i % 2 else 400, 2).tolist()
+        rows.append((i % 2, i, float(x), float(y), x + side, y + side * 0.8, float(rng.integers(0, 9))))
+    monkeypatch.setattr(M, "TILE_ROWS", most)
+    got = {r["box_id"] for r in M.box_nms(spark.createDataFrame(rows, NMS_BOXES), 0.4).collect()}
+    assert got == set().union(*(greedy([r for r in rows if r[0] == i], 0.4) for i in range(2)))
+
+
+def test_nms_edges(spark):
+    rows = [(0, 1, 0.0, 0.0, 4.0, 4.0, 1.0), (0, 2, None, 0.0, 4.0, 4.0, 2.0), (0, 3, 0.0, 0.0, 4.0, 4.0, None)]
+    df = spark.createDataFrame(rows, NMS_BOXES)
+    kept = {r["box_id"] for r in M.box_nms(df, 0.5).collect()}
+    assert 2 in kept and len(kept & {1, 3}) == 1  # a box without all corners meets nothing
+    assert M.box_nms(df.filter("false"), 0.5).count() == 0
+    with pytest.raises(ValueError):
+        M.box_nms(df, -0.1)
+
+
 def test_boxes_and_edges(spark, shapes):
     a, df = shapes
     got = {r["sample_id"]: tuple(r)[1:] for r in M.mask_boxes(df.filter("v = 1"), df.select("sample_id").distinct(), ["sample_id"]).collect()}
