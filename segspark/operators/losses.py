@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segspark.functions import columns as C
 from segspark.functions.prefix import kth_value, row_numbers, running_totals, top_k_per_group
+from segspark.operators.distance import squared_distance_transform
 from segspark.operators.predict import child_scores, parent_scores
 
 EPS32 = 1.1920928955078125e-07
@@ -246,65 +247,36 @@ def target_scores(df: DataFrame, classes: int, ignore: int = 255, digits: int |
     return rows if digits is None else rows.withColumns({"prob": C.snap(F.col("prob"), digits), "loss": C.snap(F.col("loss"), digits)})
 
 
-def squared_distance_transform(px: DataFrame) -> DataFrame:
-    """(sample_id, y, x, fg, d2): squared Euclidean distance of foreground pixels to the nearest background.
-
-    Along each row the nearest background comes from two windows; along each
-    column the smallest of row distance² + height² is taken over the column's
-    rows. Groups are one row and one column of an image. NULL when a sample
-    has no background.
-    """
-    row = Window.partitionBy("sample_id", "y").orderBy("x")
-    zero = F.when(F.col("fg") == 0, F.col("x"))
-    left = F.last(zero, ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(zero, ignorenulls=True).over(row.rowsBetween(0, Window.unboundedFollowing))
-    near = px.select("sample_id", "y", "x", "fg", F.least(F.col("x") - left, right - F.col("x")).cast("bigint").alias("g"))
-    cell = F.collect_list(F.struct("y", "fg", (F.col("g") * F.col("g")).alias("g2")))
-    cols = near.groupBy("sample_id", "x").agg(cell.alias("col"))
-    best = F.transform("col", lambda p: F.struct(p["y"].alias("y"), p["fg"].alias("fg"), F.array_min(
-        F.transform("col", lambda q: (p["y"] - q["y"]).cast("bigint") * (p["y"] - q["y"]) + q["g2"])).alias("d2")))
-    return cols.select("sample_id", "x", F.inline(best)).select("sample_id", "y", "x", "fg", "d2")
-
-
 def hausdorff(df: DataFrame, classes: int, mode: str = "reference", class_weight: list[float] | None = None, ignore: int = 255) -> DataFrame:
     """Distance-weighted squared error over (sample_id, y, x, logits, gt).
 
     mode `reference` compares every class with the raw label and takes one
     foreground mask (label non-zero; prediction = argmax non-zero); mode
-    `class` compares with the one-hot label and takes per-class masks.
+    `class` compares with the one-hot label and takes per-class masks. All
+    masks go through one distance transform, each pixel with the error that its
+    distance is to weigh, so nothing is joined. A mask without background adds
+    nothing.
     """
     if mode not in ("reference", "class"):
         raise ValueError(mode)
+    scored = [c for c in range(1, classes) if c != ignore]
+    weight = _literals([1.0] * classes if class_weight is None else class_weight)
     base = df.select("sample_id", "y", "x", "gt", C.softmax(F.col("logits"), classes).alias("p"), C.argmax(F.col("logits")).alias("am"))
-
-    def squared(mask: Column) -> DataFrame:
-        # Without background every distance is undefined and counts as zero.
-        return squared_distance_transform(base.select("sample_id", "y", "x", F.when(mask, 1).otherwise(0).alias("fg"))).select(
-            "sample_id", "y", "x", F.coalesce(F.when(F.col("fg") == 1, F.col("d2")), F.lit(0)).alias("d2"))
-
-    total = None
-    shared = None
-    for c in range(1, classes):
-        if c == ignore:
-            continue
-        if mode == "class" or shared is None:
-            g = F.col("gt") == c if mode == "class" else F.col("gt") != 0
-            s = F.col("am") == c if mode == "class" else F.col("am") != 0
-            keys = ["sample_id", "y", "x"]
-            dist = (squared(g).withColumnRenamed("d2", "g2").join(squared(s).withColumnRenamed("d2", "s2").hint("merge"), keys)
-                    .select(*keys, (F.col("g2") + F.col("s2")).alias("dtm")))
-            shared = base.join(dist.hint("merge"), keys)
-        goal = F.when(F.col("gt") == c, 1.0).otherwise(0.0) if mode == "class" else F.col("gt").cast("double")
-        delta = F.get("p", F.lit(c)) - goal
-        w = 1.0 if class_weight is None else float(class_weight[c])
-        if mode == "class":
-            part = shared.agg((F.avg(delta * delta * F.col("dtm")) * w).alias("loss"))
-            total = part if total is None else total.unionByName(part)
-        else:
-            total = (total if total is not None else F.lit(0.0)) + F.avg(delta * delta * F.col("dtm")) * w
+    of = lambda c, goal: F.pow(F.get("p", c) - goal, F.lit(2.0)) * F.get(weight, c)
     if mode == "class":
-        return total.agg((F.sum("loss") / classes).alias("loss"))
-    return shared.agg((total / classes).alias("loss"))
+        masks = base.select("*", F.posexplode(F.array(*[F.lit(c) for c in scored])).alias("i", "c"))
+        error, hit = of(F.col("c"), F.when(F.col("gt") == F.col("c"), 1.0).otherwise(0.0)), lambda label: F.col(label) == F.col("c")
+    else:
+        masks = base.withColumn("i", F.lit(0))
+        error = F.aggregate(F.array(*[F.lit(c) for c in scored]), F.lit(0.0), lambda t, c: t + of(c, F.col("gt").cast("double")))
+        hit = lambda label: F.col(label) != 0
+    on = lambda label: F.when(hit(label), 1).otherwise(0)
+    px = (masks.select("sample_id", "i", "y", "x", error.alias("e"), F.posexplode(F.array(on("gt"), on("am"))).alias("side", "fg"))
+          .select("sample_id", (F.col("i") * 2 + F.col("side")).alias("mask"), "y", "x", "e", "fg"))
+    copies = 2 * (len(scored) if mode == "class" else 1)
+    far = squared_distance_transform(px, layer="mask", layers=copies)
+    total = F.sum(F.when(F.col("fg") == 1, F.coalesce(F.col("e") * F.col("d2"), F.lit(0.0))).otherwise(0.0))
+    return far.agg((total / (F.count(F.lit(1)) / copies) / classes).alias("loss"))
 
 
 def hierarchical_bce(df: DataFrame, ranges: list[tuple[int, int]], fine: int, gamma: float | None = None, eps: float = 1e-8,

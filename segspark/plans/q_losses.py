@@ -191,6 +191,18 @@ def hausdorff_per_class(spark, d):
     return one(J.hausdorff(X.pixel_logits(spark, d), X.CLASSES, mode="class"), 4)
 
 
+# Images of 2,048 rows, with background in few places only.
+@query("j15_tall", """WITH px AS (SELECT event_id // 32768 AS sample_id, (event_id % 2048)::INT AS y, (event_id // 2048 % 16)::INT AS x,
+  CASE WHEN event_id % 397 = 5 AND event_id % 2048 < 1500 THEN 0 ELSE 1 END AS fg FROM events)
+SELECT a.sample_id, a.y, a.x, min((a.y-b.y)*(a.y-b.y) + (a.x-b.x)*(a.x-b.x))::BIGINT AS d2 FROM px a LEFT JOIN px b ON a.sample_id = b.sample_id AND b.fg = 0 GROUP BY 1, 2, 3""")
+def tall(spark, d):
+    e = F.col("event_id")
+    px = table(spark, d, "events").select(
+        F.expr("event_id div 32768").alias("sample_id"), (e % 2048).cast("int").alias("y"), F.expr("int(event_id div 2048 % 16)").alias("x"),
+        F.when((e % 397 == 5) & (e % 2048 < 1500), 0).otherwise(1).alias("fg"))
+    return J.squared_distance_transform(px, block=8).select("sample_id", "y", "x", "d2")
+
+
 HIER = f"""{X.VECTORS}, s AS (SELECT id, any_value(CASE WHEN gt < 7 THEN gt ELSE 255 END) AS gt, list(1/(1+exp(-v)) ORDER BY c) AS p FROM vc GROUP BY id),
 g AS (SELECT *, CASE WHEN gt < 2 THEN 0 WHEN gt < 5 THEN 1 WHEN gt < 7 THEN 2 ELSE 255 END AS top FROM s),
 lo AS (SELECT id, gt, i, p[i+1] AS neg, least(p[i+1], p[CASE WHEN i < 2 THEN 8 WHEN i < 5 THEN 9 ELSE 10 END]) AS pos FROM g, range(7) t(i) WHERE gt <> 255),

@@ -140,6 +140,22 @@ def test_distance_transform(spark):
         assert r["d2"] == ((zeros - [r["y"], r["x"]]) ** 2).sum(1).min()
 
 
+@pytest.mark.parametrize("height, width, share, block", [(300, 5, 0.995, 2), (40, 70, 0.9, 64), (7, 3, 1.0, 64)])
+def test_distance_transform_of_many_masks(spark, height, width, share, block):
+    rng = np.random.default_rng(height)
+    fg = (rng.random((2, height, width)) < share).astype(int)
+    rows = [(k, y, x, int(fg[k, y, x]), y * width + x) for k in range(2) for y in range(height) for x in range(width)]
+    df = spark.createDataFrame(rows, "mask int, y int, x int, fg int, extra int").repartition(5)
+    got = J.squared_distance_transform(df, ("mask",), block).collect()
+    layered = J.squared_distance_transform(df.withColumn("s", F.lit("a")), ("s",), block, "mask", 2).drop("s").collect()
+    assert set(got) == set(layered)
+    assert len(got) == len(rows)
+    zeros = [np.array([(y, x) for m, y, x, f, _ in rows if m == k and f == 0]).reshape(-1, 2) for k in range(2)]
+    for r in got:
+        near = ((zeros[r["mask"]] - [r["y"], r["x"]]) ** 2).sum(1)
+        assert r["d2"] == (near.min() if len(near) else None) and r["extra"] == r["y"] * width + r["x"]
+
+
 def test_softmax_paths_agree(batch):
     df = batch[2]
     long = H.class_probabilities(df).select(F.explode("probs").alias("p")).agg(F.sum(F.col("p") * F.col("p"))).first()[0]
