@@ -73,6 +73,28 @@ def carry_forward(df: DataFrame, order: list[str], column: str, group: list[str]
             .select(*[F.coalesce("__seen", "__carry").alias(c) if c == column else F.col(c) for c in df.columns]))
 
 
+def segments(df: DataFrame, position: str, columns: list[str], group: list[str],
+             partitions: int | None = None) -> DataFrame:
+    """`df` with the NULLs of `columns` replaced by the last earlier values of the group, and `until`: the
+    next row's position (NULL on the last). A column has at most one value at a position; all but one of the rows
+    of a position have no length."""
+    order = [F.col(position)]
+    base = _ranged(df, group, order, partitions)
+    inside = Window.partitionBy(*group, PART).orderBy(*order)
+    local = base.withColumns({
+        **{f"__seen_{c}": F.last(c, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for c in columns},
+        "__next": F.lead(position).over(inside)})
+    seat = lambda c: F.when(F.col(c).isNotNull(), F.struct(*order))
+    ends = base.groupBy(*group, PART).agg(F.min(position).alias("__first"),
+                                          *[F.max_by(F.col(c), seat(c)).alias(f"__end_{c}") for c in columns])
+    parts = Window.partitionBy(*group).orderBy(PART)
+    around = ends.select(*group, PART, F.lead("__first").over(parts).alias("__after"),
+                         *[F.last(f"__end_{c}", ignorenulls=True).over(_earlier(group)).alias(f"__carry_{c}") for c in columns])
+    return local.join(around, [*group, PART]).select(
+        *[F.coalesce(f"__seen_{c}", f"__carry_{c}").alias(c) if c in columns else F.col(c) for c in df.columns],
+        F.coalesce("__next", "__after").alias("until"))
+
+
 class OrderStatistic(NamedTuple):
     value: float
     below: int

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segspark.functions import columns as C
+from segspark.functions.prefix import segments
 
 ALLOWED = ("mIoU", "mDice", "mFscore")
 
@@ -210,24 +211,25 @@ def topk_accuracy(df: DataFrame, topk: tuple[int, ...] = (1,), thresh: float | N
         *[((h + FLOAT32_EPS) * 100.0 / n).alias(f"acc_{k}") for k, h in zip(topk, hits)])
 
 
-def confusion_from_runs(gt_runs: DataFrame, pred_runs: DataFrame, bucket: int = 64, ignore: int = 255) -> DataFrame:
+def confusion_from_runs(gt_runs: DataFrame, pred_runs: DataFrame, partitions: int | None = None, ignore: int = 255) -> DataFrame:
     """(gt, pred, n) from run-length masks (sample_id, start, len, label) without going to pixels.
 
-    Runs are cut at multiples of `bucket`; inside one bucket each side has at
-    most `bucket` pieces, so the overlap join is bounded per key.
+    The starts of both sides are merged in order of position and each side's
+    last run is carried forward to the next start; what lies between two starts
+    is covered as far as both runs reach. So a run of any length is one row, and
+    an image of any number of runs goes to many tasks. Runs of one side must not
+    overlap; cells that only one side covers do not count.
     """
-    def pieces(runs: DataFrame, label: str) -> DataFrame:
-        end = F.col("start") + F.col("len")
-        cut = runs.filter("len > 0").withColumn("b", F.explode(F.sequence(
-            F.floor(F.col("start") / bucket), F.floor((end - 1) / bucket))))
-        lo = F.greatest("start", F.col("b") * bucket)
-        hi = F.least(end, (F.col("b") + 1) * bucket)
-        return cut.select("sample_id", "b", lo.alias(f"{label}_lo"), hi.alias(f"{label}_hi"), F.col("label").alias(label))
-
-    both = pieces(gt_runs.filter(F.col("label") != ignore), "gt").join(
-        pieces(pred_runs, "pred").hint("merge"), ["sample_id", "b"])
-    overlap = F.least("gt_hi", "pred_hi") - F.greatest("gt_lo", "pred_lo")
-    return (both.withColumn("o", overlap).filter("o > 0").groupBy("gt", "pred").agg(F.sum("o").alias("n")))
+    def starts(runs: DataFrame, side: str) -> DataFrame:
+        pos = F.col("start").cast("bigint")
+        return runs.filter("len > 0").select("sample_id", pos.alias("pos"), F.struct("label", (pos + F.col("len")).alias("stop")).alias(side))
+
+    merged = starts(gt_runs.filter(F.col("label") != ignore), "gt").unionByName(starts(pred_runs, "pred"), allowMissingColumns=True)
+    both = segments(merged, "pos", ["gt", "pred"], ["sample_id"], partitions).filter("gt is not null and pred is not null")
+    # The last start has no next one; `least` passes over it.
+    shared = F.least("until", "gt.stop", "pred.stop") - F.col("pos")
+    return (both.withColumn("n", shared).filter("n > 0").groupBy(F.col("gt.label").alias("gt"), F.col("pred.label").alias("pred"))
+            .agg(F.sum("n").alias("n")))
 
 
 def custom_metric(px: DataFrame, partial, final) -> DataFrame:

@@ -166,3 +166,37 @@ def test_confusion_from_runs(spark, grid, scene, bucket):
     got = {(r["gt"], r["pred"]): r["n"] for r in M.confusion_from_runs(runs("gt"), runs("pred"), bucket).collect()}
     want = {(r["gt"], r["pred"]): r["n"] for r in M.pair_counts(px).collect()}
     assert got == want
+
+
+RUNS = "sample_id string, start bigint, len bigint, label int"
+
+
+def test_confusion_of_runs_with_gaps(spark):
+    rng = np.random.default_rng(3)
+
+    def side():
+        rows, cells = [], {}
+        for s in ("a", "b"):
+            at = 0
+            for _ in range(60):
+                at += int(rng.integers(0, 3))
+                n, label = int(rng.integers(0, 6)), int(rng.integers(0, 4))
+                rows.append((s, at, n, label))
+                cells.update({(s, at + i): label for i in range(n)})
+                at += n
+        return spark.createDataFrame(rows, RUNS), cells
+
+    (gt, g), (pred, p) = side(), side()
+    want = {}
+    for k in g.keys() & p.keys():
+        if g[k] != 2:
+            want[g[k], p[k]] = want.get((g[k], p[k]), 0) + 1
+    assert {(r["gt"], r["pred"]): r["n"] for r in M.confusion_from_runs(gt, pred, 5, ignore=2).collect()} == want
+
+
+def test_confusion_of_a_huge_run(spark):
+    gt = spark.createDataFrame([("a", 0, 10 ** 9, 1), ("a", 10 ** 9, 5, 3)], RUNS)
+    pred = spark.createDataFrame([("a", 7, 10 ** 9 - 7, 2), ("a", 10 ** 9, 9, 3), ("b", 0, 4, 3)], RUNS)
+    got = {(r["gt"], r["pred"]): r["n"] for r in M.confusion_from_runs(gt, pred).collect()}
+    assert got == {(1, 2): 10 ** 9 - 7, (3, 3): 5}
+    assert M.confusion_from_runs(gt.filter("false"), pred).count() == 0
