@@ -8,11 +8,14 @@ extra pixel columns (gt, v, c, …) and carry them along.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segspark.functions import columns as C
 from segspark.functions.prefix import row_numbers
+from segspark.operators.blocks import over_blocks, window_any
 from segspark.runtime import join_pixels, join_side, salt
 
 
@@ -339,55 +342,61 @@ def depth_mix_strip(width: Column, seed: int, ratio: float = 0.75) -> tuple[Colu
 
 # --- neighbourhoods ---------------------------------------------------------
 
-def _send(px: DataFrame, offsets: list[tuple[int, int]], value: str) -> DataFrame:
-    """Copies of each pixel's value at the given (dy, dx); `own` marks the copy at its own place."""
-    hops = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])
-    return px.select("sample_id", "y", "x", value, F.explode(hops).alias("o")).select(
-        "sample_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"),
-        ((F.col("o.dy") == 0) & (F.col("o.dx") == 0)).alias("own"), value)
-
-
-def edge_map(px: DataFrame, width: int = 3, ignore: int = 255) -> DataFrame:
+def edge_map(px: DataFrame, width: int = 3, ignore: int = 255, side: int = 256) -> DataFrame:
     """(sample_id, y, x, edge): a pixel is an edge when its label differs from the one above, to the
-    right, or on a lower diagonal, both not ignored; then dilated by a width x width square."""
-    # A pixel reports its label to the positions that compare with it.
-    sent = _send(px, [(0, 0), (1, 0), (0, -1), (-1, -1), (-1, 1)], "gt")
-    other = F.when(~F.col("own") & (F.col("gt") != ignore), F.col("gt"))
-    met = (sent.groupBy("sample_id", "y", "x")
-           .agg(F.max(F.when(F.col("own"), F.col("gt"))).alias("gt"), F.min(other).alias("lo"), F.max(other).alias("hi"))
-           .filter("gt is not null"))
-    differs = (F.col("gt") != ignore) & ((F.col("lo") != F.col("gt")) | (F.col("hi") != F.col("gt")))
-    raw = met.select("sample_id", "y", "x", F.when(differs, 1).otherwise(0).alias("edge"))
-    if width == 1:
-        return raw
-    before, after = width // 2, width - 1 - width // 2
-    reach = [(dy, dx) for dy in range(-after, before + 1) for dx in range(-after, before + 1)]
-    # Only edge pixels are copied around.
-    marks = _send(raw.filter("edge = 1"), reach, "edge").select("sample_id", "y", "x", "edge", F.lit(0).alias("here"))
-    own = raw.select("sample_id", "y", "x", "edge", F.lit(1).alias("here"))
-    return (own.unionByName(marks).groupBy("sample_id", "y", "x").agg(F.max("edge").alias("edge"), F.max("here").alias("here"))
-            .filter("here = 1").drop("here"))
-
+    right, or on a lower diagonal, both not ignored; then dilated by a width x width square.
 
-def boundary_pyramid(px: DataFrame, h: Column, w: Column) -> DataFrame:
+    One shuffle, by blocks of `side` x `side` pixels. Pixels that `px` lacks or whose label is NULL count as ignored.
+    """
+    before, after = width // 2, width - 1 - width // 2
+    reach = 1 + max(before, after)
+
+    def work(block):
+        gt = block.grid("gt", ignore, pad=1)
+        h, w = block.shape
+        own = gt[1:-1, 1:-1]
+        edge = np.zeros(block.shape, bool)
+        for dy, dx in ((-1, 0), (0, 1), (1, -1), (1, 1)):
+            other = gt[1 + dy:1 + dy + h, 1 + dx:1 + dx + w]
+            edge |= (own != other) & (own != ignore) & (other != ignore)
+        for axis in (0, 1) if width > 1 else ():
+            edge = window_any(edge, before, after, axis)
+        return edge[block.at].astype(np.int32)
+
+    rows = px.select("sample_id", "y", "x", F.col("gt").cast("int").alias("gt")).filter("gt is not null")
+    side = max(side, 2 * reach)
+    return over_blocks(rows, ["sample_id"], ["y", "x"], [side] * 2, [reach] * 2, work, T.StructField("edge", T.IntegerType()),
+                       ["sample_id", "y", "x"])
+
+
+def boundary_pyramid(px: DataFrame, h: Column, w: Column, side: int = 256) -> DataFrame:
     """(sample_id, y, x, boundary): Laplacian responses at strides 1, 2 and 4, thresholded at 0.1 and
-    fused with weights 6 : 3 : 1. Labels enter the filter as they are; outside counts as zero."""
-    ring = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    sent = _send(px, ring, "gt")
-    resp = (sent.groupBy("sample_id", "y", "x")
-            .agg(F.sum(F.when(F.col("own"), F.col("gt") * 8).otherwise(-F.col("gt"))).alias("r"), F.max("own").alias("here"))
-            .filter("here"))
-    hot = resp.select("sample_id", "y", "x", F.when(F.col("r") > 0, 1).otherwise(0).alias("b"))
-    levels = [hot.select("sample_id", "y", "x", F.col("b").alias("b1"), F.lit(0).alias("b2"), F.lit(0).alias("b4"))]
-    for s in (2, 4):
-        coarse = hot.filter((F.col("y") % s == 0) & (F.col("x") % s == 0) & (F.col("b") == 1)).select(
-            "sample_id", (F.col("y") / s).cast("int").alias("y"), (F.col("x") / s).cast("int").alias("x"), "b")
-        small = lambda c: F.ceil(c / F.lit(float(s))).cast("int")
-        up = resize_nearest(coarse, small(h), small(w), h, w)
-        levels.append(up.select("sample_id", "y", "x", F.lit(0).alias("b1"), F.lit(1 if s == 2 else 0).alias("b2"),
-                                F.lit(1 if s == 4 else 0).alias("b4")))
-    total = levels[0].unionByName(levels[1]).unionByName(levels[2])
-    merged = total.groupBy("sample_id", "y", "x").agg(*[F.max(b).alias(b) for b in ("b1", "b2", "b4")])
-    fused = 6 * F.col("b1") + 3 * F.col("b2") + F.col("b4")
-    return merged.select("sample_id", "y", "x", F.when(fused > 1, 1).otherwise(0).alias("boundary"))
+    fused with weights 6 : 3 : 1. Labels enter the filter as they are; outside counts as zero.
 
+    `h` and `w` are the image's size, as literals or columns of `px`. A coarse
+    response is taken at every stride-th pixel and read back by the floor rule,
+    so it lies less than a stride away: one shuffle, by blocks with four rows of margin.
+    """
+    rows = px.select("sample_id", "y", "x", F.col("gt").cast("bigint").alias("gt"), h.cast("int").alias("__h"), w.cast("int").alias("__w"))
+
+    def work(block):
+        gt = block.grid("gt", 0, pad=1)
+        n, m = block.shape
+        around = sum(gt[i:i + n, j:j + m] for i in range(3) for j in range(3))
+        there = np.zeros(block.shape, bool)
+        there[block.at] = True
+        hot = (9 * gt[1:-1, 1:-1] - around > 0) & there
+        fused = 6 * hot[block.at].astype(np.int32)
+        for stride, weight in ((2, 3), (4, 1)):
+            inside = np.ones(len(fused), bool)
+            source = []
+            for axis, length in enumerate(("__h", "__w")):
+                size = block.table.column(length).to_numpy().astype(np.int64)
+                at = block.place[axis] * -(-size // stride) // size * stride - block.lo[axis]
+                inside &= (block.place[axis] < size) & (at >= 0) & (at < block.shape[axis])
+                source.append(np.clip(at, 0, block.shape[axis] - 1))
+            fused += weight * (hot[tuple(source)] & inside)
+        return (fused > 1).astype(np.int32)
+
+    return over_blocks(rows, ["sample_id"], ["y", "x"], [side] * 2, [4] * 2, work, T.StructField("boundary", T.IntegerType()),
+                       ["sample_id", "y", "x"])

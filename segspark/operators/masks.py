@@ -8,9 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segspark.functions import columns as C
 from segspark.functions.prefix import carry_forward
+from segspark.operators.blocks import component_starts, over_blocks
 from segspark.runtime import join_side, materialize
 
 
@@ -342,33 +344,33 @@ def _iou(other: Column) -> Column:
 
 # --- connected regions ------------------------------------------------------
 
-def connected_regions(foreground: DataFrame, keys: list[str], strip: int = 1024) -> DataFrame:
+def connected_regions(foreground: DataFrame, keys: list[str], side: int = 256) -> DataFrame:
     """(keys…, y, x, region): 8-connected components of foreground pixels.
 
-    Pixels are first merged to horizontal runs inside strips of `strip`
-    columns. Each foreground pixel then announces its run to the neighbours
-    that follow it, which yields the run graph with a constant number of rows
-    per pixel; components come from alternating star contractions, whose
-    rounds grow with the logarithm of the component size. `region` is the
-    number of the component's first run (y * 2^32 + x of its first pixel).
+    Components are found inside blocks of `side` x `side` pixels, each pixel
+    travelling once. Only pixels at a block's border are compared with their
+    neighbours, which links components of different blocks; these links are
+    solved by alternating star contractions, whose rounds grow with the
+    logarithm of the number of blocks that a component crosses. `region` is the
+    number of the component's first pixel (y * 2^32 + x).
     """
-    w = Window.partitionBy(*keys, "y", "sx").orderBy("x")
-    px = foreground.select(*keys, "y", "x", F.floor(F.col("x") / strip).alias("sx"))
-    first = F.when(F.coalesce(F.lag("x").over(w) == F.col("x") - 1, F.lit(False)), None).otherwise(F.col("x"))
-    runs = px.withColumn("s", first).withColumn("s", F.max("s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    node = (F.shiftleft(F.col("y").cast("bigint"), 32) + F.col("s")).alias("node")
-    cells = materialize(runs.select(*keys, "y", "x", node))
+    number = lambda y, x: (y << 32) + x
+    rows = foreground.select(*keys, "y", "x")
+    cells = materialize(over_blocks(rows, keys, ["y", "x"], [side] * 2, [0] * 2, lambda block: number(*component_starts(*block.place)),
+                                    T.StructField("node", T.LongType()), [*keys, "y", "x"]))
 
+    on_edge = lambda c: F.pmod(F.col(c), F.lit(side)).isin(0, side - 1)
     steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
     shout = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))
                                 for k, (dy, dx) in enumerate(steps)]))
-    heard = (cells.select(*keys, "node", shout.alias("t")).groupBy(*keys, "t.y", "t.x")
+    heard = (cells.filter(on_edge("y") | on_edge("x")).select(*keys, "node", shout.alias("t")).groupBy(*keys, "t.y", "t.x")
              .agg(*[F.max(F.when(F.col("t.k") == k, F.col("node"))).alias(f"n{k}") for k in range(5)]).filter("n0 is not null"))
-    pairs = (heard.select(*keys, F.col("n0").alias("b"), F.explode(F.array("n1", "n2", "n3", "n4")).alias("a"))
-             .filter("a is not null and a != b").select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    roots = _star_contract(materialize(pairs), keys)
-    # A run has at most `strip` pixels, so no key is hot here.
-    named = cells.join(roots.select(*keys, F.col("u").alias("node"), F.col("v").alias("root")).hint("merge"), [*keys, "node"], "left")
+    pairs = materialize(heard.select(*keys, F.col("n0").alias("b"), F.explode(F.array("n1", "n2", "n3", "n4")).alias("a"))
+                        .filter("a is not null and a != b").select(*keys, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    if pairs.isEmpty():
+        return cells.withColumnRenamed("node", "region")
+    roots = _star_contract(pairs, keys).select(*keys, F.col("u").alias("node"), F.col("v").alias("root"))
+    named = join_side(cells, roots, [*keys, "node"], "left")
     return named.select(*keys, "y", "x", F.coalesce("root", "node").alias("region"))
 
 

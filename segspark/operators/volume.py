@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from segspark.functions import columns as C
+from segspark.operators.blocks import mirrored, over_blocks
 from segspark.runtime import join_side
 
 AXES = ("z", "y", "x")
@@ -55,32 +58,29 @@ def gaussian_noise(vox: DataFrame, mean: float = 0.0, std: float = 0.1, prob: fl
     return vox.withColumn("v", F.when(chosen, F.col("v") + noise).otherwise(F.col("v")))
 
 
-def gaussian_blur(vox: DataFrame, shape: tuple[int, int, int], sigma: tuple[float, float, float], truncate: float = 4.0) -> DataFrame:
-    """Separable blur, mirrored at the border (edge voxel repeated). Each voxel sends weighted shares
-    along one axis at a time; shares are summed per target."""
-    rest = [c for c in vox.columns if c not in ("v", *AXES)]
-    out = vox
-    for a, n, s in zip(AXES, shape, sigma):
-        if s <= 0:
-            continue
-        r = int(truncate * s + 0.5)
-        raw = [math.exp(-0.5 * (k / s) ** 2) for k in range(-r, r + 1)]
-        weights = F.array(*[F.lit(w / sum(raw)) for w in raw])
-        # Images of a voxel in the mirrored line, then targets within the radius.
-        reach = r // n + 1
-        places = F.flatten(F.array(*[F.array(2 * n * m + F.col(a), 2 * n * m - 1 - F.col(a)) for m in range(-reach, reach + 1)]))
-        spans = F.flatten(F.transform(places, lambda p: F.when(
-            (p + r >= 0) & (p - r <= n - 1), F.transform(F.sequence(F.greatest(p - r, F.lit(0)), F.least(p + r, F.lit(n - 1))), lambda t: F.struct(
-                t.alias("t"), F.get(weights, t - p + r).alias("wt")))).otherwise(F.array().cast("array<struct<t:int,wt:double>>"))))
-        sent = out.withColumn("__s", F.explode(spans))
-        others = [x for x in AXES if x != a]
-        gt = ["gt"] if "gt" in rest else []
-        # The label stays with its own voxel.
-        own = [F.max(F.when(F.col("__s.t") == F.col(a), F.col(g))).alias(g) for g in gt]
-        keys = [c for c in rest if c not in gt]
-        out = (sent.groupBy(*keys, *others, F.col("__s.t").alias("__t")).agg(F.sum(F.col("v") * F.col("__s.wt")).alias("v"), *own)
-               .withColumnRenamed("__t", a))
-    return out.select(*vox.columns)
+def gaussian_blur(vox: DataFrame, shape: tuple[int, int, int], sigma: tuple[float, float, float], truncate: float = 4.0,
+                  side: int = 32) -> DataFrame:
+    """Separable blur of v along z, y and x, mirrored at the border (edge voxel repeated); other columns stay.
+
+    One shuffle, by blocks with a margin of the kernel's radius; the three axes are
+    blurred inside a block. Voxels that are missing or NULL count as zero. A
+    block's side is at least four radii, so a voxel travels to few blocks and a task holds one block.
+    """
+    radius = [int(truncate * s + 0.5) if s > 0 else 0 for s in sigma]
+
+    def work(block):
+        v = block.grid("v", 0.0)
+        for axis, (n, s, r) in enumerate(zip(shape, sigma, radius)):
+            if r == 0:
+                continue
+            weights = np.exp(-0.5 * (np.arange(-r, r + 1) / s) ** 2)
+            wide, size = mirrored(v, block.lo[axis], n, r, axis), v.shape[axis]
+            v = sum(w * np.take(wide, np.arange(k, k + size), axis) for k, w in enumerate(weights / weights.sum()))
+        return v[block.at]
+
+    rows = vox.withColumn("v", F.col("v").cast("double"))
+    keys = [c for c in ("sample_id", "c") if c in vox.columns]
+    return over_blocks(rows, keys, list(AXES), [max(side, 4 * r) for r in radius], radius, work, T.StructField("v", T.DoubleType()), vox.columns)
 
 
 def adjust_gamma(vox: DataFrame, gamma: Column, per_channel: bool = False, invert: bool = False, retain_stats: bool = False) -> DataFrame:

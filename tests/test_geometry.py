@@ -30,12 +30,35 @@ def edges(a, width, ignore=255):
     return out
 
 
-@pytest.mark.parametrize("width", [1, 2, 3])
-def test_edge_map(grid, width):
+@pytest.mark.parametrize("width,side", [(1, 256), (2, 4), (3, 256), (3, 5), (6, 8)])
+def test_edge_map(grid, width, side):
     rng = np.random.default_rng(3)
-    a = np.kron(rng.integers(0, 3, (3, 4)), np.ones((4, 3), dtype=int))
+    a = np.kron(rng.integers(0, 3, (5, 8)), np.ones((4, 3), dtype=int))
     a[rng.random(a.shape) < 0.05] = 255
-    assert (image(G.edge_map(grid({0: a}), width), "edge", a.shape) == edges(a, width)).all()
+    assert (image(G.edge_map(grid({0: a}), width, side=side), "edge", a.shape) == edges(a, width)).all()
+
+
+def test_edge_map_of_a_sparse_image(spark):
+    df = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 1, 2), (0, 5, 5, 1), (0, 5, 7, 2), (None, 1, 1, 3), (1, 0, 0, None)],
+                               "sample_id int, y int, x int, gt int")
+    got = {(r["sample_id"], r["y"], r["x"]): r["edge"] for r in G.edge_map(df, 1).collect()}
+    assert got == {(0, 0, 0): 1, (0, 0, 1): 0, (0, 5, 5): 0, (0, 5, 7): 0, (None, 1, 1): 0}
+    assert G.edge_map(df.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("shape,side", [((16, 12), 256), ((13, 18), 6), ((9, 7), 3)])
+def test_boundary_pyramid(grid, shape, side):
+    h, w = shape
+    a = np.random.default_rng(5).integers(0, 4, shape)
+    p = np.pad(a, 1)
+    hot = 9 * a - sum(p[i:i + h, j:j + w] for i in range(3) for j in range(3)) > 0
+    fused = 6 * hot
+    for stride, weight in ((2, 3), (4, 1)):
+        ys = np.arange(h) * -(-h // stride) // h
+        xs = np.arange(w) * -(-w // stride) // w
+        fused = fused + weight * hot[::stride, ::stride][ys][:, xs]
+    got = image(G.boundary_pyramid(grid({0: a}), F.lit(h), F.lit(w), side), "boundary", shape)
+    assert (got == (fused > 1)).all()
 
 
 def test_edge_map_triangle(grid):
@@ -182,8 +205,8 @@ def test_constant_image_cannot_be_reranged(spark):
         P.rerange(df).collect()
 
 
-@pytest.mark.parametrize("n,sigma", [(6, 0.5), (3, 1.5)])
-def test_blur_against_padding(spark, n, sigma):
+@pytest.mark.parametrize("n,sigma,side", [(6, 0.5, 32), (3, 1.5, 32), (10, 0.25, 4), (9, 0.5, 4)])
+def test_blur_against_padding(spark, n, sigma, side):
     rng = np.random.default_rng(8)
     a = rng.random((n, n, n))
     df = spark.createDataFrame([(0, 0, *map(int, i), float(v), 1) for i, v in np.ndenumerate(a)], "sample_id int, c int, z int, y int, x int, v double, gt int")
@@ -194,7 +217,7 @@ def test_blur_against_padding(spark, n, sigma):
     for ax in range(3):
         pad = [(r, r) if i == ax else (0, 0) for i in range(3)]
         want = np.apply_along_axis(lambda v: np.convolve(v, w, "valid"), ax, np.pad(want, pad, mode="symmetric"))
-    for row in V.gaussian_blur(df, (n, n, n), (sigma,) * 3).collect():
+    for row in V.gaussian_blur(df, (n, n, n), (sigma,) * 3, side=side).collect():
         assert row["v"] == pytest.approx(want[row["z"], row["y"], row["x"]]) and row["gt"] == 1
 
 

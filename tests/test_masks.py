@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segspark.operators import masks as M
+from segspark.operators.blocks import component_starts
 
 
 def mask_df(spark, a):
@@ -72,16 +73,29 @@ def drop_small(m, limit, holes):
     return np.isin(label, keep).astype(int)
 
 
-@pytest.mark.parametrize("strip", [2, 1024])
-def test_connected_regions(shapes, strip):
+@pytest.mark.parametrize("side", [2, 5, 256])
+def test_connected_regions(shapes, side):
     a, df = shapes
-    got = M.connected_regions(df.filter("v = 1"), ["sample_id"], strip).collect()
+    got = M.connected_regions(df.filter("v = 1"), ["sample_id"], side).collect()
     for s, m in a.items():
         label, n = regions(m)
         pairs = {(r["region"], int(label[r["y"], r["x"]])) for r in got if r["sample_id"] == s}
         assert len(pairs) == n == len({p[0] for p in pairs}) and sum(r["sample_id"] == s for r in got) == m.sum()
 
 
+def test_component_starts():
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.4, 0.6, 0.9):
+        m = (rng.random((23, 17)) < share).astype(int)
+        y, x = rng.permutation(np.argwhere(m)).T
+        label, _ = regions(m)
+        first = {}
+        for p in np.argwhere(m):
+            first.setdefault(label[tuple(p)], tuple(p))
+        got = component_starts(y, x)
+        assert [first[label[p]] for p in zip(y, x)] == list(zip(*got))
+
+
 @pytest.mark.parametrize("mode", ["islands", "holes"])
 @pytest.mark.parametrize("limit", [3, 500])
 def test_remove_small_regions(spark, mode, limit):
