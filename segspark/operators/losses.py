@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from segspark.functions import columns as C
 from segspark.functions.prefix import kth_value, row_numbers, running_totals, top_k_per_group
 from segspark.operators.distance import squared_distance_transform
-from segspark.operators.predict import child_scores, parent_scores
 
 EPS32 = 1.1920928955078125e-07
 
@@ -67,19 +66,44 @@ def _bce(x: Column, t: Column, pos_weight: Column | None = None) -> Column:
     return (1 - t) * x + (1 + (pos_weight - 1) * t) * (F.log1p(F.exp(-F.abs(x))) + F.greatest(-x, F.lit(0.0)))
 
 
+def _by_class(df: DataFrame, classes: int) -> DataFrame:
+    """A row (…, class_id, score) for each class of each row of logits."""
+    rest = [c for c in df.columns if c not in ("logits", "class_id", "score")]
+    return df.select(*rest, F.posexplode("logits").alias("class_id", "score")).filter(F.col("class_id") < classes)
+
+
+def _reduce_classes(df: DataFrame, element, weight: Column, classes: int, reduction: str, avg_factor: float | None,
+                    counted: Column | None = None) -> DataFrame:
+    """Reduction of element(class, score) times the row's weight over rows x classes. `counted` is what a row adds
+    per class to the divisor of a mean.
+
+    Few classes are added up inside the row, in generated code; many become rows, summed before any shuffle.
+    """
+    unrolled = reduction != "none" and classes <= C.UNROLL_LIMIT
+    if unrolled:
+        own = fold(lambda a, b: a + b, [element(F.lit(i), F.get("logits", F.lit(i))) for i in range(classes)])
+        rows = df.withColumns({"loss": own, "__w": weight})
+    else:
+        rows = _by_class(df, classes)
+        rows = rows.withColumns({"loss": element(F.col("class_id"), F.col("score")), "__w": weight})
+    if avg_factor is not None or reduction != "mean":
+        return reduce_loss(rows, "loss", "__w", reduction, avg_factor).drop("__w")
+    by = (F.count(F.lit(1)) if counted is None else F.sum(counted)) * (classes if unrolled else 1)
+    return rows.agg((F.sum(F.col("loss") * F.col("__w")) / (by if counted is None else by + EPS32)).alias("loss"))
+
+
 def binary_cross_entropy(df: DataFrame, classes: int, pos_weight: list[float] | None = None, ignore: int = 255,
-                         avg_non_ignore: bool = False, weight: str | None = None) -> DataFrame:
-    """One-hot binary cross-entropy averaged over rows x classes (or over the valid ones)."""
+                         avg_non_ignore: bool = False, weight: str | None = None, reduction: str = "mean",
+                         avg_factor: float | None = None) -> DataFrame:
+    """One-hot binary cross-entropy averaged over rows x classes (or over the valid ones).
+
+    `weight` names a column with a row's weight. `none` gives (…, class_id, score, loss) for each row and class.
+    """
     valid = F.when((F.col("gt") >= 0) & (F.col("gt") != ignore), 1.0).otherwise(0.0)
-    x = lambda i: F.get("logits", F.lit(i))
     hot = lambda i: F.when(F.col("gt") == i, 1.0).otherwise(0.0)
-    pw = lambda i: None if pos_weight is None else F.lit(float(pos_weight[i]))
-    row = fold(lambda a, b: a + b, [_bce(x(i), hot(i), pw(i)) for i in range(classes)])
-    w = valid if weight is None else valid * F.col(weight)
-    rows = df.select((row * w).alias("s"), valid.alias("valid"))
-    if avg_non_ignore:
-        return rows.agg((F.sum("s") / (F.sum("valid") * classes + EPS32)).alias("loss"))
-    return rows.agg((F.sum("s") / (F.count(F.lit(1)) * classes)).alias("loss"))
+    own = lambda i, x: _bce(x, hot(i), None if pos_weight is None else F.get(_literals(pos_weight), i))
+    return _reduce_classes(df, own, valid if weight is None else valid * F.col(weight), classes, reduction, avg_factor,
+                           valid if avg_non_ignore else None)
 
 
 def mask_cross_entropy(df: DataFrame) -> DataFrame:
@@ -88,38 +112,42 @@ def mask_cross_entropy(df: DataFrame) -> DataFrame:
 
 
 def focal(df: DataFrame, classes: int, gamma: float = 2.0, alpha: float | list[float] = 0.5,
-          class_weight: list[float] | None = None, ignore: int = 255) -> DataFrame:
-    """Sigmoid focal loss over one-hot labels, mean over rows x classes; ignored rows count as zero."""
-    terms = []
-    for i in range(classes):
-        x = F.get("logits", F.lit(i))
+          class_weight: list[float] | None = None, ignore: int = 255, weight: str | None = None, reduction: str = "mean",
+          avg_factor: float | None = None) -> DataFrame:
+    """Sigmoid focal loss over one-hot labels, mean over rows x classes; ignored rows count as zero.
+
+    `weight` names a column with a row's weight. `none` gives (…, class_id, score, loss) for each row and class.
+    """
+    def own(i, x):
         t = F.when(F.col("gt") == i, 1.0).otherwise(0.0)
         p = C.sigmoid(x)
-        a = F.lit(float(alpha[i] if isinstance(alpha, list) else alpha))
+        a = F.get(_literals(alpha), i) if isinstance(alpha, list) else F.lit(float(alpha))
         miss = (1 - p) * t + p * (1 - t)
-        term = C.bce_logits(x, t) * (a * t + (1 - a) * (1 - t)) * F.pow(miss, F.lit(gamma))
-        terms.append(term if class_weight is None else term * float(class_weight[i]))
-    row = F.when(F.col("gt") == ignore, 0.0).otherwise(fold(lambda a, b: a + b, terms))
-    return df.agg((F.sum(row) / (F.count(F.lit(1)) * classes)).alias("loss"))
+        loss = C.bce_logits(x, t) * (a * t + (1 - a) * (1 - t)) * F.pow(miss, F.lit(gamma))
+        return loss if class_weight is None else loss * F.get(_literals(class_weight), i)
+
+    kept = F.when(F.col("gt") == ignore, 0.0).otherwise(1.0)
+    return _reduce_classes(df, own, kept if weight is None else kept * F.col(weight), classes, reduction, avg_factor)
 
 
 def dice(df: DataFrame, classes: int, eps: float = 1e-3, naive: bool = False, ignore_class: int | None = 255,
-         by: str = "sample_id") -> DataFrame:
-    """Per-sample dice over all classes and pixels, then the mean. `ignore_class` leaves a class channel
-    out; pixels of unknown labels stay with an all-zero target."""
-    kept = [i for i in range(classes) if i != ignore_class]
-    if not kept:
+         by: str = "sample_id", weight: str | None = None, reduction: str = "mean", avg_factor: float | None = None) -> DataFrame:
+    """Per-sample dice over all classes and pixels, then reduced. `ignore_class` leaves a class channel
+    out; pixels of unknown labels stay with an all-zero target. `weight` names a column with one weight per sample."""
+    if classes < 1 or (classes == 1 and ignore_class == 0):
         raise ValueError("the ignored class is the only class")
-    p = C.softmax(F.col("logits"), classes)
-    rows = df.select(by, "gt", p.alias("p"))
-    at = lambda i: F.get("p", F.lit(i))
-    total = lambda f: fold(lambda a, b: a + b, [f(i) for i in kept])
-    hit = F.when(F.col("gt").isin(*kept), F.get("p", F.col("gt"))).otherwise(0.0)
-    target = F.when(F.col("gt").isin(*kept), 1.0).otherwise(0.0)
-    parts = rows.groupBy(by).agg(F.sum(hit).alias("a"), F.sum(total(at) if naive else total(lambda i: at(i) * at(i))).alias("b"),
-                                 F.sum(target).alias("c"))
+    extra = [] if weight is None else [weight]
+    rows = df.select(by, "gt", *extra, C.softmax(F.col("logits"), classes).alias("p"))
+    term = (lambda v: v) if naive else (lambda v: v * v)
+    total = C.sum_over(F.col("p"), term, classes)
+    known = F.col("gt").between(0, classes - 1)
+    if ignore_class is not None and 0 <= ignore_class < classes:
+        others = F.concat(F.slice("p", 1, ignore_class), F.slice("p", ignore_class + 2, classes))
+        total, known = C.sum_over(others, term, classes - 1), known & (F.col("gt") != ignore_class)
+    hit, target = F.when(known, F.get("p", F.col("gt"))).otherwise(0.0), F.when(known, 1.0).otherwise(0.0)
+    parts = rows.groupBy(by).agg(F.sum(hit).alias("a"), F.sum(total).alias("b"), F.sum(target).alias("c"), *[F.max(c).alias(c) for c in extra])
     d = (2 * F.col("a") + eps) / (F.col("b") + F.col("c") + eps) if naive else 2 * F.col("a") / (F.col("b") + eps + F.col("c") + eps)
-    return parts.agg(F.avg(1 - d).alias("loss"))
+    return reduce_loss(parts.select(by, *extra, (1 - d).alias("loss")), "loss", weight, reduction, avg_factor)
 
 
 def tversky(df: DataFrame, classes: int, alpha: float = 0.3, beta: float = 0.7, smooth: float = 1.0,
@@ -127,17 +155,27 @@ def tversky(df: DataFrame, classes: int, alpha: float = 0.3, beta: float = 0.7,
     """Mean over samples of each class's Tversky loss, weighted, summed and divided by the class count."""
     if abs(alpha + beta - 1.0) > 1e-12:
         raise ValueError("alpha + beta must be 1")
-    rows = df.select(by, "gt", C.softmax(F.col("logits"), classes).alias("p")).filter(F.col("gt") != ignore)
-    kept = [i for i in range(classes) if i != ignore]
-    aggs = []
-    for i in kept:
-        p, t = F.get("p", F.lit(i)), F.when(F.least(F.greatest("gt", F.lit(0)), F.lit(classes - 1)) == i, 1.0).otherwise(0.0)
-        aggs += [F.sum(p * t).alias(f"tp{i}"), F.sum(p * (1 - t)).alias(f"fp{i}"), F.sum((1 - p) * t).alias(f"fn{i}")]
     # A sample without valid pixels has zero sums and a loss of zero.
-    every = df.select(by).distinct().join(rows.groupBy(by).agg(*aggs), by, "left").na.fill(0.0)
-    score = lambda i: (F.col(f"tp{i}") + smooth) / (F.col(f"tp{i}") + alpha * F.col(f"fp{i}") + beta * F.col(f"fn{i}") + smooth)
-    total = fold(lambda a, b: a + b, [F.avg(1 - score(i)) * (1.0 if class_weight is None else float(class_weight[i])) for i in kept])
-    return every.agg((total / classes).alias("loss"))
+    valid = F.when(F.col("gt") != ignore, 1.0).otherwise(0.0)
+    label = F.least(F.greatest("gt", F.lit(0)), F.lit(classes - 1))
+    rows = df.select(by, valid.alias("valid"), label.alias("label"), C.softmax(F.col("logits"), classes).alias("logits"))
+    hot = lambda i: F.when(F.col("label") == i, F.col("valid")).otherwise(0.0)
+    sums = lambda i, p: {"tp": F.sum(p * hot(i)), "p": F.sum(p * F.col("valid")), "t": F.sum(hot(i))}
+    if classes <= C.UNROLL_LIMIT:
+        kept = [i for i in range(classes) if i != ignore]
+        wide = rows.groupBy(by).agg(*[v.alias(f"{n}{i}") for i in kept for n, v in sums(i, F.get("logits", F.lit(i))).items()])
+        per = wide.select(by, F.inline(F.array(*[F.struct(F.lit(i).alias("class_id"), *[F.col(f"{n}{i}").alias(n) for n in ("tp", "p", "t")])
+                                                 for i in kept])))
+    else:
+        long = _by_class(rows, classes).filter(F.col("class_id") != ignore)
+        per = long.groupBy(by, "class_id").agg(*[v.alias(n) for n, v in sums(F.col("class_id"), F.col("score")).items()])
+    tp, fp, fn = F.col("tp"), F.col("p") - F.col("tp"), F.col("t") - F.col("tp")
+    own = 1 - (tp + smooth) / (tp + alpha * fp + beta * fn + smooth)
+    if class_weight is not None:
+        own = own * F.get(_literals(class_weight), F.col("class_id"))
+    # Every sample has a row for each class, so the mean over both is a class's mean over samples, averaged.
+    counted = classes if not 0 <= ignore < classes else classes - 1
+    return per.agg((F.avg(own) * counted / classes).alias("loss"))
 
 
 def _lovasz_sum(errors: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
@@ -157,15 +195,22 @@ def _lovasz_sum(errors: DataFrame, totals: DataFrame, keys: list[str]) -> DataFr
 
 
 def lovasz_softmax(df: DataFrame, classes: int, chosen: str | list[int] = "present", per_image: bool = False,
-                   class_weight: list[float] | None = None, ignore: int | None = 255) -> DataFrame:
-    """Lovász-softmax over all rows, or per sample_id and then averaged."""
+                   class_weight: list[float] | None = None, ignore: int | None = 255, reduction: str = "mean",
+                   avg_factor: float | None = None) -> DataFrame:
+    """Lovász-softmax over all rows, or per sample_id; the samples' losses are then reduced (`reduction` and
+    `avg_factor` count only there)."""
     group = ["sample_id"] if per_image else []
     rows = df if ignore is None else df.filter(F.col("gt") != ignore)
+    probs = rows.select(*group, "gt", C.softmax(F.col("logits"), classes).alias("logits"))
+    hot = lambda i: F.when(F.col("gt") == i, 1).otherwise(0)
+    error = lambda i, p: F.abs(hot(i).cast("double") - p)
     wanted = list(range(classes)) if isinstance(chosen, str) else list(chosen)
-    probs = rows.select(*group, "gt", C.softmax(F.col("logits"), classes).alias("p"))
-    per_class = F.array(*[F.struct(F.lit(c).alias("class_id"), F.when(F.col("gt") == c, 1).otherwise(0).alias("fg"),
-                                   F.abs(F.when(F.col("gt") == c, 1.0).otherwise(0.0) - F.get("p", F.lit(c))).alias("err")) for c in wanted])
-    errors = probs.select(*group, F.explode(per_class).alias("e")).select(*group, "e.*")
+    if classes <= C.UNROLL_LIMIT:
+        per_class = [F.struct(F.lit(i).alias("class_id"), hot(i).alias("fg"), error(i, F.get("logits", F.lit(i))).alias("err")) for i in wanted]
+        errors = probs.select(*group, F.explode(F.array(*per_class)).alias("e")).select(*group, "e.*")
+    else:
+        errors = _by_class(probs, classes).filter(F.col("class_id").isin(*wanted)).select(
+            *group, "class_id", hot(F.col("class_id")).alias("fg"), error(F.col("class_id"), F.col("score")).alias("err"))
     keys = [*group, "class_id"]
     totals = errors.groupBy(*keys).agg(F.sum("fg").alias("gts"))
     if chosen == "present":
@@ -174,19 +219,21 @@ def lovasz_softmax(df: DataFrame, classes: int, chosen: str | list[int] = "prese
     if class_weight is not None:
         scored = scored.withColumn("loss", F.col("loss") * F.get(_literals(class_weight), F.col("class_id")))
     if per_image:
-        return scored.groupBy("sample_id").agg(F.avg("loss").alias("loss")).agg(F.avg("loss").alias("loss"))
+        return reduce_loss(scored.groupBy("sample_id").agg(F.avg("loss").alias("loss")), "loss", None, reduction, avg_factor)
     return scored.agg(F.avg("loss").alias("loss"))
 
 
-def lovasz_hinge(df: DataFrame, per_image: bool = False, ignore: int | None = 255) -> DataFrame:
-    """Binary hinge variant over rows (logit, gt 0/1)."""
+def lovasz_hinge(df: DataFrame, per_image: bool = False, ignore: int | None = 255, reduction: str = "mean",
+                 avg_factor: float | None = None) -> DataFrame:
+    """Binary hinge variant over rows (logit, gt 0/1); reduced over samples as `lovasz_softmax`."""
     key = ["sample_id"] if per_image else []
     rows = df if ignore is None else df.filter(F.col("gt") != ignore)
     errors = rows.select(*key, (1 - F.col("logit") * (2.0 * F.col("gt") - 1)).alias("err"), F.col("gt").alias("fg"))
     totals = errors.groupBy(*key).agg(F.sum("fg").alias("gts"))
     scored = _lovasz_sum(errors, totals, key)
     if per_image:
-        scored = totals.join(scored, key, "left")
+        per = totals.join(scored, key, "left").select(*key, F.coalesce("loss", F.lit(0.0)).alias("loss"))
+        return reduce_loss(per, "loss", None, reduction, avg_factor)
     return scored.agg(F.avg(F.coalesce("loss", F.lit(0.0))).alias("loss"))
 
 
@@ -283,26 +330,31 @@ def hierarchical_bce(df: DataFrame, ranges: list[tuple[int, int]], fine: int, ga
                      ignore: int = 255) -> DataFrame:
     """Fine and coarse binary cross-entropy on consistent scores, times five; `gamma` gives the focal form.
     logits hold the fine classes, then the coarse ones."""
+    whole = lambda values: F.array(*[F.lit(v) for v in values])
     coarse = len(ranges)
-    s = df.select("gt", F.transform("logits", C.sigmoid).alias("p"))
-    up = F.lit(ignore)
-    for k, (lo, hi) in enumerate(ranges):
-        up = F.when((F.col("gt") >= lo) & (F.col("gt") < hi), F.lit(k)).otherwise(up)
-    s = s.withColumn("top", up)
+    parent = {i: k for k, (lo, hi) in enumerate(ranges) for i in range(lo, hi)}
+    up = F.get(whole([parent.get(i, ignore) for i in range(fine)]), F.col("gt"))
+    s = df.select(F.transform("logits", C.sigmoid).alias("p"), "gt", F.coalesce(F.when(F.col("gt") >= 0, up), F.lit(ignore)).alias("top"))
     p = F.col("p")
-    child, parent = child_scores(p, ranges, fine), parent_scores(p, ranges, fine)
 
-    def term(label: str, i: int, pos: Column, neg: Column) -> Column:
-        a, b = F.log(pos + eps), F.log(1 - neg + eps)
-        if gamma is not None:
-            a, b = a * F.pow(1 - pos, F.lit(gamma)), b * F.pow(neg, F.lit(gamma))
-        return F.when(F.col(label) == i, -a).otherwise(-b)
+    def child(i):
+        own = F.get(p, i)
+        return F.struct(F.col("gt").alias("label"), F.lit(0).alias("level"), i.alias("i"),
+                        F.least(own, F.get(p, F.get(whole([fine + parent[k] for k in range(fine)]), i))).alias("pos"), own.alias("neg"))
+
+    def group(k):
+        own = F.get(p, fine + k)
+        below = F.slice(p, F.get(whole([lo + 1 for lo, _ in ranges]), k), F.get(whole([hi - lo for lo, hi in ranges]), k))
+        return F.struct(F.col("top").alias("label"), F.lit(1).alias("level"), k.alias("i"), own.alias("pos"),
+                        F.greatest(F.array_max(below), own).alias("neg"))
 
-    add = lambda a, b: a + b
-    low = fold(add, [term("gt", i, child[i], F.get(p, F.lit(i))) for i in range(fine)])
-    high = fold(add, [term("top", k, F.get(p, F.lit(fine + k)), parent[k]) for k in range(coarse)])
-    mean = lambda v, label, n: F.sum(F.when(F.col(label) != ignore, v).otherwise(0.0)) / F.sum(F.when(F.col(label) != ignore, 1).otherwise(0)) / n
-    return s.agg((5 * (mean(low, "gt", fine) + mean(high, "top", coarse))).alias("loss"))
+    scores = F.concat(F.transform(whole(range(fine)), child), F.transform(whole(range(coarse)), group))
+    a, b = F.log(F.col("pos") + eps), F.log(1 - F.col("neg") + eps)
+    if gamma is not None:
+        a, b = a * F.pow(1 - F.col("pos"), F.lit(gamma)), b * F.pow(F.col("neg"), F.lit(gamma))
+    own = F.when(F.col("label") == F.col("i"), -a).otherwise(-b)
+    mean = lambda level: F.avg(F.when((F.col("level") == level) & (F.col("label") != ignore), own))
+    return s.select(F.inline(scores)).agg((5 * (mean(0) + mean(1))).alias("loss"))
 
 
 def tree_triplet(df: DataFrame, ranges: list[tuple[int, int]], fine: int, order: list[Column], max_triplet: int | None = None,
@@ -335,8 +387,6 @@ def sum_losses(named: list[tuple[str, DataFrame]]) -> DataFrame:
 
 def presence_bce(px: DataFrame, scores: DataFrame, classes: int) -> DataFrame:
     """Binary cross-entropy of scores(sample_id, logits) against the classes that occur in a sample."""
-    seen = (px.filter(F.col("gt").between(0, classes - 1)).groupBy("sample_id")
-            .agg(*[F.max(F.when(F.col("gt") == i, 1.0).otherwise(0.0)).alias(f"h{i}") for i in range(classes)]))
-    joined = scores.join(seen, "sample_id", "left").na.fill(0.0)
-    row = fold(lambda a, b: a + b, [_bce(F.get("logits", F.lit(i)), F.col(f"h{i}")) for i in range(classes)])
-    return joined.agg((F.avg(row) / classes).alias("loss"))
+    seen = px.filter(F.col("gt").between(0, classes - 1)).select("sample_id", F.col("gt").cast("int").alias("class_id"), F.lit(1.0).alias("hot")).distinct()
+    rows = _by_class(scores.select("sample_id", "logits"), classes).join(seen, ["sample_id", "class_id"], "left")
+    return rows.agg(F.avg(_bce(F.col("score"), F.coalesce("hot", F.lit(0.0)))).alias("loss"))

@@ -88,6 +88,56 @@ def dice_naive(spark, d):
     return one(J.dice(X.pixel_logits(spark, d), X.CLASSES, naive=True, ignore_class=0))
 
 
+WPX = "(1 + (y % 3)*0.5::DOUBLE)"
+
+
+def _weighted(spark, d):
+    return X.pixel_logits(spark, d).withColumn("w", 1 + (F.col("y") % 3) * 0.5)
+
+
+@query("j02_bce_reductions", f"""WITH {X.PIXEL_LOGITS}, b AS (SELECT gt, CASE WHEN gt = 255 THEN 0 ELSE ({BCE.format(x='v', t='(c = gt)::INT')}) * {WPX} END AS l FROM lg)
+SELECT round(sum(l) / 1e3, 4) AS total, round(sum(l) / 5000, 4) AS scaled FROM b""")
+def bce_reductions(spark, d):
+    px = _weighted(spark, d)
+    total = J.binary_cross_entropy(px, X.CLASSES, weight="w", reduction="sum").select(F.round(F.col("loss") / 1e3, 4).alias("total"))
+    scaled = J.binary_cross_entropy(px, X.CLASSES, weight="w", avg_factor=5000.0).select(F.round("loss", 4).alias("scaled"))
+    return total.join(scaled)
+
+
+@query("j05_focal_reductions", f"""WITH {X.PIXEL_LOGITS}, s AS (SELECT y, gt, v, (c = gt)::INT AS t, 1/(1+exp(-v)) AS p, {WL}[c+1] AS a FROM lg),
+f AS (SELECT CASE WHEN gt = 255 THEN 0 ELSE ({BCE.format(x='v', t='t')}) * (a*t + (1-a)*(1-t)) * pow((1-p)*t + p*(1-t), 1.5) * {WPX} END AS l FROM s)
+SELECT round(sum(l) / 1e3, 4) AS total, round(sum(l) / 5000, 4) AS scaled FROM f""")
+def focal_reductions(spark, d):
+    px, how = _weighted(spark, d), {"gamma": 1.5, "alpha": W, "weight": "w"}
+    total = J.focal(px, X.CLASSES, **how, reduction="sum").select(F.round(F.col("loss") / 1e3, 4).alias("total"))
+    scaled = J.focal(px, X.CLASSES, **how, avg_factor=5000.0).select(F.round("loss", 4).alias("scaled"))
+    return total.join(scaled)
+
+
+EMB = """em AS (SELECT vec_id, label AS gt, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings)"""
+
+
+@query("j05_focal_many_classes", f"""WITH {EMB}, s AS (SELECT x, (i = gt)::INT AS t, 1/(1+exp(-x)) AS p FROM em)
+SELECT round(avg(({BCE.format(x='x', t='t')}) * 0.5 * pow((1-p)*t + p*(1-t), 2.0)), 8) AS loss FROM s""")
+def focal_many(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("label").alias("gt"), F.col("embedding").cast("array<double>").alias("logits"))
+    return one(J.focal(rows, 64), 8)
+
+
+@query("j06_dice_reductions", f"""WITH {PROB}, s AS (SELECT sample_id, sum(p*(c = gt)::INT) AS a, sum(p*p) AS b, sum((c = gt)::INT) AS c FROM sm GROUP BY 1)
+SELECT sample_id, round((1 - 2*a/(b + 0.001 + c + 0.001)) * (1 + (sample_id % 4)), 6) AS loss FROM s""")
+def dice_reductions(spark, d):
+    px = X.pixel_logits(spark, d).withColumn("w", 1.0 + F.col("sample_id") % 4)
+    return one(J.dice(px, X.CLASSES, weight="w", reduction="none").select("sample_id", "loss"))
+
+
+@query("j06_dice_avg_factor", f"""WITH {PROB}, s AS (SELECT sample_id, sum(p*(c = gt)::INT) AS a, sum(p) AS b, sum((c = gt)::INT) AS c FROM sm WHERE c <> 2 GROUP BY 1)
+SELECT round(sum((1 - (2*a + 0.001)/(b + c + 0.001)) * (1 + (sample_id % 4))) / 100, 4) AS loss FROM s""")
+def dice_avg_factor(spark, d):
+    px = X.pixel_logits(spark, d).withColumn("w", 1.0 + F.col("sample_id") % 4)
+    return one(J.dice(px, X.CLASSES, naive=True, ignore_class=2, weight="w", avg_factor=100.0), 4)
+
+
 @query("j07_tversky", f"""WITH {PROB}, s AS (SELECT sample_id, c, sum(p*t) AS tp, sum(p*(1-t)) AS fp, sum((1-p)*t) AS fn FROM (SELECT *, (c = gt)::INT AS t FROM sm WHERE gt <> 255) z GROUP BY 1, 2),
 k AS (SELECT c, avg(1 - (tp + 1)/(tp + 0.3*fp + 0.7*fn + 1)) AS l FROM s GROUP BY c)
 SELECT round(sum(l * {WL}[c+1]) / 6, 6) AS loss FROM k""")
@@ -111,6 +161,11 @@ def lovasz_per_image(spark, d):
     return one(J.lovasz_softmax(X.pixel_logits(spark, d), X.CLASSES, per_image=True), 5)
 
 
+@query("j08_lovasz_reductions", f"WITH {PROB}, {LOVASZ.format(k='sample_id, c')} SELECT round(sum(m) / 50, 4) AS loss FROM (SELECT avg(l) AS m FROM lo GROUP BY sample_id) z")
+def lovasz_reductions(spark, d):
+    return one(J.lovasz_softmax(X.pixel_logits(spark, d), X.CLASSES, per_image=True, avg_factor=50.0), 4)
+
+
 @query("j09_lovasz_hinge", f"""WITH {X.PIXEL_LOGITS}, er AS (SELECT 1 - (v - 2)*(2*(gt % 2) - 1) AS e, gt % 2 AS t FROM lg WHERE c = 1 AND gt <> 255),
 cu AS (SELECT e, sum(t) OVER () AS g, row_number() OVER w AS n, sum(t) OVER w AS f, t FROM er WINDOW w AS (ORDER BY e DESC ROWS UNBOUNDED PRECEDING)),
 st AS (SELECT greatest(e, 0) AS e, 1 - (g - f)/(g + n - f) AS j, CASE WHEN n = 1 THEN 0 ELSE 1 - (g - (f - t))/(g + (n - 1) - (f - t)) END AS j0 FROM cu)

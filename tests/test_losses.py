@@ -161,3 +161,50 @@ def test_softmax_paths_agree(batch):
     long = H.class_probabilities(df).select(F.explode("probs").alias("p")).agg(F.sum(F.col("p") * F.col("p"))).first()[0]
     short = H.class_probabilities(df, 5).select(F.explode("probs").alias("p")).agg(F.sum(F.col("p") * F.col("p"))).first()[0]
     assert long == pytest.approx(short) and not math.isnan(long)
+
+
+@pytest.mark.parametrize("limit", [32, 0])
+def test_reductions_over_classes(batch, monkeypatch, limit):
+    """The form for few and the one for many classes give the plain result under every reduction."""
+    monkeypatch.setattr(J.C, "UNROLL_LIMIT", limit)
+    logits, gt, df = batch
+    df = df.withColumn("w", 1.0 + F.col("y") % 3)
+    hot, ok = (gt[..., None] == np.arange(5)).astype(float), (gt != 255)[..., None]
+    w = (1.0 + np.arange(36) // 6 % 3)[None, :, None] * ok
+    plain = np.maximum(logits, 0) - logits * hot + np.log1p(np.exp(-np.abs(logits)))
+    p = 1 / (1 + np.exp(-logits))
+    hard = plain * (0.3 * hot + 0.7 * (1 - hot)) * ((1 - p) * hot + p * (1 - hot)) ** 2 * np.arange(1, 6)
+    for loss, each, more in ((J.binary_cross_entropy, plain, {}), (J.focal, hard, {"alpha": 0.3, "class_weight": [1.0, 2.0, 3.0, 4.0, 5.0]})):
+        assert value(loss(df, 5, **more)) == pytest.approx((each * ok).mean())
+        assert value(loss(df, 5, weight="w", **more)) == pytest.approx((each * w).mean())
+        assert value(loss(df, 5, weight="w", reduction="sum", **more)) == pytest.approx((each * w).sum())
+        assert value(loss(df, 5, weight="w", avg_factor=7.0, **more)) == pytest.approx((each * w).sum() / 7)
+        rows = loss(df, 5, weight="w", reduction="none", **more).collect()
+        got = {(r["sample_id"], r["y"] * 6 + r["x"], r["class_id"]): r["loss"] for r in rows}
+        assert len(got) == each.size and all(v == pytest.approx((each * w)[k]) for k, v in got.items())
+        with pytest.raises(ValueError):
+            loss(df, 5, reduction="sum", avg_factor=2.0)
+    assert value(J.binary_cross_entropy(df, 5, avg_non_ignore=True)) == pytest.approx((plain * ok).sum() / ok.sum() / 5)
+    test_dice_and_tversky((logits, gt, df))
+    test_lovasz_softmax((logits, gt, df), [1, 3], True)
+
+
+@pytest.mark.parametrize("skip", [None, 2])
+def test_dice_reductions(batch, skip):
+    logits, gt, df = batch
+    kept = [i for i in range(5) if i != skip]
+    p, hot = softmax(logits)[..., kept], (gt[..., None] == np.array(kept)).astype(float)
+    each = (1 - 2 * (p * hot).sum((1, 2)) / ((p * p).sum((1, 2)) + 1e-3 + hot.sum((1, 2)) + 1e-3)) * np.array([1.0, 2.0, 3.0, 4.0])
+    df = df.withColumn("w", 1.0 + F.col("sample_id"))
+    got = J.dice(df, 5, ignore_class=skip, weight="w", reduction="none").orderBy("sample_id").collect()
+    assert [r["loss"] for r in got] == pytest.approx(list(each))
+    assert value(J.dice(df, 5, ignore_class=skip, weight="w", reduction="sum")) == pytest.approx(each.sum())
+    assert value(J.dice(df, 5, ignore_class=skip, weight="w", avg_factor=3.0)) == pytest.approx(each.sum() / 3)
+
+
+def test_lovasz_reductions(batch):
+    _, _, df = batch
+    total = value(J.lovasz_softmax(df, 5, per_image=True, reduction="sum"))
+    assert total == pytest.approx(4 * value(J.lovasz_softmax(df, 5, per_image=True)))
+    assert value(J.lovasz_softmax(df, 5, per_image=True, avg_factor=10.0)) == pytest.approx(total / 10)
+    assert J.lovasz_softmax(df, 5, per_image=True, reduction="none").count() == 4
