@@ -1,11 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on
-toxic text. A window of three words is compressed with the ordinary dictionary
-and with both together; the bytes that the toxic one saves are the window's
-gain. How many windows of a document reach each gain, put through calibrated
-weights, gives its score. A window that shares no run of `RUN` bytes with the
-toxic dictionary has nothing to gain from it: its gain is 0 without compressing.
+Windows of three words are compressed with an ordinary zstandard dictionary and
+with that and a toxic one together; the bytes that the toxic one saves are the
+window's gain. How many windows of a document reach each gain, put through
+calibrated weights, gives its score. A window that shares no run of `RUN` bytes
+with the toxic dictionary has a gain of 0 by definition and is not compressed.
+
+The ordinary dictionary is trained by zstandard. The toxic one is raw content: a
+list of the words that toxic text holds more often than chance allows. A trained
+one finds fewer toxic documents, since segments that cut words also save bytes in ordinary windows.
 
 The classifier is fitted to a bounded sample of labelled rows on the driver;
 every row is scored where it lies.
@@ -188,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit to at most `sample_rows` labelled rows of each class.
 
     `labels` holds (id, label 0/1); NULL ids, labels and texts are left out, ids
-    with both labels too. Each half of the rows (by hash) is compressed with
+    with both labels too; of several texts of an id the smallest counts. Each half of the rows (by hash) is compressed with
     dictionaries of the other half to calibrate the weights; the dictionaries
     that are kept come from all of them. Without rows of both classes every score is the share of label 1.
     """
@@ -201,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 x sample_rows ids are broadcast and as many texts collected.
     rows = (docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).filter("text is not null")
-            .join(F.broadcast(chosen), "__id").dropDuplicates(["__id"]).select("text", "label", (order % 2 == 0).alias("even"))
+            .join(F.broadcast(chosen), "__id").groupBy("__id", "label").agg(F.min("text").alias("text"))
+            .select("text", "label", (order % 2 == 0).alias("even"))
             .toArrow())
     order_of = sorted(range(rows.num_rows), key=lambda i: rows.column("text")[i].as_py())  # as the rows came in any order
     rows = rows.take(pa.array(order_of, pa.int64()))

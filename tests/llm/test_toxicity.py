@@ -51,6 +51,15 @@ def test_planted_words(spark):
     assert model.toxic == toxicity.fit(docs.repartition(5), known).toxic
 
 
+def test_an_id_with_several_texts_counts_by_its_smallest(spark):
+    rows = [(k, f"plain words of text number {'abcdefgh'[k % 8]}" + (" wretched vermin" * (k % 2))) for k in range(60)]
+    known = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    again = [(k, "zz later text " * 5) for k in range(60)]
+    once, twice = documents(spark, rows), documents(spark, again + rows)
+    a, b = toxicity.fit(once, known), toxicity.fit(twice.repartition(7), known)
+    assert a.toxic == b.toxic and a.ordinary == b.ordinary and np.array_equal(a.weights, b.weights)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     got = queries.QUERIES["op1_zstd_toxicity"](spark, d).filter("held_out").join(queries.table(spark, d, "labels"), "doc_id")
