@@ -193,19 +193,32 @@ def records(spark, d):
     return recs.select("sample_id", join("segmentation.size").alias("size"), join("segmentation.counts").alias("counts"), "area", "bbox.*", "pred_iou")
 
 
-@query("l13_match_cost", f"""WITH {X.PIXELS}, {QUERIES}, {SOFT.format(k='sample_id, q', t='cl')},
+def _match_sql(own):
+    return f"""WITH {X.PIXELS}, {QUERIES}, {SOFT.format(k='sample_id, q', t='cl')},
 g AS (SELECT sample_id, gt AS g, y, x FROM px WHERE gt < 4), gs AS (SELECT sample_id, g, sum(n)::BIGINT AS n FROM (SELECT sample_id, g, 1 AS n FROM g UNION ALL SELECT DISTINCT sample_id, 3, 0 FROM px) z GROUP BY 1, 2),
 q AS (SELECT *, 1/(1+exp(-v)) AS p, greatest(v, 0) - v + ln(1 + exp(-abs(v))) AS pos, greatest(v, 0) + ln(1 + exp(-abs(v))) AS neg FROM mk),
-qs AS (SELECT sample_id, q, sum(p) AS ps FROM q GROUP BY 1, 2),
+qs AS (SELECT sample_id, q, sum({own}) AS ps FROM q GROUP BY 1, 2),
 pr AS (SELECT q.sample_id, q.q, gs.g, any_value(gs.n) AS n, sum(CASE WHEN g.g IS NOT NULL THEN q.p ELSE 0 END) AS hit, avg(CASE WHEN g.g IS NOT NULL THEN pos ELSE neg END) AS ce
   FROM q JOIN gs ON gs.sample_id = q.sample_id LEFT JOIN g ON g.sample_id = q.sample_id AND g.g = gs.g AND g.y = q.y AND g.x = q.x GROUP BY 1, 2, 3)
 SELECT pr.sample_id, pr.q, pr.g, round(-2*sm.p, 5) AS cls_cost, round(5*(1 - (2*hit + 0.001)/(ps + n + 0.001)), 5) AS dice_cost, round(5*ce, 5) AS ce_cost
-FROM pr JOIN qs ON qs.sample_id = pr.sample_id AND qs.q = pr.q JOIN sm ON sm.sample_id = pr.sample_id AND sm.q = pr.q AND sm.c = pr.g""")
-def match_cost(spark, d):
+FROM pr JOIN qs ON qs.sample_id = pr.sample_id AND qs.q = pr.q JOIN sm ON sm.sample_id = pr.sample_id AND sm.q = pr.q AND sm.c = pr.g"""
+
+
+def _match_cost(spark, d, **how):
     cls, pred = _queries(spark, d)
     gt = X.pixels(spark, d).filter("gt < 4").select("sample_id", F.col("gt").alias("g"), "y", "x")
     # Each sample has mask 3, with or without pixels.
     whole = X.pixels(spark, d).select("sample_id", F.lit(3).alias("g"))
     labels = gt.select("sample_id", "g").unionByName(whole).distinct().withColumn("label", F.col("g"))
-    out = M.match_cost(cls, pred, gt, labels, (2.0, 5.0, 5.0))
+    out = M.match_cost(cls, pred, gt, labels, (2.0, 5.0, 5.0), **how)
     return out.select("sample_id", "q", "g", *[F.round(c, 5).alias(c) for c in ("cls_cost", "dice_cost", "ce_cost")])
+
+
+@query("l13_match_cost", _match_sql("p"))
+def match_cost(spark, d):
+    return _match_cost(spark, d)
+
+
+@query("l13_match_cost_squared", _match_sql("p*p"))
+def match_cost_squared(spark, d):
+    return _match_cost(spark, d, naive_dice=False)
