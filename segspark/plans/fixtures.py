@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segspark.plans.registry import table
-from segspark.runtime import spread
+from segspark.runtime import by_image, spread
 
 SIDE = 16
 CLASSES = 6
@@ -22,8 +22,7 @@ def _grid(df: DataFrame) -> DataFrame:
 
 
 def _part(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), "p_size")
-    return spread(part, "sample_id")
+    return by_image(table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), "p_size"), "sample_id")
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:

@@ -63,3 +63,17 @@ def test_scope_removes_what_operators_wrote(spark, tmp_path):
         assert len(set(folder.iterdir()) - before) > 1
     assert len(set(folder.iterdir()) - before) == 1 and kept.count() == 3
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_images_are_dealt_over_as_many_tasks_as_they_need(spark, tmp_path, monkeypatch):
+    """Many splits or few: tasks grow with the images, and grouping their pixels needs no other shuffle."""
+    from segspark import runtime
+    from segspark.plans import fixtures as X
+    rows = spark.range(400).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size")
+    rows.repartition(32).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(runtime, "IMAGES_PER_TASK", 10)
+    image = X.image(spark, str(tmp_path))
+    assert image.rdd.getNumPartitions() == 40
+    plan = image.groupBy("sample_id", "y", "x").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert X.pixels(spark, str(tmp_path)).count() == 400 * X.SIDE**2
