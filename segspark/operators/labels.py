@@ -91,7 +91,7 @@ def class_presence(px: DataFrame, classes: DataFrame) -> DataFrame:
     ids = classes.agg(F.sort_array(F.collect_set("class_id")).alias("ids"))
     spine = seen.select("sample_id").distinct().select(
         "sample_id", F.explode(ids.scalar()).alias("class_id"))
-    return (spine.join(seen, ["sample_id", "class_id"], "left")
+    return (spine.join(seen.hint("merge"), ["sample_id", "class_id"], "left")
             .select("sample_id", "class_id", F.coalesce("present", F.lit(0)).alias("present")))
 
 

@@ -200,3 +200,11 @@ def test_confusion_of_a_huge_run(spark):
     got = {(r["gt"], r["pred"]): r["n"] for r in M.confusion_from_runs(gt, pred).collect()}
     assert got == {(1, 2): 10 ** 9 - 7, (3, 3): 5}
     assert M.confusion_from_runs(gt.filter("false"), pred).count() == 0
+
+
+def test_presence_sends_no_pixel_table_to_the_driver(spark):
+    """The labels seen come from a row generator, whose planned size is far too low for a broadcast."""
+    ids = spark.range(50).select(F.col("id").alias("sample_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("gt"))
+    out = L.class_presence(ids, spark.createDataFrame([(1,), (2,), (3,)], "class_id int"))
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(out.groupBy("class_id").agg(F.sum("present")).collect()) == [(1, 50), (2, 50), (3, 0)]
