@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segspark.runtime import join_side
+from segspark.runtime import join_pixels, join_side
 
 
 def normalise(image: DataFrame, mean: list[float], std: list[float]) -> DataFrame:
@@ -112,27 +110,13 @@ def _where(df: DataFrame, cond: Column) -> DataFrame:
     return df.withColumns({c: F.when(cond, F.col(c)).otherwise(F.col(f"__{c}")) for c in ("r", "g", "b")})
 
 
-def _curve_udf(limit: int, area: int):
-    """256 bin counts to the 256-entry curve, for a batch of tiles at once."""
-    @F.pandas_udf("array<int>")
-    def curve(values: pd.Series, counts: pd.Series) -> pd.Series:
-        n = np.stack([np.bincount(v, weights=c, minlength=256) for v, c in zip(values, counts)]).astype(np.int64)
-        excess = np.maximum(n - limit, 0).sum(axis=1, keepdims=True)
-        left = excess % 256
-        step = np.maximum(256 // np.maximum(left, 1), 1)
-        bins = np.arange(256)[None, :]
-        n = np.minimum(n, limit) + excess // 256 + ((bins % step == 0) & (bins // step < left))
-        lut = np.clip(np.rint(n.cumsum(axis=1) * 255.0 / area), 0, 255).astype(np.int32)
-        return pd.Series(list(lut))
-    return curve
-
-
 def clahe(image: DataFrame, h: int, w: int, clip_limit: float = 40.0, tiles: tuple[int, int] = (8, 8)) -> DataFrame:
     """Contrast-limited adaptive equalisation of every channel, bins 0..255.
 
     Histograms per tile come from one grouped count; clipped excess is shared
     evenly, the remainder goes one by one to evenly spaced bins. Each pixel
-    then mixes the curves of its four nearest tiles.
+    then mixes the curves of its four nearest tiles. A curve is the running sum
+    of the clipped counts, an entry per value, and the shares up to that value.
     """
     ty, tx = tiles
     th, tw = -(-h // ty), -(-w // tx)
@@ -144,10 +128,18 @@ def clahe(image: DataFrame, h: int, w: int, clip_limit: float = 40.0, tiles: tup
             .withColumn("x", mirrored("x", w, tw * tx)))
     hist = (seen.groupBy("sample_id", "c", F.floor(F.col("y") / th).alias("i"), F.floor(F.col("x") / tw).alias("j"), "v")
             .agg(F.count(F.lit(1)).alias("n")))
+    tile = ["sample_id", "c", "i", "j"]
+    clipped = F.sum(F.least(F.col("n"), F.lit(limit))).over(Window.partitionBy(*tile).orderBy("v")).cast("int")
     # At most 256 bins per tile.
-    full = hist.groupBy("sample_id", "c", "i", "j").agg(F.collect_list(F.struct("v", "n")).alias("bins"))
-    curves = _curve_udf(limit, area)
-    luts = full.select("sample_id", "c", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), curves("bins.v", "bins.n").alias("lut"))
+    full = (hist.withColumn("upto", clipped).groupBy(*tile)
+            .agg(F.array_sort(F.collect_list(F.struct("v", "upto"))).alias("bins"), F.sum(F.greatest(F.col("n") - limit, F.lit(0))).alias("excess")))
+    last = F.transform("bins", lambda b, k: F.array_repeat(b["upto"], F.coalesce(F.get("bins", k + 1)["v"], F.lit(256)) - b["v"]))
+    below = F.flatten(F.concat(F.array(F.array_repeat(F.lit(0), F.get("bins", F.lit(0))["v"])), last))
+    luts = full.select("sample_id", "c", *[F.col(t).cast("int").alias(t) for t in ("i", "j")], below.alias("below"),
+                       F.floor(F.col("excess") / 256).alias("even"), (F.col("excess") % 256).alias("left"))
+    step = F.floor(256 / F.greatest("left", F.lit(1)))
+    total = F.get("below", F.col("v")) + F.col("even") * (F.col("v") + 1) + F.least("left", F.floor(F.col("v") / step) + 1)
+    curve = F.least(F.greatest(F.rint(total * 255.0 / area), F.lit(0.0)), F.lit(255.0))
 
     fy, fx = F.col("y") / float(th) - 0.5, F.col("x") / float(tw) - 0.5
     corner = lambda f, n: F.array(*[F.struct(F.least(F.greatest(F.floor(f) + k, F.lit(0)), F.lit(n - 1)).cast("int").alias("t"),
@@ -156,7 +148,7 @@ def clahe(image: DataFrame, h: int, w: int, clip_limit: float = 40.0, tiles: tup
             .select("sample_id", "c", "y", "x", F.col("v").cast("int").alias("v"), F.col("ry.t").alias("i"), F.col("rx.t").alias("j"),
                     (F.col("ry.wt") * F.col("rx.wt")).alias("wt")))
     return (join_side(sent, luts, ["sample_id", "c", "i", "j"], salts=4)
-            .groupBy("sample_id", "y", "x", "c").agg(F.sum(F.get("lut", F.col("v")) * F.col("wt")).alias("v"))
+            .groupBy("sample_id", "y", "x", "c").agg(F.sum(curve * F.col("wt")).alias("v"))
             .withColumn("v", F.bround("v", 0).cast("int")))
 
 
@@ -169,7 +161,7 @@ def blend(image: DataFrame, labels: DataFrame, palette: DataFrame, alpha: float
     """Mix palette(class_id, r, g, b) over RGB channels by label, truncated; labels outside the palette show black."""
     side = palette.select(F.col("class_id").alias("gt"), F.array("r", "g", "b").alias("rgb"))
     coloured = join_side(labels.select("sample_id", "y", "x", "gt"), side, ["gt"], "left").select("sample_id", "y", "x", "rgb")
-    joined = image.join(coloured.hint("merge"), ["sample_id", "y", "x"])
+    joined = join_pixels(image, coloured, ["sample_id", "y", "x"])
     paint = F.coalesce(F.get("rgb", F.col("c")), F.lit(0))
     return joined.select("sample_id", "y", "x", "c", F.floor(F.col("v") * (1 - alpha) + paint * alpha).cast("int").alias("v"))
 
