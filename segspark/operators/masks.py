@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from segspark.functions import columns as C
 from segspark.functions.prefix import carry_forward
 from segspark.operators.blocks import component_starts, over_blocks
-from segspark.runtime import join_side, materialize
+from segspark.runtime import join_pixels, join_side, materialize
 
 
 # --- runs and RLE -----------------------------------------------------------
@@ -415,7 +415,7 @@ def remove_small_regions(mask: DataFrame, keys: list[str], min_area: int, mode:
         small = small.join(best, keys).filter((F.col("most") >= min_area) | (F.col("region") != F.col("top"))).select(*keys, "region")
     gone = join_side(regions, small.select(*keys, "region"), [*keys, "region"], "left_semi")
     flip = gone.select(*keys, "y", "x", F.lit(1).alias("flip"))
-    return (mask.join(flip.hint("merge"), [*keys, "y", "x"], "left")
+    return (join_pixels(mask, flip, [*keys, "y", "x"], "left")
             .select(*keys, "y", "x", F.when(F.col("flip") == 1, 1 - F.col("v")).otherwise(F.col("v")).cast("int").alias("v")))
 
 
@@ -438,7 +438,7 @@ def match_cost(class_logits: DataFrame, pred: DataFrame, gt: DataFrame, gt_label
     own = F.col("p") if naive_dice else F.col("p") * F.col("p")
     whole = scored.groupBy("sample_id", "q").agg(F.sum(own).alias("p_sum"), F.sum("off").alias("off_sum"),
                                                  F.count(F.lit(1)).alias("n"))
-    inside = (scored.select("sample_id", "q", "y", "x", "p", "gain").join(gt.hint("merge"), ["sample_id", "y", "x"])
+    inside = (scored.select("sample_id", "q", "y", "x", "p", "gain").transform(lambda df: join_pixels(df, gt, ["sample_id", "y", "x"]))
               .groupBy("sample_id", "q", "g").agg(F.sum("p").alias("hit"), F.sum("gain").alias("gain"),
                                                   F.count(F.lit(1)).alias("g_sum")))
     probs = class_logits.select("sample_id", "q", C.softmax(F.col("logits")).alias("probs"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from segspark.functions import columns as C
 from segspark.functions.prefix import top_k_per_group
 from segspark.operators import tiles
-from segspark.runtime import join_side
+from segspark.runtime import join_pixels, join_side
 
 PIXEL = ["sample_id", "y", "x"]
 
@@ -84,7 +84,7 @@ def sample_points(points: DataFrame, df: DataFrame, height: int, width: int, cla
     corner = lambda f: F.explode(F.array(*[F.struct((F.floor(f) + k).cast("int").alias("t"), (1 - F.abs(f - F.floor(f) - k)).alias("wt")) for k in (0, 1)]))
     near = points.withColumn("cy", corner(fy)).withColumn("cx", corner(fx))
     near = near.select("sample_id", "pt", "px", "py", F.col("cy.t").alias("y"), F.col("cx.t").alias("x"), (F.col("cy.wt") * F.col("cx.wt")).alias("wt"))
-    hit = near.join(df.select(*PIXEL, "logits").hint("merge"), PIXEL, "left")
+    hit = join_pixels(near, df.select(*PIXEL, "logits"), PIXEL, "left")
     sums = [F.sum(F.col("wt") * F.coalesce(F.get("logits", F.lit(i)), F.lit(0.0))).alias(f"m{i}") for i in range(classes)]
     return (hit.groupBy("sample_id", "pt", "px", "py").agg(*sums)
             .select("sample_id", "pt", "px", "py", F.array(*[f"m{i}" for i in range(classes)]).alias("logits")))

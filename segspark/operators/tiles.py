@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segspark.runtime import join_pixels
+from segspark.runtime import join_pixels, join_side
 
 
 def _steps(size: Column, clip: int, stride: int) -> Column:
@@ -112,7 +112,7 @@ def cut_tiles(px: DataFrame, grid: DataFrame, clip: int) -> DataFrame:
     spots = grid.select("sample_id", "x1", "y1", *extra).withColumn("cx", axis("x1")).withColumn("cy", axis("y1"))
     cells = px.withColumn("cx", F.floor(F.col("x") / clip)).withColumn("cy", F.floor(F.col("y") / clip))
     inside = F.col("x").between(F.col("x1"), F.col("x1") + clip - 1) & F.col("y").between(F.col("y1"), F.col("y1") + clip - 1)
-    return (cells.join(spots.hint("merge"), ["sample_id", "cx", "cy"]).filter(inside).drop("cx", "cy")
+    return (join_side(cells, spots, ["sample_id", "cx", "cy"], salts=1).filter(inside).drop("cx", "cy")
             .withColumn("x", F.col("x") - F.col("x1")).withColumn("y", F.col("y") - F.col("y1")))
 
 

@@ -21,13 +21,14 @@ def _grid(df: DataFrame) -> DataFrame:
     return df.withColumn("y", F.explode(axis)).withColumn("x", F.explode(axis))
 
 
-def _part(spark: SparkSession, d: str) -> DataFrame:
-    return by_image(table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), "p_size"), "sample_id")
+def images(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """(sample_id, p_size, more…): a row per image, dealt as its pixels are."""
+    return by_image(table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), "p_size", *more), "sample_id")
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
     """(sample_id, y, x, gt, pred): six classes, 255 ignored, 6 out of range."""
-    base = _grid(_part(spark, d))
+    base = _grid(images(spark, d))
     block = F.expr("(y div 4) + (x div 4) + p_size")
     gt = F.when((F.col("sample_id") * 7 + F.col("y") * 16 + F.col("x")) % 97 == 0, 255).otherwise(block % 6)
     pred = (F.when((F.col("sample_id") + F.col("y") * 5 + F.col("x") * 3) % 11 == 0, (block + 1) % 6)
@@ -91,7 +92,7 @@ DEPTHS = """dp AS (
 
 def image(spark: SparkSession, d: str) -> DataFrame:
     """(sample_id, y, x, c, v): three channels of integers 0..255."""
-    base = _grid(_part(spark, d)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    base = _grid(images(spark, d)).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(2))))
     v = (F.col("p_size") * 7 + F.col("y") * 13 + F.col("x") * 31 + F.col("c") * 17 + F.col("sample_id") % 101) % 256
     return base.select("sample_id", "y", "x", "c", v.cast("double").alias("v"))
 
@@ -104,7 +105,7 @@ IMAGE = """im AS (
 
 def volume(spark: SparkSession, d: str) -> DataFrame:
     """(sample_id, c, z, y, x, v, gt): an 8 x 8 x 8 volume per part, one channel."""
-    part = _part(spark, d)
+    part = images(spark, d)
     axis = F.sequence(F.lit(0), F.lit(7))
     vox = (part.withColumn("z", F.explode(axis)).withColumn("y", F.explode(axis)).withColumn("x", F.explode(axis)))
     key = F.col("p_size") * 5 + F.col("z") * 11 + F.col("y") * 3 + F.col("x") * 7 + F.col("sample_id") % 13

@@ -10,7 +10,7 @@ S = X.SIDE
 
 
 def _part(spark, d, **cols):
-    base = table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), "p_size", F.lit(S).alias("h"), F.lit(S).alias("w"))
+    base = X.images(spark, d).withColumns({"h": F.lit(S), "w": F.lit(S)})
     return base.select("sample_id", "h", "w", *[F.expr(e).alias(n) for n, e in cols.items()])
 
 

@@ -57,8 +57,8 @@ def _wide(spark, d):
 
 @query("f07_distort")
 def distort(spark, d):
-    params = table(spark, d, "part").select(
-        F.col("p_partkey").alias("sample_id"), (F.col("p_size") % 17 - 8).cast("double").alias("brightness"),
+    params = X.images(spark, d).select(
+        "sample_id", (F.col("p_size") % 17 - 8).cast("double").alias("brightness"),
         (0.75 + F.col("p_size") % 5 / 8.0).alias("contrast"),
         F.when(F.col("p_size") % 2 == 0, 1.25).alias("saturation"), F.when(F.col("p_size") % 3 == 0, F.col("p_size") % 18).alias("hue"),
         (F.col("p_size") % 2 == 1).alias("contrast_last"))

@@ -65,7 +65,7 @@ def ensemble(spark, d):
 
 def _queries(spark, d):
     """Three queries per part: class logits for four classes and no-object, and dense mask logits."""
-    q = table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), "p_size").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    q = X.images(spark, d).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(2))))
     logits = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: ((F.col("p_size") * 3 + F.col("q") * 11 + c * 7) % 23).cast("double") / 4)
     cls = q.select("sample_id", "q", logits.alias("logits"))
     px = X.pixels(spark, d).select("sample_id", "y", "x", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("q"))

@@ -165,7 +165,7 @@ def format_only(spark, d):
 SELECT q.sample_id, (p // 512)::BIGINT AS chunk, string_agg(v::INT::VARCHAR, ',' ORDER BY p) AS data, any_value(p_name) AS ori_name
 FROM q JOIN part ON p_partkey = q.sample_id GROUP BY 1, 2""")
 def pack(spark, d):
-    meta = table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), F.col("p_name").alias("ori_name"))
+    meta = X.images(spark, d, "p_name").select("sample_id", F.col("p_name").alias("ori_name"))
     packed = R.pack_chw(X.image(spark, d), meta, X.SIDE, X.SIDE, chunk=512)
     return packed.select("sample_id", "chunk", F.array_join(F.col("data").cast("array<int>").cast("array<string>"), ",").alias("data"),
                          F.col("meta.ori_name").alias("ori_name"))

@@ -48,7 +48,7 @@ def tile_stats(spark, d):
 
 
 def _small(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), F.lit(X.SIDE).alias("h"), F.lit(X.SIDE).alias("w"))
+    return X.images(spark, d).select("sample_id", F.lit(X.SIDE).alias("h"), F.lit(X.SIDE).alias("w"))
 
 
 SMALL = "mt AS (SELECT p_partkey AS sample_id, 16 AS h, 16 AS w FROM part)"

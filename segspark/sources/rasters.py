@@ -90,7 +90,7 @@ def pack_chw(image: DataFrame, meta: DataFrame, height: int, width: int, chunk:
               .groupBy("sample_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("p", "v")))["v"].alias("data")))
     keys = [c for c in meta.columns if c != "sample_id"]
     side = meta.select("sample_id", F.struct(*keys).alias("meta"))
-    return packed.join(side, "sample_id")
+    return packed.join(side.hint("merge"), "sample_id")
 
 
 def pack_label(px: DataFrame, height: int, width: int, chunk: int = 65536) -> DataFrame:

@@ -77,3 +77,35 @@ def test_images_are_dealt_over_as_many_tasks_as_they_need(spark, tmp_path, monke
     plan = image.groupBy("sample_id", "y", "x").count()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert X.pixels(spark, str(tmp_path)).count() == 400 * X.SIDE**2
+
+
+def _dealt(spark, n=40):
+    ids = R.by_image(spark.range(n).select((F.col("id") % 30).alias("i")), "i")
+    return ids.select("i", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("y"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_pixels_equals_a_join_and_shuffles_nothing_of_dealt_tables(spark, how):
+    """Keys that repeat or are NULL on both sides; rows without a key stay in a left join."""
+    cells = "i long, y int, v int"
+    left = spark.createDataFrame([(1, 0, 5), (1, 0, 5), (1, 1, None), (None, 0, 7), (None, 0, 7), (2, None, 8), (3, 0, 9)], cells)
+    right = spark.createDataFrame([(1, 0, 50), (1, 0, 51), (1, 1, None), (None, 0, 70), (2, None, 80), (4, 0, 90)], "i long, y int, w int")
+    want = left.join(right, ["i", "y"], how)
+    got = R.join_pixels(left, right, ["i", "y"], how)
+    assert got.dtypes == want.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    near = R.join_pixels(_dealt(spark).withColumn("v", F.lit(1)), _dealt(spark).withColumn("w", F.lit(2)), ["i", "y"], how)
+    assert "ENSURE_REQUIREMENTS" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.count() == 10 * (10 * 4 + 20)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_join_side_takes_repeated_and_missing_keys_and_shuffles_nothing_of_dealt_tables(spark, how, monkeypatch):
+    monkeypatch.setattr(R, "_fits_broadcast", lambda df: False)
+    big = spark.createDataFrame([(1, 5), (1, 6), (None, 7), (2, 8), (3, None)], "k int, v int")
+    side = spark.createDataFrame([(1, 50), (1, 51), (None, 70), (3, None)], "k long, w int")
+    want, got = big.join(side, "k", how), R.join_side(big, side, ["k"], how)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    rows = _dealt(spark)
+    near = R.join_side(rows, rows.select("i").distinct().withColumn("w", F.lit(2)), ["i"], how)
+    assert "ENSURE_REQUIREMENTS" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.count() == (0 if how == "left_anti" else 400)
