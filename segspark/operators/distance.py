@@ -8,6 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+WHOLE_ROWS = 1 << 20  # of a block of columns, that a task may hold
+CHUNK_ROWS = 200_000
+
 
 def squared_distance_transform(px: DataFrame, keys: tuple[str, ...] = ("sample_id",), block: int = 64,
                                layer: str | None = None, layers: int = 1) -> DataFrame:
@@ -17,11 +20,13 @@ def squared_distance_transform(px: DataFrame, keys: tuple[str, ...] = ("sample_i
     values 0 to `layers` - 1. Masks are dense: every row has every column.
 
     Along each row the nearest background comes from two windows. Along
-    columns, blocks of `block` columns are swept down and then up in one pass
-    each, row by row; a task holds, per column, only those earlier rows that
+    columns, blocks of `block` columns are swept down and up, many blocks at a
+    time, where their rows lie; images dealt by their keys are not shuffled.
+    Where a block has more than `WHOLE_ROWS` rows, each sweep is a pass of its
+    own, row by row; a task then holds, per column, only those earlier rows that
     may still be nearest to a later one. Work is linear in the pixels. d2 is
     NULL where a mask has no background. Rows and columns are whole numbers
-    under 2^20.
+    under 2^20. Runs a job that counts rows while it is built.
     """
     keys, side_by_side = list(keys), [layer] if layer else []
     row = Window.partitionBy(*keys, *side_by_side, "y").orderBy("x")
@@ -31,10 +36,63 @@ def squared_distance_transform(px: DataFrame, keys: tuple[str, ...] = ("sample_i
     gap = F.least(F.col("x") - left, right - F.col("x")).cast("bigint")
     near = px.withColumns({"__g2": gap * gap, "__block": F.floor(F.col("x") / block), "d2": F.lit(None).cast("bigint"),
                            "__slot": ((F.col(layer) if layer else F.lit(0)) * block + F.pmod(F.col("x"), F.lit(block))).cast("bigint")})
+    group = [*keys, "__block"]
+    tall = px.select(*keys, F.floor(F.col("x") / block).alias("__block")).groupBy(*group).count().filter(F.col("count") > WHOLE_ROWS)
+    if tall.isEmpty():
+        return _both_ways(near, group).select(*px.columns, "d2")
     down = _sweep(near, keys, block * layers, 1)
     return _sweep(down, keys, block * layers, -1).drop("__g2", "__block", "__slot")
 
 
+def _both_ways(df: DataFrame, group: list[str]) -> DataFrame:
+    """d2 of both sweeps, for blocks that a task can hold."""
+    # A window puts rows in order, and like a grouping leaves those alone that lie in the right task.
+    rows = df.withColumn("__at", F.row_number().over(Window.partitionBy(*group).orderBy("y", "__slot")))
+    place = df.columns.index("d2")
+
+    def solve(part: pa.Table, block: np.ndarray):
+        y, slot, g2 = (pc.fill_null(part.column(c), -1).to_numpy().astype(np.int64) for c in ("y", "__slot", "__g2"))
+        column = np.unique(block * (int(slot.max()) + 1) + slot, return_inverse=True)[1]
+        best = np.minimum(*[np.where(found < 0, np.iinfo(np.int64).max, found) for found in (_swept(y, column, g2), _swept(-y, column, g2))])
+        d2 = pa.array(best, mask=best == np.iinfo(np.int64).max)
+        return part.drop_columns("__at").set_column(place, "d2", d2).to_batches()
+
+    def walk(batches):
+        held = None
+        for batch in batches:
+            here = pa.Table.from_batches([batch])
+            held = here if held is None else pa.concat_tables([held, here])
+            if len(held) >= CHUNK_ROWS:
+                block = _numbered(held, group)
+                cut = int(np.searchsorted(block, block[-1]))  # the last block may go on
+                if cut:
+                    yield from solve(held.slice(0, cut), block[:cut])
+                    held = held.slice(cut)
+        if held is not None and len(held):
+            yield from solve(held, _numbered(held, group))
+
+    return rows.mapInArrow(walk, df.schema)
+
+
+def _numbered(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """The number of each row's block; rows of a block lie together, NULL keys are equal."""
+    new = np.zeros(len(table), bool)
+    for k in keys:
+        a, b = table.column(k).slice(1), table.column(k).slice(0, len(table) - 1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= differ.to_numpy()
+    return np.cumsum(new)
+
+
+def _swept(y: np.ndarray, column: np.ndarray, g2: np.ndarray) -> np.ndarray:
+    """The lowest value at each row by the rows of its column up to it in order of `y`, -1 without one."""
+    envelope, found = _Envelopes(int(column.max()) + 1), np.empty(len(y), np.int64)
+    order = np.argsort(y, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(y[order])) + 1):
+        found[rows] = envelope.step(int(y[rows[0]]), column[rows], g2[rows])
+    return found
+
+
 def _sweep(df: DataFrame, keys: list[str], slots: int, step: int) -> DataFrame:
     """d2 lowered by the nearest background of this and earlier rows (`step` -1: later rows)."""
     group = [*keys, "__block"]

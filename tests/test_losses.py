@@ -208,3 +208,24 @@ def test_lovasz_reductions(batch):
     assert total == pytest.approx(4 * value(J.lovasz_softmax(df, 5, per_image=True)))
     assert value(J.lovasz_softmax(df, 5, per_image=True, avg_factor=10.0)) == pytest.approx(total / 10)
     assert J.lovasz_softmax(df, 5, per_image=True, reduction="none").count() == 4
+
+
+def test_distances_are_found_where_images_lie_and_by_passes_for_tall_blocks(spark, monkeypatch):
+    """Many blocks in one pass, a NULL image, and blocks too tall for a task; dealt images are not shuffled."""
+    from segspark.operators import distance
+    from segspark.runtime import by_image
+    ids = by_image(spark.range(30).select(F.when(F.col("id") > 0, F.col("id")).alias("sample_id")), "sample_id")
+    axis = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    px = ids.withColumn("y", axis(9)).withColumn("x", axis(11))
+    px = px.withColumn("fg", ((F.coalesce("sample_id", F.lit(7)) * 5 + F.col("y") * 3 + F.col("x") * 7) % 13 != 0).cast("int"))
+    near = J.squared_distance_transform(px, block=4)
+    assert near._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = near.collect()
+    zeros = {}
+    for r in rows:
+        if r["fg"] == 0:
+            zeros.setdefault(r["sample_id"], []).append((r["y"], r["x"]))
+    for r in rows:
+        assert r["d2"] == min((r["y"] - y) ** 2 + (r["x"] - x) ** 2 for y, x in zeros[r["sample_id"]])
+    monkeypatch.setattr(distance, "WHOLE_ROWS", 10)
+    assert sorted(map(repr, J.squared_distance_transform(px, block=4).collect())) == sorted(map(repr, rows))
