@@ -81,7 +81,8 @@ def segments(df: DataFrame, position: str, columns: list[str], group: list[str],
     order = [F.col(position)]
     base = _ranged(df, group, order, partitions)
     inside = Window.partitionBy(*group, PART).orderBy(*order)
-    local = base.withColumns({
+    dealt = base.repartition(partitions, *group, PART) if partitions else base
+    local = dealt.withColumns({
         **{f"__seen_{c}": F.last(c, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for c in columns},
         "__next": F.lead(position).over(inside)})
     seat = lambda c: F.when(F.col(c).isNotNull(), F.struct(*order))

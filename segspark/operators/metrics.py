@@ -211,6 +211,9 @@ def topk_accuracy(df: DataFrame, topk: tuple[int, ...] = (1,), thresh: float | N
         *[((h + FLOAT32_EPS) * 100.0 / n).alias(f"acc_{k}") for k, h in zip(topk, hits)])
 
 
+STARTS_PER_TASK = 500_000
+
+
 def confusion_from_runs(gt_runs: DataFrame, pred_runs: DataFrame, partitions: int | None = None, ignore: int = 255) -> DataFrame:
     """(gt, pred, n) from run-length masks (sample_id, start, len, label) without going to pixels.
 
@@ -224,8 +227,10 @@ def confusion_from_runs(gt_runs: DataFrame, pred_runs: DataFrame, partitions: in
         pos = F.col("start").cast("bigint")
         return runs.filter("len > 0").select("sample_id", pos.alias("pos"), F.struct("label", (pos + F.col("len")).alias("stop")).alias(side))
 
+    # A task gets a bounded number of starts, however many there are.
+    many = lambda rows: max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // STARTS_PER_TASK))
     merged = starts(gt_runs.filter(F.col("label") != ignore), "gt").unionByName(starts(pred_runs, "pred"), allowMissingColumns=True)
-    both = segments(merged, "pos", ["gt", "pred"], ["sample_id"], partitions).filter("gt is not null and pred is not null")
+    both = segments(merged, "pos", ["gt", "pred"], ["sample_id"], partitions or many(merged)).filter("gt is not null and pred is not null")
     # The last start has no next one; `least` passes over it.
     shared = F.least("until", "gt.stop", "pred.stop") - F.col("pos")
     return (both.withColumn("n", shared).filter("n > 0").groupBy(F.col("gt.label").alias("gt"), F.col("pred.label").alias("pred"))

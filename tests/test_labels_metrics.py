@@ -208,3 +208,14 @@ def test_presence_sends_no_pixel_table_to_the_driver(spark):
     out = L.class_presence(ids, spark.createDataFrame([(1,), (2,), (3,)], "class_id int"))
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(out.groupBy("class_id").agg(F.sum("present")).collect()) == [(1, 50), (2, 50), (3, 0)]
+
+
+def test_confusion_from_runs_gives_a_task_a_bounded_number_of_starts(spark, monkeypatch):
+    used = []
+    plain = M.segments
+    monkeypatch.setattr(M, "STARTS_PER_TASK", 10)
+    monkeypatch.setattr(M, "segments", lambda df, pos, cols, group, n: used.append(n) or plain(df, pos, cols, group, n))
+    runs = lambda m: spark.range(100).select((F.col("id") % 3).alias("sample_id"), (F.col("id") * 2).alias("start"),
+                                             F.lit(2).alias("len"), (F.col("id") % m).cast("int").alias("label"))
+    got = {(r["gt"], r["pred"]): r["n"] for r in M.confusion_from_runs(runs(2), runs(1)).collect()}
+    assert used == [20] and got == {(0, 0): 100, (1, 0): 100}
