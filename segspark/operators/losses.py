@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segspark.functions import columns as C
 from segspark.functions.prefix import kth_value, row_numbers, running_totals, top_k_per_group
 from segspark.operators.distance import squared_distance_transform
+from segspark.runtime import join_side
 
 EPS32 = 1.1920928955078125e-07
 
@@ -178,19 +179,34 @@ def tversky(df: DataFrame, classes: int, alpha: float = 0.3, beta: float = 0.7,
     return per.agg((F.avg(own) * counted / classes).alias("loss"))
 
 
-def _lovasz_sum(errors: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+WHOLE_ROWS = 1 << 20  # of an image, that a task may put in order
+
+
+def _small_groups(rows: DataFrame, group: list[str]) -> bool:
+    """Whether a task can hold any group; only the keys are computed."""
+    return bool(group) and rows.groupBy(*group).count().filter(F.col("count") > WHOLE_ROWS).isEmpty()
+
+
+def _lovasz_sum(errors: DataFrame, totals: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
     """Sum of error times Jaccard step per key. errors(keys…, err, fg); totals(keys…, gts).
 
     Equal errors form one step, since the steps between them telescope; only
     positive errors contribute, and smaller ones never change a larger one's
     step, so the others are not ranked.
     """
-    steps = errors.filter("err > 0").groupBy(*keys, "err").agg(F.count(F.lit(1)).alias("n"), F.sum("fg").alias("f"))
-    ranked = running_totals(steps, [F.col("err").desc()], {"cn": F.col("n"), "cf": F.col("f")}, keys)
+    if small:  # each where it lies; all errors, for the total of the foreground
+        steps = errors.dropna(subset=keys).groupBy(*keys, "err").agg(F.count(F.lit(1)).alias("n"), F.sum("fg").alias("f"))
+        whole = Window.partitionBy(*keys)
+        so_far = whole.orderBy(F.col("err").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = steps.withColumns({"cn": F.sum("n").over(so_far), "cf": F.sum("f").over(so_far), "gts": F.sum("f").over(whole)}).filter("err > 0")
+    else:
+        steps = errors.filter("err > 0").groupBy(*keys, "err").agg(F.count(F.lit(1)).alias("n"), F.sum("fg").alias("f"))
+        ranked = running_totals(steps, [F.col("err").desc()], {"cn": F.col("n"), "cf": F.col("f")}, keys)
     gts = F.col("gts")
     jaccard = lambda n, f: F.when(n == 0, 0.0).otherwise(1 - (gts - f) / (gts + n - f))
     step = jaccard(F.col("cn"), F.col("cf")) - jaccard(F.col("cn") - F.col("n"), F.col("cf") - F.col("f"))
-    joined = ranked.join(totals, keys) if keys else ranked.withColumn("gts", totals.select("gts").scalar())
+    joined = (ranked if small else join_side(ranked, totals, keys) if keys
+              else ranked.withColumn("gts", totals.select("gts").scalar()))
     return joined.groupBy(*keys).agg(F.sum(F.col("err") * step).alias("loss"))
 
 
@@ -215,7 +231,7 @@ def lovasz_softmax(df: DataFrame, classes: int, chosen: str | list[int] = "prese
     totals = errors.groupBy(*keys).agg(F.sum("fg").alias("gts"))
     if chosen == "present":
         totals = totals.filter("gts > 0")
-    scored = totals.join(_lovasz_sum(errors, totals, keys), keys, "left").withColumn("loss", F.coalesce("loss", F.lit(0.0)))
+    scored = totals.join(_lovasz_sum(errors, totals, keys, _small_groups(rows, group)).hint("merge"), keys, "left").withColumn("loss", F.coalesce("loss", F.lit(0.0)))
     if class_weight is not None:
         scored = scored.withColumn("loss", F.col("loss") * F.get(_literals(class_weight), F.col("class_id")))
     if per_image:
@@ -230,9 +246,9 @@ def lovasz_hinge(df: DataFrame, per_image: bool = False, ignore: int | None = 25
     rows = df if ignore is None else df.filter(F.col("gt") != ignore)
     errors = rows.select(*key, (1 - F.col("logit") * (2.0 * F.col("gt") - 1)).alias("err"), F.col("gt").alias("fg"))
     totals = errors.groupBy(*key).agg(F.sum("fg").alias("gts"))
-    scored = _lovasz_sum(errors, totals, key)
+    scored = _lovasz_sum(errors, totals, key, _small_groups(rows, key))
     if per_image:
-        per = totals.join(scored, key, "left").select(*key, F.coalesce("loss", F.lit(0.0)).alias("loss"))
+        per = totals.join(scored.hint("merge"), key, "left").select(*key, F.coalesce("loss", F.lit(0.0)).alias("loss"))
         return reduce_loss(per, "loss", None, reduction, avg_factor)
     return scored.agg(F.avg(F.coalesce("loss", F.lit(0.0))).alias("loss"))
 

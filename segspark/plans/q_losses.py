@@ -101,7 +101,7 @@ def bce_reductions(spark, d):
     px = _weighted(spark, d)
     total = J.binary_cross_entropy(px, X.CLASSES, weight="w", reduction="sum").select(F.round(F.col("loss") / 1e3, 4).alias("total"))
     scaled = J.binary_cross_entropy(px, X.CLASSES, weight="w", avg_factor=5000.0).select(F.round("loss", 4).alias("scaled"))
-    return total.join(scaled)
+    return total.select("total", scaled.scalar().alias("scaled"))
 
 
 @query("j05_focal_reductions", f"""WITH {X.PIXEL_LOGITS}, s AS (SELECT y, gt, v, (c = gt)::INT AS t, 1/(1+exp(-v)) AS p, {WL}[c+1] AS a FROM lg),
@@ -111,7 +111,7 @@ def focal_reductions(spark, d):
     px, how = _weighted(spark, d), {"gamma": 1.5, "alpha": W, "weight": "w"}
     total = J.focal(px, X.CLASSES, **how, reduction="sum").select(F.round(F.col("loss") / 1e3, 4).alias("total"))
     scaled = J.focal(px, X.CLASSES, **how, avg_factor=5000.0).select(F.round("loss", 4).alias("scaled"))
-    return total.join(scaled)
+    return total.select("total", scaled.scalar().alias("scaled"))
 
 
 EMB = """em AS (SELECT vec_id, label AS gt, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings)"""

@@ -229,3 +229,20 @@ def test_distances_are_found_where_images_lie_and_by_passes_for_tall_blocks(spar
         assert r["d2"] == min((r["y"] - y) ** 2 + (r["x"] - x) ** 2 for y, x in zeros[r["sample_id"]])
     monkeypatch.setattr(distance, "WHOLE_ROWS", 10)
     assert sorted(map(repr, J.squared_distance_transform(px, block=4).collect())) == sorted(map(repr, rows))
+
+
+def test_lovasz_ranks_small_images_where_they_lie(spark, monkeypatch):
+    """No written table and no shuffle of the ranked errors; images too large for a task give the same."""
+    from segspark.operators import losses
+    from segspark.runtime import by_image
+    px = by_image(spark.range(40).select((F.col("id") % 37).alias("sample_id")), "sample_id").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(20))))
+    px = px.select("sample_id", ((F.col("sample_id") + F.col("y")) % 3).cast("int").alias("gt"),
+                   F.array(*[((F.col("sample_id") * 7 + F.col("y") * (5 + c)) % 11).cast("double") / 4 for c in range(3)]).alias("logits"))
+    seen = []
+    plain = losses._lovasz_sum
+    monkeypatch.setattr(losses, "_lovasz_sum", lambda *a: seen.append(plain(*a)) or seen[-1])
+    small = value(J.lovasz_softmax(px, 3, per_image=True))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan and "Join" not in plan
+    monkeypatch.setattr(losses, "WHOLE_ROWS", 5)
+    assert value(J.lovasz_softmax(px, 3, per_image=True)) == pytest.approx(small)
