@@ -132,7 +132,7 @@ def resize_bilinear(px: DataFrame, h: Column, w: Column, new_h: Column, new_w: C
     targets within one source step, then shares are summed."""
     by = list(by or [])
 
-    def shares(pos: str, src: Column, dst: Column) -> Column:
+    def shares(df: DataFrame, pos: str, src: Column, dst: Column, target: str, weight: str) -> DataFrame:
         s, d = src.cast("double"), dst.cast("double")
         if align_corners:
             step = F.when(dst > 1, (s - 1) / (d - 1)).otherwise(F.lit(0.0))
@@ -144,14 +144,14 @@ def resize_bilinear(px: DataFrame, h: Column, w: Column, new_h: Column, new_w: C
             lo = F.floor((F.col(pos) - 0.5) * d / s - 0.5)
             hi = F.ceil((F.col(pos) + 1.5) * d / s - 0.5)
         span = F.sequence(F.greatest(lo, F.lit(0)).cast("int"), F.least(hi, dst - 1).cast("int"))
-        parts = F.transform(span, lambda t: F.struct(t.alias("t"), (1 - F.abs(at(t) - F.col(pos))).alias("wt")))
-        return F.explode(F.filter(parts, lambda p: p["wt"] > 0))
+        # Rows, not functions on arrays: these run as generated code.
+        return df.withColumn(target, F.explode(span)).withColumn(weight, 1 - F.abs(at(F.col(target)) - F.col(pos))).filter(F.col(weight) > 0)
 
     sized = px.select("sample_id", "y", "x", *by, F.col(value).alias("v"),
                       h.alias("h"), w.alias("w"), new_h.alias("nh"), new_w.alias("nw"))
-    sent = (sized.withColumn("sy", shares("y", F.col("h"), F.col("nh"))).withColumn("sx", shares("x", F.col("w"), F.col("nw"))))
-    return (sent.groupBy("sample_id", F.col("sy.t").alias("y"), F.col("sx.t").alias("x"), *by)
-            .agg(F.sum(F.col("sy.wt") * F.col("sx.wt") * F.col("v")).alias(value)))
+    sent = shares(shares(sized, "y", F.col("h"), F.col("nh"), "__ty", "__wy"), "x", F.col("w"), F.col("nw"), "__tx", "__wx")
+    return (sent.groupBy("sample_id", F.col("__ty").alias("y"), F.col("__tx").alias("x"), *by)
+            .agg(F.sum(F.col("__wy") * F.col("__wx") * F.col("v")).alias(value)))
 
 
 def multiple_of(size: Column, divisor: int) -> Column:

@@ -266,3 +266,12 @@ def test_distort_against_plain_loops(spark, last):
         if last:
             rgb = tuple(cut(c * 1.25) for c in rgb)
         assert got[i] == tuple(rgb)
+
+
+def test_bilinear_shares_run_as_generated_code(spark):
+    """No function on arrays per pixel: such ones are interpreted."""
+    px = spark.range(4).select(F.lit(1).alias("sample_id"), (F.col("id") % 2).cast("int").alias("y"),
+                               F.expr("cast(id div 2 as int)").alias("x"), F.col("id").cast("double").alias("v"))
+    out = G.resize_bilinear(px, F.lit(2), F.lit(2), F.lit(3), F.lit(3), align_corners=True)
+    assert "lambdafunction" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r["y"], r["x"]): r["v"] for r in out.collect()} == {(y, x): y / 2 + x for y in range(3) for x in range(3)}
