@@ -124,7 +124,9 @@ def clahe(image: DataFrame, h: int, w: int, clip_limit: float = 40.0, tiles: tup
     limit = max(int(clip_limit * area / 256), 1) if clip_limit > 0 else area
     mirrored = lambda pos, n, full: F.explode(F.filter(
         F.array(F.col(pos), 2 * (n - 1) - F.col(pos)), lambda p, i: (i == 0) | ((p >= n) & (p < full))))
-    seen = (image.select("sample_id", "c", F.col("v").cast("int").alias("v"), mirrored("y", h, th * ty).alias("y"), "x")
+    value = F.col("v").cast("int")
+    binned = F.when(value.between(0, 255), value).otherwise(F.raise_error(F.lit("pixel values must be 0 to 255")).cast("int"))
+    seen = (image.select("sample_id", "c", binned.alias("v"), mirrored("y", h, th * ty).alias("y"), "x")
             .withColumn("x", mirrored("x", w, tw * tx)))
     hist = (seen.groupBy("sample_id", "c", F.floor(F.col("y") / th).alias("i"), F.floor(F.col("x") / tw).alias("j"), "v")
             .agg(F.count(F.lit(1)).alias("n")))

@@ -275,3 +275,15 @@ def test_bilinear_shares_run_as_generated_code(spark):
     out = G.resize_bilinear(px, F.lit(2), F.lit(2), F.lit(3), F.lit(3), align_corners=True)
     assert "lambdafunction" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r["y"], r["x"]): r["v"] for r in out.collect()} == {(y, x): y / 2 + x for y in range(3) for x in range(3)}
+
+
+def test_clahe_shuffles_nothing_of_dealt_images_and_takes_bytes_only(spark):
+    from segspark.runtime import by_image
+    axis = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    im = by_image(spark.range(12).withColumnRenamed("id", "sample_id"), "sample_id").withColumn("y", axis).withColumn("x", axis)
+    im = im.select("sample_id", "y", "x", F.lit(0).alias("c"), ((F.col("y") * 31 + F.col("x") * 7) % 256).cast("double").alias("v"))
+    out = P.clahe(im, 8, 8, 2.0, (2, 2))
+    assert "ENSURE_REQUIREMENTS" not in out._jdf.queryExecution().executedPlan().toString() and out.count() == 12 * 64
+    for wrong in (F.lit(None).cast("double"), F.lit(300.0)):
+        with pytest.raises(Exception, match="0 to 255"):
+            P.clahe(im.withColumn("v", F.when(F.col("x") == 3, wrong).otherwise(F.col("v"))), 8, 8, 2.0, (2, 2)).collect()
