@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,6 +137,7 @@ def assemble_records(rles: DataFrame, boxes: DataFrame, scores: DataFrame, keys:
 # --- suppression ------------------------------------------------------------
 
 TILE_ROWS = 20_000  # boxes that one tile may hold; crowded places are thinned by their leaders first
+WHOLE_ROWS = 4096  # boxes of an image that is decided at once, without tiles
 
 
 def box_nms(boxes: DataFrame, iou_threshold: float, rank: list[Column] | None = None) -> DataFrame:
@@ -144,11 +146,13 @@ def box_nms(boxes: DataFrame, iou_threshold: float, rank: list[Column] | None =
     Rank is score descending, then box_id (`rank` overrides it: numeric
     columns, smallest first, a total order). A box goes if its IoU with a kept
     better one exceeds the threshold; an IoU over an empty union is no number
-    and suppresses nothing. Runs jobs while it is built. A box waits only for
-    better boxes that it conflicts with: tiles are decided in one pass each,
-    and only boxes that wait for one beyond their tile see another round, with
-    tiles of twice the side. Rounds grow with the logarithm of the longest
-    chain of boxes that wait for each other.
+    and suppresses nothing. Runs jobs while it is built. Images of up to
+    WHOLE_ROWS boxes are decided at once, many side by side. In larger ones a
+    box waits only for better boxes that it conflicts with: tiles are decided
+    in one pass each, and only boxes that wait for one beyond their tile see
+    another round, with tiles of twice the side. A box that waits for one other
+    is that one's opposite; inside a tile it is done with as such, so a chain
+    of boxes shrinks to its boxes at tile borders.
     """
     if iou_threshold < 0:
         raise ValueError("iou_threshold must not be negative")
@@ -163,143 +167,299 @@ TILE = ["image_id", "grid", "tx", "ty"]
 
 
 def _undominated(ranked: DataFrame, threshold: float) -> DataFrame:
-    """(image_id, box_id) kept.
+    """(image_id, box_id) kept. Boxes that cannot suppress or be suppressed are kept at once."""
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & F.lit(threshold < 1)
+    all_ = materialize(ranked.dropna(subset=["image_id"]).withColumn("solid", F.coalesce(solid, F.lit(False))))
+    box = ["image_id", "box_id"]
+    loose, rows = all_.filter("not solid").select(*box), all_.filter("solid").drop("solid")
+    crowded = materialize(rows.groupBy("image_id").count().filter(F.col("count") > WHOLE_ROWS).select("image_id"))
+    if crowded.isEmpty():
+        return loose.unionByName(_decide_images(rows, threshold))
+    few = _decide_images(join_side(rows, crowded, ["image_id"], "left_anti"), threshold)
+    many = _decide_crowded(join_side(rows, crowded, ["image_id"], "left_semi"), threshold)
+    return reduce(DataFrame.unionByName, [loose, few, *many])
+
+
+def _decide_images(rows: DataFrame, threshold: float) -> DataFrame:
+    """(image_id, box_id) kept of images of up to WHOLE_ROWS boxes, by one pass over them in order of rank."""
+    ordered = rows.repartition("image_id").sortWithinPartitions("image_id", "__rank").select("image_id", "box_id", *BOX)
+
+    def walk(batches):
+        for table, ends in _whole_groups(batches, ["image_id"]):
+            xy = np.column_stack([table.column(c).to_numpy() for c in BOX])
+            kept = _greedy(xy, ends, threshold)
+            yield from table.select(["image_id", "box_id"]).filter(pa.array(kept)).to_batches()
+
+    return ordered.mapInArrow(walk, rows.select("image_id", "box_id").schema)
+
+
+def _whole_groups(batches, keys: list[str]):
+    """Tables of whole groups of sorted rows, and where each group ends; at most one group is held back."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = _group_ends(batch, keys)
+        if held and _group_ends(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch.slice(0, 1)]), keys)[0] == 1:
+            yield _ended(held, keys)
+            held = []
+        if len(ends) > 1:
+            yield _ended([*held, batch.slice(0, ends[-2])], keys)
+            held = [batch.slice(ends[-2])]
+        else:
+            held.append(batch)
+    if held:
+        yield _ended(held, keys)
+
+
+def _ended(batches, keys):
+    table = pa.Table.from_batches(batches)
+    return table, _group_ends(table, keys)
+
+
+def _group_ends(rows, keys: list[str]) -> np.ndarray:
+    """Ends of the runs of equal keys, nulls being equal."""
+    change = np.zeros(rows.num_rows, bool)
+    change[-1] = True
+    for k in keys:
+        column = rows.column(k)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        change[np.asarray(pc.run_end_encode(column).run_ends) - 1] = True
+    return np.flatnonzero(change) + 1
+
+
+def _greedy(xy: np.ndarray, ends: np.ndarray, threshold: float, cells: int = 1 << 16) -> np.ndarray:
+    """Which boxes are kept, in groups of rows in order of rank. Groups of like size are decided side by side."""
+    counts = np.diff(ends, prepend=0)
+    kept = np.zeros(len(xy), bool)
+    size = np.ceil(np.log2(counts)).astype(int)
+    for s in np.unique(size):
+        members = np.flatnonzero(size == s)
+        n, step = int(counts[members].max()), max(1, cells >> s)
+        for lo in range(0, len(members), step):
+            part = members[lo:lo + step]
+            at = (ends - counts)[part][:, None] + np.arange(n)
+            alive = np.arange(n) < counts[part][:, None]
+            boxes = xy[np.where(alive, at, 0)]
+            for i in range(n - 1):
+                lead = np.flatnonzero(alive[:, i])
+                if len(lead):
+                    alive[lead, i + 1:] &= ~_meet(boxes[lead, i, None], boxes[lead, i + 1:], threshold)
+            kept[at[alive]] = True
+    return kept
+
+
+def _decide_crowded(rows: DataFrame, threshold: float) -> list[DataFrame]:
+    """Tables (image_id, box_id) of the boxes kept, by tiles.
 
     IoU is at most the ratio of the smaller side to the larger, so boxes meet
     only if their levels (longest side up to 2^level) differ by `reach` at
-    most. Boxes that cannot suppress or be suppressed are kept at once.
+    most. `root` is the number of the box whose fate a waiting box shares or,
+    with `flip`, has the opposite of.
     """
     side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")) & F.lit(threshold < 1)
     level = F.ceil(F.log2(F.when(side > 0, side))).cast("int")
-    sized = ranked.withColumns({"solid": F.coalesce(solid, F.lit(False)), "level": level})
     # The logarithm may be rounded down to a whole number.
-    all_ = materialize(sized.withColumns({"level": F.when(F.pow(F.lit(2.0), "level") < side, F.col("level") + 1).otherwise(F.col("level")),
-                                          "kept": F.lit(False)}))
-    low, top = all_.filter("solid").agg(F.min("level"), F.max("level")).first()
-    kept = [all_.filter("not solid").select("image_id", "box_id")]
-    if top is None:
-        return kept[0]
+    sized = rows.withColumn("level", level).withColumn(
+        "level", F.when(F.pow(F.lit(2.0), "level") < side, F.col("level") + 1).otherwise(F.col("level")))
+    open_ = materialize(sized.withColumns({"kept": F.lit(False), "n": F.monotonically_increasing_id(),
+                                           "root": F.lit(None).cast("bigint"), "flip": F.lit(False)}))
+    low, top = open_.agg(F.min("level"), F.max("level")).first()
     reach = 0
     while reach < top - low and 2.0 ** -reach > threshold:
         reach += 1
-    open_, span = all_.filter("solid").drop("solid"), 5
+    won, gone, done, span = [], [], [], 5
     while not open_.filter("not kept").isEmpty():
-        placed = _tiles(open_, top, reach, span)
+        placed = _tiles(open_, low, top, reach, span)
         fullest = placed.groupBy(*TILE).count().agg(F.max("count")).first()[0]
         if fullest > TILE_ROWS and span > 0:
             span -= 1
             continue
-        state = materialize(_leaders(open_, top, reach) if fullest > TILE_ROWS else _decide(placed, threshold))
-        kept.append(state.filter("kept").select("image_id", "box_id"))
         if fullest > TILE_ROWS:
             # Leaders are in: what they suppress goes before tiles are tried again.
-            open_ = materialize(_without_suppressed(open_.filter("not kept"), state, open_.filter("kept"), top, reach, threshold))
-            continue
-        # New ones stay for one more round, in which all that they suppress goes.
-        open_, span = state, span + 1
-    return reduce(DataFrame.unionByName, kept)
+            lead, rest = materialize(_leaders(open_, top, reach)), open_.filter("not kept")
+            left = materialize(_without_suppressed(rest, lead, open_.filter("kept"), top, reach, threshold))
+            over = rest.join(left.select("n").unionByName(lead.select("n")).hint("merge"), "n", "left_anti")
+            fates = materialize(lead.withColumn("fate", F.lit("kept")).unionByName(over.withColumn("fate", F.lit("gone"))))
+        else:
+            # New ones stay for one more round, in which all that they suppress goes.
+            fates = materialize(_decide(placed, threshold))
+            left, span = fates.filter("fate = 'open' or fate = 'kept'").drop("fate"), span + 1
+        done.append(fates.filter("fate = 'done'"))
+        won.append(fates.filter("fate = 'kept'"))
+        gone.append(fates.filter("fate = 'gone'"))
+        open_, learnt = _pass_on(left, fates)
+        won += [t.filter("kept") for t in learnt]
+        gone += [t.filter("not kept") for t in learnt]
+    box = ["image_id", "box_id"]
+    return [t.select(*box) for t in [*won, *_resolve(done, won, gone)]]
+
+
+def _pass_on(open_: DataFrame, fates: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """`open_` with roots replaced by what they turned out to be, and the boxes so decided (no table or one)."""
+    waiting = open_.filter("not kept and root is not null")
+    if waiting.isEmpty():
+        return open_, []
+    ends = _ends(_facts(fates.filter("fate != 'open' or root is not null")), fates.select("root").unionByName(waiting.select("root")))
+    met = materialize(waiting.join(ends.hint("merge"), "root", "left").select(
+        *[c for c in open_.columns if c not in ("root", "flip", "kept")],
+        (F.col("__kept") != F.col("flip")).alias("kept"), F.coalesce("__root", "root").alias("root"),
+        (F.col("flip") != F.coalesce("__flip", F.lit(False))).alias("flip")))
+    rest = met.filter("kept is null or kept").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    return materialize(open_.filter("kept or root is null").unionByName(rest)), [met.filter("kept is not null")]
+
+
+def _resolve(done: list[DataFrame], won: list[DataFrame], gone: list[DataFrame]) -> list[DataFrame]:
+    """Tables (image_id, box_id) of the boxes that are kept among those left with a root."""
+    links = materialize(reduce(DataFrame.unionByName, done))
+    if links.isEmpty():
+        return []
+    box = lambda t: t.select("n", "root", "flip", "fate")
+    learnt = [t if "fate" in t.columns else t.withColumn("fate", F.lit(fate)) for fate, ts in (("kept", won), ("gone", gone)) for t in ts]
+    ends = _ends(_facts(reduce(DataFrame.unionByName, [box(t) for t in (links, *learnt)])), links.select("root"))
+    return [links.join(ends.hint("merge"), "root").filter(F.col("__kept") != F.col("flip"))]
+
+
+def _facts(fates: DataFrame) -> DataFrame:
+    """(root, __kept, __root, __flip): the fate of each box, or the root that it was left with."""
+    known = F.col("fate").isin("kept", "gone")
+    return fates.select(F.col("n").alias("root"), F.when(known, F.col("fate") == "kept").alias("__kept"),
+                        F.when(~known, F.col("root")).alias("__root"), F.when(~known, F.col("flip")).alias("__flip"))
+
+
+def _ends(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Facts on the boxes that are roots of others, followed to their ends: steps along the roots double each time."""
+    ends = materialize(facts.join(asked.dropna().distinct().hint("merge"), "root", "left_semi"))
+    while True:
+        hops = ends.select(F.col("root").alias("__root"), F.col("__kept").alias("k"), F.col("__root").alias("r"), F.col("__flip").alias("f"), F.lit(True).alias("hit"))
+        if ends.join(hops.hint("merge"), "__root", "left_semi").isEmpty():
+            return ends
+        hit = F.col("hit").isNotNull()
+        ends = materialize(ends.join(hops.hint("merge"), "__root", "left").select(
+            "root", F.when(hit, F.col("k") != F.col("__flip")).otherwise(F.col("__kept")).alias("__kept"),
+            F.when(hit, F.col("r")).otherwise(F.col("__root")).alias("__root"),
+            F.when(hit, F.col("f") != F.col("__flip")).otherwise(F.col("__flip")).alias("__flip")))
 
 
-def _tiles(open_: DataFrame, top: int, reach: int, span: int) -> DataFrame:
+def _tiles(open_: DataFrame, low: int, top: int, reach: int, span: int) -> DataFrame:
     """Boxes on each tile that needs them; `own` on the one tile where a box sees all that it may conflict with.
 
     Grid g has tiles of side 2^(g + span). A box of level n is decided on grid
     n + reach, in the tile of its first corner, and lent to grids up to
     n + 2 * reach, there to every tile that holds the first corner of a box that
-    may overlap it: at most 2^g before its own.
+    may overlap it: at most 2^g before its own. A `lone` box is on one tile.
     """
     side = F.pow(F.lit(2.0), F.col("grid") + span)
     ahead = F.pow(F.lit(2.0), F.col("grid"))
     at = lambda c: F.floor(F.col(c) / side)
     axis = lambda lo, hi: F.sequence(F.floor((F.col(lo) - ahead) / side), at(hi))
-    return (open_.withColumn("grid", F.explode(F.sequence(F.col("level"), F.least(F.lit(top), F.col("level") + 2 * reach))))
-            .withColumn("tx", F.explode(axis("x1", "x2"))).withColumn("ty", F.explode(axis("y1", "y2")))
+    # No box is decided on a grid below the first.
+    grids = F.sequence(F.greatest(F.col("level"), F.lit(low + reach)), F.least(F.lit(top), F.col("level") + 2 * reach))
+    return (open_.withColumn("__grids", grids).withColumn("grid", F.explode("__grids"))
+            .withColumns({"__across": axis("x1", "x2"), "__down": axis("y1", "y2")})
+            .withColumn("lone", (F.size("__grids") == 1) & (F.size("__across") == 1) & (F.size("__down") == 1))
+            .withColumn("tx", F.explode("__across")).withColumn("ty", F.explode("__down"))
             .withColumn("own", (F.col("grid") == F.least(F.lit(top), F.col("level") + reach))
-                        & (F.col("tx") == at("x1")) & (F.col("ty") == at("y1"))))
+                        & (F.col("tx") == at("x1")) & (F.col("ty") == at("y1")))
+            .drop("__grids", "__across", "__down"))
 
 
 def _decide(placed: DataFrame, threshold: float) -> DataFrame:
-    """Own boxes that are kept or still wait; those that a kept one suppresses are left out."""
-    out = [c for c in placed.columns if c not in ("grid", "tx", "ty", "own")]
-    schema = placed.select(*out).schema
+    """Own boxes that are open, with their `fate`: kept, gone, done (left with a root) or open."""
+    out = [c for c in placed.columns if c not in ("grid", "tx", "ty", "own", "lone")]
+    schema = T.StructType([*placed.select(*out).schema, T.StructField("fate", T.StringType())])
     rows = placed.repartition(*TILE).sortWithinPartitions(*TILE, "__rank")
     # The rank has done its work in the sort: Python gets the place of the row's own data only.
-    slim = rows.select(*TILE, *BOX, "own", "kept", F.struct(*out).alias("row"))
+    slim = rows.select(*TILE, *BOX, "own", "lone", "kept", "n", F.coalesce("root", F.lit(-1)).alias("root"), "flip", F.struct(*out).alias("row"))
 
     def walk(batches):
-        last, tile = None, None
-        for batch in batches:
-            keys = [batch.column(k).to_pylist() for k in TILE]
-            xy = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in BOX])
-            own, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("own", "kept"))
-            stay, won = np.zeros(len(xy), bool), np.zeros(len(xy), bool)
-            names = list(zip(*keys))
-            starts = [i for i, n in enumerate(names) if i == 0 or n != names[i - 1]] + [len(names)]
-            for lo, hi in zip(starts, starts[1:]):
-                if names[lo] != last:
-                    last, tile = names[lo], _Tile(threshold)
-                stay[lo:hi], won[lo:hi] = tile.take(xy[lo:hi], own[lo:hi], known[lo:hi])
-            fields = pa.RecordBatch.from_struct_array(batch.column("row"))
-            at = fields.schema.get_field_index("kept")
-            yield fields.set_column(at, "kept", pa.array(won)).filter(pa.array(stay))
+        for table, ends in _whole_groups(batches, TILE):
+            xy = np.column_stack([table.column(c).to_numpy() for c in BOX])
+            own, lone, known, n, root, flip = (table.column(c).to_numpy() for c in ("own", "lone", "kept", "n", "root", "flip"))
+            fate, to, turned = np.empty(len(xy), object), np.empty(len(xy), np.int64), np.empty(len(xy), bool)
+            for lo, hi in zip([0, *ends], ends):
+                at = slice(lo, hi)
+                fate[at], to[at], turned[at] = _tile_fates(xy[at], own[at], lone[at], known[at], n[at], root[at], flip[at], threshold)
+            row = pa.RecordBatch.from_struct_array(table.column("row").combine_chunks())
+            told = {"kept": pa.array(fate == "kept"), "root": pa.array(to, mask=to < 0), "flip": pa.array(turned), "fate": pa.array(fate, pa.string())}
+            cells = [told[f.name] if f.name in told else row.column(f.name) for f in schema]
+            yield pa.RecordBatch.from_arrays(cells, names=schema.names).filter(pa.array(own & ~known))
 
     return slim.mapInArrow(walk, schema)
 
 
-class _Tile:
-    """Boxes of one tile, in order of rank: those kept, and those that wait for a box beyond the tile.
+KEPT, GONE = -1, -2  # a fate that is known; others are twice the place of a root, odd for the opposite. One bit turns any of them
 
-    Only these are held; a crowd that its best boxes suppress passes by.
-    """
 
-    def __init__(self, threshold: float, block: int = 512):
-        self.threshold, self.block = threshold, block
-        self.kept, self.waiting = [], []
-
-    def take(self, xy: np.ndarray, own: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which own boxes stay (kept or open), and which of them are newly kept."""
-        stay, won = np.zeros(len(xy), bool), np.zeros(len(xy), bool)
-        for lo in range(0, len(xy), self.block):
-            part = slice(lo, lo + self.block)
-            stay[part], won[part] = self._take(xy[part], own[part], known[part])
-        return stay, won
-
-    def _take(self, xy, own, known):
-        n = len(xy)
-        gone, held = self._meets(xy, self.kept) & ~known, self._meets(xy, self.waiting)
-        stay, won = np.zeros(n, bool), np.zeros(n, bool)
-        kept, waiting = np.zeros(n, bool), np.zeros(n, bool)
-        meet = _overlaps(xy, xy, self.threshold) if n > 1 else np.zeros((1, 1), bool)
-        for i in range(n):
-            if known[i]:
-                kept[i] = True
-            elif gone[i] or (meet[i, :i] & kept[:i]).any():
+def _tile_fates(xy, own, lone, known, n, root, flip, threshold: float, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fate, root (-1: none) and flip of each box of a tile, all in order of rank.
+
+    A box that meets a kept one is gone. If all that it may wait for share a
+    fate, it has the opposite one; if some have opposite fates and no others,
+    one of them is kept. What waits for several stays open, and so do the boxes
+    that it meets and those that other tiles see.
+    """
+    size = len(xy)
+    numbers, place = np.unique(np.r_[n, root], return_inverse=True)
+    own_place, root_place = place[:size], place[size:]
+    now = 2 * np.arange(len(numbers))
+    linked = root >= 0
+    code, needed = np.empty(size, np.int64), np.zeros(size, bool)
+    most = 2 * len(numbers)
+    for lo in range(0, size, block):
+        hi = min(lo + block, size)
+        mine = xy[lo:hi]
+        over, least, last = np.zeros(hi - lo, bool), np.full(hi - lo, most), np.full(hi - lo, -1)
+        for start in range(0, lo, block):
+            held = np.flatnonzero(code[start:start + block] != GONE) + start
+            if not len(held):
                 continue
-            elif held[i] or not own[i] or (meet[i, :i] & waiting[:i]).any():
-                waiting[i] = True
-                stay[i] = own[i]
+            meet, codes = _overlaps(mine, xy[held], threshold), code[held]
+            over |= meet[:, codes == KEPT].any(axis=1)
+            meet[:, codes == KEPT] = False
+            least = np.minimum(least, np.where(meet, codes, most).min(axis=1))
+            last = np.maximum(last, np.where(meet, codes, -1).max(axis=1))
+        meet = _overlaps(mine, mine, threshold)
+        several = np.zeros(hi - lo, bool)
+        for i in range(hi - lo):
+            r = lo + i
+            met = code[lo:r][meet[i, :i]]
+            met = met[met != GONE]
+            if known[r]:
+                c = KEPT
+            elif over[i] or (met == KEPT).any():
+                c = GONE
+            elif linked[r]:
+                c = now[root_place[r]] ^ int(flip[r])
+            elif not own[r]:
+                c = 2 * own_place[r]
             else:
-                kept[i] = stay[i] = won[i] = True
-        for rows, mark in ((self.kept, kept), (self.waiting, waiting)):
-            if mark.any():
-                rows.append(xy[mark])
-        return stay, won
-
-    def _meets(self, xy, blocks):
-        hit = np.zeros(len(xy), bool)
-        for other in blocks:
-            hit |= _overlaps(xy, other, self.threshold).any(axis=1)
-        return hit
+                a, b = (min(least[i], met.min()), max(last[i], met.max())) if len(met) else (least[i], last[i])
+                several[i] = a < b and not (a ^ 1 == b)
+                c = KEPT if b < 0 else a ^ 1 if a == b else GONE if a ^ 1 == b else 2 * own_place[r]
+            code[r] = now[own_place[r]] = c
+        if several.any():
+            for start in range(0, hi, block):
+                part = slice(start, min(start + block, hi))
+                needed[part] |= _overlaps(xy[part], mine[several], threshold).any(axis=1)
+    waits = code >= 0
+    apart = waits & (code != 2 * own_place)
+    fate = np.select([code == KEPT, code == GONE, apart & lone & own & ~needed], ["kept", "gone", "done"], "open").astype(object)
+    return fate, np.where(apart, numbers[np.where(waits, code >> 1, 0)], -1), apart & (code % 2 == 1)
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """IoU over the threshold, each of `a` with each of `b`."""
+    return _meet(a[:, None], b[None], threshold)
+
+
+def _meet(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     """IoU over the threshold, for boxes with an area."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
     inter = np.maximum(w, 0) * np.maximum(h, 0)
-    area = lambda r: (r[:, 2] - r[:, 0]) * (r[:, 3] - r[:, 1])
-    return inter / (area(a)[:, None] + area(b)[None, :] - inter) > threshold
+    area = lambda r: (r[..., 2] - r[..., 0]) * (r[..., 3] - r[..., 1])
+    return inter / (area(a) + area(b) - inter) > threshold
 
 
 SPOT = ["image_id", "grid", "cx", "cy"]
@@ -323,7 +483,9 @@ def _leaders(open_: DataFrame, top: int, reach: int) -> DataFrame:
     claims = _cells(open_.filter("kept"), top, reach).select(*SPOT).distinct().withColumn("held", F.lit(True))
     seen = join_side(join_side(cells, lead, SPOT), claims, SPOT, "left")
     won = seen.groupBy(*box).agg(F.min((F.col("lead_rank") == F.col("__rank")) & F.col("held").isNull()).alias("won"))
-    return open_.filter("not kept").join(won.filter("won").hint("merge"), box, "left_semi").withColumn("kept", F.lit(True))
+    # A box with a root is no leader: boxes that it waits for may be done with.
+    return (open_.filter("not kept and root is null").join(won.filter("won").hint("merge"), box, "left_semi")
+            .withColumn("kept", F.lit(True)))
 
 
 def _without_suppressed(open_: DataFrame, won: DataFrame, before: DataFrame, top: int, reach: int, threshold: float) -> DataFrame:

@@ -207,3 +207,40 @@ def test_stability_of_empty_union(spark):
     df = spark.createDataFrame([(0, -5.0), (0, -6.0), (1, 3.0), (1, 0.5)], "k int, v double")
     got = {r["k"]: r["stability"] for r in M.stability(df, ["k"]).collect()}
     assert got == {0: None, 1: 0.5}
+
+
+@pytest.mark.parametrize("tile", [20_000, 30])
+def test_nms_crowded_images_by_tiles(spark, monkeypatch, tile):
+    """Images beyond `WHOLE_ROWS` are decided by tiles, with boxes of many sizes and a row in which each waits for the next."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        side = float(rng.integers(2, 60))
+        x, y = (30 * i, int(rng.integers(0, 8))) if i % 2 else rng.integers(0, 60, 2).tolist()
+        rows.append((i % 3, i, float(x), float(y), x + side, y + side * 0.8, -float(x)))
+    monkeypatch.setattr(M, "WHOLE_ROWS", 3)
+    monkeypatch.setattr(M, "TILE_ROWS", tile)
+    got = {r["box_id"] for r in M.box_nms(spark.createDataFrame(rows, NMS_BOXES), 0.3).collect()}
+    assert got == set().union(*(greedy([r for r in rows if r[0] == i], 0.3) for i in range(3)))
+
+
+def test_nms_long_chain_beyond_a_tile(spark, monkeypatch):
+    """A chain of many more boxes than a tile may hold takes as many rounds as a short one."""
+    monkeypatch.setattr(M, "WHOLE_ROWS", 8)
+    monkeypatch.setattr(M, "TILE_ROWS", 60)
+    rows = [(0, i, 20.0 * i, 0.0, 20.0 * i + 60, 40.0, -float(i)) for i in range(3000)]
+    tables = written_tables(monkeypatch)
+    got = {r["box_id"] for r in M.box_nms(spark.createDataFrame(rows, NMS_BOXES), 0.3).collect()}
+    assert got == set(range(0, 3000, 2))
+    assert len(tables) < 25
+
+
+def test_nms_small_images_take_one_pass(spark, monkeypatch):
+    """Many images of few boxes, some larger than an Arrow batch's rest, without tiles."""
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 400)) if i % 3 else 0, i, *xy, xy[0] + 20.0, xy[1] + 15.0, float(i % 7))
+            for i, xy in enumerate(rng.integers(0, 60, (3000, 2)).astype(float).tolist())]
+    tables = written_tables(monkeypatch)
+    got = {r["box_id"] for r in M.box_nms(spark.createDataFrame(rows, NMS_BOXES), 0.4).collect()}
+    assert got == set().union(*(greedy([r for r in rows if r[0] == i], 0.4) for i in {r[0] for r in rows}))
+    assert len(tables) == 2
