@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from segspark.functions import columns as C
 from segspark.functions.prefix import carry_forward
-from segspark.operators.blocks import component_starts, over_blocks
+from segspark.operators.blocks import component_starts
 from segspark.runtime import join_pixels, join_side, materialize
 
 
@@ -516,10 +516,7 @@ def connected_regions(foreground: DataFrame, keys: list[str], side: int = 256) -
     logarithm of the number of blocks that a component crosses. `region` is the
     number of the component's first pixel (y * 2^32 + x).
     """
-    number = lambda y, x: (y << 32) + x
-    rows = foreground.select(*keys, "y", "x")
-    cells = materialize(over_blocks(rows, keys, ["y", "x"], [side] * 2, [0] * 2, lambda block: number(*component_starts(*block.place)),
-                                    T.StructField("node", T.LongType()), [*keys, "y", "x"]))
+    cells = materialize(_block_components(foreground.select(*keys, "y", "x"), keys, side))
 
     on_edge = lambda c: F.pmod(F.col(c), F.lit(side)).isin(0, side - 1)
     steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -536,6 +533,27 @@ def connected_regions(foreground: DataFrame, keys: list[str], side: int = 256) -
     return named.select(*keys, "y", "x", F.coalesce("root", "node").alias("region"))
 
 
+def _block_components(cells: DataFrame, keys: list[str], side: int) -> DataFrame:
+    """(keys…, y, x, node): components inside blocks of `side` x `side`. The many blocks of an Arrow batch are solved at once."""
+    names = ["__by", "__bx"]
+    placed = cells.withColumns({n: F.floor(F.col(c) / side) for n, c in zip(names, "yx")})
+    # The window brings the rows of a block together, which shuffles nothing of tables dealt by image.
+    w = Window.partitionBy(*keys, *names).orderBy("y", "x")
+    ordered = placed.withColumn("__i", F.row_number().over(w))
+    schema = T.StructType([*cells.select(*keys, "y", "x").schema, T.StructField("node", T.LongType())])
+
+    def walk(batches):
+        for table, ends in _whole_groups(batches, [*keys, *names]):
+            # Blocks lie below each other, with two empty rows between.
+            ahead = np.repeat(np.arange(len(ends)) * (side + 2), np.diff(ends, prepend=0))
+            y0, x0 = (table.column(n).to_numpy() * side for n in names)
+            y, x = component_starts(table.column("y").to_numpy() - y0 + ahead, table.column("x").to_numpy() - x0)
+            node = (y - ahead + y0 << 32) + x + x0
+            yield from table.select([*keys, "y", "x"]).append_column("node", pa.array(node.astype(np.int64))).to_batches()
+
+    return ordered.mapInArrow(walk, schema)
+
+
 def _star_contract(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Edges (u > v) become stars (u, root) by large-star / small-star rounds.
 

@@ -95,13 +95,20 @@ def _weighted(spark, d):
     return X.pixel_logits(spark, d).withColumn("w", 1 + (F.col("y") % 3) * 0.5)
 
 
+def _side_by_side(total, scaled):
+    """One row of two tables of one row, without a join."""
+    none = F.lit(None).cast("double")
+    both = total.select("total", none.alias("scaled")).unionByName(scaled.select(none.alias("total"), "scaled"))
+    return both.agg(F.max("total").alias("total"), F.max("scaled").alias("scaled"))
+
+
 @query("j02_bce_reductions", f"""WITH {X.PIXEL_LOGITS}, b AS (SELECT gt, CASE WHEN gt = 255 THEN 0 ELSE ({BCE.format(x='v', t='(c = gt)::INT')}) * {WPX} END AS l FROM lg)
 SELECT round(sum(l) / 1e3, 4) AS total, round(sum(l) / 5000, 4) AS scaled FROM b""")
 def bce_reductions(spark, d):
     px = _weighted(spark, d)
     total = J.binary_cross_entropy(px, X.CLASSES, weight="w", reduction="sum").select(F.round(F.col("loss") / 1e3, 4).alias("total"))
     scaled = J.binary_cross_entropy(px, X.CLASSES, weight="w", avg_factor=5000.0).select(F.round("loss", 4).alias("scaled"))
-    return total.select("total", scaled.scalar().alias("scaled"))
+    return _side_by_side(total, scaled)
 
 
 @query("j05_focal_reductions", f"""WITH {X.PIXEL_LOGITS}, s AS (SELECT y, gt, v, (c = gt)::INT AS t, 1/(1+exp(-v)) AS p, {WL}[c+1] AS a FROM lg),
@@ -111,7 +118,7 @@ def focal_reductions(spark, d):
     px, how = _weighted(spark, d), {"gamma": 1.5, "alpha": W, "weight": "w"}
     total = J.focal(px, X.CLASSES, **how, reduction="sum").select(F.round(F.col("loss") / 1e3, 4).alias("total"))
     scaled = J.focal(px, X.CLASSES, **how, avg_factor=5000.0).select(F.round("loss", 4).alias("scaled"))
-    return total.select("total", scaled.scalar().alias("scaled"))
+    return _side_by_side(total, scaled)
 
 
 EMB = """em AS (SELECT vec_id, label AS gt, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings)"""

@@ -244,3 +244,28 @@ def test_nms_small_images_take_one_pass(spark, monkeypatch):
     got = {r["box_id"] for r in M.box_nms(spark.createDataFrame(rows, NMS_BOXES), 0.4).collect()}
     assert got == set().union(*(greedy([r for r in rows if r[0] == i], 0.4) for i in {r[0] for r in rows}))
     assert len(tables) == 2
+
+
+def test_regions_of_many_images_are_found_together(spark, monkeypatch):
+    """A task's images go to Python in few calls, not one for each image, with the same regions."""
+    rng = np.random.default_rng(8)
+    a = {s: (rng.random((9, 7)) < 0.45).astype(int) for s in range(300)}
+    df = mask_df(spark, a).filter("v = 1").repartition(1, "sample_id")
+    for side in (256, 4):
+        got = M.connected_regions(df, ["sample_id"], side).collect()
+        regions = {}
+        for r in got:
+            regions.setdefault((r["sample_id"], r["region"]), set()).add((r["y"], r["x"]))
+        assert sum(map(len, regions.values())) == sum(int(m.sum()) for m in a.values())
+        for (s, root), cells in regions.items():
+            first = min(cells)
+            todo, seen = [first], {first}
+            while todo:
+                y, x = todo.pop()
+                near = {(y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} - seen
+                near = {(i, j) for i, j in near if 0 <= i < 9 and 0 <= j < 7 and a[s][i, j]}
+                todo += near
+                seen |= near
+            assert seen == cells and root == (first[0] << 32) + first[1]
+    plan = M._block_components(df, ["sample_id"], 256)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
