@@ -622,8 +622,9 @@ def match_cost(class_logits: DataFrame, pred: DataFrame, gt: DataFrame, gt_label
               .groupBy("sample_id", "q", "g").agg(F.sum("p").alias("hit"), F.sum("gain").alias("gain"),
                                                   F.count(F.lit(1)).alias("g_sum")))
     probs = class_logits.select("sample_id", "q", C.softmax(F.col("logits")).alias("probs"))
-    t = (whole.join(gt_labels, "sample_id").join(inside, ["sample_id", "q", "g"], "left").na.fill(0, ["hit", "gain", "g_sum"])
-         .join(probs, ["sample_id", "q"]))
+    # Rows per query and mask: too many for a broadcast, whatever the files weigh that they are made from.
+    t = (whole.join(gt_labels.hint("merge"), "sample_id").join(inside.hint("merge"), ["sample_id", "q", "g"], "left").na.fill(0, ["hit", "gain", "g_sum"])
+         .join(probs.hint("merge"), ["sample_id", "q"]))
     cls = -F.get("probs", F.col("label")) * weights[0]
     dice = (1 - (2 * F.col("hit") + eps) / (F.col("p_sum") + F.col("g_sum") + eps)) * weights[1]
     ce = ((F.col("gain") + F.col("off_sum")) / F.col("n")) * weights[2]
