@@ -258,7 +258,8 @@ def mosaic(px: DataFrame, shapes: DataFrame, params: DataFrame, size: tuple[int,
     big_h, big_w = size[0] * 2, size[1] * 2
     parts = params.select("mosaic_id", "center_x", "center_y", F.explode(F.array(*[
         F.struct(F.lit(q).alias("quadrant"), F.col(q).alias("sample_id")) for q in QUADRANTS])).alias("p"))
-    sized = parts.select("mosaic_id", "center_x", "center_y", "p.*").join(shapes, "sample_id")
+    # A row per image: files of few bytes would have Spark send this table to the driver.
+    sized = parts.select("mosaic_id", "center_x", "center_y", "p.*").join(shapes.hint("merge"), "sample_id")
     ratio = F.least(F.lit(float(size[0])) / F.col("h"), F.lit(float(size[1])) / F.col("w"))
     sized = sized.withColumns({"nh": F.floor(F.col("h") * ratio).cast("int"), "nw": F.floor(F.col("w") * ratio).cast("int")})
     left, top = F.col("quadrant").endswith("left"), F.col("quadrant").startswith("top")
