@@ -355,12 +355,12 @@ def edge_map(px: DataFrame, width: int = 3, ignore: int = 255, side: int = 256)
     def work(block):
         gt = block.grid("gt", ignore, pad=1)
         h, w = block.shape
-        own = gt[1:-1, 1:-1]
-        edge = np.zeros(block.shape, bool)
+        own = gt[:, 1:-1, 1:-1]
+        edge = np.zeros(block.full, bool)
         for dy, dx in ((-1, 0), (0, 1), (1, -1), (1, 1)):
-            other = gt[1 + dy:1 + dy + h, 1 + dx:1 + dx + w]
+            other = gt[:, 1 + dy:1 + dy + h, 1 + dx:1 + dx + w]
             edge |= (own != other) & (own != ignore) & (other != ignore)
-        for axis in (0, 1) if width > 1 else ():
+        for axis in (1, 2) if width > 1 else ():
             edge = window_any(edge, before, after, axis)
         return edge[block.at].astype(np.int32)
 
@@ -383,10 +383,10 @@ def boundary_pyramid(px: DataFrame, h: Column, w: Column, side: int = 256) -> Da
     def work(block):
         gt = block.grid("gt", 0, pad=1)
         n, m = block.shape
-        around = sum(gt[i:i + n, j:j + m] for i in range(3) for j in range(3))
-        there = np.zeros(block.shape, bool)
+        around = sum(gt[:, i:i + n, j:j + m] for i in range(3) for j in range(3))
+        there = np.zeros(block.full, bool)
         there[block.at] = True
-        hot = (9 * gt[1:-1, 1:-1] - around > 0) & there
+        hot = (9 * gt[:, 1:-1, 1:-1] - around > 0) & there
         fused = 6 * hot[block.at].astype(np.int32)
         for stride, weight in ((2, 3), (4, 1)):
             inside = np.ones(len(fused), bool)
@@ -396,7 +396,7 @@ def boundary_pyramid(px: DataFrame, h: Column, w: Column, side: int = 256) -> Da
                 at = block.place[axis] * -(-size // stride) // size * stride - block.lo[axis]
                 inside &= (block.place[axis] < size) & (at >= 0) & (at < block.shape[axis])
                 source.append(np.clip(at, 0, block.shape[axis] - 1))
-            fused += weight * (hot[tuple(source)] & inside)
+            fused += weight * (hot[(block.which, *source)] & inside)
         return (fused > 1).astype(np.int32)
 
     return over_blocks(rows, ["sample_id"], ["y", "x"], [side] * 2, [4] * 2, work, T.StructField("boundary", T.IntegerType()),

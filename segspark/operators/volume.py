@@ -63,8 +63,8 @@ def gaussian_blur(vox: DataFrame, shape: tuple[int, int, int], sigma: tuple[floa
     """Separable blur of v along z, y and x, mirrored at the border (edge voxel repeated); other columns stay.
 
     One shuffle, by blocks with a margin of the kernel's radius; the three axes are
-    blurred inside a block. Voxels that are missing or NULL count as zero. A
-    block's side is at least four radii, so a voxel travels to few blocks and a task holds one block.
+    blurred inside a block, many blocks at once. Voxels that are missing or NULL count as zero. A
+    block's side is at least four radii, so a voxel travels to few blocks and a task holds one block or a chunk of rows.
     """
     radius = [int(truncate * s + 0.5) if s > 0 else 0 for s in sigma]
 
@@ -74,8 +74,9 @@ def gaussian_blur(vox: DataFrame, shape: tuple[int, int, int], sigma: tuple[floa
             if r == 0:
                 continue
             weights = np.exp(-0.5 * (np.arange(-r, r + 1) / s) ** 2)
-            wide, size = mirrored(v, block.lo[axis], n, r, axis), v.shape[axis]
-            v = sum(w * np.take(wide, np.arange(k, k + size), axis) for k, w in enumerate(weights / weights.sum()))
+            wide, size = mirrored(v, block.lo[axis], n, r, axis + 1), v.shape[axis + 1]
+            ahead = (slice(None),) * (axis + 1)
+            v = sum(w * wide[(*ahead, slice(k, k + size))] for k, w in enumerate(weights / weights.sum()))
         return v[block.at]
 
     rows = vox.withColumn("v", F.col("v").cast("double"))

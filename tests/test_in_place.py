@@ -31,3 +31,10 @@ def rows(df):
 def test_tables_of_a_row_per_image_are_not_broadcast(spark, parts, name):
     """Few bytes of a file may be many rows, which the driver would have to hold."""
     assert "Broadcast" not in plan(entry.queries()[name](spark, parts))
+
+
+def test_blocks_that_are_alike_are_worked_on_together(spark):
+    px = spark.createDataFrame([(s, y, x) for s in range(3) for y in range(2) for x in range(2 + s // 2)], "sample_id int, y int, x int").coalesce(1)
+    work = lambda b: np.full(len(b.which), b.full[0], np.int32)
+    out = blocks.over_blocks(px.repartition(1, "sample_id"), ["sample_id"], ["y", "x"], [8, 8], [0, 0], work, T.StructField("n", T.IntegerType()), ["sample_id"])
+    assert {(r["sample_id"], r["n"]) for r in out.collect()} == {(0, 2), (1, 2), (2, 1)}
