@@ -7,9 +7,84 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from segspark.operators.blocks import _numbered, group_chunks, together
 
 WHOLE_ROWS = 1 << 20  # of a block of columns, that a task may hold
 CHUNK_ROWS = 200_000
+FLAT_ROWS = 64  # of an image whose columns are solved row against row
+FAR = 1 << 29
+
+
+def mask_distances(px: DataFrame, keys: list[str], masks: list[str]) -> DataFrame:
+    """The columns of `px` (keys…, y, x, masks…, …) and a column `d2_<mask>` for each mask: squared distance to
+    the nearest pixel where the mask is 0, NULL where it has none.
+
+    Images are held whole, many side by side, so each may have `WHOLE_ROWS` rows at most. Rows and columns as in
+    `squared_distance_transform`.
+    """
+    schema = T.StructType([*px.schema, *[T.StructField(f"d2_{m}", T.LongType()) for m in masks]])
+
+    def walk(batches):
+        for table, image in group_chunks(batches, keys):
+            y, x = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x"))
+            even = _even_images(image, y, x)
+            for m in masks:
+                g2 = _along_rows(image, y, x, pc.fill_null(table.column(m), 1).to_numpy() == 0)
+                d2 = np.empty(len(g2), np.int64)
+                for rows, shape in even:
+                    d2[rows] = _along_columns(g2[rows].reshape(shape)).ravel()
+                rest = even.rest
+                if len(rest):
+                    column = np.unique(image[rest] * (int(x.max()) + 1) + x[rest], return_inverse=True)[1]
+                    d2[rest] = np.minimum(*[np.where(found < 0, FAR, found) for found in (_swept(y[rest], column, g2[rest]), _swept(-y[rest], column, g2[rest]))])
+                table = table.append_column(f"d2_{m}", pa.array(d2, mask=d2 == FAR))
+            yield from table.to_batches()
+
+    return together(px, keys, "y", "x").mapInArrow(walk, schema)
+
+
+class _even_images(list):
+    """(rows, shape) of images of equal size, each with all rows and columns once; `rest` are the rows of other images."""
+
+    def __init__(self, image: np.ndarray, y: np.ndarray, x: np.ndarray):
+        starts = np.flatnonzero(np.r_[True, image[1:] != image[:-1]])
+        count = np.diff(np.r_[starts, len(image)])
+        y0, x0 = np.repeat(y[starts], count), np.repeat(np.minimum.reduceat(x, starts), count)
+        h, w = (np.maximum.reduceat(p, starts) - p0[starts] + 1 for p, p0 in ((y, y0), (x, x0)))
+        at = np.arange(len(y)) - np.repeat(starts, count)
+        wide = np.repeat(w, count)
+        right = np.logical_and.reduceat((y - y0 == at // wide) & (x - x0 == at % wide), starts) & (count == h * w) & (h <= FLAT_ROWS) & (w <= 1 << 14)
+        kind = np.where(right, h * (1 << 20) + w, -1)
+        of_row = np.repeat(kind, count)
+        super().__init__((np.flatnonzero(of_row == k), (-1, int(k >> 20), int(k & (1 << 20) - 1))) for k in np.unique(kind) if k >= 0)
+        self.rest = np.flatnonzero(of_row < 0)
+
+
+def _along_rows(image: np.ndarray, y: np.ndarray, x: np.ndarray, empty: np.ndarray) -> np.ndarray:
+    """Squared distance to the nearest `empty` pixel of the row, -1 without one; pixels are in order of image, y and x."""
+    at = np.arange(len(x))
+    new = np.r_[True, (image[1:] != image[:-1]) | (y[1:] != y[:-1])]
+    first = np.maximum.accumulate(np.where(new, at, 0))
+    last = np.minimum.accumulate(np.where(np.r_[new[1:], True], at, len(x))[::-1])[::-1]
+    left = np.maximum.accumulate(np.where(empty, at, -1))
+    right = np.minimum.accumulate(np.where(empty, at, len(x))[::-1])[::-1]
+    none = 1 << 40
+    gap = np.minimum(np.where(left >= first, x - x[left], none), np.where(right <= last, x[np.minimum(right, len(x) - 1)] - x, none))
+    return np.where(gap == none, -1, gap * gap)
+
+
+def _along_columns(g2: np.ndarray) -> np.ndarray:
+    """The lowest of (y - q)^2 + g2[q] over the rows q of an image, for all rows y of many images; FAR without one."""
+    g2 = np.where(g2 < 0, FAR, g2).astype(np.int32)
+    best, rows = g2.copy(), g2.shape[1]
+    for step in range(1, rows):
+        if step * step >= best.max():
+            break
+        np.minimum(best[:, step:], g2[:, :-step] + step * step, out=best[:, step:])
+        np.minimum(best[:, :-step], g2[:, step:] + step * step, out=best[:, :-step])
+    return np.minimum(best, FAR)
 
 
 def squared_distance_transform(px: DataFrame, keys: tuple[str, ...] = ("sample_id",), block: int = 64,
@@ -74,16 +149,6 @@ def _both_ways(df: DataFrame, group: list[str]) -> DataFrame:
     return rows.mapInArrow(walk, df.schema)
 
 
-def _numbered(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """The number of each row's block; rows of a block lie together, NULL keys are equal."""
-    new = np.zeros(len(table), bool)
-    for k in keys:
-        a, b = table.column(k).slice(1), table.column(k).slice(0, len(table) - 1)
-        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
-        new[1:] |= differ.to_numpy()
-    return np.cumsum(new)
-
-
 def _swept(y: np.ndarray, column: np.ndarray, g2: np.ndarray) -> np.ndarray:
     """The lowest value at each row by the rows of its column up to it in order of `y`, -1 without one."""
     envelope, found = _Envelopes(int(column.max()) + 1), np.empty(len(y), np.int64)

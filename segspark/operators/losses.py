@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from segspark.functions import columns as C
 from segspark.functions.prefix import kth_value, row_numbers, running_totals, top_k_per_group
-from segspark.operators.distance import squared_distance_transform
+from segspark.operators.distance import mask_distances, squared_distance_transform
 from segspark.runtime import join_side
 
 EPS32 = 1.1920928955078125e-07
@@ -315,31 +315,36 @@ def hausdorff(df: DataFrame, classes: int, mode: str = "reference", class_weight
 
     mode `reference` compares every class with the raw label and takes one
     foreground mask (label non-zero; prediction = argmax non-zero); mode
-    `class` compares with the one-hot label and takes per-class masks. All
-    masks go through one distance transform, each pixel with the error that its
-    distance is to weigh, so nothing is joined. A mask without background adds
-    nothing.
+    `class` compares with the one-hot label and takes per-class masks. A pixel
+    carries all its masks through one distance transform, with the errors that
+    its distances are to weigh, so nothing is joined; where an image has more
+    than `WHOLE_ROWS` pixels, it travels once per mask. A mask without
+    background adds nothing. Runs a job that counts pixels while it is built.
     """
     if mode not in ("reference", "class"):
         raise ValueError(mode)
     scored = [c for c in range(1, classes) if c != ignore]
     weight = _literals([1.0] * classes if class_weight is None else class_weight)
     base = df.select("sample_id", "y", "x", "gt", C.softmax(F.col("logits"), classes).alias("p"), C.argmax(F.col("logits")).alias("am"))
-    of = lambda c, goal: F.pow(F.get("p", c) - goal, F.lit(2.0)) * F.get(weight, c)
+    added = lambda terms: fold(lambda a, b: a + b, [F.lit(0.0), *terms])
+    of = lambda c, goal: F.pow(F.get("p", F.lit(c)) - goal, F.lit(2.0)) * F.get(weight, F.lit(c))
     if mode == "class":
-        masks = base.select("*", F.posexplode(F.array(*[F.lit(c) for c in scored])).alias("i", "c"))
-        error, hit = of(F.col("c"), F.when(F.col("gt") == F.col("c"), 1.0).otherwise(0.0)), lambda label: F.col(label) == F.col("c")
+        errors = [of(c, F.when(F.col("gt") == c, 1.0).otherwise(0.0)) for c in scored]
+        hits = [lambda label, c=c: F.col(label) == c for c in scored]
     else:
-        masks = base.withColumn("i", F.lit(0))
-        error = F.aggregate(F.array(*[F.lit(c) for c in scored]), F.lit(0.0), lambda t, c: t + of(c, F.col("gt").cast("double")))
-        hit = lambda label: F.col(label) != 0
-    on = lambda label: F.when(hit(label), 1).otherwise(0)
-    px = (masks.select("sample_id", "i", "y", "x", error.alias("e"), F.posexplode(F.array(on("gt"), on("am"))).alias("side", "fg"))
-          .select("sample_id", (F.col("i") * 2 + F.col("side")).alias("mask"), "y", "x", "e", "fg"))
-    copies = 2 * (len(scored) if mode == "class" else 1)
-    far = squared_distance_transform(px, layer="mask", layers=copies)
+        errors = [added([of(c, F.col("gt").cast("double")) for c in scored])]
+        hits = [lambda label: F.col(label) != 0]
+    masks = {f"{label}{i}": F.when(hit(label), 1).otherwise(0) for i, hit in enumerate(hits) for label in ("gt", "am")}
+    px = base.select("sample_id", "y", "x", *[e.alias(f"e{i}") for i, e in enumerate(errors)], *[m.cast("tinyint").alias(n) for n, m in masks.items()])
+    error = lambda name: F.col(f"e{name[2:]}")
+    if _small_groups(df, ["sample_id"]):
+        far = mask_distances(px, ["sample_id"], list(masks))
+        total = F.sum(added([F.when(F.col(n) == 1, F.coalesce(error(n) * F.col(f"d2_{n}"), F.lit(0.0))).otherwise(0.0) for n in masks]))
+        return far.agg((total / F.count(F.lit(1)) / classes).alias("loss"))
+    side_by_side = F.posexplode(F.array(*[F.struct(error(n).alias("e"), F.col(n).cast("int").alias("fg")) for n in masks])).alias("mask", "m")
+    far = squared_distance_transform(px.select("sample_id", "y", "x", side_by_side).select("sample_id", "mask", "y", "x", "m.*"), layer="mask", layers=len(masks))
     total = F.sum(F.when(F.col("fg") == 1, F.coalesce(F.col("e") * F.col("d2"), F.lit(0.0))).otherwise(0.0))
-    return far.agg((total / (F.count(F.lit(1)) / copies) / classes).alias("loss"))
+    return far.agg((total / (F.count(F.lit(1)) / len(masks)) / classes).alias("loss"))
 
 
 def hierarchical_bce(df: DataFrame, ranges: list[tuple[int, int]], fine: int, gamma: float | None = None, eps: float = 1e-8,

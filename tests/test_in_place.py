@@ -33,6 +33,32 @@ def test_tables_of_a_row_per_image_are_not_broadcast(spark, parts, name):
     assert "Broadcast" not in plan(entry.queries()[name](spark, parts))
 
 
+def test_distances_of_several_masks(spark):
+    rng = np.random.default_rng(8)
+    some = [(s, y, x, int(rng.random() < 0.8), int(s != 1)) for s in range(3) for y in range(9) for x in range(4 + s)]
+    some += [(4, y, 3, int(y != 60), 1) for y in range(90)] + some[:30] + [(None, 0, 0, 1, 0), (None, 0, 1, 1, 1)]
+    px = spark.createDataFrame(some, "sample_id int, y int, x int, a int, b int")
+    found = distance.mask_distances(px, ["sample_id"], ["a", "b"]).collect()
+    assert len(found) == len(some)
+    for r in found:
+        for m, k in (("a", 3), ("b", 4)):
+            zero = [(y, x) for s, y, x, *v in some if s == r["sample_id"] and v[k - 3] == 0]
+            want = min(((r["y"] - y) ** 2 + (r["x"] - x) ** 2 for y, x in zero), default=None)
+            assert r[f"d2_{m}"] == want
+
+
+@pytest.mark.parametrize("mode", ["reference", "class"])
+def test_hausdorff_sends_a_pixel_once(spark, monkeypatch, mode):
+    rng = np.random.default_rng(9)
+    some = [(s, y, x, int(rng.integers(0, 4)) if rng.random() < 0.9 else 255, rng.normal(size=4).tolist()) for s in range(4) for y in range(6) for x in range(7)]
+    px = spark.createDataFrame(some, "sample_id int, y int, x int, gt int, logits array<double>")
+    out = losses.hausdorff(px, 4, mode=mode)
+    assert "Generate" not in plan(out)  # a row per mask
+    got = out.first()["loss"]
+    monkeypatch.setattr(losses, "WHOLE_ROWS", 5)
+    assert got == pytest.approx(losses.hausdorff(px, 4, mode=mode).first()["loss"], rel=1e-12) and got > 0
+
+
 def test_blocks_that_are_alike_are_worked_on_together(spark):
     px = spark.createDataFrame([(s, y, x) for s in range(3) for y in range(2) for x in range(2 + s // 2)], "sample_id int, y int, x int").coalesce(1)
     work = lambda b: np.full(len(b.which), b.full[0], np.int32)
