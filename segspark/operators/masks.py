@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from segspark.functions import columns as C
 from segspark.functions.prefix import carry_forward
-from segspark.operators.blocks import component_starts
+from segspark.operators.blocks import component_starts, group_chunks, together
 from segspark.runtime import join_pixels, join_side, materialize
 
 
@@ -577,15 +577,22 @@ def _star_contract(edges: DataFrame, keys: list[str]) -> DataFrame:
             return edges
 
 
+REGION_ROWS = 1 << 20  # of an image, that a task may hold
+
+
 def remove_small_regions(mask: DataFrame, keys: list[str], min_area: int, mode: str) -> DataFrame:
     """mask(keys…, y, x, v) with small islands dropped or small holes filled.
 
     Islands: when every region is small the largest stays (the first in
-    row-major order on ties).
+    row-major order on ties). Images are worked on where they lie, many side by
+    side; if one has more than `REGION_ROWS` rows, by blocks. Runs a job that
+    counts rows while it is built.
     """
     if mode not in ("islands", "holes"):
         raise ValueError(mode)
     value = 1 if mode == "islands" else 0
+    if mask.groupBy(*keys).count().filter(F.col("count") > REGION_ROWS).isEmpty():
+        return _small_regions_whole(mask, keys, min_area, value)
     regions = materialize(connected_regions(mask.filter(F.col("v") == value), keys))
     sizes = regions.groupBy(*keys, "region").agg(F.count(F.lit(1)).alias("n"))
     small = sizes.filter(F.col("n") < min_area)
@@ -599,6 +606,45 @@ def remove_small_regions(mask: DataFrame, keys: list[str], min_area: int, mode:
             .select(*keys, "y", "x", F.when(F.col("flip") == 1, 1 - F.col("v")).otherwise(F.col("v")).cast("int").alias("v")))
 
 
+def _small_regions_whole(mask: DataFrame, keys: list[str], min_area: int, value: int) -> DataFrame:
+    """`remove_small_regions` of images that a task can hold."""
+    rows = mask.select(*keys, "y", "x", F.col("v").cast("int").alias("v"))
+
+    def walk(batches):
+        for table, number in group_chunks(batches, keys):
+            placed = np.logical_and.reduce([table.column(c).is_valid().to_numpy() for c in (*keys, "y", "x")])
+            cells = np.flatnonzero(placed & pc.fill_null(pc.equal(table.column("v"), value), False).to_numpy())
+            if not len(cells):
+                yield from table.to_batches()
+                continue
+            y, x = (pc.fill_null(table.column(c), 0).to_numpy().astype(np.int64) for c in ("y", "x"))
+            # Images lie below each other, with two empty rows between.
+            starts = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+            top, end = np.minimum.reduceat(y, starts), np.maximum.reduceat(y, starts)
+            below = np.r_[0, np.cumsum(end - top + 3)[:-1]] - top
+            image = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(number)]))
+            first = component_starts(y[cells] + below[image[cells]], x[cells])
+            # Regions in order of image and first pixel.
+            _, where, region, size = np.unique(first[0] * (int(x.max() - x.min()) + 1) + first[1] - x.min(), return_index=True, return_inverse=True, return_counts=True)
+            small = size < min_area
+            if value:
+                owner = image[cells[where]]
+                best = np.lexsort((np.arange(len(size)), -size, owner))
+                lead = best[np.r_[True, owner[best][1:] != owner[best][:-1]]]
+                small[lead[small[lead]]] = False
+            gone = cells[small[region]]
+            # A pixel that comes more than once meets each of its lost rows.
+            pixel = np.flatnonzero(np.r_[True, (image[1:] != image[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1])])
+            of = np.repeat(np.arange(len(pixel)), np.diff(np.r_[pixel, len(number)]))
+            times = np.where(placed, np.bincount(of[gone], minlength=len(pixel))[of], 0)
+            v = table.column("v")
+            turned = pc.if_else(pa.array(times > 0), pc.subtract(pa.scalar(1, pa.int32()), v), v)
+            out = table.set_column(table.schema.get_field_index("v"), "v", turned)
+            yield from (out if times.max() <= 1 else out.take(pa.array(np.repeat(np.arange(len(times)), np.maximum(times, 1))))).to_batches()
+
+    return together(rows, keys, "y", "x").mapInArrow(walk, rows.schema)
+
+
 # --- matching costs ---------------------------------------------------------
 
 def match_cost(class_logits: DataFrame, pred: DataFrame, gt: DataFrame, gt_labels: DataFrame,

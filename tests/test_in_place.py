@@ -33,6 +33,19 @@ def test_tables_of_a_row_per_image_are_not_broadcast(spark, parts, name):
     assert "Broadcast" not in plan(entry.queries()[name](spark, parts))
 
 
+@pytest.mark.parametrize("mode", ["islands", "holes"])
+def test_small_regions_of_whole_images_equal_blocks(spark, monkeypatch, mode):
+    rng = np.random.default_rng(7)
+    some = [(s, y + s, x, int(rng.random() < 0.35 + 0.1 * (s % 4))) for s in range(6) for y in range(12) for x in range(10)]
+    some += [(9, 5, 5, 1), (9, 9, 9, 1), (9, 9, 8, 0), (10, 0, 0, 0)] + some[:50] + [(None, 1, 1, 1), (None, 4, 4, 0), (3, 40, 40, None)]
+    mask = spark.createDataFrame(some, "sample_id int, y int, x int, v int")
+    out = M.remove_small_regions(mask, ["sample_id"], 4, mode)
+    assert "parquet" not in plan(out).lower()  # nothing is written on the way
+    got = rows(out)
+    monkeypatch.setattr(M, "REGION_ROWS", 3)
+    assert rows(M.remove_small_regions(mask, ["sample_id"], 4, mode)) == got
+
+
 def test_distances_of_several_masks(spark):
     rng = np.random.default_rng(8)
     some = [(s, y, x, int(rng.random() < 0.8), int(s != 1)) for s in range(3) for y in range(9) for x in range(4 + s)]
