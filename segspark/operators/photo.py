@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from segspark.operators.blocks import group_chunks, together
 from segspark.runtime import join_pixels, join_side
 
 
@@ -51,11 +56,11 @@ def rgb_to_hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
     """8-bit HSV: hue in half degrees 0..179, saturation and value 0..255."""
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     span = top - low
-    sat = F.when(top == 0, 0).otherwise(F.bround(span * 255.0 / top, 0))
+    sat = F.when(top == 0, 0).otherwise(F.rint(span * 255.0 / top))
     deg = (F.when(span == 0, F.lit(0.0)).when(top == r, 60.0 * (g - b) / span)
            .when(top == g, 120.0 + 60.0 * (b - r) / span).otherwise(240.0 + 60.0 * (r - g) / span))
     deg = F.when(deg < 0, deg + 360).otherwise(deg)
-    hue = F.pmod(F.bround(deg / 2, 0).cast("int"), F.lit(180))
+    hue = F.pmod(F.rint(deg / 2).cast("int"), F.lit(180))
     return hue, sat.cast("int"), top.cast("int")
 
 
@@ -64,7 +69,7 @@ def hsv_to_rgb(h: Column, s: Column, v: Column) -> tuple[Column, Column, Column]
     part = h / 30.0 - sector
     sat = s / 255.0
     p, q, t = v * (1 - sat), v * (1 - sat * part), v * (1 - sat * (1 - part))
-    pick = lambda seq: F.bround(F.get(F.array(*[c.cast("double") for c in seq]), sector), 0).cast("int")
+    pick = lambda seq: F.rint(F.get(F.array(*[c.cast("double") for c in seq]), sector)).cast("int")
     return pick((v, q, p, p, t, v)), pick((t, v, v, q, p, p)), pick((p, p, t, v, v, q))
 
 
@@ -110,23 +115,32 @@ def _where(df: DataFrame, cond: Column) -> DataFrame:
     return df.withColumns({c: F.when(cond, F.col(c)).otherwise(F.col(f"__{c}")) for c in ("r", "g", "b")})
 
 
+WHOLE_ROWS = 1 << 20  # of an image, that a task may hold
+BINS = 1 << 22  # of the histograms that are made at once
+
+
 def clahe(image: DataFrame, h: int, w: int, clip_limit: float = 40.0, tiles: tuple[int, int] = (8, 8)) -> DataFrame:
     """Contrast-limited adaptive equalisation of every channel, bins 0..255.
 
-    Histograms per tile come from one grouped count; clipped excess is shared
-    evenly, the remainder goes one by one to evenly spaced bins. Each pixel
-    then mixes the curves of its four nearest tiles. A curve is the running sum
-    of the clipped counts, an entry per value, and the shares up to that value.
+    Histograms are counted per tile; clipped excess is shared evenly, the
+    remainder goes one by one to evenly spaced bins. Each pixel then mixes the
+    curves of its four nearest tiles. A curve is the running sum of the clipped
+    counts, an entry per value, and the shares up to that value. Images are
+    equalised where they lie, many side by side; if one has more than
+    `WHOLE_ROWS` rows, tiles and pixels meet by groupings. Runs a job that
+    counts rows while it is built.
     """
     ty, tx = tiles
     th, tw = -(-h // ty), -(-w // tx)
     area = th * tw
     limit = max(int(clip_limit * area / 256), 1) if clip_limit > 0 else area
+    placed = F.concat(*[F.col(c).cast("string") for c in ("c", "y", "x")]).isNotNull()
+    beyond = image.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.min(placed).alias("placed")).filter((F.col("n") > WHOLE_ROWS) | ~F.col("placed"))
+    if ty * tx * 256 <= BINS and beyond.isEmpty():
+        return _clahe_whole(image, h, w, tiles, limit)
     mirrored = lambda pos, n, full: F.explode(F.filter(
         F.array(F.col(pos), 2 * (n - 1) - F.col(pos)), lambda p, i: (i == 0) | ((p >= n) & (p < full))))
-    value = F.col("v").cast("int")
-    binned = F.when(value.between(0, 255), value).otherwise(F.raise_error(F.lit("pixel values must be 0 to 255")).cast("int"))
-    seen = (image.select("sample_id", "c", binned.alias("v"), mirrored("y", h, th * ty).alias("y"), "x")
+    seen = (image.select("sample_id", "c", _binned().alias("v"), mirrored("y", h, th * ty).alias("y"), "x")
             .withColumn("x", mirrored("x", w, tw * tx)))
     hist = (seen.groupBy("sample_id", "c", F.floor(F.col("y") / th).alias("i"), F.floor(F.col("x") / tw).alias("j"), "v")
             .agg(F.count(F.lit(1)).alias("n")))
@@ -154,6 +168,80 @@ def clahe(image: DataFrame, h: int, w: int, clip_limit: float = 40.0, tiles: tup
             .withColumn("v", F.bround("v", 0).cast("int")))
 
 
+def _binned() -> Column:
+    value = F.col("v").cast("int")
+    return F.when(value.between(0, 255), value).otherwise(F.raise_error(F.lit("pixel values must be 0 to 255")).cast("int"))
+
+
+def _clahe_whole(image: DataFrame, h: int, w: int, tiles: tuple[int, int], limit: int) -> DataFrame:
+    """`clahe` of images that a task can hold."""
+    ty, tx = tiles
+    th, tw = -(-h // ty), -(-w // tx)
+    rows = image.select("sample_id", "y", "x", "c", _binned().alias("v"))
+    schema = T.StructType([f if f.name != "v" else T.StructField("v", T.IntegerType()) for f in rows.schema])
+
+    def both(pos, n, full):
+        """Where a row counts: at its place and, where the padding mirrors it, there too."""
+        other = 2 * (n - 1) - pos
+        return [(np.ones(len(pos), bool), pos), ((other >= n) & (other < full), other)]
+
+    def corners(pos, size, n):
+        f = pos / float(size) - 0.5
+        return [(np.clip(np.floor(f) + k, 0, n - 1).astype(np.int64), 1 - np.abs(f - np.floor(f) - k)) for k in (0, 1)]
+
+    def equalised(plane, planes, y, x, v):
+        """The mixed value of each row, and whether it met a tile."""
+        hist = np.zeros(planes * ty * tx * 256, np.int64)
+        for some_y, py in both(y, h, th * ty):
+            for some_x, px in both(x, w, tw * tx):
+                i, j = py // th, px // tw
+                at = some_y & some_x & (i >= 0) & (i < ty) & (j >= 0) & (j < tx)
+                if at.any():
+                    hist += np.bincount((((plane * ty + i) * tx + j) * 256 + v)[at], minlength=len(hist))
+        hist = hist.reshape(planes * ty * tx, 256)
+        there = hist.any(axis=1)
+        excess, value = np.maximum(hist - limit, 0).sum(axis=1)[:, None], np.arange(256)
+        left = excess % 256
+        total = np.minimum(hist, limit).cumsum(axis=1) + excess // 256 * (value + 1) + np.minimum(left, value // (256 // np.maximum(left, 1)) + 1)
+        curve = np.clip(np.rint(total * 255.0 / (th * tw)), 0.0, 255.0)
+        mixed, met = np.zeros(len(v)), np.zeros(len(v), bool)
+        for i, wy in corners(y, th, ty):
+            for j, wx in corners(x, tw, tx):
+                tile = (plane * ty + i) * tx + j
+                mixed += np.where(there[tile], curve[tile, v] * (wy * wx), 0.0)
+                met |= there[tile]
+        return mixed, met
+
+    def walk(batches):
+        for table, number in group_chunks(batches, ["sample_id"]):
+            known = table.column("sample_id").is_valid().to_numpy()
+            table, number = table.filter(pa.array(known)), number[known]
+            if not len(number):
+                continue
+            channel = table.column("c").combine_chunks().dictionary_encode()
+            channels = len(channel.dictionary)
+            plane = (number - number[0]) * channels + channel.indices.to_numpy()
+            y, x, v = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x", "v"))
+            mixed, met = np.empty(len(v)), np.empty(len(v), bool)
+            step = max(1, BINS // (channels * ty * tx * 256))  # images at once
+            cuts = np.flatnonzero(np.r_[True, (number[1:] - number[0]) // step != (number[:-1] - number[0]) // step, True])
+            for lo, hi in zip(cuts, cuts[1:]):
+                at, first = slice(lo, hi), (number[lo] - number[0]) * channels
+                planes = int(number[hi - 1] - number[lo] + 1) * channels
+                mixed[at], met[at] = equalised(plane[at] - first, planes, y[at], x[at], v[at])
+            # Rows of one pixel and channel are added up.
+            wide, tall = int(x.max() - x.min()) + 1, int(y.max() - y.min()) + 1
+            pixel = (plane * tall + (y - y.min())) * wide + (x - x.min())
+            _, first, of = np.unique(pixel, return_index=True, return_inverse=True)
+            if len(first) < len(pixel):
+                mixed, met = np.bincount(of, mixed), np.bincount(of, met) > 0
+                table = table.take(pa.array(first))
+            place = table.schema.get_field_index("v")
+            yield from table.set_column(place, "v", pa.array(np.rint(mixed).astype(np.int32))).filter(pa.array(met)).to_batches()
+
+    return together(rows, ["sample_id"]).mapInArrow(walk, schema).select("sample_id", "y", "x", "c", "v")
+
+
 def image_stats(image: DataFrame) -> DataFrame:
     return image.groupBy("sample_id", "c").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
                                                F.min("v").alias("min"), F.max("v").alias("max"))

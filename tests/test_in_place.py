@@ -33,6 +33,23 @@ def test_tables_of_a_row_per_image_are_not_broadcast(spark, parts, name):
     assert "Broadcast" not in plan(entry.queries()[name](spark, parts))
 
 
+def test_clahe_of_whole_images_equals_groupings(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    some = [(s, y, x, c, float(rng.integers(0, 256) // (s or 1))) for s in (1, 2, 30) for c in (0, 2) for y in range(7) for x in range(11)]
+    some += some[:40] + [(None, 0, 0, 0, 3.0)] + [(77, 3, 8, 1, 9.0), (77, 0, 0, 1, 200.0)]
+    # Sides of tiles are powers of two, so sums of weights are exact in any order.
+    image = spark.createDataFrame(some, "sample_id int, y int, x int, c int, v double")
+    whole = P.clahe(image, 7, 11, 3.0, (2, 3))
+    assert "MapInArrow" in plan(whole)
+    got, kind = rows(whole), whole.schema
+    monkeypatch.setattr(P, "BINS", 2 * 2 * 3 * 256)  # an image at a time
+    assert rows(P.clahe(image, 7, 11, 3.0, (2, 3))) == got
+    monkeypatch.setattr(P, "WHOLE_ROWS", 5)
+    other = P.clahe(image, 7, 11, 3.0, (2, 3))
+    assert "MapInArrow" not in plan(other) and [f.dataType for f in other.schema] == [f.dataType for f in kind] and other.columns == whole.columns
+    assert rows(other) == got
+
+
 @pytest.mark.parametrize("mode", ["islands", "holes"])
 def test_small_regions_of_whole_images_equal_blocks(spark, monkeypatch, mode):
     rng = np.random.default_rng(7)
