@@ -96,23 +96,57 @@ def distort(px: DataFrame, params: DataFrame) -> DataFrame:
     contrast_last); NULL leaves a step out. Contrast runs before the colour steps, or after them when
     `contrast_last`."""
     names = ("brightness", "contrast", "saturation", "hue", "contrast_last")
-    cols = px.columns
-    out = join_side(px, params.select("sample_id", *names), ["sample_id"])
-    step = lambda df, a, b: df.withColumns({c: linear(F.col(c).cast("double"), a, b) for c in ("r", "g", "b")})
-    out = step(out, 1.0, F.coalesce("brightness", F.lit(0.0)))
-    out = step(out, F.when(F.col("contrast_last"), 1.0).otherwise(F.coalesce("contrast", F.lit(1.0))), 0.0)
-    keep = out.select("*", F.col("r").alias("__r"), F.col("g").alias("__g"), F.col("b").alias("__b"))
-    out = saturate(keep, F.coalesce("saturation", F.lit(1.0)))
-    out = _where(out, F.col("saturation").isNotNull())
-    out = out.withColumns({"__r": F.col("r"), "__g": F.col("g"), "__b": F.col("b")})
-    out = _where(shift_hue(out, F.coalesce("hue", F.lit(0))), F.col("hue").isNotNull())
-    out = step(out, F.when(F.col("contrast_last"), F.coalesce("contrast", F.lit(1.0))).otherwise(1.0), 0.0)
-    return out.select(*cols)
-
-
-def _where(df: DataFrame, cond: Column) -> DataFrame:
-    """Undo a colour step where it is off (the 8-bit HSV round trip is not exact)."""
-    return df.withColumns({c: F.when(cond, F.col(c)).otherwise(F.col(f"__{c}")) for c in ("r", "g", "b")})
+    whole = T.IntegerType()
+    schema = T.StructType([T.StructField(f.name, whole) if f.name in ("r", "g", "b") else f for f in px.schema])
+    out = join_side(px.withColumns({c: F.col(c).cast("double") for c in ("r", "g", "b")}), params.select("sample_id", *names), ["sample_id"])
+    sent = out.select(*px.columns, *[F.col(c).cast("boolean" if c == "contrast_last" else "double").alias(f"__{c}") for c in names])
+
+    # As generated code the steps are one method that is too long to be compiled, so they are taken on arrays.
+    def walk(batches):
+        for batch in batches:
+            value = lambda c, none: pc.fill_null(batch.column(c), none).to_numpy(zero_copy_only=False)
+            last, contrast = value("__contrast_last", False), value("__contrast", 1.0)
+            # A channel without a value is black.
+            rgb = [np.where(batch.column(c).is_valid().to_numpy(zero_copy_only=False), _clipped(value(c, 0.0) * 1.0 + value("__brightness", 0.0)), 0.0) for c in "rgb"]
+            rgb = [_clipped(v * np.where(last, 1.0, contrast)) for v in rgb]
+            for step in ("__saturation", "__hue"):
+                on = batch.column(step).is_valid().to_numpy(zero_copy_only=False)
+                if on.any():
+                    h, s, v = _hsv(*rgb)
+                    if step == "__hue":
+                        h = np.mod(h + value(step, 0.0), 180)
+                    else:
+                        s = _clipped(s * value(step, 1.0))
+                    rgb = [np.where(on, new, old) for new, old in zip(_rgb(h, s, v), rgb)]
+            rgb = [_clipped(v * np.where(last, contrast, 1.0)).astype(np.int32) for v in rgb]
+            told = dict(zip("rgb", rgb))
+            yield pa.RecordBatch.from_arrays([pa.array(told[c]) if c in told else batch.column(c) for c in schema.names], names=schema.names)
+
+    return sent.mapInArrow(walk, schema)
+
+
+def _clipped(v: np.ndarray) -> np.ndarray:
+    """`linear` after its sum: NaN is above all values."""
+    return np.floor(np.where(np.isnan(v), 255.0, np.clip(v, 0.0, 255.0)))
+
+
+def _hsv(r, g, b):
+    """`rgb_to_hsv` on arrays."""
+    top, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+    span = top - low
+    some = np.where(span == 0, 1.0, span)
+    sat = np.where(top == 0, 0.0, np.rint(span * 255.0 / np.where(top == 0, 1.0, top)))
+    deg = np.where(span == 0, 0.0, np.where(top == r, 60.0 * (g - b) / some, np.where(top == g, 120.0 + 60.0 * (b - r) / some, 240.0 + 60.0 * (r - g) / some)))
+    return np.mod(np.rint(np.where(deg < 0, deg + 360, deg) / 2), 180), sat, top
+
+
+def _rgb(h, s, v):
+    """`hsv_to_rgb` on arrays."""
+    sector = np.floor(h / 30.0).astype(np.int64)
+    part, sat = h / 30.0 - sector, s / 255.0
+    p, q, t = (np.rint(c) for c in (v * (1 - sat), v * (1 - sat * part), v * (1 - sat * (1 - part))))
+    v = np.rint(v)
+    return [np.choose(sector, seq) for seq in ((v, q, p, p, t, v), (t, v, v, q, p, p), (p, p, t, v, v, q))]
 
 
 WHOLE_ROWS = 1 << 20  # of an image, that a task may hold

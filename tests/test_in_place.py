@@ -33,6 +33,25 @@ def test_tables_of_a_row_per_image_are_not_broadcast(spark, parts, name):
     assert "Broadcast" not in plan(entry.queries()[name](spark, parts))
 
 
+def test_distort_on_arrays_equals_the_columns(spark):
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 256, (400, 3)).tolist()
+    v[0], v[1], v[2] = [None, 7, 9], [255, 255, 255], [0, 0, 0]
+    px = spark.createDataFrame([(i % 8, 0, i, *map(lambda c: c if c is None else int(c), t)) for i, t in enumerate(v)], "sample_id int, y int, x int, r int, g int, b int")
+    sets = [(s, [None, 3.0, -8.0][s % 3], [None, 0.75, 1.25][s // 3 % 3], 1.25 if s % 2 else None, s * 9 if s % 4 > 1 else None, bool(s % 2)) for s in range(8)]
+    params = spark.createDataFrame(sets, "sample_id int, brightness double, contrast double, saturation double, hue int, contrast_last boolean")
+    out = P.distort(px, params)
+    assert "MapInArrow" in plan(out)  # as generated code it was one method too long to be compiled
+    step = lambda df, a, b: df.withColumns({c: P.linear(F.col(c).cast("double"), a, b) for c in "rgb"})
+    for s, light, contrast, saturation, hue, last in sets:
+        want = step(px.filter(F.col("sample_id") == s), 1.0, light or 0.0)
+        want = step(want, 1.0 if last else contrast or 1.0, 0.0)
+        want = P.saturate(want, F.lit(saturation)) if saturation else want
+        want = P.shift_hue(want, F.lit(hue)) if hue is not None else want
+        want = step(want, (contrast or 1.0) if last else 1.0, 0.0)
+        assert rows(out.filter(F.col("sample_id") == s)) == rows(want)
+
+
 def test_clahe_of_whole_images_equals_groupings(spark, monkeypatch):
     rng = np.random.default_rng(6)
     some = [(s, y, x, c, float(rng.integers(0, 256) // (s or 1))) for s in (1, 2, 30) for c in (0, 2) for y in range(7) for x in range(11)]
