@@ -133,7 +133,7 @@ ty AS (SELECT p_partkey AS sample_id, i::INT AS inst, ((p_partkey + i) % 7 + 1):
 SELECT sample_id, y, x, coalesce(class_id, 0)::INT AS gt FROM q LEFT JOIN ty USING (sample_id, inst)""")
 def instances(spark, d):
     px = X.pixels(spark, d).select("sample_id", "y", "x", F.expr("cast(y div 4 * 4 + x div 4 as int)").alias("inst"))
-    types = (table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), F.explode(F.sequence(F.lit(1), F.lit(15))).alias("inst"))
+    types = (X.images(spark, d).select("sample_id", F.explode(F.sequence(F.lit(1), F.lit(15))).alias("inst"))
              .withColumn("class_id", ((F.col("sample_id") + F.col("inst")) % 7 + 1).cast("int")))
     return V.instances_to_labels(px, types)
 

@@ -33,6 +33,10 @@ def test_tables_of_a_row_per_image_are_not_broadcast(spark, parts, name):
     assert "Broadcast" not in plan(entry.queries()[name](spark, parts))
 
 
+def test_instances_shuffle_nothing_of_dealt_images(spark, parts):
+    assert "ENSURE_REQUIREMENTS" not in plan(entry.queries()["c11_instances"](spark, parts))
+
+
 def test_distort_on_arrays_equals_the_columns(spark):
     rng = np.random.default_rng(5)
     v = rng.integers(0, 256, (400, 3)).tolist()
